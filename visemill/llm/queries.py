@@ -36,6 +36,33 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows.unionByName(extra)))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_covered_bytes
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_covered_bytes(docs, with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .postings import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op9_rabin_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .windows import remove_repeated_windows
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_windows(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
