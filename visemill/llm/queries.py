@@ -43,6 +43,18 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_covered_bytes(docs, with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op7_sign_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .postings import decontaminate
 
