@@ -21,6 +21,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces)
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ctw import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
