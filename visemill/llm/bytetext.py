@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 NULL_ID = np.iinfo(np.int64).max
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _all = np.arange(256)
 SPACE = (_all == 0x20) | ((_all >= 0x09) & (_all <= 0x0D))

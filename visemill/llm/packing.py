@@ -7,6 +7,7 @@ place of each piece by its rank within its length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -18,21 +19,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import slices
+from .bytetext import LOWER, slices
 from .scratch import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows that one task ranks within a length; longer runs of one length are dealt to more tasks.
 RANKED_AT_ONCE = 50_000
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers, twice over.
+REMEMBERED = 200_000
+#: Lower case, and plain spaces for the white space of ASCII text.
+PLAIN = np.where(np.isin(np.arange(256), [0x09, 0x0A, 0x0D]), 0x20, LOWER).astype(np.uint8)
+#: Words that the tokenizer takes as one run of letters.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
 
 class WordEncoder:
     """Token ids of whole texts, encoding each distinct run of non-space characters once.
 
-    The tokenizer drops white space and never joins tokens across it, nor across a letter followed by a full stop or
-    comma, so a text's ids are those of its parts in order.
+    The tokenizer lower-cases, drops white space and never joins tokens across it, nor across a letter followed by a
+    full stop or comma, so a text's ids are those of its parts in order.
     """
 
     def __init__(self, path: str):
@@ -45,44 +50,59 @@ class WordEncoder:
         vocabulary = self.model.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isascii() and w.isalpha()]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        learnt: dict[str, bytes] = {}
+        plain, other = [], []
+        for w in words:
+            (plain if LETTERS.fullmatch(w) else other).append(w)
         for first in range(0, len(plain), 512):
             part = plain[first : first + 512]
             ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
-            cuts = np.flatnonzero(self.closes[ids]) + 1
-            if len(cuts) != len(part):  # not one closing token a word: take them singly
-                plain_ids = [np.array(e.ids, dtype=np.uint32) for e in self.model.encode_batch(part, add_special_tokens=False)]
-            else:
-                plain_ids = np.split(ids, cuts[:-1])
-            self.known.update(zip(part, plain_ids))
-        other = [w for w in words if not (w.isascii() and w.isalpha())]
+            cuts = (np.flatnonzero(self.closes[ids]) * 4 + 4).tolist()
+            raw = ids.tobytes()
+            if len(cuts) == len(part):
+                learnt.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+            else:  # not one closing token a word: take them singly
+                other += part
         for w, e in zip(other, self.model.encode_batch(other, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, dtype=np.uint32)
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids and the offset of each text; a null text is empty."""
-        texts = pc.ascii_lower(texts.cast(pa.large_string()).fill_null(""))
-        texts = pc.replace_substring_regex(texts, r"(\pL)([.,])", r"\1 \2")
-        texts = pc.replace_substring_regex(texts, r"[\t\n\r]", " ")
-        parts = pc.split_pattern(texts, " ")
+            learnt[w] = np.array(e.ids, dtype=np.uint32).tobytes()
+        return learnt
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Two generations of words are kept; those used since the last change stay."""
+        young, old = self.known, self.older
+        young.update({w: old[w] for w in words if w not in young and w in old})
+        young.update(self._learn([w for w in words if w not in young]))
+        out = [young[w] for w in words]
+        if len(young) > REMEMBERED:
+            self.known, self.older = {}, young
+        return out
+
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the UTF-8 texts ``buf[off[i]:off[i + 1]]``, and the offset of each text's."""
+        texts = PLAIN[buf]
+        stop = np.flatnonzero((buf == 0x2C) | (buf == 0x2E))
+        stop = stop[stop > 1]
+        one, two = texts[stop - 1], texts[stop - 2]
+        stop = stop[((one >= 0x61) & (one <= 0x7A)) | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))]
+        texts = np.insert(texts, stop, 0x20)
+        off = off + np.searchsorted(stop, off)
+        parts = pc.split_pattern(pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(texts)), " ")
         bounds = parts.offsets.to_numpy()
         words = parts.flatten().dictionary_encode()
         code = words.indices.to_numpy()
         names = words.dictionary.to_pylist()
-        missing = [w for w in names if w not in self.known]
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known = {w: self.known[w] for w in names if w in self.known}
-        self._learn(missing)
-        each = [self.known[w] for w in names]
-        size = np.array([len(x) for x in each], dtype=np.int64)
-        flat = np.concatenate(each) if each else np.zeros(0, np.uint32)
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        each = self._ids(names)
+        size = np.array([len(x) for x in each], dtype=np.int32) // 4
+        flat = np.frombuffer(b"".join(each), dtype=np.uint32)
+        begin = (np.cumsum(size) - size).astype(np.int32)
         n = size[code]
-        after = np.concatenate([[0], np.cumsum(n)])
-        take = np.repeat(begin[code] - after[:-1], n) + np.arange(after[-1])
+        after = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        take = np.repeat(begin[code] - after[:-1].astype(np.int32), n)
+        take += np.arange(after[-1], dtype=np.int32)
         return flat[take], after[bounds - bounds[0]]
 
 
@@ -92,9 +112,8 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer_path)
-        for s in slices(batches):
-            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(np.ascontiguousarray(s.off)), pa.py_buffer(np.ascontiguousarray(s.buf))])
-            ids, off = encoder.encode(texts.cast(pa.large_string()))
+        for s in slices(batches, target=4 << 20):
+            ids, off = encoder.encode(s.buf, s.off)
             n = np.diff(off) + 1
             pieces = -(-n // capacity)
             doc = np.repeat(np.arange(len(s)), pieces)
