@@ -136,10 +136,10 @@ def estimates(spark, sf_dir):
 
 
 @query("a11_threshold", f"""WITH {MODES}, v AS (SELECT {CER.format(h='hyp')} AS video FROM modes WHERE mode = 'video'), a AS (SELECT snr, cer FROM scored WHERE mode = 'av'), t AS (SELECT max(snr) FILTER (cer > video) AS threshold, max(snr) AS top FROM a, v)
- SELECT threshold, CASE WHEN top IS NULL THEN 'no_data' WHEN threshold IS NULL THEN 'video_never_better' WHEN threshold = top THEN 'video_always_better' ELSE 'ok' END AS status FROM t""")
+ SELECT threshold::DOUBLE AS threshold, CASE WHEN top IS NULL THEN 'no_data' WHEN threshold IS NULL THEN 'video_never_better' WHEN threshold = top THEN 'video_always_better' ELSE 'ok' END AS status FROM t""")
 def threshold(spark, sf_dir):
     video = modes(spark, sf_dir).filter("mode = 'video'").agg(M.cer(F.col("ref"), F.col("hyp"))).first()[0]
-    return M.suggest_threshold(scored(spark, sf_dir).filter("mode = 'av'"), float(video))
+    return M.suggest_threshold(scored(spark, sf_dir).filter("mode = 'av'"), float(video)).withColumn("threshold", F.col("threshold").cast("double"))
 
 
 @query("a11_threshold_estimates", """WITH g AS (SELECT event_type AS estimator, user_id % 5 AS rank, avg(value) AS m FROM events GROUP BY 1, 2), l AS (SELECT estimator, rank, (20 - 5 * rank)::DOUBLE AS snr, m - 3 * rank AS estimate FROM g), c AS (SELECT *, lag(estimate) OVER (PARTITION BY estimator ORDER BY rank) AS cleaner FROM l)
