@@ -210,3 +210,20 @@ def log_summary(log: DataFrame, by: list[str]) -> DataFrame:
     """Outcome of a processing run: ok and failed, frames, mean valid ratio of the ok ones, frames a second."""
     ok = F.col("ok")
     return log.groupBy(*by).agg(F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_failed"), F.sum(F.when(ok, F.col("frames"))).alias("frames"), F.avg(F.when(ok, F.col("valid_ratio"))).alias("valid_ratio"), (F.sum(F.when(ok, F.col("frames"))) / F.sum(F.when(ok, F.col("t_total")))).alias("frames_per_s"))
+
+
+def lip_events(events: DataFrame, frames: DataFrame, by: str, before: int, after: int, span: int, value: str = "z") -> DataFrame:
+    """For ``events(by, event, k0)``: offset of the lowest value from ``before`` frames ahead to ``after`` behind, whether it
+    is the first or last frame there is, and the offset (between frames) of the steepest rise within ``span`` frames
+    after it. Frames are looked up by number; the earliest of equals counts."""
+    near = F.explode(F.sequence(F.lit(-before), F.lit(after + span)))
+    values = frames.select(by, "k", F.col(value).alias("v"))
+    rows = events.select(by, "event", "k0", near.alias("offset")).withColumn("k", F.col("k0") + F.col("offset")).join(values, [by, "k"]).filter("v is not null")
+    seen = rows.filter(F.col("offset") <= after)
+    low = seen.groupBy(by, "event").agg(F.min_by("offset", F.struct("v", "offset")).alias("min_offset"), F.min("offset").alias("_a"), F.max("offset").alias("_b"))
+    low = low.withColumn("edge", (F.col("min_offset") == F.col("_a")) | (F.col("min_offset") == F.col("_b")))
+    later = rows.select(by, "event", "offset", "v").join(low.select(by, "event", "min_offset"), [by, "event"]).filter(F.col("offset").between(F.col("min_offset"), F.col("min_offset") + span))
+    w = Window.partitionBy(by, "event").orderBy("offset")
+    rise = later.withColumn("_rise", F.when(F.lag("offset").over(w) == F.col("offset") - 1, F.col("v") - F.lag("v").over(w)))
+    steep = rise.filter("_rise is not null").groupBy(by, "event").agg((F.min_by("offset", F.struct(-F.col("_rise"), "offset")) - 0.5).alias("release_offset"))
+    return low.drop("_a", "_b").join(steep, [by, "event"], "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import frame_queries, manifest_queries, registry, score_queries  # noqa: F401
+from . import frame_queries, manifest_queries, registry, score_queries, signal_queries  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
