@@ -2,7 +2,8 @@
 
 Every substring of ``depth`` bytes contains one anchor: the position whose 16 bytes hash lowest, the first of equals.
 Equal substrings have equal anchors at equal places, so only substrings around anchors that occur twice can repeat. One
-exchange of packed anchor keys tells which do; the text around those alone is shuffled by anchor, sorted as suffixes
+exchange of packed anchor keys tells which do. A second one, of hashes of the text around them, settles those whose
+whole surrounding a smaller document has too. The text around what is left is shuffled by anchor and sorted as suffixes
 within each anchor, and runs with a common prefix of ``depth`` bytes give the document that holds each substring first.
 """
 
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import U64, PrefixHash, Slice, mix
-from .chunks import chunk_documents, each_chunk, key_bits, occurring_elsewhere, pack_bytes, rows_with, shared_flags, unpack_bytes, with_columns
+from .chunks import chunk_documents, each_chunk, key_bits, occurring_elsewhere, pack_bytes, pack_keys, rows_with, shared_flags, split_by_part, unpack_bytes, unpack_keys, with_columns
 
 ANCHOR = 16
-RESULT = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_bytes", T.BinaryType()), T.StructField("kept_sha256", T.StringType())]
+RESULT = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())]
 #: Suffixes that a task compares at once.
-SUFFIXES_AT_ONCE = 1_000_000
+SUFFIXES_AT_ONCE = 200_000
+#: Surroundings of anchors that a task unpacks at once.
+CONTEXTS_AT_ONCE = 20_000
 
 
 # ---------------------------------------------------------------- suffix sort
@@ -252,23 +255,83 @@ def covered_spans(docs: DataFrame, depth: int = 50) -> DataFrame:
     def keys_of(s: Slice) -> np.ndarray:
         return np.unique(anchors(s, depth)[0])
 
+    def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, s, _ in each_chunk(batches):
+            data = s.buf.tobytes()
+            at = np.flatnonzero(np.diff(s.off) >= depth)
+            marks = [hashlib.blake2b(data[s.off[i] : s.off[i + 1]], digest_size=16).digest() for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chunk), pa.int64()), pa.array(at, pa.int32()), pa.array(s.ids()[at], pa.int64()), pa.array(marks, pa.binary())], ["chunk", "at", "doc", "digest"])
+
+    # of texts that are alike as a whole only the one with the smallest id needs judging
+    marked = chunks.mapInArrow(digests, "chunk long, at int, doc long, digest binary")
+    first_of = marked.groupBy("digest").agg(F.min("doc").alias("least"))
+    copies = marked.join(first_of, "digest").filter("doc > least").groupBy("chunk").agg(F.collect_list("at").alias("copies"))
+
+    def open_questions(s: Slice, row: dict):
+        """Anchors left to judge, by key: key, anchor, first and last window, document; and what the chunk settles alone."""
+        key, anchor, first, last = anchors(s, depth)
+        keys, at, count = np.unique(key, return_inverse=True, return_counts=True)
+        copied = np.zeros(len(s), dtype=bool)
+        copied[row["copies"] or []] = True
+        own = np.searchsorted(s.off, first, "right") - 1
+        take = ((count > 1) | shared_flags(keys, row["shared"], bits))[at] & ~copied[own]
+        key, anchor, first, last, doc = key[take], anchor[take], first[take], last[take], s.ids()[own[take]]
+        settled = settle_in_chunk(s, doc, first, last - first + depth, key) if len(key) else np.zeros(0, dtype=bool)
+        left = np.flatnonzero(~settled)
+        left = left[np.argsort(key[left], kind="stable")]
+        gone = np.concatenate([first[settled], s.off[:-1][copied]]), np.concatenate([last[settled] + depth, s.off[1:][copied]])
+        return key[left], anchor[left], first[left], last[left], doc[left], gone
+
+    def send_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, s, row in each_chunk(batches):
+            key, anchor, first, last, doc, _ = open_questions(s, row)
+            h = PrefixHash(s.buf).of(first, last + depth) ^ mix((anchor - first).astype(U64)) if len(key) else key
+            parts, border = split_by_part(key, bits)
+            data = [pack_keys(key[a:b], bits) for a, b in zip(border[:-1], border[1:])]
+            more = [h[a:b].astype("<u8").tobytes() + pack_bytes(doc[a:b].astype("<i8").tobytes()) for a, b in zip(border[:-1], border[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), chunk), pa.int64()), pa.array(parts, pa.int64()), pa.array(data, pa.binary()), pa.array(more, pa.binary())], ["chunk", "part", "data", "more"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        """For each anchor: covered whole (an equal surrounding in a smaller document), or in need of its text (other
+        surroundings of the same anchor exist), or neither."""
+        part = table.column("part")[0].as_py()
+        each = [unpack_keys(x.as_py(), part, bits) for x in table.column("data")]
+        size = [len(x) for x in each]
+        key = np.concatenate(each)
+        more = [x.as_py() for x in table.column("more")]
+        h = np.concatenate([np.frombuffer(x, "<u8", count=n) for x, n in zip(more, size)])
+        doc = np.concatenate([np.frombuffer(unpack_bytes(x[8 * n :]), "<i8") for x, n in zip(more, size)])
+        by = np.lexsort((doc, h, key))
+        k, g, d = key[by], h[by], doc[by]
+        kind = np.ones(len(by), dtype=bool)
+        kind[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1])
+        least = d[np.flatnonzero(kind)[np.cumsum(kind) - 1]]
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = k[1:] != k[:-1]
+        kinds = np.add.reduceat(kind.astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
+        whole, text = np.empty(len(by), dtype=bool), np.empty(len(by), dtype=bool)
+        whole[by] = d > least
+        text[by] = (d == least) & (kinds > 1)
+        cuts = np.cumsum(size)[:-1]
+        bits_of = [np.packbits(np.concatenate([a, b])).tobytes() for a, b in zip(np.split(whole, cuts), np.split(text, cuts))]
+        return pa.table({"chunk": table.column("chunk"), "state": pa.array([{"part": part, "bits": x} for x in bits_of], pa.struct([("part", pa.int64()), ("bits", pa.binary())]))})
+
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, s, row in each_chunk(batches):
-            key, anchor, first, last = anchors(s, depth)
-            keys, at, count = np.unique(key, return_inverse=True, return_counts=True)
-            take = ((count > 1) | shared_flags(keys, row["shared"], bits))[at]
-            key, anchor, first, last = key[take], anchor[take], first[take], last[take]
-            if not len(key):
-                continue
-            doc = s.ids()[np.searchsorted(s.off, first, "right") - 1]
-            settled = settle_in_chunk(s, doc, first, last - first + depth, key)
+            key, anchor, first, last, doc, gone = open_questions(s, row)
+            parts_of, border = split_by_part(key, bits)
+            whole, text = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+            at = {int(p): (a, b) for p, a, b in zip(parts_of, border[:-1], border[1:])}
+            for x in row["states"] or []:
+                a, b = at[x["part"]]
+                flags = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=2 * (b - a)).astype(bool)
+                whole[a:b], text[a:b] = flags[: b - a], flags[b - a :]
             parts, data = [], []
-            if settled.any():
-                start, end = union(first[settled], last[settled] + depth)
+            start, end = union(np.concatenate([gone[0], first[whole]]), np.concatenate([gone[1], last[whole] + depth]))
+            if len(start):
                 parts.append(int(mix(np.array([chunk], dtype=U64))[0] >> U64(64 - bits)))
                 data.append(b"i" + pack_intervals(start, end))
-            left = np.flatnonzero(~settled)
-            left = left[np.argsort(key[left], kind="stable")]
+            left = np.flatnonzero(text)
             part = (key[left] >> U64(64 - bits)).astype(np.int64)
             for of in np.split(left, np.flatnonzero(np.diff(part)) + 1):
                 if len(of):
@@ -278,9 +341,8 @@ def covered_spans(docs: DataFrame, depth: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), chunk), pa.int64()), pa.array(parts, pa.int64()), pa.array(data, pa.binary())], ["chunk", "part", "data"])
 
     def judge(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk").to_numpy()
         to, spans, rows = [], [], []
-        for c, data in zip(chunk.tolist(), table.column("data")):
+        for c, data in zip(table.column("chunk").to_pylist(), table.column("data")):
             data = data.as_py()
             if data[:1] == b"i":
                 to.append(c)
@@ -291,12 +353,20 @@ def covered_spans(docs: DataFrame, depth: int = 50) -> DataFrame:
             key, doc, first, count, shift = (np.concatenate([r[1][k] for r in rows]) for k in range(5))
             text = np.concatenate([r[1][5] for r in rows])
             own = np.repeat(np.arange(len(rows)), [len(r[1][0]) for r in rows])
-            by = np.argsort(key, kind="stable")
             size = count + depth - 1
-            text = text[ragged((np.cumsum(size) - size)[by], size[by])]
-            hit = covered(key[by], doc[by], count[by], shift[by], text, depth)
-            window = ragged(first[by], count[by])[hit]
-            whose = np.repeat(own[by], count[by])[hit]
+            place = np.cumsum(size) - size
+            by = np.argsort(key, kind="stable")
+            window, whose = [], []
+            group = np.append(np.flatnonzero(np.diff(key[by], prepend=~key[by][:1])), len(by))
+            low = 0
+            while low < len(by):  # whole anchors, a bounded number of windows at a time
+                high = int(group[min(np.searchsorted(group, low + CONTEXTS_AT_ONCE), len(group) - 1)])
+                some = by[low:high]
+                hit = covered(key[some], doc[some], count[some], shift[some], text[ragged(place[some], size[some])], depth)
+                window.append(ragged(first[some], count[some])[hit])
+                whose.append(np.repeat(own[some], count[some])[hit])
+                low = high
+            window, whose = np.concatenate(window), np.concatenate(whose)
             order = np.argsort(whose, kind="stable")
             window, whose = window[order], whose[order]
             for x in np.split(np.arange(len(whose)), np.flatnonzero(np.diff(whose)) + 1):
@@ -305,7 +375,11 @@ def covered_spans(docs: DataFrame, depth: int = 50) -> DataFrame:
                     spans.append(pack_intervals(*union(window[x], window[x] + depth)))
         return pa.table({"chunk": pa.array(to, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
-    sent = occurring_elsewhere(chunks, keys_of, bits).mapInArrow(send, "chunk long, part long, data binary")
+    asked = occurring_elsewhere(chunks, keys_of, bits).join(copies, "chunk", "left")
+    hashes = asked.mapInArrow(send_hashes, "chunk long, part long, data binary, more binary")
+    states = hashes.groupBy("part").applyInArrow(compare, "chunk long, state struct<part: long, bits: binary>")
+    states = states.groupBy("chunk").agg(F.collect_list("state").alias("states"))
+    sent = asked.join(states, "chunk", "left").mapInArrow(send, "chunk long, part long, data binary")
     told = sent.groupBy("part").applyInArrow(judge, "chunk long, spans binary")
     return chunks.join(told.groupBy("chunk").agg(F.collect_list("spans").alias("spans")), "chunk", "left")
 
@@ -314,8 +388,9 @@ def remove_covered_bytes(docs: DataFrame, depth: int = 50, with_text: bool = Tru
     """Remove each byte of the UTF-8 texts covered by a ``depth``-byte string that also starts in a document with a
     smaller doc_id. Overlaps count; strings are judged on the input; matches never cross documents.
 
-    Returns the other columns of ``docs``, n_bytes, n_removed, n_spans (maximal removed runs), kept_bytes (the
-    remaining bytes; null unless ``with_text``) and kept_sha256. A null text is empty. A null doc_id counts as larger
+    Returns the other columns of ``docs``, n_bytes, n_removed, n_spans (maximal removed runs), kept_text (the
+    remaining bytes as text, halves of cut characters left out; null unless ``with_text``) and kept_sha256 (of the
+    remaining bytes). A null text is empty. A null doc_id counts as larger
     than any other; rows of equal doc_id, repeated rows among them, take nothing from each other.
     """
 
@@ -340,7 +415,7 @@ def remove_covered_bytes(docs: DataFrame, depth: int = 50, with_text: bool = Tru
                 "n_bytes": pa.array(np.diff(s.off), pa.int64()),
                 "n_removed": pa.array(np.diff(total), pa.int64()),
                 "n_spans": pa.array(np.diff(spans), pa.int64()),
-                "kept_bytes": pa.array(parts, pa.binary()) if with_text else pa.nulls(len(s), pa.binary()),
+                "kept_text": pa.array([p.decode("utf-8", "ignore") for p in parts], pa.string()) if with_text else pa.nulls(len(s), pa.string()),
                 "kept_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()),
             })
 
