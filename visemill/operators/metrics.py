@@ -117,15 +117,15 @@ def auc_and_eer(scores: DataFrame) -> DataFrame:
     """
     points = roc_points(scores)
     total = points.agg(F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N"))
-    points = points.crossJoin(F.broadcast(total)).withColumn("d", 1 - F.col("tp") / F.col("P") - F.col("fp") / F.col("N"))
-    auc = F.sum(F.col("n_neg") * (F.col("tp") - F.col("n_pos") / 2)) / F.first("P") / F.first("N")
+    points = points.crossJoin(F.broadcast(total)).withColumn("d", 1 - F.try_divide("tp", "P") - F.try_divide("fp", "N"))
+    auc = F.try_divide(F.sum(F.col("n_neg") * (F.col("tp") - F.col("n_pos") / 2)), F.first("P") * F.first("N"))
     # the last point above and the first at or below the diagonal, found by two aggregates instead of a sorted window
     above = F.max_by(F.struct("d", "fp", "score"), F.when(F.col("d") > 0, -F.col("score")))
     below = F.max_by(F.struct("d", "fp", "score"), F.when(F.col("d") <= 0, F.col("score")))
     both = points.agg(auc.alias("auc"), above.alias("a"), below.alias("b"), F.first("P").alias("n_pos"), F.first("N").alias("n_neg"))
-    d0, f0 = F.coalesce("a.d", F.lit(1.0)), F.coalesce("a.fp", F.lit(0)) / F.col("n_neg")
-    share = d0 / (d0 - F.col("b.d"))
-    eer = f0 + share * (F.col("b.fp") / F.col("n_neg") - f0)
+    d0, f0 = F.coalesce("a.d", F.lit(1.0)), F.try_divide(F.coalesce("a.fp", F.lit(0)), F.col("n_neg"))
+    share = F.try_divide(d0, d0 - F.col("b.d"))
+    eer = f0 + share * (F.try_divide("b.fp", "n_neg") - f0)
     threshold = F.when(F.col("a.score").isNull(), F.col("b.score")).otherwise(F.col("a.score") + share * (F.col("b.score") - F.col("a.score")))
     real = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     return both.select(*[F.when(real, c).alias(n) for n, c in (("auc", F.col("auc")), ("eer", eer), ("threshold", threshold.cast("double")))], "n_pos", "n_neg")

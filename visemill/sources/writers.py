@@ -36,8 +36,8 @@ def srt_cues(segments: DataFrame) -> DataFrame:
 def write_srt(segments: DataFrame, path: str) -> None:
     """One subtitle text for each video, under ``video=...`` folders."""
     cues = srt_cues(segments).groupBy("video").agg(F.array_sort(F.collect_list(F.struct("n", "cue"))).alias("c"))
-    lines = cues.select("video", F.concat(F.array_join(F.transform("c", lambda x: x["cue"]), "\r\n"), F.lit("\r\n")).alias("value"))
-    lines.write.mode("overwrite").option("lineSep", "").partitionBy("video").text(path)
+    lines = cues.select("video", F.array_join(F.transform("c", lambda x: x["cue"]), "\r\n").alias("value"))
+    lines.write.mode("overwrite").option("lineSep", "\r\n").partitionBy("video").text(path)
 
 
 def write_sidecar(segments: DataFrame, path: str) -> None:
