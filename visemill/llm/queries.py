@@ -85,5 +85,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+OP4 = """WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+ size AS (SELECT *, length(role) + length(text) AS plain, length(concat(role, text)) - length(replace(concat(role, text), chr(92), '')) AS signs, length(concat(role, text)) - length(replace(concat(role, text), '<', '')) AS opens FROM rows),
+ agg AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum(24 + plain + signs + 4 * opens)::BIGINT AS formatted_chars, string_agg(concat(role, ' '), '' ORDER BY turn, role, text) AS roles FROM size GROUP BY 1)
+ SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, regexp_full_match(roles, '(system )?(user assistant )+') AS valid FROM agg"""
+
+OP5 = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), win AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM h)),
+ hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM win) WHERE least < doc_id),
+ edge AS (SELECT doc_id, i AS p, 1 AS d FROM hit UNION ALL SELECT doc_id, i + 50, -1 FROM hit), step AS (SELECT doc_id, p, sum(d) AS d FROM edge GROUP BY 1, 2),
+ byte AS (SELECT doc_id, unnest(range(1, length(h) // 2 + 1)) AS p, h FROM h), cover AS (SELECT b.doc_id, b.p, substr(b.h, 2 * b.p - 1, 2) AS c, sum(coalesce(s.d, 0)) OVER (PARTITION BY b.doc_id ORDER BY b.p) > 0 AS gone FROM byte b LEFT JOIN step s ON s.doc_id = b.doc_id AND s.p = b.p),
+ runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM cover),
+ agg AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(c, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM runs GROUP BY 1)
+ SELECT h.doc_id, length(h.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN agg ON agg.doc_id = h.doc_id"""
+
+OP7 = """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98e0),
+ reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+ least AS (SELECT a, min(b) AS b FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n FROM link GROUP BY 1)
+ SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(least.b, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(least.b, v.vec_id)) AS kept FROM embeddings v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN least ON least.a = v.vec_id"""
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+OP8 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all({_LOW}, '{_WORD}') AS w FROM benchmark),
+ phrase AS (SELECT item_id, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i, w FROM b WHERE len(w) > 0), ph AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM phrase),
+ sizes AS (SELECT DISTINCT n FROM ph), win AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)),
+ hit AS (SELECT w.doc_id, w.i, w.n, p.item_id FROM win w JOIN ph p ON p.n = w.n AND p.s = w.s), pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit), np AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY 1),
+ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1)
+ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated FROM d LEFT JOIN np ON np.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+
+OP9 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+ hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1), edge AS (SELECT doc_id, i AS p, 1 AS d FROM hit UNION ALL SELECT doc_id, i + 35, -1 FROM hit), step AS (SELECT doc_id, p, sum(d) AS d FROM edge GROUP BY 1, 2),
+ word AS (SELECT doc_id, unnest(w) AS c, generate_subscripts(w, 1) AS p FROM d), cover AS (SELECT b.doc_id, b.p, b.c, sum(coalesce(s.d, 0)) OVER (PARTITION BY b.doc_id ORDER BY b.p) > 0 AS gone FROM word b LEFT JOIN step s ON s.doc_id = b.doc_id AND s.p = b.p),
+ agg AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(c, ' ' ORDER BY p) FILTER (NOT gone), '') AS kept FROM cover GROUP BY 1)
+ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; the others are held against brute force in the tests."""
+    return {"op4_chat_formatting": OP4, "op5_suffix_array": OP5, "op7_sign_hashing": OP7, "op8_positional_index": OP8, "op9_rabin_karp": OP9}
