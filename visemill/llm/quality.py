@@ -190,8 +190,11 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = 20_000, **options) ->
     """
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out())
     usable = usable.select("doc_id", F.col("quality").cast("int").alias("y"))
-    chosen = stats.select("doc_id", "stats").join(usable, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    rows = chosen.select("stats", "y").collect()
+    n = usable.count()
+    if n > sample:  # a hash takes a share a little under the bound, so that no task sends more than its part
+        usable = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(950_000 * sample / n))
+    rows = stats.select("doc_id", "stats").join(usable, "doc_id").limit(sample).select("doc_id", "stats", "y").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.y, bytes(r.stats)))
     x = np.frombuffer(b"".join(bytes(r.stats) for r in rows), dtype=np.float32).reshape(-1, len(FEATURES))
     return train(x, np.array([r.y for r in rows], dtype=np.float64), **options)
 
