@@ -20,13 +20,15 @@ def mean_frame_cosine(video: Column, audio: Column, frames: Column) -> Column:
     return F.aggregate(F.zip_with(video, audio, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v) / frames
 
 
-def score_histogram(rows: DataFrame, negative: str, *, bins: int = 2000, blocks: int = 4) -> DataFrame:
+def score_histogram(rows: DataFrame, negative: str, *, bins: int = 2000, block_rows: int = 4096) -> DataFrame:
     """Counts of binned cosines (positive, bin, n) over all (face, stream) pairs of ``rows(id, face, stream, speaker,
     session)``, for verification: positives are a row's own pair, negatives those whose ``negative`` columns (comma
     separated) differ. Scores lie in [-1, 1]; bin b covers [-1 + 2b / bins, -1 + 2(b + 1) / bins).
 
-    Both sides are dealt to blocks; a task multiplies one block of faces by one of streams and sends counts only.
+    Both sides are dealt to blocks of about ``block_rows``; a task multiplies one block of faces by one of streams and
+    sends counts only. Every pair is scored, as verification asks, so the work grows with the square of the rows.
     """
+    blocks = max(1, -(-rows.count() // block_rows))
     keys = [c.strip() for c in negative.split(",")]
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

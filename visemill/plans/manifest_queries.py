@@ -267,9 +267,14 @@ def by_speaker(spark, sf_dir):
     return M.speaker_sample(utterances(spark, sf_dir).select("speaker", "utt_id"), 250, 3)
 
 
-@query("w14_length_batches")
+@query("w14_length_batches", f"""WITH RECURSIVE {UTT}, l AS (SELECT n_frames AS v, count(*) AS c, row_number() OVER (ORDER BY n_frames) AS r FROM utt GROUP BY 1),
+ walk(r, v, cap, take, before, cur, size) AS (SELECT 0::BIGINT, 0::BIGINT, 1::BIGINT, 0::BIGINT, -1::BIGINT, -1::BIGINT, 0::BIGINT UNION ALL
+  SELECT r, v, cap, take, cur, cur + (c - take + cap - 1) // cap, CASE WHEN c > take THEN (c - take - 1) % cap + 1 ELSE size + take END FROM (SELECT l.r, l.v, l.c, greatest(8000 // l.v, 1) AS cap, least(l.c, CASE WHEN w.size > 0 THEN greatest(8000 // l.v - w.size, 0) ELSE 0 END) AS take, w.cur, w.size FROM walk w JOIN l ON l.r = w.r + 1)),
+ rows AS (SELECT utt_id, n_frames, row_number() OVER (PARTITION BY n_frames ORDER BY utt_id) - 1 AS j FROM utt), b AS (SELECT utt_id, n_frames, CASE WHEN j < take THEN before ELSE before + 1 + (j - take) // cap END AS batch FROM rows JOIN walk ON walk.v = n_frames AND walk.r > 0),
+ g AS (SELECT batch, count(*) AS size, max(n_frames) AS longest, min(utt_id) AS first_utt FROM b GROUP BY 1) SELECT batch, row_number() OVER (ORDER BY md5(concat('5|1|', batch)), batch) - 1 AS batch_order, size, longest, first_utt FROM g""")
 def batches(spark, sf_dir):
     rows = M.length_batches(utterances(spark, sf_dir).select("utt_id", "n_frames"), "n_frames", 8000, "utt_id", epoch=1, seed=5)
+    rows = rows.withColumn("batch", F.col("batch").cast("long"))
     return rows.groupBy("batch", "batch_order").agg(F.count("*").alias("size"), F.max("n_frames").alias("longest"), F.min("utt_id").alias("first_utt"))
 
 
