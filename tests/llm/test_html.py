@@ -55,6 +55,8 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in blocks_of("1 < 2 &am; <b>x<br>y")] == ["1 < 2 &am; x y"]
     assert blocks_of(None) == blocks_of("") == blocks_of("<script>x") == []
     assert len(blocks_of("<p>" * 20000 + "x")) == 1
+    assert [b.text for b in blocks_of("<a title='1>2' x=\"a>b\">y</a><p class=\"q>z<p>w")] == ["y", "z", "w"]
+    assert len(blocks_of("<a b=\"c" * 50_000)) == 1
 
 
 def test_viterbi_is_the_best_of_all_labellings():

@@ -22,7 +22,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = ("script", "style", "title", "textarea", "noscript", "template", "svg", "math", "iframe", "object", "select", "button", "datalist")
 #: Opening the first closes an open one of the second.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>%s)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)" % "|".join(HIDDEN), re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>%s)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>|<[!?][^>]*>|(?P<text>[^<]+|<)" % "|".join(HIDDEN), re.S | re.I)
 NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -288,7 +288,10 @@ def learn_field(pages: DataFrame, sample: int = 200, layouts: int = 600) -> Fiel
 
     Which page lends sentences is decided by a hash of its id; both numbers bound what reaches the driver.
     """
-    rows = pages.select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select(F.substring("html", 1, 20_000).alias("html")).collect()
+    ids = [r[0] for r in pages.select("page_id").filter("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
+    lending = pages.filter(F.col("page_id").isin(ids)).limit(sample)
+    rows = lending.select("page_id", F.substring("html", 1, 20_000).alias("html")).collect()
+    rows.sort(key=lambda r: (r.page_id, r.html or ""))
     sentences = []
     for r in rows:
         for b in blocks_of(r.html):
