@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import SLICE_BYTES, U64, Slice, slices
+from .bytetext import SLICE_BYTES, U64, Slice, give_back, slices
 from .scratch import cut
 
 CHUNKS = "chunk long, n_bytes long, lens binary, text binary, rows binary"
@@ -74,6 +74,7 @@ def each_chunk(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Slice,
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pydict()
             yield row.pop("chunk")[0], open_chunk(row.pop("lens")[0], row.pop("text")[0], row.pop("rows")[0]), {k: v[0] for k, v in row.items()}
+    give_back()
 
 
 def key_bits(chunks: DataFrame, keys_per_byte: float, keys_at_once: int = 1_000_000) -> int:

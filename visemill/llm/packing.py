@@ -26,7 +26,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows that one task ranks within a length; longer runs of one length are dealt to more tasks.
 RANKED_AT_ONCE = 50_000
 #: Words whose ids a Python worker remembers, twice over.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Lower case, and plain spaces for the white space of ASCII text.
 PLAIN = np.where(np.isin(np.arange(256), [0x09, 0x0A, 0x0D]), 0x20, LOWER).astype(np.uint8)
 #: Words that the tokenizer takes as one run of letters.
@@ -112,7 +112,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer_path)
-        for s in slices(batches, target=4 << 20):
+        for s in slices(batches, target=2 << 20):
             ids, off = encoder.encode(s.buf, s.off)
             n = np.diff(off) + 1
             pieces = -(-n // capacity)

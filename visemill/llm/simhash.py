@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import LOWER, NOT_SPACE, U64, join_words, slices, word_bounds
+from .bytetext import LOWER, NOT_SPACE, U64, give_back, join_words, slices, word_bounds
 from .components import EDGE, connected_components, forest
 from .scratch import cut
 
@@ -141,6 +141,7 @@ def link_fingerprints(prints: DataFrame, distance: int = 4) -> DataFrame:
         a, b = ball_links(there, left, free)
         near = np.bitwise_count(word[a] ^ word[b]) <= distance
         src, dst = forest(word[a][near].view(np.int64), word[b][near].view(np.int64))
+        give_back()
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
     return prints.select("print").mapInArrow(send, "bucket long, print long").groupBy("bucket").applyInArrow(link, EDGE)

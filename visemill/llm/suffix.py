@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import U64, PrefixHash, Slice, mix
+from .bytetext import U64, PrefixHash, Slice, give_back, mix
 from .chunks import chunk_documents, each_chunk, key_bits, occurring_elsewhere, pack_bytes, pack_keys, rows_with, shared_flags, split_by_part, unpack_bytes, unpack_keys, with_columns
 
 ANCHOR = 16
@@ -373,6 +373,7 @@ def covered_spans(docs: DataFrame, depth: int = 50) -> DataFrame:
                 if len(x):
                     to.append(rows[whose[x[0]]][0])
                     spans.append(pack_intervals(*union(window[x], window[x] + depth)))
+        give_back()
         return pa.table({"chunk": pa.array(to, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
     asked = occurring_elsewhere(chunks, keys_of, bits).join(copies, "chunk", "left")
