@@ -72,15 +72,14 @@ def interpolate_on_grid(frames: DataFrame, by: str, time: str, value: str, step:
 def running_median(frames: DataFrame, by: list[str], order: str, value: str, width: int = 9) -> DataFrame:
     """``median`` of the last ``width`` values that are not null, the current one included; nulls hold it; null before
     the first value."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    kept = F.count(value).over(w)
-    # the last ``width`` values lie among the rows since the value of that rank
-    values = frames.withColumn("_n", kept)
-    seen = F.filter(F.collect_list(F.struct("_n", F.col(value).alias("v"))).over(w), lambda x: x["v"].isNotNull())
-    last = F.sort_array(F.transform(F.slice(seen, F.greatest(F.size(seen) - (width - 1), F.lit(1)), width), lambda x: x["v"]))
-    n = F.size(last)
+    w = Window.partitionBy(*by).orderBy(order)
+    counted = frames.withColumn("_n", F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # medians of the values alone, looked up by how many have come so far
+    last = F.sort_array("_l")
+    n = F.size("_l")
     middle = (F.element_at(last, F.floor((n + 1) / 2).cast("int")) + F.element_at(last, F.floor(n / 2).cast("int") + 1)) / 2
-    return values.withColumn("_l", last).withColumn("median", F.when(kept > 0, middle)).drop("_n", "_l")
+    values = counted.filter(F.col(value).isNotNull()).withColumn("_l", F.collect_list(value).over(w.rowsBetween(1 - width, 0)))
+    return counted.join(values.select(*by, "_n", middle.alias("median")), [*by, "_n"], "left").drop("_n")
 
 
 def moving_stats(frames: DataFrame, by: str, order: str, value: str, width: int) -> DataFrame:
