@@ -19,10 +19,52 @@ def without_spaces(text: Column) -> Column:
     return F.replace(text, F.lit(" "), F.lit(""))
 
 
+def char_distance(ref: str, hyp: str) -> int:
+    """Edit distance between the characters of two texts of any length, by Myers' bit vectors in a band around the diagonal.
+
+    A column of the band is one integer. A result within the band's half width is exact; else the band is doubled.
+    """
+    if ref == hyp or not ref or not hyp:
+        return 0 if ref == hyp else len(ref) + len(hyp)
+    codes = np.frombuffer(ref.encode("utf-32-le"), dtype=np.uint32)
+    places = {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes)}
+    longest = max(len(ref), len(hyp))
+    k = max(64, longest // 8, abs(len(ref) - len(hyp)))
+    while (edits := banded_distance(places, len(ref), hyp, k)) > k and k < longest:
+        k *= 2
+    return edits
+
+
+def banded_distance(places: dict[str, int], n: int, hyp: str, k: int) -> int:
+    """Cost of the best alignment of ``hyp`` to n characters at ``places`` that stays k or fewer off the diagonal."""
+    width = 2 * k + 1  # bit t is row j - k + t of column j; rows up to 0 stand for nothing
+    mask, top = (1 << width) - 1, 1 << (width - 1)
+    up, down, above = ((1 << k) - 1) << (k + 1), 0, 0  # where the column rises and falls by one; the cost over its first row
+    for first in range(0, len(hyp), width):
+        part = hyp[first : first + width]
+        near = {c: (places.get(c, 0) << k >> first) & ((1 << 2 * width) - 1) for c in set(part)}
+        for j, c in enumerate(part):
+            above += 1 + (up & 1) - (down & 1)
+            up, down = up >> 1 | top, down >> 1
+            same = near[c] >> j & mask
+            across = (((same & up) + up) ^ up) | same
+            rise, fall = down | (mask & ~(across | up)), up & across
+            rise, same = rise << 1 | 1, same | down
+            up, down = (fall << 1 | ~(same | rise)) & mask, rise & same & mask
+    rows = (1 << (n - len(hyp) + k + 1)) - 1
+    return above + (up & rows).bit_count() - (down & rows).bit_count()
+
+
+@F.pandas_udf(T.LongType())
+def char_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """``char_distance`` of columns: its time grows far less steeply with the length than that of Spark's levenshtein."""
+    return pd.Series([None if r is None or h is None else char_distance(r, h) for r, h in zip(ref, hyp)], dtype="Int64")
+
+
 def cer(ref: Column, hyp: Column) -> Column:
     """Aggregate: character edits over reference characters, spaces left out; null without reference characters."""
     r, h = without_spaces(ref), without_spaces(hyp)
-    return F.sum(F.levenshtein(r, h)) / F.nullif(F.sum(F.length(r)), F.lit(0))
+    return F.sum(char_edits(r, h)) / F.nullif(F.sum(F.length(r)), F.lit(0))
 
 
 @F.pandas_udf(T.LongType())
@@ -57,7 +99,7 @@ def error_cube(rows: DataFrame, by: list[str], hyps: list[str], ref: str = "ref"
     """CER of each hypothesis column over every subset of ``by``; null keys mean all. Columns cer_<hyp>, n, level."""
     # edits once for each row, then a cube over numbers instead of texts
     r = without_spaces(F.col(ref))
-    lean = rows.select(*by, F.length(r).alias("_chars"), *[F.levenshtein(r, without_spaces(F.col(h))).alias(f"_e_{h}") for h in hyps])
+    lean = rows.select(*by, F.length(r).alias("_chars"), *[char_edits(r, without_spaces(F.col(h))).alias(f"_e_{h}") for h in hyps])
     rates = [(F.sum(f"_e_{h}") / F.nullif(F.sum("_chars"), F.lit(0))).alias(f"cer_{h}") for h in hyps]
     return lean.cube(*by).agg(F.count("*").alias("n"), *rates, F.grouping_id().alias("level"))
 

@@ -61,7 +61,7 @@ FROM events)"""
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS utt_id", "source AS speaker", "lang AS angle", "substr(regexp_replace(text, '[^ -~]+', ''), 1, 200) AS ref")
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS utt_id", "source AS speaker", "lang AS angle", "regexp_replace(text, '[^ -~]+', '') AS ref")
     return rows.withColumn("hyp", F.expr("replace(replace(ref, 'th', 't'), 'on', 'onn')"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment as A
 from ..operators import intervals as I
+from ..operators.metrics import char_edits
 from ..sources.writers import srt_cues
 from .adapters import FRAMES, REFS, SENT, UTT, frames, references, sentences, table, utterances
 from .registry import query
@@ -283,6 +284,6 @@ def video_summary(spark, sf_dir):
 
 @query("t3_worst_and_typical", f"""WITH {REFS}, e AS (SELECT speaker, utt_id, levenshtein(ref, hyp) AS edits FROM refs), m AS (SELECT speaker, quantile_cont(edits, 0.5) AS m FROM e GROUP BY 1), r AS (SELECT e.speaker, utt_id, edits, row_number() OVER (PARTITION BY e.speaker ORDER BY edits DESC, utt_id) AS a, row_number() OVER (PARTITION BY e.speaker ORDER BY abs(edits - m), utt_id) AS b FROM e JOIN m USING (speaker)) SELECT speaker, max(CASE WHEN a = 1 THEN utt_id END) AS worst, max(CASE WHEN b = 1 THEN utt_id END) AS typical FROM r GROUP BY 1""")
 def worst(spark, sf_dir):
-    e = references(spark, sf_dir).select("speaker", "utt_id", F.levenshtein("ref", "hyp").alias("edits"))
+    e = references(spark, sf_dir).select("speaker", "utt_id", char_edits("ref", "hyp").alias("edits"))
     m = e.groupBy("speaker").agg(F.median("edits").alias("m"))
     return e.join(F.broadcast(m), "speaker").groupBy("speaker").agg(F.min_by("utt_id", F.struct(-F.col("edits"), "utt_id")).alias("worst"), F.min_by("utt_id", F.struct(F.abs(F.col("edits") - F.col("m")), "utt_id")).alias("typical"))
