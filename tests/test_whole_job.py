@@ -88,3 +88,41 @@ def test_worst_takes_whole_texts(spark, texts):
     for speaker in {s for _, s, _, _ in docs}:
         want[speaker] = max((edits(t, heard(t)), -i) for i, s, _, t in docs if s == speaker)[1] * -1
     assert {r["speaker"]: r["worst"] for r in rows_of(spark, "t3_worst_and_typical", folder)} == want
+
+
+def test_halves_take_whole_sentences(spark, tmp_path):
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", "m" * 160 + " " + "that month " * (2 + c + t)) for c in range(2) for t in range(8)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    joined, end = defaultdict(list), defaultdict(float)
+    for c, t, _, text in turns:
+        end[c] += len(text) / 15 + t % 5 * 0.15
+        joined[c, "clean" if end[c] - len(text) / 30 < 20 else "noisy"].append(text)
+    by = defaultdict(list)
+    for (_, half), v in joined.items():
+        by[half].append((" ".join(v), " ".join(x.replace("th", "t") for x in v)))
+    assert {r["half"]: (r["n"], r["cer"]) for r in rows_of(spark, "j10_halves", tmp_path)} == {k: (len(v), rate(v)) for k, v in by.items()}
+
+
+def test_label_shift_takes_whole_turns(spark, tmp_path):
+    r = random.Random(8)
+    turns = [(c, t, "user", "".join(r.choice("abcdefgh (x") for _ in range(900))) for c in range(2) for t in range(12)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {x["video_stem"]: x["gain"] for x in rows_of(spark, "w19_label_shift", tmp_path)}
+    want = {}
+    for c in range(2):
+        db = [ord(x) % 40 for v, _, _, text in turns if v == c for x in text]
+        total = [0]
+        for x in db:
+            total.append(total[-1] + x)
+        score = {}
+        for j in range(-40, 41):
+            q = []
+            for t in range(12):
+                a, z = (round((x + j * 0.02) * 100) for x in (t * 1.3, t * 1.3 + 1))
+                at = [(1, a + 15), (-2, a), (1, a - 15), (2, z), (-1, z - 15), (-1, z + 15)]
+                if all(0 <= k < len(total) for _, k in at):
+                    q.append(sum(f * total[k] for f, k in at) / 15)
+            if len(q) >= 3:
+                score[j] = sum(q) / len(q)
+        want[c] = round(max(score.values()) - score.get(0, max(score.values())), 5)
+    assert got == pytest.approx(want, abs=2e-5)

@@ -117,7 +117,7 @@ LEVELS = """e AS (SELECT conv_id AS v, CAST(row_number() OVER (PARTITION BY conv
   g AS (SELECT v, j, avg(q) AS score FROM x GROUP BY 1, 2 HAVING count(*) >= 3), t AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY round(score, 9) DESC, j) AS n, coalesce(max(score) OVER (PARTITION BY v) - max(CASE WHEN j = 0 THEN score END) OVER (PARTITION BY v), 0) AS gain FROM g) SELECT v AS video_stem, round(gain, 5) AS gain, CASE WHEN gain >= 1 THEN round(j * 0.02e0, 3) ELSE 0 END AS shift FROM t WHERE n = 1""")
 def label_shift(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    chars = rows.select(F.col("conv_id").alias("video_stem"), "turn", F.posexplode(F.slice(F.filter(F.split("text", ""), lambda c: c != ""), 1, 400)).alias("i", "c"))
+    chars = rows.select(F.col("conv_id").alias("video_stem"), "turn", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("i", "c"))
     levels = chars.select("video_stem", (F.row_number().over(Window.partitionBy("video_stem").orderBy("turn", "i")) - 1).cast("long").alias("k"), (F.ascii("c") % 40).cast("double").alias("db"))
     labels = rows.select(F.col("conv_id").alias("video_stem"), (F.col("turn") * 1.3).alias("start_s"), (F.col("turn") * 1.3 + 1).alias("end_s"))
     return G.label_shift(labels, levels).select("video_stem", F.round("gain", 5).alias("gain"), "shift")
