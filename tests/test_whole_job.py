@@ -126,3 +126,34 @@ def test_label_shift_takes_whole_turns(spark, tmp_path):
                 score[j] = sum(q) / len(q)
         want[c] = round(max(score.values()) - score.get(0, max(score.values())), 5)
     assert got == pytest.approx(want, abs=2e-5)
+
+
+def test_every_event_counts(spark, tmp_path):
+    r = random.Random(3)
+    kinds = ("click", "view", "error")
+    events = [(i, r.randrange(3), i, kinds[r.randrange(3)], float(r.randrange(1000))) for i in range(600)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    frames = defaultdict(list)
+    for _, user, _, kind, value in events:
+        frames[user].append((value, kind != "error"))
+
+    def around(user, k0, reach):
+        return [(o, frames[user][k0 + o][0]) for o in reach if 0 <= k0 + o < len(frames[user])]
+
+    share, lip, profile = {}, {}, defaultdict(list)
+    for i, user, *_ in events:
+        start = i % 300 / 10
+        inside = frames[user][round(start) : round(start + i % 7 / 5)]
+        share[i] = round(sum(v for _, v in inside) / len(inside), 6) if inside else 0
+        seen = around(user, i % 50, range(-4, 3))
+        low = min(seen, key=lambda x: (x[1], x[0]))[0]
+        v = dict(around(user, i % 50, range(-4, 6)))
+        rises = [(v[o - 1] - v[o], o) for o in range(low + 1, low + 4) if o in v]
+        lip[i] = (low, low in (seen[0][0], seen[-1][0]), min(rises)[1] - 0.5 if rises else None)
+        for o, x in around(user, i % 40, range(-3, 4)):
+            profile[i % 2 == 0, o].append(x)
+    assert {x["seg"]: x["share"] for x in rows_of(spark, "j9_visual_ratio", tmp_path)} == share
+    assert {x["event"]: (x["min_offset"], x["edge"], x["release_offset"]) for x in rows_of(spark, "v11_lip_events", tmp_path)} == lip
+    got = {(x["bilabial"], x["offset"]): (x["n"], x["mean"]) for x in rows_of(spark, "a22_profile", tmp_path)}
+    assert got == {k: (len(v), pytest.approx(sum(v) / len(v), abs=1e-5)) for k, v in profile.items()}
+    assert {x["split"] for x in rows_of(spark, "a28_subgroups", tmp_path)} == {0, 1, 2}

@@ -31,7 +31,7 @@ SEGMENTS = f"{FRAMES}, seg AS (SELECT user_id AS utt_key, CAST(event_id AS BIGIN
 
 
 def segments(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("event_id % 9 = 0").selectExpr("user_id AS utt_key", "event_id AS seg", "(event_id % 300) / 10e0 AS start_s", "(event_id % 300) / 10e0 + (event_id % 7) / 5e0 AS end_s")
+    return table(spark, sf_dir, "events").selectExpr("user_id AS utt_key", "event_id AS seg", "(event_id % 300) / 10e0 AS start_s", "(event_id % 300) / 10e0 + (event_id % 7) / 5e0 AS end_s")
 
 
 @query("j9_visual_ratio", f"""WITH {SEGMENTS}, k AS (SELECT utt_key, seg, unnest(range(CAST(round_even(start_s, 0) AS BIGINT), CAST(round_even(end_s, 0) AS BIGINT))) AS k FROM seg), h AS (SELECT k.utt_key, seg, avg(valid::INT) AS share FROM k JOIN frames f ON k.utt_key = f.utt_key AND k.k = f.k GROUP BY 1, 2)
@@ -190,7 +190,7 @@ def coverage(spark, sf_dir):
 
 @query("a22_profile", f"""WITH {FRAMES}, e AS (SELECT user_id AS utt_key, CAST(event_id % 40 AS BIGINT) AS k0, event_id % 2 = 0 AS bilabial FROM events WHERE event_id % 3 = 0), s AS (SELECT e.*, o, k0 + o AS k FROM e, (SELECT unnest(range(-3, 4)) AS o)) SELECT bilabial, o::INT AS "offset", count(*) AS n, round(avg(x), 6) AS mean FROM s JOIN frames f ON f.utt_key = s.utt_key AND f.k = s.k GROUP BY 1, 2""")
 def profiles(spark, sf_dir):
-    events = table(spark, sf_dir, "events").filter("event_id % 3 = 0").selectExpr("user_id AS utt_key", "event_id % 40 AS k0", "event_id % 2 = 0 AS bilabial")
+    events = table(spark, sf_dir, "events").selectExpr("user_id AS utt_key", "event_id % 40 AS k0", "event_id % 2 = 0 AS bilabial")
     return A.profile(events, frames(spark, sf_dir).withColumnRenamed("x", "z"), "utt_key", 3, "bilabial").select("bilabial", "offset", "n", R("mean"))
 
 
@@ -210,7 +210,7 @@ def shift_curve(spark, sf_dir):
 
 @query("a28_subgroups", f"WITH {SHIFT} SELECT split, shift, round(d, 5) AS d FROM d WHERE split < 2")
 def subgroups(spark, sf_dir):
-    return A.shift_curve(shifted(spark, sf_dir).filter("split < 2"), ["split"]).select("split", "shift", R("d", 5))
+    return A.shift_curve(shifted(spark, sf_dir), ["split"]).select("split", "shift", R("d", 5))
 
 
 @query("a25_bootstrap")

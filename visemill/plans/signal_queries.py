@@ -96,7 +96,7 @@ def draws(spark, sf_dir):
   d AS (SELECT s.event, s.o, s.v - lag(s.v) OVER (PARTITION BY s.event ORDER BY s.o) AS rise FROM s JOIN m ON m.event = s.event AND s.o BETWEEN lo AND lo + 3), t AS (SELECT event, o, row_number() OVER (PARTITION BY event ORDER BY rise DESC, o) AS n FROM d WHERE rise IS NOT NULL)
  SELECT m.utt_key, m.event, lo::INT AS min_offset, edge, t.o - 0.5e0 AS release_offset FROM m LEFT JOIN t ON t.event = m.event AND t.n = 1""")
 def lip_events(spark, sf_dir):
-    events = table(spark, sf_dir, "events").filter("event_id % 20 = 0").selectExpr("user_id AS utt_key", "event_id AS event", "event_id % 50 AS k0")
+    events = table(spark, sf_dir, "events").selectExpr("user_id AS utt_key", "event_id AS event", "event_id % 50 AS k0")
     out = A.lip_events(events, frames(spark, sf_dir).withColumnRenamed("x", "z"), "utt_key", 4, 2, 3)
     return out.select("utt_key", "event", "min_offset", "edge", F.col("release_offset").cast("double").alias("release_offset"))
 
