@@ -83,3 +83,14 @@ def test_odd_rows(spark, field):
     assert max(r.n_chars for r in got) == len(("long text. " * 100_000).strip())
     assert extract(df.limit(0)).collect() == []
     assert features_of([]) == []
+
+
+def test_hidden_elements_end_where_they_end():
+    for tag in ("<svg class=i />", "<math/>", "<button>", "<select><option>", "<object data=x>", "<template>", "<datalist>", "<button-group>", "<svg-icon name=x>"):
+        assert [b.text for b in blocks_of(f"<p>before</p>{tag}<p>the article</p><p>after")] == ["before", "the article", "after"], tag
+    assert [b.text for b in blocks_of("<button><p>the article</p><button type=x>Send</button><p>after")] == ["the article", "after"]
+    for name in ("script", "style", "title", "textarea", "noscript", "iframe"):
+        assert [b.text for b in blocks_of(f"<p>a<{name} x=1>hidden<p>hidden")] == ["a"]
+        assert [b.text for b in blocks_of(f"<p>a</p><{name}>hidden<p>hidden</{name.upper()} ><p>b")] == ["a", "b"]
+    assert [b.text for b in blocks_of("<p>a</p><svg><text>hidden</text></svg><p>b<button>hidden</button>c")] == ["a", "b c"]
+    assert len(blocks_of("<object>" * 50_000 + "x")) == len(blocks_of("<button>" * 50_000 + "x")) == 1

@@ -20,9 +20,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not shown as text of the page.
 HIDDEN = ("script", "style", "title", "textarea", "noscript", "template", "svg", "math", "iframe", "object", "select", "button", "datalist")
+#: Of these, those that run to the end of the page where no tag closes them; those that may be empty (<svg/>); those that do not nest.
+TO_END, EMPTY, FLAT = frozenset("script style title textarea noscript iframe".split()), frozenset({"svg", "math"}), frozenset({"select", "button"})
 #: Opening the first closes an open one of the second.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>%s)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>|<[!?][^>]*>|(?P<text>[^<]+|<)" % "|".join(HIDDEN), re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>%s)(?=[\s/>])(?P<rest>[^>]*)>|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>|<[!?][^>]*>|(?P<text>[^<]+|<)" % "|".join(HIDDEN), re.S | re.I)
+ENDS = {n: re.compile(rf"<{n}(?=[\s/>])|</{n}\s*>" if n in FLAT else rf"</{n}\s*>", re.I) for n in HIDDEN}
 NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -35,6 +38,23 @@ class Block:
     linked: int  # characters inside links
 
 
+def tokens_of(page: str) -> Iterator[re.Match]:
+    """Tags and texts of a page in order, hidden elements as their opening tag. Where one is not closed only its tag is passed over."""
+    at, unclosed = 0, set()
+    while m := TOKEN.match(page, at):
+        yield m
+        at = m.end()
+        name = (m["raw"] or "").lower()
+        if not name or name in unclosed or (name in EMPTY and m["rest"].endswith("/")):
+            continue
+        if end := ENDS[name].search(page, at):
+            at = end.end() if end[0].startswith("</") else at
+        elif name in TO_END:
+            return
+        else:
+            unclosed.add(name)  # nor is a later one: no second search
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order, white space collapsed, references decoded; hidden elements left out."""
     out: list[Block] = []
@@ -54,7 +74,7 @@ def blocks_of(page: str | None) -> list[Block]:
         parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page or ""):
+    for m in tokens_of(page or ""):
         if (text := m["text"]) is not None:
             parts.append(text)
             if links:
