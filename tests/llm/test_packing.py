@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import visemill.llm.packing as m
 from visemill.llm.packing import cut_into_pieces, pack, pack_counts
 from visemill.llm.queries import op1_best_fit_packing
 
@@ -25,6 +26,26 @@ def expected_pieces(rows, capacity):
     return sorted(out, key=str)
 
 
+BITS = ["a", "Z", "the", "ing", "é", "É", "ß", "÷", "×", "ÿ", "'", "'s", "'re", "1", "42", ".", ",", "$", "&&&", "=", "<", "\u0338", "\u0301", "e\u0301", "Σ", "İ", "你", "好", "ｶﾞ", "½", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\x00", "\x7f", "\u00a0", "\u3000", "\u2028", "<|endoftext|>", "😀", "👩\u200d🔬", "न\u093f", "\u1100\u1161", "_", "-"]
+
+
+@pytest.mark.parametrize("remembered", [30, 300_000])
+def test_ids_of_odd_texts_are_the_tokenizers(remembered, monkeypatch):
+    """Random strings of letters, marks, signs and spaces; with a small memory words are forgotten and learnt again."""
+    monkeypatch.setattr(m, "REMEMBERED", remembered)
+    model = Tokenizer.from_file(PATH)
+    model.encode_special_tokens = True
+    r = random.Random(11)
+    encoder = m.WordEncoder(PATH)
+    for _ in range(40):
+        texts = ["".join(r.choice(BITS) for _ in range(r.randint(0, 30))) for _ in range(r.randint(1, 60))]
+        data = [t.encode() for t in texts]
+        off = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+        ids, bounds = encoder.encode(np.frombuffer(b"".join(data), dtype=np.uint8), off)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert len(encoder.known) <= remembered + 3000
+
+
 def check_places(rows, capacity):
     lie = defaultdict(list)
     for r in rows:

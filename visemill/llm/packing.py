@@ -7,42 +7,49 @@ place of each piece by its rank within its length.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import LOWER, slices
+from .bytetext import LOWER, ragged, slices
 from .scratch import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows that one task ranks within a length; longer runs of one length are dealt to more tasks.
 RANKED_AT_ONCE = 50_000
-#: Words whose ids a Python worker remembers, twice over.
-REMEMBERED = 150_000
+#: Parts whose ids a Python worker remembers, and bytes of them.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 16 << 20
 #: Lower case, and plain spaces for the white space of ASCII text.
 PLAIN = np.where(np.isin(np.arange(256), [0x09, 0x0A, 0x0D]), 0x20, LOWER).astype(np.uint8)
-#: Words that the tokenizer takes as one run of letters.
+_ASCII = np.arange(256) < 0x80
+LETTER = (np.arange(256) >= 0x61) & (np.arange(256) <= 0x7A)
+#: Bytes of ASCII signs and digits; none of them joins a letter before it.
+SIGN = _ASCII & ~LETTER & (np.arange(256) > 0x20)
+#: Parts that the tokenizer takes as one run of letters.
 LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
 
 class WordEncoder:
-    """Token ids of whole texts, encoding each distinct run of non-space characters once.
+    """Token ids of whole texts, encoding each distinct part of them once.
 
-    The tokenizer lower-cases, drops white space and never joins tokens across it, nor across a letter followed by a
-    full stop or comma, so a text's ids are those of its parts in order.
+    The tokenizer lower-cases, drops white space and never joins tokens across it, nor across a letter followed by an
+    ASCII sign or digit. So texts are cut at both, and a text's ids are those of its parts in order.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.model.no_padding()
@@ -50,60 +57,104 @@ class WordEncoder:
         vocabulary = self.model.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        learnt: dict[str, bytes] = {}
-        plain, other = [], []
-        for w in words:
-            (plain if LETTERS.fullmatch(w) else other).append(w)
-        for first in range(0, len(plain), 512):
-            part = plain[first : first + 512]
-            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
-            cuts = (np.flatnonzero(self.closes[ids]) * 4 + 4).tolist()
-            raw = ids.tobytes()
-            if len(cuts) == len(part):
-                learnt.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
-            else:  # not one closing token a word: take them singly
-                other += part
-        for w, e in zip(other, self.model.encode_batch(other, add_special_tokens=False)):
-            learnt[w] = np.array(e.ids, dtype=np.uint32).tobytes()
-        return learnt
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Two generations of words are kept; those used since the last change stay."""
-        young, old = self.known, self.older
-        young.update({w: old[w] for w in words if w not in young and w in old})
-        young.update(self._learn([w for w in words if w not in young]))
-        out = [young[w] for w in words]
-        if len(young) > REMEMBERED:
-            self.known, self.older = {}, young
-        return out
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # number of each part
+        self.ids = np.zeros(0, dtype=np.uint32)  # of all parts, by number
+        self.begin = np.zeros(1, dtype=np.int64)  # of each part in ids
+        self.used = np.zeros(0, dtype=np.int64)  # when last
+        self.n_bytes = self.now = 0
+
+    def _keep_recent(self) -> None:
+        """Forget the half of the parts that was not used for longest."""
+        keep = np.flatnonzero(self.used > np.median(self.used))
+        names = list(self.known)
+        size = np.diff(self.begin)[keep]
+        ids = self.ids[ragged(self.begin[keep], size)]
+        now, used = self.now, self.used[keep]
+        self._forget()
+        self.known = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.ids, self.begin, self.used, self.now = ids, np.concatenate([[0], np.cumsum(size)]), used, now
+        self.n_bytes = sum(map(len, self.known))
+
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts back to back, and the number of each part's."""
+        size = np.empty(len(parts), dtype=np.int64)
+        plain = [i for i, w in enumerate(parts) if LETTERS.fullmatch(w)]
+        blocks = [plain[first : first + 512] for first in range(0, len(plain), 512)]
+        alone = []
+        found: list[tuple[list[int], np.ndarray]] = []
+        for block, e in zip(blocks, self.model.encode_batch_fast([" ".join([parts[i] for i in b]) for b in blocks], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(block):
+                size[block] = np.diff(ends, prepend=0)
+                found.append((block, ids))
+            else:  # not one closing token a part: take them singly
+                alone += block
+        plain_ = set(plain)
+        alone += [i for i in range(len(parts)) if i not in plain_]
+        if alone:
+            each = [e.ids for e in self.model.encode_batch_fast([parts[i] for i in alone], add_special_tokens=False)]
+            size[alone] = [len(x) for x in each]
+            found.append((alone, np.fromiter((i for x in each for i in x), dtype=np.uint32)))
+        begin = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), dtype=np.uint32)
+        for block, ids in found:
+            out[ragged(begin[block], size[block])] = ids
+        return out, size
+
+    def _numbers(self, parts: list[str]) -> np.ndarray:
+        """The number of each part, learning those that are new."""
+        if len(self.known) > REMEMBERED or self.n_bytes > REMEMBERED_BYTES:
+            self._keep_recent()
+        self.now += 1
+        number = np.fromiter(map(self.known.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            words = list(dict.fromkeys([parts[i] for i in new.tolist()]))
+            ids, size = self._encode_parts(words)
+            first = len(self.known)
+            self.known.update(zip(words, range(first, first + len(words))))
+            number[new] = [self.known[parts[i]] for i in new.tolist()]
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
+            self.ids = np.concatenate([self.ids, ids])
+            self.used = np.concatenate([self.used, np.zeros(len(words), dtype=np.int64)])
+            self.n_bytes += sum(map(len, words))
+        self.used[number] = self.now
+        return number
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the UTF-8 texts ``buf[off[i]:off[i + 1]]``, and the offset of each text's."""
         texts = PLAIN[buf]
-        stop = np.flatnonzero((buf == 0x2C) | (buf == 0x2E))
-        stop = stop[stop > 1]
-        one, two = texts[stop - 1], texts[stop - 2]
-        stop = stop[((one >= 0x61) & (one <= 0x7A)) | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))]
-        texts = np.insert(texts, stop, 0x20)
-        off = off + np.searchsorted(stop, off)
-        parts = pc.split_pattern(pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(texts)), " ")
-        bounds = parts.offsets.to_numpy()
-        words = parts.flatten().dictionary_encode()
-        code = words.indices.to_numpy()
-        names = words.dictionary.to_pylist()
-        each = self._ids(names)
-        size = np.array([len(x) for x in each], dtype=np.int32) // 4
-        flat = np.frombuffer(b"".join(each), dtype=np.uint32)
-        begin = (np.cumsum(size) - size).astype(np.int32)
-        n = size[code]
+        if not len(texts):
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(off), dtype=np.int64)
+        solid = texts != 0x20
+        head = np.zeros(len(texts), dtype=bool)
+        head[1:] = solid[1:] & ~solid[:-1]
+        letter = LETTER[texts]
+        # letters of Latin-1 in two bytes, the signs for times and division left out
+        two = np.zeros(len(texts), dtype=bool)
+        two[1:] = (texts[:-1] == 0xC3) & (texts[1:] >= 0x80) & (texts[1:] != 0x97) & (texts[1:] != 0xB7)
+        head[1:] |= SIGN[texts[1:]] & (letter | two)[:-1]
+        head[off[:-1][off[:-1] < len(texts)]] = True
+        start = np.flatnonzero(head)
+        del solid, head, letter, two
+        parts = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(texts)).astype(np.int32)), pa.py_buffer(texts)).dictionary_encode()
+        number = self._numbers([w.rstrip(" ") for w in parts.dictionary.to_numpy(zero_copy_only=False)])
+        number = number[parts.indices.to_numpy()]
+        n = (self.begin[number + 1] - self.begin[number]).astype(np.int32)
         after = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-        take = np.repeat(begin[code] - after[:-1].astype(np.int32), n)
+        take = np.repeat((self.begin[number] - after[:-1]).astype(np.int32), n)
         take += np.arange(after[-1], dtype=np.int32)
-        return flat[take], after[bounds - bounds[0]]
+        return self.ids[take], after[np.searchsorted(start, off)]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """The Python worker's own encoder: what it remembers serves its later tasks too."""
+    return WordEncoder(path)
 
 
 def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -111,7 +162,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     more than ``capacity`` ids are cut. A null or empty text is the closing id alone; a null doc_id stays null."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for s in slices(batches, target=2 << 20):
             ids, off = encoder.encode(s.buf, s.off)
             n = np.diff(off) + 1

@@ -19,10 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import LOWER, U64, WORDLIKE, PrefixHash, Slice, mix, slices, word_bounds
+from .bytetext import LOWER, U64, WORDLIKE, PrefixHash, Slice, mix, ragged, slices, word_bounds
 from .chunks import pack_bytes, rows_with, unpack_bytes, with_columns
 from .scratch import cut
-from .suffix import ragged
 
 INDEX = "shard long, words binary, terms binary, counts binary, positions binary, rows binary"
 RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]

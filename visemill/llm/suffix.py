@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import U64, PrefixHash, Slice, give_back, mix
+from .bytetext import U64, PrefixHash, Slice, give_back, mix, ragged
 from .chunks import chunk_documents, each_chunk, key_bits, occurring_elsewhere, pack_bytes, pack_keys, rows_with, shared_flags, split_by_part, unpack_bytes, unpack_keys, with_columns
 
 ANCHOR = 16
@@ -145,11 +145,6 @@ def anchors(s: Slice, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return key[anchor[first]], anchor[first], first, np.flatnonzero(tail)
 
 
-def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0]+1, ... size[0] of them, then those of the next."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-
 def union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Intervals as maximal disjoint ones."""
     if not len(start):
