@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import visemill.llm.packing as m
-from visemill.llm.packing import cut_into_pieces, pack, pack_counts
+from visemill.llm.packing import cut_into_pieces, dominating_sets, pack, pack_counts
 from visemill.llm.queries import op1_best_fit_packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -143,3 +143,20 @@ def test_plan_is_valid_and_near_the_optimum(seed):
 def test_reduction_fixes_perfect_pairs_at_once():
     plan = pack_counts({1500: 10**12, 548: 10**12, 2048: 5}, 2048)
     assert plan.n_sequences == plan.fixed == 10**12 + 5
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_reduction_keeps_the_optimum(seed):
+    r = random.Random(seed)
+    capacity = r.choice([10, 17, 30])
+    items = sorted((r.randint(1, capacity) for _ in range(r.randint(1, 9))), reverse=True)
+    rest = {k: items.count(k) for k in set(items)}
+    fixed = sum(n for _, _, n in dominating_sets(rest, capacity))
+    assert least_bins(items, capacity) == fixed + least_bins([k for k, n in sorted(rest.items(), reverse=True) for _ in range(n)], capacity)
+
+
+def test_reduction_goes_on_past_a_length_without_a_dominating_set():
+    # beside 1700 three short pieces fit, so nothing is fixed there; 1048 and 1000 fill a sequence
+    rest = {1700: 5, 1048: 3, 1000: 3, 100: 50}
+    assert list(dominating_sets(rest, 2048)) == [(1048, 1000, 3)]
+    assert rest == {1700: 5, 100: 50}

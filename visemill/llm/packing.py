@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -210,63 +211,91 @@ class Plan:
     fixed: int = 0  # sequences that the reduction fixed
 
 
+def dominating_sets(counts: dict[int, int], capacity: int) -> Iterator[tuple[int, int | None, int]]:
+    """Martello-Toth reduction: (longest piece j, its partner or None, number of such sequences) of sets that dominate
+    every other set with j. ``counts`` is left with the rest.
+
+    With the room r that j leaves: if nothing fits into r, j is alone in some best packing; if a piece of exactly r
+    exists, or no two pieces fit together into r, or at most two do and no fitting pair weighs more than the longest
+    fitting piece, then j with that longest piece dominates all other sets that hold j, whatever they hold. Lengths are
+    tried from long to short, those without a dominating set passed over, and again until nothing changes.
+    """
+    lengths = sorted(counts)
+    changed = True
+    while changed:
+        changed = False
+        for j in reversed(lengths.copy()):
+            while j in counts:
+                best, n = _dominating(j, lengths, counts, capacity)
+                if not n:
+                    break
+                for k, less in ((j, n), (best, n)):
+                    if k is not None:
+                        counts[k] -= less
+                        if not counts[k]:
+                            del counts[k]
+                            del lengths[bisect_left(lengths, k)]
+                changed = True
+                yield j, best, n
+
+
+def _dominating(j: int, lengths: list[int], counts: dict[int, int], capacity: int) -> tuple[int | None, int]:
+    """The partner with which j dominates, or None, and how often that set can be taken (0: no set dominates)."""
+    room = capacity - j
+    alone = counts[j] == 1  # then j is no partner of itself
+    top = bisect_right(lengths, room)
+    if top and alone and lengths[top - 1] == j:
+        top -= 1
+    low = [k for k in lengths[: min(3, top)] if not (alone and k == j)]
+    if not top or not low:
+        return None, counts[j]
+    best = lengths[top - 1]
+    if best != room:
+        smallest = low[0]
+        two = 2 * smallest if counts[smallest] - (smallest == j) >= 2 else smallest + low[1] if len(low) > 1 else room + 1
+        if two <= room and (3 * smallest <= room or _heaviest_pair(lengths[:top], counts, room, j) > best):
+            return None, 0  # other sets may hold j to better effect
+    return best, counts[j] // 2 if best == j else min(counts[j], counts[best])
+
+
 def pack_counts(counts: dict[int, int], capacity: int) -> Plan:
     """Pack ``counts[length]`` pieces of each length. Bounded by the number of lengths, not of pieces.
 
-    Reduction (longest piece j first, with the room r that it leaves):
-    a piece with which nothing fits is alone in some best packing; if a piece of exactly r exists, or no two other
-    pieces fit together into r, or at most two do and no fitting pair weighs more than the longest fitting piece, then j
-    with that longest piece dominates every other set that holds j. Such sets are fixed, all copies at once. What is
-    left is packed best-fit, longest first.
+    Sets that dominate are fixed first, all their copies at once. What is left is packed best-fit, longest first, the
+    fixed sequences' room included.
     """
     left = {k: v for k, v in counts.items() if v > 0}
     plan = Plan([], [], [], [], [])
     used: dict[int, int] = dict.fromkeys(left, 0)
 
-    def place(length: int, count: int, sequence: int, per: int, offset: int) -> None:
+    def note(length: int, count: int, sequence: int, per: int, offset: int) -> None:
         plan.length.append(length)
         plan.rank.append(used[length])
         plan.sequence.append(sequence)
         plan.per.append(per)
         plan.offset.append(offset)
         used[length] += count
+
+    def place(length: int, count: int, sequence: int, per: int, offset: int) -> None:
+        note(length, count, sequence, per, offset)
         left[length] -= count
         if not left[length]:
             del left[length]
 
     free: dict[int, list[Run]] = {}
-    while left:  # dominance reduction
-        j = max(left)
-        room = capacity - j
-        fits = sorted(k for k in left if k <= room)
-        if left.get(j, 0) == 1 and j in fits:
-            fits.remove(j)
-        if not fits:
-            n = left[j]
-            place(j, n, plan.n_sequences, 1, 0)
-            if room:
-                free.setdefault(room, []).append(Run(plan.n_sequences, n, room))
-            plan.n_sequences += n
-            plan.fixed += n
-            continue
-        best = fits[-1]
-        if best != room:
-            smallest = fits[0]
-            two = 2 * smallest if left[smallest] - (smallest == j) >= 2 else smallest + fits[1] if len(fits) > 1 else room + 1
-            if two <= room and (3 * smallest <= room or _heaviest_pair(fits, left, room, j) > best):
-                break  # other sets may hold j to better effect
-        n = left[j] // 2 if best == j else min(left[j], left[best])
-        first = plan.n_sequences
+    for j, best, n in dominating_sets(left, capacity):
         if best == j:
-            place(j, 2 * n, first, 2, 0)
+            note(j, 2 * n, plan.n_sequences, 2, 0)
         else:
-            place(j, n, first, 1, 0)
-            place(best, n, first, 1, j)
-        if capacity - j - best:
-            free.setdefault(capacity - j - best, []).append(Run(first, n, capacity - j - best))
+            note(j, n, plan.n_sequences, 1, 0)
+            if best is not None:
+                note(best, n, plan.n_sequences, 1, j)
+        room = capacity - j - (best or 0)
+        if room:
+            free.setdefault(room, []).append(Run(plan.n_sequences, n, room))
         plan.n_sequences += n
-        plan.fixed += n
-    for length in sorted(left, reverse=True):  # best fit, the fixed sequences' room included
+    plan.fixed = plan.n_sequences
+    for length in sorted(left, reverse=True):
         while length in left:
             n = left[length]
             room = min((r for r in free if r >= length), default=None)
