@@ -5,7 +5,10 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from visemill.operators.metrics import char_distance
+from visemill.operators.metrics import edits as edits_of
 from visemill.plans import queries
 
 
@@ -37,13 +40,20 @@ def test_char_distance():
         assert char_distance(a, b) == edits(a, b) and char_distance(a, heard(a)) == edits(a, heard(a))
 
 
+def test_edits_of_short_and_long_columns(spark):
+    rows = [("", "a"), ("abc", "abc"), ("é" * 30, "e" * 28), ("th on " * 200, "t onn " * 200), (None, "a"), ("x", None)]
+    got = spark.createDataFrame(rows, "r string, h string").select(edits_of(F.col("r"), F.col("h"))).collect()
+    assert [g[0] for g in got] == [None if a is None or b is None else edits(a, b) for a, b in rows]
+
+
 @pytest.fixture(scope="module")
 def texts(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("texts")
-    # nothing to hear wrongly, or to tell apart, in the first 200 characters
+    # nothing to hear wrongly, or to tell apart, in the first 200 characters; an utterance is a piece of 100
     docs = [(i, "m" * 210 + " " + "the stone, a month " * (3 + i) + "é", f"s{i % 2}", "en" if i < 3 else "de", 0) for i in range(5)]
     spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{folder}/documents.parquet")
-    return folder, [(i, s, a, t.replace("é", "")) for i, t, s, a, _ in docs]
+    plain = [(i, s, a, t.replace("é", "")) for i, t, s, a, _ in docs]
+    return folder, [(i, s, a, t[k : k + 100], k // 100) for i, s, a, t in plain for k in range(0, len(t), 100)]
 
 
 def rate(pairs):
@@ -53,14 +63,14 @@ def rate(pairs):
 def test_error_rates_take_whole_texts(spark, texts):
     folder, docs = texts
     by = defaultdict(list)
-    for _, _, angle, t in docs:
+    for _, _, angle, t, _ in docs:
         by[angle].append((t, heard(t)))
     assert {r["angle"]: (r["n"], r["cer"]) for r in rows_of(spark, "a5_cer", folder)} == {k: (len(v), rate(v)) for k, v in by.items()}
     words = {k: round(sum(edits(a.split(), b.split()) for a, b in v) / sum(len(a.split()) for a, _ in v), 6) for k, v in by.items()}
     assert {r["angle"]: r["wer"] for r in rows_of(spark, "a6_wer", folder)} == words
     everything = [p for v in by.values() for p in v]
     top = next(r for r in rows_of(spark, "a8_cer_cube", folder) if r["level"] == 3)
-    assert (top["n"], top["cer_hyp"], top["cer_att"]) == (5, rate(everything), rate([(t, t.replace("a", "aa")) for t, _ in everything]))
+    assert (top["n"], top["cer_hyp"], top["cer_att"]) == (len(docs), rate(everything), rate([(t, t.replace("a", "aa")) for t, _ in everything]))
     epoch, = rows_of(spark, "a12_training_progress", folder)
     assert (epoch["av"], epoch["audio"]) == (rate(everything), rate([(t, t.replace("a", "")) for t, _ in everything]))
 
@@ -71,11 +81,11 @@ def test_modes_take_whole_texts(spark, texts):
     def said(i, t, snr, mode):
         return heard(t) if (i + snr + len(mode)) % 3 == 0 else t.replace("e", "") if mode == "video" else t
 
-    want = {snr: tuple(rate([(t, said(i, t, snr, mode)) for i, _, _, t in docs]) for mode in ("av", "audio", "video")) for snr in (20, 10, 5, 0)}
+    want = {snr: tuple(rate([(t, said(i, t, snr, mode)) for i, _, _, t, _ in docs]) for mode in ("av", "audio", "video")) for snr in (20, 10, 5, 0)}
     assert {r["snr"]: (r["av"], r["audio"], r["video"]) for r in rows_of(spark, "a7_modes_by_snr", folder)} == want
-    assert {r["utt_id"]: (r["audio"], r["av"], r["video"]) for r in rows_of(spark, "j17_across_runs", folder)} == {i: tuple(said(i, t, 10, m) for m in ("audio", "av", "video")) for i, _, _, t in docs}
+    assert {(r["utt_id"], r["piece"]): (r["audio"], r["av"], r["video"]) for r in rows_of(spark, "j17_across_runs", folder)} == {(i, k): tuple(said(i, t, 10, m) for m in ("audio", "av", "video")) for i, _, _, t, k in docs}
     # e left out costs less than the errors heard, so the highest level with av errors above video's decides
-    pairs = [(bare(t), bare(said(i, t, snr, "video"))) for i, _, _, t in docs for snr in want]
+    pairs = [(bare(t), bare(said(i, t, snr, "video"))) for i, _, _, t, _ in docs for snr in want]
     video, chars = sum(edits(a, b) for a, b in pairs), sum(len(a) for a, _ in pairs)
     worse = [snr for snr, (av, _, _) in want.items() if av > video / chars]
     found, = rows_of(spark, "a11_threshold", folder)
@@ -85,9 +95,9 @@ def test_modes_take_whole_texts(spark, texts):
 def test_worst_takes_whole_texts(spark, texts):
     folder, docs = texts
     want = {}
-    for speaker in {s for _, s, _, _ in docs}:
-        want[speaker] = max((edits(t, heard(t)), -i) for i, s, _, t in docs if s == speaker)[1] * -1
-    assert {r["speaker"]: r["worst"] for r in rows_of(spark, "t3_worst_and_typical", folder)} == want
+    for speaker in {s for _, s, *_ in docs}:
+        want[speaker] = min((-edits(t, heard(t)), i, k) for i, s, _, t, k in docs if s == speaker)[1:]
+    assert {r["speaker"]: (r["worst"], r["worst_piece"]) for r in rows_of(spark, "t3_worst_and_typical", folder)} == want
 
 
 def test_halves_take_whole_sentences(spark, tmp_path):

@@ -115,6 +115,6 @@ def noise_clips(rows: DataFrame, n: int, seed: int, pool_size: int = 64) -> Data
     return pairs.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n).select("id", "pos", "clip")
 
 
-def across_runs(runs: DataFrame, key: str, run: str, value: str, names: list[str]) -> DataFrame:
+def across_runs(runs: DataFrame, key: list[str], run: str, value: str, names: list[str]) -> DataFrame:
     """One row for each key, a column for each run."""
-    return runs.groupBy(key).pivot(run, names).agg(F.first(value))
+    return runs.groupBy(*key).pivot(run, names).agg(F.first(value))

@@ -61,12 +61,13 @@ FROM events)"""
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS utt_id", "source AS speaker", "lang AS angle", "regexp_replace(text, '[^ -~]+', '') AS ref")
+    """Utterances: successive pieces of up to 100 characters of each whole text, and what was heard."""
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS utt_id", "source AS speaker", "lang AS angle", "posexplode(regexp_extract_all(regexp_replace(text, '[^ -~]+', ''), '.{1,100}', 0)) AS (piece, ref)")
     return rows.withColumn("hyp", F.expr("replace(replace(ref, 'th', 't'), 'on', 'onn')"))
 
 
-REFS = """refs AS (SELECT doc_id AS utt_id, source AS speaker, lang AS angle, ref, replace(replace(ref, 'th', 't'), 'on', 'onn') AS hyp
-FROM (SELECT doc_id, source, lang, substr(regexp_replace(text, '[^ -~]+', '', 'g'), 1, 200) AS ref FROM documents) q)"""
+REFS = """refs AS (SELECT doc_id AS utt_id, source AS speaker, lang AS angle, (piece - 1)::INT AS piece, ref, replace(replace(ref, 'th', 't'), 'on', 'onn') AS hyp
+FROM (SELECT doc_id, source, lang, unnest(p) AS ref, generate_subscripts(p, 1) AS piece FROM (SELECT doc_id, source, lang, regexp_extract_all(regexp_replace(text, '[^ -~]+', '', 'g'), '.{1,100}') AS p FROM documents) t) q)"""
 
 
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment as A
 from ..operators import intervals as I
-from ..operators.metrics import char_edits
+from ..operators.metrics import edits
 from ..sources.writers import srt_cues
 from .adapters import FRAMES, REFS, SENT, UTT, frames, references, sentences, table, utterances
 from .registry import query
@@ -27,7 +27,7 @@ def frame_sentences(spark, sf_dir):
     return I.span_of_frame(sentences(spark, sf_dir), "video_stem", "sentence_id", 3.0).select("video_stem", "k", "sentence_id")
 
 
-SEGMENTS = f"{FRAMES}, seg AS (SELECT user_id AS utt_key, CAST(event_id AS BIGINT) AS seg, (event_id % 300) / 10e0 AS start_s, (event_id % 300) / 10e0 + (event_id % 7) / 5e0 AS end_s FROM events WHERE event_id % 9 = 0)"
+SEGMENTS = f"{FRAMES}, seg AS (SELECT user_id AS utt_key, CAST(event_id AS BIGINT) AS seg, (event_id % 300) / 10e0 AS start_s, (event_id % 300) / 10e0 + (event_id % 7) / 5e0 AS end_s FROM events)"
 
 
 def segments(spark, sf_dir):
@@ -42,7 +42,7 @@ def visual_ratio(spark, sf_dir):
 
 
 @query("j10_halves", f"""WITH {SENT}, a AS (SELECT video_stem, CASE WHEN (start_s + end_s) / 2 < 20 THEN 'clean' ELSE 'noisy' END AS half, string_agg(regexp_replace(text, '[^ -~]+', '', 'g'), ' ' ORDER BY start_s) AS ref, string_agg(replace(regexp_replace(text, '[^ -~]+', '', 'g'), 'th', 't'), ' ' ORDER BY start_s) AS hyp, array_to_string(list_sort(list_distinct(list(topic))), ',') AS modes FROM sent GROUP BY 1, 2)
- SELECT half, count(*) AS n, round(CAST(sum(levenshtein(replace(substr(ref, 1, 300), ' ', ''), replace(substr(hyp, 1, 300), ' ', ''))) AS DOUBLE) / sum(length(replace(substr(ref, 1, 300), ' ', ''))), 6) AS cer, max(modes) AS modes FROM a GROUP BY 1""")
+ SELECT half, count(*) AS n, round(CAST(sum(levenshtein(replace(ref, ' ', ''), replace(hyp, ' ', ''))) AS DOUBLE) / sum(length(replace(ref, ' ', ''))), 6) AS cer, max(modes) AS modes FROM a GROUP BY 1""")
 def halves(spark, sf_dir):
     from ..operators.metrics import cer
 
@@ -54,12 +54,12 @@ def halves(spark, sf_dir):
     return rows.groupBy("half").agg(F.count("*").alias("n"), F.round(cer(F.col("ref"), F.col("hyp")), 6).alias("cer"), F.max("modes").alias("modes"))
 
 
-@query("j6_label_times", f"""WITH {UTT}, s AS (SELECT video_stem, sentence_id, start_s + 0.15e0 AS label_start, end_s - 0.1e0 AS label_end FROM utt WHERE sentence_id <= 5), r AS (SELECT video_stem, sentence_id, 0.25e0 AS first_s, duration - 0.3e0 AS last_s FROM utt WHERE has_unk = false)
+@query("j6_label_times", f"""WITH {UTT}, s AS (SELECT video_stem, sentence_id, start_s + 0.15e0 AS label_start, end_s - 0.1e0 AS label_end FROM utt), r AS (SELECT video_stem, sentence_id, 0.25e0 AS first_s, duration - 0.3e0 AS last_s FROM utt WHERE has_unk = false)
  SELECT u.video_stem, u.sentence_id, round(label_start + time_shift - start_s, 6) AS pad_left, round(end_s - (label_end + time_shift), 6) AS pad_right, round(first_s - (label_start + time_shift - start_s), 6) AS onset_delta, round(duration - (end_s - (label_end + time_shift)) - last_s, 6) AS offset_delta FROM utt u JOIN r USING (video_stem, sentence_id) JOIN s USING (video_stem, sentence_id)""")
 def label_times(spark, sf_dir):
     u = utterances(spark, sf_dir)
     records = u.filter("not has_unk").selectExpr("video_stem", "sentence_id", "0.25e0 AS first_s", "duration - 0.3e0 AS last_s")
-    label = u.filter("sentence_id <= 5").selectExpr("video_stem", "sentence_id", "start_s + 0.15e0 AS start_s", "end_s - 0.1e0 AS end_s")
+    label = u.selectExpr("video_stem", "sentence_id", "start_s + 0.15e0 AS start_s", "end_s - 0.1e0 AS end_s")
     return A.label_times(records, u, label).select("video_stem", "sentence_id", R("pad_left"), R("pad_right"), R("onset_delta"), R("offset_delta"))
 
 
@@ -188,7 +188,7 @@ def coverage(spark, sf_dir):
     return A.label_coverage(labels.filter("token is not null"), lengths, "utt_id")
 
 
-@query("a22_profile", f"""WITH {FRAMES}, e AS (SELECT user_id AS utt_key, CAST(event_id % 40 AS BIGINT) AS k0, event_id % 2 = 0 AS bilabial FROM events WHERE event_id % 3 = 0), s AS (SELECT e.*, o, k0 + o AS k FROM e, (SELECT unnest(range(-3, 4)) AS o)) SELECT bilabial, o::INT AS "offset", count(*) AS n, round(avg(x), 6) AS mean FROM s JOIN frames f ON f.utt_key = s.utt_key AND f.k = s.k GROUP BY 1, 2""")
+@query("a22_profile", f"""WITH {FRAMES}, e AS (SELECT user_id AS utt_key, CAST(event_id % 40 AS BIGINT) AS k0, event_id % 2 = 0 AS bilabial FROM events), s AS (SELECT e.*, o, k0 + o AS k FROM e, (SELECT unnest(range(-3, 4)) AS o)) SELECT bilabial, o::INT AS "offset", count(*) AS n, round(avg(x), 6) AS mean FROM s JOIN frames f ON f.utt_key = s.utt_key AND f.k = s.k GROUP BY 1, 2""")
 def profiles(spark, sf_dir):
     events = table(spark, sf_dir, "events").selectExpr("user_id AS utt_key", "event_id % 40 AS k0", "event_id % 2 = 0 AS bilabial")
     return A.profile(events, frames(spark, sf_dir).withColumnRenamed("x", "z"), "utt_key", 3, "bilabial").select("bilabial", "offset", "n", R("mean"))
@@ -208,7 +208,7 @@ def shift_curve(spark, sf_dir):
     return A.best_shift(A.shift_curve(shifted(spark, sf_dir), ["split"]), ["split"]).select("split", R("peak", 5), R("best_shift", 4))
 
 
-@query("a28_subgroups", f"WITH {SHIFT} SELECT split, shift, round(d, 5) AS d FROM d WHERE split < 2")
+@query("a28_subgroups", f"WITH {SHIFT} SELECT split, shift, round(d, 5) AS d FROM d")
 def subgroups(spark, sf_dir):
     return A.shift_curve(shifted(spark, sf_dir), ["split"]).select("split", "shift", R("d", 5))
 
@@ -282,8 +282,10 @@ def video_summary(spark, sf_dir):
     return sentences(spark, sf_dir).groupBy("video_stem").agg(F.count("*").alias("n"), F.count_if(F.col("topic") == "user").alias("n_user"), F.count_if(F.col("topic") == "assistant").alias("n_assistant"), F.count_if(F.trim("text") != "").alias("with_text"), F.round(F.sum(F.col("end_s") - F.col("start_s")), 4).alias("seconds"))
 
 
-@query("t3_worst_and_typical", f"""WITH {REFS}, e AS (SELECT speaker, utt_id, levenshtein(ref, hyp) AS edits FROM refs), m AS (SELECT speaker, quantile_cont(edits, 0.5) AS m FROM e GROUP BY 1), r AS (SELECT e.speaker, utt_id, edits, row_number() OVER (PARTITION BY e.speaker ORDER BY edits DESC, utt_id) AS a, row_number() OVER (PARTITION BY e.speaker ORDER BY abs(edits - m), utt_id) AS b FROM e JOIN m USING (speaker)) SELECT speaker, max(CASE WHEN a = 1 THEN utt_id END) AS worst, max(CASE WHEN b = 1 THEN utt_id END) AS typical FROM r GROUP BY 1""")
+@query("t3_worst_and_typical", f"""WITH {REFS}, e AS (SELECT speaker, utt_id, piece, levenshtein(ref, hyp) AS edits FROM refs), m AS (SELECT speaker, quantile_cont(edits, 0.5) AS m FROM e GROUP BY 1), r AS (SELECT e.speaker, utt_id, piece, row_number() OVER (PARTITION BY e.speaker ORDER BY edits DESC, utt_id, piece) AS a, row_number() OVER (PARTITION BY e.speaker ORDER BY abs(edits - m), utt_id, piece) AS b FROM e JOIN m USING (speaker)) SELECT speaker, max(CASE WHEN a = 1 THEN utt_id END) AS worst, max(CASE WHEN a = 1 THEN piece END) AS worst_piece, max(CASE WHEN b = 1 THEN utt_id END) AS typical, max(CASE WHEN b = 1 THEN piece END) AS typical_piece FROM r GROUP BY 1""")
 def worst(spark, sf_dir):
-    e = references(spark, sf_dir).select("speaker", "utt_id", char_edits("ref", "hyp").alias("edits"))
+    e = references(spark, sf_dir).select("speaker", "utt_id", "piece", edits(F.col("ref"), F.col("hyp")).alias("edits"))
     m = e.groupBy("speaker").agg(F.median("edits").alias("m"))
-    return e.join(F.broadcast(m), "speaker").groupBy("speaker").agg(F.min_by("utt_id", F.struct(-F.col("edits"), "utt_id")).alias("worst"), F.min_by("utt_id", F.struct(F.abs(F.col("edits") - F.col("m")), "utt_id")).alias("typical"))
+    of = F.struct("utt_id", "piece")
+    out = e.join(m, "speaker").groupBy("speaker").agg(F.min_by(of, F.struct(-F.col("edits"), "utt_id", "piece")).alias("w"), F.min_by(of, F.struct(F.abs(F.col("edits") - F.col("m")), "utt_id", "piece")).alias("t"))
+    return out.select("speaker", F.col("w.utt_id").alias("worst"), F.col("w.piece").alias("worst_piece"), F.col("t.utt_id").alias("typical"), F.col("t.piece").alias("typical_piece"))

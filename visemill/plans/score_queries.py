@@ -86,7 +86,7 @@ def wer(spark, sf_dir):
     return references(spark, sf_dir).groupBy("angle").agg(F.count("*").alias("n"), F.round(M.wer(F.col("ref"), F.col("hyp")), 6).alias("wer"))
 
 
-MODES = f"""{REFS}, modes AS (SELECT utt_id, ref, snr, mode, CASE WHEN (utt_id + snr + length(mode)) % 3 = 0 THEN hyp WHEN mode = 'video' THEN replace(ref, 'e', '') ELSE ref END AS hyp
+MODES = f"""{REFS}, modes AS (SELECT utt_id, piece, ref, snr, mode, CASE WHEN (utt_id + snr + length(mode)) % 3 = 0 THEN hyp WHEN mode = 'video' THEN replace(ref, 'e', '') ELSE ref END AS hyp
  FROM refs, (SELECT unnest([20, 10, 5, 0]) AS snr), (SELECT unnest(['av', 'audio', 'video']) AS mode)), scored AS (SELECT mode, snr, count(*) AS n, {CER.format(h='hyp')} AS cer FROM modes GROUP BY 1, 2)"""
 
 
@@ -240,9 +240,9 @@ def noise_clips(spark, sf_dir):
     return P.noise_clips(rows, 3, 9).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("j17_across_runs", f"WITH {MODES} SELECT utt_id, max(hyp) FILTER (mode = 'audio') AS audio, max(hyp) FILTER (mode = 'av') AS av, max(hyp) FILTER (mode = 'video') AS video FROM modes WHERE snr = 10 GROUP BY 1")
+@query("j17_across_runs", f"WITH {MODES} SELECT utt_id, piece, max(hyp) FILTER (mode = 'audio') AS audio, max(hyp) FILTER (mode = 'av') AS av, max(hyp) FILTER (mode = 'video') AS video FROM modes WHERE snr = 10 GROUP BY 1, 2")
 def across_runs(spark, sf_dir):
-    return P.across_runs(modes(spark, sf_dir).filter("snr = 10"), "utt_id", "mode", "hyp", ["audio", "av", "video"])
+    return P.across_runs(modes(spark, sf_dir).filter("snr = 10"), ["utt_id", "piece"], "mode", "hyp", ["audio", "av", "video"])
 
 
 SCORES = f"""{EMB}, cand AS (SELECT a.id AS query, a.speaker, d, (a.id + d * 13) % (SELECT count(*) FROM emb) AS other FROM emb a, (SELECT unnest([0, 1, 2, 3]) AS d)),

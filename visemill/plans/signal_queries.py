@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ def draws(spark, sf_dir):
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.max(F.col("m.start") + F.col("m.length") - F.col("n_chars")).alias("furthest_over"), F.sum("m.length").alias("masked"))
 
 
-@query("v11_lip_events", f"""WITH {FRAMES}, e AS (SELECT user_id AS utt_key, event_id AS event, CAST(event_id % 50 AS BIGINT) AS k0 FROM events WHERE event_id % 20 = 0), s AS (SELECT e.utt_key, event, f.k - k0 AS o, x AS v FROM e JOIN frames f ON f.utt_key = e.utt_key AND f.k BETWEEN k0 - 4 AND k0 + 2 + 3),
+@query("v11_lip_events", f"""WITH {FRAMES}, e AS (SELECT user_id AS utt_key, event_id AS event, CAST(event_id % 50 AS BIGINT) AS k0 FROM events), s AS (SELECT e.utt_key, event, f.k - k0 AS o, x AS v FROM e JOIN frames f ON f.utt_key = e.utt_key AND f.k BETWEEN k0 - 4 AND k0 + 2 + 3),
   r AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY v, o) AS n, min(o) OVER (PARTITION BY event) AS a, max(o) OVER (PARTITION BY event) AS b FROM s WHERE o <= 2), m AS (SELECT utt_key, event, o AS lo, o = a OR o = b AS edge FROM r WHERE n = 1),
   d AS (SELECT s.event, s.o, s.v - lag(s.v) OVER (PARTITION BY s.event ORDER BY s.o) AS rise FROM s JOIN m ON m.event = s.event AND s.o BETWEEN lo AND lo + 3), t AS (SELECT event, o, row_number() OVER (PARTITION BY event ORDER BY rise DESC, o) AS n FROM d WHERE rise IS NOT NULL)
  SELECT m.utt_key, m.event, lo::INT AS min_offset, edge, t.o - 0.5e0 AS release_offset FROM m LEFT JOIN t ON t.event = m.event AND t.n = 1""")
@@ -108,7 +109,7 @@ def packing(spark, sf_dir):
     return out.select("utt_key", "n", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
 
 
-LEVELS = """e AS (SELECT conv_id AS v, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS BIGINT) AS k, (unicode(string_split(text, '')[i]) % 40)::DOUBLE AS db FROM (SELECT conv_id, turn, text, unnest(range(1, least(length(text), 400) + 1)) AS i FROM conversations))"""
+LEVELS = """e AS (SELECT conv_id AS v, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS BIGINT) AS k, (unicode(c) % 40)::DOUBLE AS db FROM (SELECT conv_id, turn, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM (SELECT conv_id, turn, string_split(text, '') AS l FROM conversations WHERE text <> '')))"""
 
 
 @query("w19_label_shift", f"""WITH {LEVELS}, c AS (SELECT v, k + 1 AS k, sum(db) OVER (PARTITION BY v ORDER BY k) AS s FROM e UNION ALL SELECT DISTINCT v, 0, 0e0 FROM e),
@@ -123,10 +124,10 @@ def label_shift(spark, sf_dir):
     return G.label_shift(labels, levels).select("video_stem", F.round("gain", 5).alias("gain"), "shift")
 
 
-@query("x1_batch_scorer", "SELECT vec_id, round(list_sum(list_transform(range(1, 9), lambda i: CAST(embedding[i] AS DOUBLE))), 6) AS total FROM embeddings")
+@query("x1_batch_scorer", "SELECT vec_id, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings")
 def batch_scorer(spark, sf_dir):
     def load():
-        return lambda part: pd.DataFrame({"total": [float(pd.Series(v[:8], dtype="float64").sum()) for v in part["embedding"]]})
+        return lambda part: pd.DataFrame({"total": np.stack(part["embedding"]).astype(np.float64).sum(axis=1)})
 
     out = M.score_batches(table(spark, sf_dir, "embeddings"), load, "total double", ["vec_id"])
     return out.select("vec_id", F.round("total", 6).alias("total"))
