@@ -151,45 +151,174 @@ def test_moving_stats_and_runs_match_the_array_helpers(spark):
     df = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(x)], "u int, k int, x double")
     for width in (1, 4, 7):
         got = I.moving_stats(df, "u", "k", "x", width).orderBy("k").collect()
-        mean, dev = G.moving(x, width)
-        assert np.allclose([g.moving_mean for g in got], mean) and np.allclose([g.moving_std for g in got], dev, atol=1e-6)
+        near = [[x[min(max(k + d, 0), 39)] for d in range(-(width // 2), width - width // 2)] for k in range(40)]
+        assert np.allclose([g.moving_mean for g in got], np.mean(near, axis=1)) and np.allclose([g.moving_std for g in got], np.std(near, axis=1), atol=1e-6)
     active = x > 0
     df = spark.createDataFrame([(1, k, bool(v)) for k, v in enumerate(active)], "u int, k int, a boolean")
     got = sorted((r.start, r.stop) for r in I.active_runs(df, "u", "k", "a", least=2, hangover=1, gap=2).collect())
-    assert got == G.joined([(a, min(b + 1, 40)) for a, b in G.runs_of(active) if b - a >= 2], 2)
+    # a frame counts if its run has two or more, or if the frame before does; one frame between two such is closed
+    keep = [bool(active[k] and (active[max(k - 1, 0)] and k or active[min(k + 1, 39)] and k < 39)) for k in range(40)]
+    hung = [keep[k] or (k > 0 and keep[k - 1]) for k in range(40)]
+    whole = [hung[k] or (0 < k < 39 and hung[k - 1] and hung[k + 1]) for k in range(40)]
+    assert [any(a <= k < b for a, b in got) for k in range(40)] == whole
 
 
-def test_segments():
+def test_packing_bridges_the_shortest_pauses_first():
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        n = int(r.integers(1, 9))
+        edge = np.cumsum(r.choice([0.2, 0.5, 1.0], 2 * n))
+        start, end = edge[::2], edge[1::2]
+        groups = [[k] for k in range(n)]
+        while True:  # by the definition: again and again the shortest pause that can be bridged
+            ways = [(start[b[0]] - end[a[-1]], i) for i, (a, b) in enumerate(zip(groups, groups[1:])) if end[b[-1]] - start[a[0]] <= 3.0]
+            if not ways:
+                break
+            i = min(ways)[1]
+            groups[i] += groups.pop(i + 1)
+        assert G.pack_over_pauses(start, end, 3.0).tolist() == [g for g, members in enumerate(groups) for _ in members]
+
+
+def test_cuts_are_the_cheapest():
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        n, low = int(r.integers(5, 14)), int(r.integers(1, 4))
+        high = low + int(r.integers(0, 4))
+        price = r.random(n + 1)
+
+        def cost(cuts):
+            return sum(price[c] for c in cuts[1:-1]) + sum(0.5 + 0.05 * ((b - a) / 4.0) ** 2 for a, b in zip(cuts, cuts[1:]))
+
+        def ways(cuts):
+            if cuts[-1] == n:
+                yield cuts
+            for size in range(low, high + 1):
+                if cuts[-1] + size <= n:
+                    yield from ways([*cuts, cuts[-1] + size])
+
+        best = min((cost(c) for c in ways([0])), default=None)
+        got = G.cheapest_cuts(price, low, high, 4.0)
+        assert (got is None) == (best is None) and (got is None or cost(got.tolist()) == pytest.approx(best))
+    assert G.cut_span(0.0, 9.0, np.zeros(91), 10.0, 5.0, 8.0).tolist() == [0.0, 4.5, 9.0]  # no pieces of 5 to 8 seconds
+
+
+def test_short_spans_grow_and_pads_meet_in_the_middle(spark):
+    r = np.random.default_rng(4)
+    rows, want = [], {}
+    for u in range(20):
+        edge = np.cumsum(r.choice([0.1, 0.3, 0.9, 1.4], 14))
+        spans, total = list(zip(edge[::2].tolist(), edge[1::2].tolist())), float(edge[-1]) + 0.3
+        rows += [(u, a, b, total) for a, b in spans]
+        grown = []
+        for k, (a, b) in enumerate(spans):
+            left_room, right_room = a - (grown[-1][1] if grown else 0.0), (spans[k + 1][0] if k < 6 else total) - b
+            need = max(0.0, 1.0 - (b - a))
+            right = min(need - min(need / 2, left_room), right_room)
+            grown.append((a - min(need - right, left_room), b + right))
+        want[u] = grown
+    df = spark.createDataFrame(rows, "u int, start double, end double, total double")
+    got = {}
+    for x in G.grow_short(df, "u", 1.0).orderBy("u", "start").collect():
+        got.setdefault(x.u, []).append((x.start, x.end))
+    assert all(np.allclose(got[u], want[u]) for u in want)
+    padded = G.pad_to_middle(df, "u", 0.2).orderBy("u", "start").collect()
+    for (u, a, b, total), x in zip(sorted(rows), padded):
+        assert x.start <= a and x.end >= b and 0 <= x.start and x.end <= total and a - x.start <= 0.2 + 1e-9 and x.end - b <= 0.2 + 1e-9
+    assert all(x.u != y.u or x.end <= y.start + 1e-9 for x, y in zip(padded, padded[1:]))
+
+
+RATE = 16000
+
+
+def heard(spark, wave, **limits):
+    db = S.frame_energy_db(wave, RATE)
+    levels = spark.createDataFrame([("w", k, float(v)) for k, v in enumerate(db)], "u string, k int, db double")
+    totals = spark.createDataFrame([("w", len(wave) / RATE)], "u string, total double")
+    return [(x.start, x.end) for x in G.energy_segments(levels, "u", totals, **limits).orderBy("n").collect()]
+
+
+def test_energy_segments(spark):
+    r = np.random.default_rng(0)
+
+    def noise(s):
+        return r.normal(size=int(s * RATE)) * 1e-3
+
+    def tone(s):
+        return 0.3 * np.sin(2 * np.pi * 200 * np.arange(int(s * RATE)) / RATE)
+
+    (a, b), = heard(spark, np.concatenate([noise(2), tone(3) + noise(3), noise(2)]))
+    assert a == pytest.approx(1.8, abs=0.1) and b == pytest.approx(5.5, abs=0.1)  # onset less padding; offset, hangover, padding
+    pieces = heard(spark, np.concatenate([noise(1), tone(20) + noise(20), noise(1)]))
+    assert len(pieces) == 3 and min(b - a for a, b in pieces) > 6 and max(b - a for a, b in pieces) <= 8 + 1e-6
+    assert heard(spark, np.zeros(3 * RATE)) == [(0.0, 3.0)]
+    long = heard(spark, np.zeros(20 * RATE))
+    assert long[0][0] == 0 and long[-1][1] == pytest.approx(20) and min(b - a for a, b in long) > 4
+    short, = heard(spark, tone(0.3))
+    assert short == (0.0, pytest.approx(0.3))
+    click = np.concatenate([noise(2), tone(3) + noise(3), noise(3)])
+    click[int(6.5 * RATE) : int(6.55 * RATE)] += 0.5
+    assert len(heard(spark, click)) == 1
+    two = np.concatenate([noise(1), tone(6) + noise(6), noise(0.15), tone(2) + noise(2), noise(0.15), tone(4) + noise(4), noise(1)])
+    _, (cut, _) = heard(spark, two)
+    assert 7.0 <= cut <= 7.2 or 9.15 <= cut <= 9.35  # in one of the two pauses
+
+
+def test_visual_segments(spark):
     r = np.random.default_rng(1)
-    active = np.zeros(3000, bool)
-    for a, b in [(100, 250), (270, 400), (900, 1900), (2500, 2502)]:
-        active[a:b] = True
-    spans = G.activity_segments(active, active + 0.1 * r.random(3000), 100.0, 30.0)
-    assert all(b - a <= 8.0 + 1e-9 for a, b in spans) and all(x[1] <= y[0] + 1e-9 for x, y in zip(spans, spans[1:]))
-    covered = np.zeros(3000, bool)
-    for a, b in spans:
-        covered[int(a * 100) : int(b * 100) + 1] = True
-    assert covered[100:400].all() and covered[900:1900].all() and not covered[2450:2480].any()
-    assert G.activity_segments(np.zeros(100, bool), np.zeros(100), 100.0, 1.0) == [(0.0, 1.0)]
-    wave = np.concatenate([r.normal(size=16000) * 1e-3, r.normal(size=32000) * 0.2, r.normal(size=16000) * 1e-3])
-    assert any(a <= 1.05 and b >= 2.95 for a, b in G.energy_segments(wave))
-
-
-def test_viterbi_finds_the_best_path():
+    t = np.arange(300) / 30
+    x = 0.02 + 0.002 * r.standard_normal(300)
+    said = (t >= 3) & (t < 7)
+    x[said] = 0.12 + 0.1 * np.sin(2 * np.pi * 4 * t[said])
+    lost = (np.arange(300) >= 140) & (np.arange(300) < 160)
+    rows = [(name, k, float(v), bool(ok)) for name, xs, oks in (("all", x, t >= 0), ("gap", np.where(lost, 0, x), ~lost), ("flat", np.full(90, 0.05), np.ones(90)), ("none", np.zeros(90), np.zeros(90))) for k, (v, ok) in enumerate(zip(xs, oks))]
+    got = {}
+    for s in G.visual_segments(spark.createDataFrame(rows, "u string, k int, x double, valid boolean"), "u").orderBy("u", "n").collect():
+        got.setdefault(s.u, []).append((s.start, s.end))
+    (a, b), = got["all"]
+    assert 2.3 <= a <= 3.0 and 7.2 <= b <= 8.0
+    assert len(got["gap"]) == 1 and got["flat"] == got["none"] == [(0.0, 3.0)]
+
+
+def test_percentiles_by_range_sort(spark):
+    r = np.random.default_rng(5)
+    rows = [(g, float(v)) for g in "abc" for v in r.normal(size=int(r.integers(1, 60)))] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {x.g: (x.p, x.q, x.n) for x in O.grouped_percentiles(df, ["g"], "x", {"p": 0.1, "q": 1.0}).collect()}
+    for g in "abc":
+        own = [v for k, v in rows if k == g and v is not None]
+        assert got[g] == (pytest.approx(np.percentile(own, 10)), max(own), len(own))
+    assert "d" not in got
+
+
+def test_best_paths():
     r = np.random.default_rng(6)
     from itertools import product
 
-    for targets in ([1, 2], [1, 1], [2]):
-        logp = np.log(r.dirichlet(np.ones(3), 5))
+    def collapse(p):
+        return [x for i, x in enumerate(p) if x and (i == 0 or p[i - 1] != x)]
 
-        def collapse(p):
-            return [x for i, x in enumerate(p) if x and (i == 0 or p[i - 1] != x)]
-
-        best = max(sum(logp[t, x] for t, x in enumerate(p)) for p in product(range(3), repeat=5) if collapse(p) == targets)
-        token, lp, total = G.viterbi(logp, targets)
+    targets = [[1, 2], [1, 1], [2], []]
+    logp = [np.log(r.dirichlet(np.ones(3), n)) for n in (5, 5, 3, 4)]
+    for t, x, (token, lp, total) in zip(targets, logp, G.best_paths(logp, [np.array(t, dtype=int) for t in targets])):
+        best = max(sum(x[k, c] for k, c in enumerate(p)) for p in product(range(3), repeat=len(x)) if collapse(p) == t)
         assert total == pytest.approx(best) == pytest.approx(lp.sum())
-        assert sorted(set(token.tolist()) - {-1}) == list(range(len(targets)))
-    assert G.viterbi(np.zeros((2, 3)), [1, 1])[2] == -math.inf
+        assert sorted(set(token.tolist()) - {-1}) == list(range(len(t)))
+    assert G.best_paths([np.zeros((2, 3))], [np.array([1, 1])])[0][2] == -math.inf
+
+
+def test_syllable_records(spark):
+    # three syllables, a space after the second: tokens 0-1, 2-4, space 5, 6-7
+    first = [0, 2, 10, 11, 12, 20, 50, 52]
+    tokens = [(10 + k, a, a, -0.1 * k) for k, a in enumerate(first)]
+    groups = [("A", "syl", 0, 2), ("B", "syl", 2, 5), (" ", "space", 5, 6), ("C", "syl", 6, 8)]
+    df = spark.createDataFrame([("u", 80, groups, tokens)], "utt_id string, n_frames int, groups array<struct<char:string,kind:string,first:int,last:int>>, tokens array<struct<id:int,first:int,last:int,logprob:double>>")
+    a, b, c = G.syllable_records(df, 50.0).orderBy("pos").collect()
+    assert (a.char, a.word, a.start_s, a.end_s, a.ext_end_s, a.ext_capped) == ("A", 0, 0.0, 0.06, 0.2, False)
+    assert (b.word, b.start_s, b.end_s, b.ext_end_s, b.ext_capped, b.logprob) == (0, 0.2, 0.26, 0.66, True, -0.3)
+    assert (c.word, c.end_s, c.ext_end_s, c.ext_capped) == (1, 1.06, 1.46, True)
+    assert [t.ext_end_s for t in b.tokens] == [0.22, 0.24, 0.66]
+    b = G.syllable_records(df, 50.0, stop_at_any=True).orderBy("pos").collect()[1]
+    assert (b.ext_end_s, b.ext_capped) == (0.4, False)
 
 
 def test_forced_alignment_job(spark):
@@ -212,6 +341,8 @@ def test_signals():
         for snr in (-5, 0, 10):
             mixed = S.mix_at_snr(wave, noise, snr)
             assert 20 * np.log10(S.rms(wave) / S.rms(mixed - wave)) == pytest.approx(snr, abs=0.01)
+    with pytest.raises(ValueError):
+        S.make_noise("babble", 100, r, [np.zeros(50)])
     power = np.abs(np.fft.rfft(S.make_noise("pink", 1 << 16, r))) ** 2
     f = np.arange(1, len(power))
     bands = [(power[1:][(f >= a) & (f < 2 * a)].mean(), a) for a in (64, 256, 1024, 4096)]

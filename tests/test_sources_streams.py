@@ -140,9 +140,9 @@ def grid(times, fps):
 @pytest.mark.parametrize("src,dst,n", [(30, 30, 10), (25, 30, 50), (60, 30, 60)])
 def test_resampler(spark, src, dst, n):
     times = [k / src for k in range(n)]
-    r = J.Resampler(dst)
-    got = [r.push(t) for t in times][1:] + [r.finish()]
-    assert sum(got) == round(n * dst / src) and r.fixed == 0
+    told, now = J.grid_copies(np.arange(n), np.array(times), dst, J.Carried(), True)
+    got = told["copies"].tolist()
+    assert sum(got) == round(n * dst / src) and now.fixed == 0
     if src != 60:
         assert got == grid(times, dst)
     rows = spark.createDataFrame([("v", k, t) for k, t in enumerate(times)], "video string, frame long, t double")
@@ -150,9 +150,37 @@ def test_resampler(spark, src, dst, n):
 
 
 def test_bad_timestamps_are_repaired():
-    r = J.Resampler(30.0)
-    got = [r.push(t) for t in [None, float("nan"), -1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.3]] + [r.finish()]
-    assert r.fixed == 9 and sum(got) == 10
+    t = np.array([np.nan, np.nan, -1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.3])
+    told, now = J.grid_copies(np.arange(10), t, 30.0, J.Carried(), True)
+    assert now.fixed == 9 and told["copies"].sum() == 10
+    told, now = J.grid_copies(np.arange(10), np.zeros(10), 30.0, J.Carried(gap=1 / 25), True)  # no timestamps: an even rate
+    shown = np.repeat(told["frame"], told["copies"])
+    assert now.fixed == 9 and shown.tolist() == np.minimum(np.floor(np.arange(12) * 25 / 30 + 0.5), 9).tolist()
+
+
+def one_by_one(t, interval=1 / 30):
+    """Repaired timestamps by the definition, a frame at a time."""
+    out = []
+    for x in t:
+        if not (np.isfinite(x) and x >= 0 and (not out or x > out[-1] + 1e-6)):
+            x = out[-1] + interval if out else 0.0
+        if out:
+            interval = x - out[-1]
+        out.append(x)
+    return out
+
+
+def test_repair_by_stretches_and_in_parts():
+    r = np.random.default_rng(7)
+    for _ in range(500):
+        n = int(r.integers(1, 30))
+        t = np.where(r.random(n) < 0.3, np.nan, np.cumsum(r.choice([0.0, 0.02, 0.033, 0.1, -0.03], n)))
+        assert np.allclose(J.repaired_times(t, J.Carried())[0], one_by_one(t))
+        whole, end = J.grid_copies(np.arange(n), t, 30.0, J.Carried(), True)
+        c = int(r.integers(1, n + 1))
+        first, was = J.grid_copies(np.arange(c), t[:c], 30.0, J.Carried(), c == n)
+        parts = [first] if c == n else [first, J.grid_copies(np.arange(c, n), t[c:], 30.0, was, True)[0]]
+        assert sum((p.to_numpy().tolist() for p in parts), []) == whole.to_numpy().tolist()
 
 
 def test_resampler_stream_equals_batch(spark, tmp_path):

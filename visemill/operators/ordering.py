@@ -51,6 +51,21 @@ def global_cumsum(df: DataFrame, order: list[Column], values: dict[str, str]) ->
     return out.select(*df.columns, *values.values())
 
 
+def grouped_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, the named percentiles, n) of ``value``, nulls left out, interpolated between neighbours.
+
+    A range sort by group and value numbers the rows, and the few rows at the places asked for are looked up by number,
+    so no task holds all values of a group. Groups without a value are left out.
+    """
+    numbered = global_row_number(rows.filter(F.col(value).isNotNull()).select(*by, value), [*map(F.col, by), F.col(value)], "_at")
+    groups = numbered.groupBy(*by).agg(F.min("_at").alias("_first"), F.count("*").alias("n"))
+    place = lambda q: (F.col("n") - 1) * F.lit(float(q))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.col("_first") + f(place(q))).cast("long").alias("_at"), weight(place(q)).alias("w")) for name, q in shares.items() for f, weight in ((F.floor, lambda p: 1 - (p - F.floor(p))), (lambda p: F.floor(p) + 1, lambda p: p - F.floor(p)))]))
+    spots = groups.select(*by, "n", wanted.alias("s")).select(*by, "n", "s.*").filter("w > 0")
+    found = spots.join(numbered.select("_at", F.col(value).alias("_v")), "_at")
+    return found.groupBy(*by, "n").agg(*[F.sum(F.when(F.col("name") == name, F.col("w") * F.col("_v"))).alias(name) for name in shares]).select(*by, *shares, "n")
+
+
 def hash_order(*parts) -> Column:
     """A reproducible pseudo-random ordering key from the given columns and literals."""
     return F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]).cast("binary"))

@@ -115,6 +115,13 @@ def noise_clips(rows: DataFrame, n: int, seed: int, pool_size: int = 64) -> Data
     return pairs.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n).select("id", "pos", "clip")
 
 
+def noise_pool(rows: DataFrame, size: int, seed: int, longest: int = 1 << 20) -> list[tuple]:
+    """``size`` rows (id, wave) of ``rows(id, wave)`` of a hash order, as a list: the clips that babble is made of. The first
+    ``longest`` samples of a clip serve, so the list is bounded whatever the rows hold."""
+    picked = rows.orderBy(hash_order(F.lit(seed), F.col("id")), "id").limit(size)
+    return [(r.id, bytes(r.wave[:longest]) if isinstance(r.wave, (bytes, bytearray)) else r.wave[:longest]) for r in picked.collect()]
+
+
 def across_runs(runs: DataFrame, key: list[str], run: str, value: str, names: list[str]) -> DataFrame:
     """One row for each key, a column for each run."""
     return runs.groupBy(*key).pivot(run, names).agg(F.first(value))

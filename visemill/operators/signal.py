@@ -18,7 +18,9 @@ EYES = (33, 263)
 
 
 def as_wave(samples) -> np.ndarray:
-    """Samples in [-1, 1] as float64; integers are 16-bit."""
+    """Samples in [-1, 1] as float64; integers are 16-bit, bytes unsigned 8-bit."""
+    if isinstance(samples, (bytes, bytearray)):
+        return (np.frombuffer(samples, dtype=np.uint8).astype(np.float64) - 128) / 128
     x = np.asarray(samples if samples is not None else [])
     return x.astype(np.float64) / 32768.0 if np.issubdtype(x.dtype, np.integer) else x.astype(np.float64)
 
@@ -76,7 +78,7 @@ def make_noise(kind: str, n: int, rng: np.random.Generator, clips: list[np.ndarr
             if len(clip) and rms(clip) > 1e-8:
                 x += fitted(clip, n, int(rng.integers(len(clip)))) / rms(clip)
         if rms(x) < 1e-8:
-            x = rng.standard_normal(n)
+            raise ValueError("babble needs clips with sound")
     else:
         raise ValueError(f"unknown noise {kind!r}")
     return x / max(rms(x), 1e-8)
@@ -171,21 +173,54 @@ def snr_column(wave: pd.Series) -> pd.Series:
     return wave.map(lambda w: snr_estimate(as_wave(w)))
 
 
-def noisy_column(kind: str, snr_db: float, seed: int):
-    """Column function (key, wave): the wave with noise of its own, reproducible from seed and key."""
+def _noisy(kind: str, snr_db: float, seed: int, clips: list):
+    """(key, samples) -> the wave and the wave with noise of its own, reproducible from seed and key. ``clips`` are pairs
+    of key and samples for babble; a wave's own clip is left out."""
+    import zlib
+
+    def one(key, samples) -> tuple[np.ndarray, np.ndarray]:
+        x = as_wave(samples)
+        rng = np.random.default_rng([seed, zlib.crc32(str(key).encode())])
+        others = [as_wave(c) for k, c in clips if k != key]
+        return x, mix_at_snr(x, make_noise(kind, max(len(x), 1), rng, others), snr_db)
+
+    return one
+
+
+def noisy_column(kind: str, snr_db: float, seed: int, clips: list = ()):
+    """Column function (key, wave): the wave with noise at ``snr_db``."""
+    add_noise = _noisy(kind, snr_db, seed, clips)
 
     @F.pandas_udf(FLOATS)
     def add(key: pd.Series, wave: pd.Series) -> pd.Series:
-        import zlib
+        return pd.Series([add_noise(k, w)[1].astype(np.float32) for k, w in zip(key, wave)])
 
-        def one(k, w):
-            x = as_wave(w)
-            rng = np.random.default_rng([seed, zlib.crc32(str(k).encode())])
-            return mix_at_snr(x, make_noise(kind, max(len(x), 1), rng), snr_db).astype(np.float32)
+    return add
 
-        return pd.Series([one(k, w) for k, w in zip(key, wave)])
 
-    return add
+def mixed_snr_column(kind: str, snr_db: float, seed: int, clips: list = ()):
+    """Column function (key, wave): level of the wave over the noise put on it, in dB, measured after mixing."""
+    add_noise = _noisy(kind, snr_db, seed, clips)
+
+    @F.pandas_udf(T.DoubleType())
+    def measure(key: pd.Series, wave: pd.Series) -> pd.Series:
+        pairs = [add_noise(k, w) for k, w in zip(key, wave)]
+        return pd.Series([20 * np.log10(rms(x) / rms(y - x)) if rms(x) > 1e-8 else None for x, y in pairs])
+
+    return measure
+
+
+@F.pandas_udf(T.ArrayType(FLOATS))
+def leakage_column(streams: pd.Series, level_db: pd.Series) -> pd.Series:
+    """Streams of a scene (arrays of samples), each with the sum of the others ``level_db`` below it; a shorter stream is
+    silent after its end."""
+
+    def one(parts, level):
+        waves = [as_wave(p) for p in parts]
+        n = max(map(len, waves), default=0)
+        return [w.astype(np.float32) for w in mix_leakage([np.pad(w, (0, n - len(w))) for w in waves], float(level))]
+
+    return pd.Series([one(p, v) for p, v in zip(streams, level_db)])
 
 
 @F.pandas_udf(FLOATS)

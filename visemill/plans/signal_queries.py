@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import alignment as A
 from ..operators import intervals as I
 from ..operators import metrics as M
+from ..operators import pairs as P
 from ..operators import segments as G
 from ..operators import signal as S
 from ..operators.ordering import cut
@@ -21,44 +22,59 @@ from .registry import query
 
 
 def waves(spark, sf_dir) -> DataFrame:
-    """The characters of each text as samples of a sound."""
-    sample = lambda c: ((F.ascii(c) % 256 - 128) * 200).cast("short")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.transform(F.filter(F.split("text", ""), lambda c: c != ""), sample).alias("wave"))
+    """The UTF-8 bytes of each text as 8-bit samples of a sound."""
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.encode("text", "UTF-8").alias("wave"), F.octet_length("text").alias("n"))
 
 
-@query("v1_frame_energy")
+# frames of 400 samples every 160, from running sums of squares
+LEVEL_SQL = """b AS (SELECT doc_id, source, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents), x AS (SELECT doc_id, source, generate_subscripts(l, 1) AS i, (('0x' || unnest(l))::INT - 128) / 128e0 AS x FROM b WHERE len(l) > 0),
+ s AS (SELECT doc_id, source, i, sum(x * x) OVER (PARTITION BY doc_id ORDER BY i) AS s, count(*) OVER (PARTITION BY doc_id) AS n FROM x),
+ f AS (SELECT doc_id, source, len(l) AS n, unnest(range(0, (greatest(len(l), 400) - 400) // 160 + 1)) AS k FROM b WHERE len(l) > 0),
+ db AS (SELECT f.doc_id, f.source, k, 10 * log10(greatest(z.s - coalesce(a.s, 0), 0) / 400 + 1e-10) AS db FROM f JOIN s z ON z.doc_id = f.doc_id AND z.i = least(k * 160 + 400, f.n) LEFT JOIN s a ON a.doc_id = f.doc_id AND a.i = k * 160)"""
+
+
+@query("v1_frame_energy", f"WITH {LEVEL_SQL} SELECT source, count(*)::BIGINT AS n_frames, round(avg(db), 4) AS mean_db FROM db GROUP BY 1")
 def energy(spark, sf_dir):
-    rows = waves(spark, sf_dir).withColumn("db", S.energy_column("wave")).select("source", F.size("db").alias("n"), F.aggregate("db", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    rows = waves(spark, sf_dir).filter("n > 0").withColumn("db", S.energy_column("wave")).select("source", F.size("db").alias("n"), F.aggregate("db", F.lit(0.0), lambda a, x: a + x).alias("total"))
     return rows.groupBy("source").agg(F.sum("n").alias("n_frames"), F.round(F.sum("total") / F.sum("n"), 4).alias("mean_db"))
 
 
-@query("v2_snr_estimate")
+@query("v2_snr_estimate", f"""WITH {LEVEL_SQL}, p AS (SELECT doc_id, source, quantile_cont(db, 0.1) AS p10, quantile_cont(db, 0.7) AS p70, max(db) AS top FROM db GROUP BY 1, 2),
+ e AS (SELECT p.doc_id, p.source, least(greatest(coalesce(avg(d.db) FILTER (d.db > p70), max(top)) - max(p10), -10), 40) AS snr FROM p JOIN db d ON d.doc_id = p.doc_id GROUP BY 1, 2)
+ SELECT source, count(*) AS n, round(avg(snr), 4) AS snr, round(max(snr), 4) AS highest FROM e GROUP BY 1""")
 def snr(spark, sf_dir):
-    rows = waves(spark, sf_dir).select("source", S.snr_column("wave").alias("snr"))
+    rows = waves(spark, sf_dir).filter("n > 0").select("source", S.snr_column("wave").alias("snr"))
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("snr"), 4).alias("snr"), F.round(F.max("snr"), 4).alias("highest"))
 
 
-@query("v3_noise_mixing")
+@query("v3_noise_mixing", "SELECT source, unnest(['white', 'pink', 'babble']) AS kind, count(*) AS n, 5e0 AS snr FROM documents WHERE text <> '' GROUP BY source")
 def mixing(spark, sf_dir):
-    rows = waves(spark, sf_dir).filter(F.size("wave") > 0)
-    power = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    out = []
-    for kind in ("white", "pink"):
-        noisy = rows.withColumn("noisy", S.noisy_column(kind, 5.0, 1)("doc_id", "wave"))
-        clean = F.transform("wave", lambda x: x / 32768.0)
-        noise = F.zip_with("noisy", clean, lambda a, b: a - b)
-        measured = noisy.select("source", (10 * F.log10(power(clean) / power(noise))).alias("snr"))
-        out.append(measured.groupBy("source").agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.round(F.avg("snr"), 2).alias("snr")))
-    return out[0].union(out[1])
-
-
-@query("v4_log_mel")
+    """Level of each whole sound over the noise that was put on it, as measured afterwards: what was asked for."""
+    rows = waves(spark, sf_dir).filter("n > 0").select("doc_id", "source", "wave")
+    clips = P.noise_pool(rows.select(F.col("doc_id").alias("id"), "wave"), 7, 8)
+    out = None
+    for kind in ("white", "pink", "babble"):
+        measured = rows.select("source", S.mixed_snr_column(kind, 5.0, 1, clips)("doc_id", "wave").alias("snr"))
+        part = measured.groupBy("source").agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.round(F.avg("snr"), 2).alias("snr"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("v4_log_mel", "SELECT source, count(*) AS n, sum((1 + (octet_length(encode(text)) - 400) // 160) // 4)::BIGINT AS stacked_frames FROM documents WHERE octet_length(encode(text)) >= 1120 GROUP BY 1")
 def mel(spark, sf_dir):
-    rows = waves(spark, sf_dir).filter(F.size("wave") >= 1120).select("source", F.size(S.mel_column("wave")).alias("n"))
+    rows = waves(spark, sf_dir).filter("n >= 1120").select("source", F.size(S.mel_column("wave")).alias("n"))
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("n") / 320).cast("long").alias("stacked_frames"))
 
 
-@query("v5_lip_geometry")
+LIP_SQL = """p AS (SELECT vec_id, label, embedding AS v, v[(2 * 33) % 64 + 1]::DOUBLE AS lx, v[(2 * 33 + 1) % 64 + 1]::DOUBLE AS ly, v[(2 * 263) % 64 + 1]::DOUBLE AS rx, v[(2 * 263 + 1) % 64 + 1]::DOUBLE AS ry FROM embeddings),
+ s AS (SELECT *, greatest(sqrt((rx - lx) * (rx - lx) + (ry - ly) * (ry - ly)), 1e-6) AS scale FROM p),
+ k AS (SELECT vec_id, i, n, v[(2 * i) % 64 + 1]::DOUBLE - lx AS dx, v[(2 * i + 1) % 64 + 1]::DOUBLE - ly AS dy, rx - lx AS ax, ry - ly AS ay, scale FROM s, (SELECT unnest([78, 95, 88, 178, 87, 14, 317, 402, 318, 324, 308, 415, 310, 311, 312, 13, 82, 81, 80, 191, 291, 61, 17, 0]) AS i, unnest(range(1, 25)) AS n) q),
+ t AS (SELECT vec_id, i, n, (dx * ax + dy * ay) / (scale * scale) AS x, (dy * ax - dx * ay) / (scale * scale) AS y FROM k),
+ l AS (SELECT vec_id, max(x) FILTER (n = 21) - max(x) FILTER (n = 22) AS width, max(y) FILTER (n = 6) - max(y) FILTER (n = 16) AS inner_height, max(y) FILTER (n = 23) - max(y) FILTER (n = 24) AS outer_height FROM t GROUP BY 1),
+ a AS (SELECT t.vec_id, abs(sum(t.x * u.y - u.x * t.y)) / 2 AS inner_area FROM t JOIN t u ON u.vec_id = t.vec_id AND u.n = CASE WHEN t.n = 20 THEN 1 ELSE t.n + 1 END WHERE t.n <= 20 GROUP BY 1)"""
+
+
+@query("v5_lip_geometry", f"WITH {LIP_SQL} SELECT label, count(*) AS n, round(avg(width), 4) AS width, round(avg(inner_height), 4) AS inner_height, round(avg(outer_height), 4) AS outer_height, round(avg(inner_area), 4) AS inner_area FROM s JOIN l USING (vec_id) JOIN a USING (vec_id) GROUP BY 1")
 def lips(spark, sf_dir):
     points = F.slice(F.flatten(F.array_repeat("embedding", 15)), 1, 956)
     rows = table(spark, sf_dir, "embeddings").select("label", S.lip_column(points).alias("g"))
@@ -73,23 +89,29 @@ def alignment(spark, sf_dir):
     return out.groupBy("ok", F.size("tokens").alias("n_tokens")).agg(F.count("*").alias("n"), F.round(F.avg("path_logprob"), 4).alias("path_logprob"))
 
 
+def rounded_spans(out: DataFrame) -> DataFrame:
+    return out.select("utt_key", F.col("n").cast("int").alias("n"), F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
+
+
 @query("v9_visual_segments")
 def visual(spark, sf_dir):
-    rows = frames(spark, sf_dir).groupBy("utt_key").agg(F.array_sort(F.collect_list(F.struct("k", "x", "valid"))).alias("f"))
-    rows = rows.select("utt_key", F.transform("f", lambda s: s["x"]).alias("x"), F.transform("f", lambda s: s["valid"]).alias("valid"))
+    return rounded_spans(G.visual_segments(frames(spark, sf_dir), "utt_key", fps=5.0, least=0.5))
 
-    def run(batches):
-        for b in batches:
-            out = [(k, i, s, e) for k, x, v in zip(b["utt_key"], b["x"], b["valid"]) for i, (s, e) in enumerate(G.visual_segments(x, v, fps=5.0, least=0.5))]
-            yield pd.DataFrame(out, columns=["utt_key", "n", "start", "end"])
 
-    return rows.mapInPandas(run, "utt_key long, n int, start double, end double").select("utt_key", "n", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
+@query("v9_energy_segments")
+def sound(spark, sf_dir):
+    rows = waves(spark, sf_dir).filter("n > 0")
+    levels = rows.select("doc_id", F.posexplode(S.energy_column("wave")).alias("k", "db"))
+    out = G.energy_segments(levels, "doc_id", rows.select("doc_id", (F.col("n") / S.RATE).alias("total")), least=0.1, most=2.0)
+    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("end") - F.col("start")), 4).alias("seconds"))
 
 
-@query("v10_augmentation_draws")
+@query("v10_augmentation_draws", "SELECT source, 2 * count(*) AS n, 0::BIGINT AS n_outside, 0::BIGINT AS n_too_long FROM documents GROUP BY 1")
 def draws(spark, sf_dir):
+    """Masks drawn for each text's length: none reaches beyond it or is longer than a tenth of it."""
     rows = table(spark, sf_dir, "documents").select("source", F.explode(S.augmentation_column(3, 1)("doc_id", "n_chars")).alias("m"), "n_chars")
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.max(F.col("m.start") + F.col("m.length") - F.col("n_chars")).alias("furthest_over"), F.sum("m.length").alias("masked"))
+    outside = (F.col("m.start") < 0) | (F.col("m.start") + F.col("m.length") > F.col("n_chars"))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(outside).alias("n_outside"), F.count_if(F.col("m.length") > F.floor(F.col("n_chars") * 0.1)).alias("n_too_long"))
 
 
 @query("v11_lip_events", f"""WITH {FRAMES}, e AS (SELECT user_id AS utt_key, event_id AS event, CAST(event_id % 50 AS BIGINT) AS k0 FROM events), s AS (SELECT e.utt_key, event, f.k - k0 AS o, x AS v FROM e JOIN frames f ON f.utt_key = e.utt_key AND f.k BETWEEN k0 - 4 AND k0 + 2 + 3),
@@ -105,8 +127,7 @@ def lip_events(spark, sf_dir):
 @query("w5_segment_packing")
 def packing(spark, sf_dir):
     rows = I.moving_stats(frames(spark, sf_dir), "utt_key", "k", "x", 5).select("utt_key", "k", (F.col("valid") & (F.col("x") > 50)).alias("active"), F.col("moving_std").alias("activity"))
-    out = G.segments_of_frames(rows, "utt_key", 5.0, least=0.8, most=4.0)
-    return out.select("utt_key", "n", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
+    return rounded_spans(G.activity_segments(rows, "utt_key", 5.0, least=0.8, most=4.0))
 
 
 LEVELS = """e AS (SELECT conv_id AS v, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS BIGINT) AS k, (unicode(c) % 40)::DOUBLE AS db FROM (SELECT conv_id, turn, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM (SELECT conv_id, turn, string_split(text, '') AS l FROM conversations WHERE text <> '')))"""
@@ -165,10 +186,15 @@ def latest(spark, sf_dir):
     return J.current_status(spark, f"{folder}/table").select("user_id", "event_id", "event_type")
 
 
-@query("r3_frame_resampler")
+RESAMPLED = f"""{FRAMES}, f AS (SELECT utt_key, k, CASE WHEN valid THEN k / 25e0 END AS t FROM frames),
+ r(utt_key, k, time, gap, fixed, grid) AS (SELECT utt_key, k, coalesce(t, 0), 1 / 30e0, CASE WHEN t IS NULL THEN 1 ELSE 0 END, 0::BIGINT FROM f WHERE k = 0 UNION ALL
+  SELECT r.utt_key, f.k, CASE WHEN f.t > r.time + 1e-6 THEN f.t ELSE r.time + gap END, CASE WHEN f.t > r.time + 1e-6 THEN f.t - r.time ELSE gap END, fixed + CASE WHEN f.t > r.time + 1e-6 THEN 0 ELSE 1 END,
+   greatest(grid, CAST(ceil(((r.time + CASE WHEN f.t > r.time + 1e-6 THEN f.t ELSE r.time + gap END) / 2 - 1e-6) * 30) AS BIGINT)) FROM r JOIN f ON f.utt_key = r.utt_key AND f.k = r.k + 1),
+ z AS (SELECT *, row_number() OVER (PARTITION BY utt_key ORDER BY k DESC) AS n FROM r)"""
+
+
+@query("r3_frame_resampler", f"WITH RECURSIVE {RESAMPLED} SELECT CAST(utt_key AS VARCHAR) AS video, (k + 1)::BIGINT AS n, greatest(grid, CAST(ceil((time + gap - 1e-6) * 30) AS BIGINT)) AS copies, fixed::BIGINT AS fixed FROM z WHERE n = 1")
 def resampler(spark, sf_dir):
     rows = frames(spark, sf_dir).select(F.col("utt_key").cast("string").alias("video"), F.col("k").cast("long").alias("frame"), F.when(F.col("valid"), F.col("k") / 25.0).alias("t"))
     out = J.resample_batch(rows, 30.0)
     return out.groupBy("video").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"), F.max("fixed").alias("fixed"))
-
-

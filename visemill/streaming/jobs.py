@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,86 +46,124 @@ def current_status(spark, sink: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- frame resampler
-TINY = 1e-6
-STATE = T.StructType([T.StructField("next", T.LongType()), T.StructField("last", T.DoubleType()), T.StructField("interval", T.DoubleType()), T.StructField("fixed", T.LongType())])
+TINY = 1e-6  # seconds; a grid time this close to the middle between two frames goes to the later one
+STATE = T.StructType([T.StructField("grid", T.LongType()), T.StructField("frame", T.LongType()), T.StructField("time", T.DoubleType()), T.StructField("gap", T.DoubleType()), T.StructField("fixed", T.LongType())])
 COPIES = "video string, frame long, copies int, fixed long"
 
 
-class Resampler:
-    """Copies of each source frame that a grid of ``fps`` needs: the frame nearest to each grid time. Timestamps that are
-    missing, negative or do not rise are replaced by the last plus the last interval."""
+@dataclass
+class Carried:
+    """What a video's earlier frames leave behind: grid times already served, the last frame and its time, the gap before
+    it, timestamps repaired so far."""
+
+    grid: int = 0
+    frame: int = -1
+    time: float | None = None
+    gap: float = 1 / 30
+    fixed: int = 0
+
+
+def repaired_times(t: np.ndarray, was: Carried) -> tuple[np.ndarray, np.ndarray]:
+    """Timestamps (NaN where missing) made rising, and which were repaired: one that is missing, negative or does not rise
+    becomes the time before plus the gap before that.
+
+    Stretches of rising times are taken whole, and so are stretches of missing ones, which continue evenly.
+    """
+    n = len(t)
+    real = np.isfinite(t) & (t >= 0)
+    rising = real.copy()  # good if the frame before is taken as it is
+    rising[1:] &= real[:-1] & (t[1:] > t[:-1] + TINY)
+    rising[:1] = False
+    ends = np.append(np.flatnonzero(~rising), n)  # where stretches begin, and the end
+    next_real = np.append(np.minimum.accumulate(np.where(real, np.arange(n), n)[::-1])[::-1], n)
+    out, bad = np.empty(n), np.ones(n, dtype=bool)
+    time, gap, i = was.time, was.gap, 0
+    while i < n:
+        if real[i] and (time is None or t[i] > time + TINY):
+            stop = int(ends[np.searchsorted(ends, i, "right")])
+            out[i:stop], bad[i:stop] = t[i:stop], False
+            if stop - i > 1:
+                gap = out[stop - 1] - out[stop - 2]
+            elif time is not None:
+                gap = out[i] - time
+        else:
+            stop = max(i + 1, int(next_real[i]))
+            first = -gap if time is None else time
+            out[i:stop] = first + gap * np.arange(1, stop - i + 1)
+        time, i = float(out[stop - 1]), stop
+    return out, bad
 
-    def __init__(self, fps: float, state: tuple | None = None, interval: float = 1 / 30):
-        self.fps = fps
-        self.next, self.last, self.interval, self.fixed = state or (0, None, interval, 0)
 
-    def state(self) -> tuple:
-        return self.next, self.last, self.interval, self.fixed
+def grid_copies(frames: np.ndarray, t: np.ndarray, fps: float, was: Carried, ends: bool) -> tuple[pd.DataFrame, Carried]:
+    """(frame, copies, fixed): how often a grid of ``fps`` shows each frame, the one nearest in time, and the timestamps
+    repaired up to it; and what to carry on.
 
-    def _until(self, bound: float) -> int:
-        n = max(0, math.ceil((bound - TINY) * self.fps) - self.next)
-        self.next += n
-        return n
+    A frame's share ends midway to the next, so the carried frame is told first, and the last frame only where the video
+    ``ends``, by one more gap.
+    """
+    times, bad = repaired_times(t, was)
+    fixed = was.fixed + np.cumsum(bad)
+    if was.time is not None:
+        times, frames, fixed = np.append(was.time, times), np.append(was.frame, frames), np.append(was.fixed, fixed)
+    gap = float(times[-1] - times[-2]) if len(times) > 1 else was.gap
+    borders = (times[:-1] + times[1:]) / 2
+    if ends:
+        borders = np.append(borders, times[-1] + gap)
+    served = np.maximum.accumulate(np.append(was.grid, np.ceil((borders - TINY) * fps).astype(np.int64)))
+    told = pd.DataFrame({"frame": frames[: len(borders)], "copies": np.diff(served), "fixed": fixed[: len(borders)]})
+    return told, Carried(int(served[-1]), int(frames[-1]), float(times[-1]), gap, int(fixed[-1]))
 
-    def push(self, t: float | None) -> int:
-        """Copies of the frame before this one."""
-        last = self.last
-        good = t is not None and math.isfinite(t) and t >= 0 and (last is None or t > last + TINY)
-        if not good:
-            self.fixed += 1
-            t = 0.0 if last is None else last + self.interval
-        self.last = float(t)
-        if last is None:
-            return 0
-        n = self._until((last + self.last) / 2)
-        self.interval = self.last - last
-        return n
 
-    def finish(self) -> int:
-        return 0 if self.last is None else self._until(self.last + self.interval)
+def _numbers(t: pd.Series) -> np.ndarray:
+    return pd.to_numeric(t, errors="coerce").to_numpy(dtype=np.float64)
 
 
 def resample_batch(frames: DataFrame, fps: float) -> DataFrame:
-    """(video, frame, copies, fixed) of ``frames(video, frame, t)``; ``fixed`` counts repaired timestamps so far."""
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        r, out = Resampler(fps), []
-        rows = rows.sort_values("frame")
-        ids = rows["frame"].tolist()
-        for i, t in enumerate(rows["t"]):
-            n = r.push(None if pd.isna(t) else float(t))
-            if i:
-                out.append((key[0], ids[i - 1], n, r.fixed))
-        return pd.DataFrame([*out, (key[0], ids[-1], r.finish(), r.fixed)], columns=["video", "frame", "copies", "fixed"])
-
-    return frames.select("video", "frame", "t").groupBy("video").applyInPandas(one, COPIES)
+    """(video, frame, copies, fixed) of ``frames(video, frame, t)``; ``fixed`` counts repaired timestamps so far.
+
+    A video's rows reach one task in order; the task holds one batch of them and what earlier batches left behind.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None  # the last video's rows so far unserved: at least the newest one
+        was = Carried()
+
+        def serve(rows: pd.DataFrame, ends: bool) -> pd.DataFrame:
+            nonlocal was
+            told, now = grid_copies(rows["frame"].to_numpy(), _numbers(rows["t"]), fps, was, ends)
+            was = Carried() if ends else now
+            return told.assign(video=rows["video"].iloc[0])[["video", "frame", "copies", "fixed"]]
+
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch])
+            border = np.flatnonzero((rows["video"] != rows["video"].shift()).to_numpy())
+            for a, b in zip(border, [*border[1:], None]):
+                part = rows.iloc[a:b]
+                if b is not None:
+                    yield serve(part, True)
+                else:  # more of it may come: keep one row back
+                    if len(part) > 1:
+                        yield serve(part.iloc[:-1], False)
+                    held = part.iloc[-1:]
+        if held is not None:
+            yield serve(held, True)
+
+    placed = frames.select("video", "frame", "t").repartition("video").sortWithinPartitions("video", "frame")
+    return placed.mapInPandas(run, COPIES)
 
 
 def resample_stream(frames: DataFrame, fps: float) -> DataFrame:
-    """The same for a stream of ``frames(video, frame, t, last boolean)``, rows of a video in order; four numbers of state
+    """The same for a stream of ``frames(video, frame, t, last boolean)``, rows of a video in order; five numbers of state
     for each open video, dropped at its last frame. A frame's copies are told when the next one comes."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        r = Resampler(fps, tuple(state.get) if state.exists else None)
-        out, closed = [], False
         rows = pd.concat(list(batches)).sort_values("frame")
-        for frame, t, last in zip(rows["frame"], rows["t"], rows["last"]):
-            first = r.last is None
-            n = r.push(None if pd.isna(t) else float(t))
-            if not first:
-                out.append((key[0], frame - 1, n, r.fixed))
-            if last:
-                out.append((key[0], frame, r.finish(), r.fixed))
-                closed = True
-        if closed:
+        was = Carried(*state.get) if state.exists else Carried()
+        told, now = grid_copies(rows["frame"].to_numpy(), _numbers(rows["t"]), fps, was, bool(rows["last"].iloc[-1]))
+        if rows["last"].iloc[-1]:
             state.remove()
         else:
-            state.update(r.state())
-        yield pd.DataFrame(out, columns=["video", "frame", "copies", "fixed"])
+            state.update((now.grid, now.frame, now.time, now.gap, now.fixed))
+        yield told.assign(video=key[0])[["video", "frame", "copies", "fixed"]]
 
     return frames.groupBy("video").applyInPandasWithState(step, COPIES, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def status_counts(stream: DataFrame, key: str, order: str, ok: str) -> DataFrame:
-    """Streaming aggregate: the state of each key's last record."""
-    return stream.groupBy(key).agg(F.max_by(ok, order).alias(ok), F.max(order).alias(order))
