@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+import visemill.llm.bytetext as b
 from visemill.llm.queries import op5_suffix_array, op9_rabin_karp
 from visemill.llm.suffix import Suffixes, remove_covered_bytes
 from visemill.llm.windows import remove_repeated_windows
@@ -100,3 +101,46 @@ def test_suffix_sort(seed):
     assert [key[i] for i in order] == sorted(key)
     kinds = s.classes(start, bucket)
     assert all((kinds[i] == kinds[j]) == (key[i] == key[j]) for i in range(200) for j in range(200))
+
+
+def test_words_of_regular_build_are_told_apart(spark):
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))  # Thue and Morse's word and its complement
+    c = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, "w " * 34 + a), (2, "w " * 34 + c), (3, " ".join([a, c] * 30)), (4, " ".join([c, a] * 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert words_of(remove_repeated_windows(df)) == repeated(rows)
+    assert bytes_of(remove_covered_bytes(df)) == covered(rows)
+
+
+def test_string_hashes():
+    r = np.random.default_rng(1)
+    data = r.integers(97, 100, 6000).astype(np.uint8)
+    start = np.concatenate([r.integers(0, 5980, 3000), [0, 3000, 10]])
+    end = np.minimum(start + np.concatenate([r.integers(0, 20, 3000), [2900, 2900, 2900]]), 6000)
+    data[3000:5900] = data[:2900]
+    h = b.string_hashes(b.lanes_of(data), start, end)
+    seen = {}
+    for i, x in enumerate(h.tolist()):
+        seen.setdefault(data[start[i] : end[i]].tobytes(), set()).add(x)
+    assert all(len(v) == 1 for v in seen.values()) and len({min(v) for v in seen.values()}) == len(seen)
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 35, 64])
+def test_window_sums_are_the_polynomials(width):
+    values = np.random.default_rng(width).integers(0, 1 << 63, 150).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    p = (1 << 61) - 1
+    want = [sum(int(v) % p * pow(b.RADIX, width - 1 - k, p) for k, v in enumerate(values[i : i + width])) % p for i in range(150 - width + 1)]
+    assert b.window_sums(values, width).tolist() == want and b.window_sums(values[: width - 1], width).tolist() == []
+
+
+def test_anchors_of_pieces_are_those_of_the_whole(monkeypatch):
+    import visemill.llm.suffix as m
+
+    r = np.random.default_rng(2)
+    buf = r.integers(97, 99, 3000).astype(np.uint8)
+    off = np.array([0, 10, 700, 700, 1500, 2990, 3000])
+    s = b.Slice(buf, off, np.zeros(6, bool), None)
+    whole = [x.tolist() for x in m.anchors(s, 50)]
+    for at_once in (1, 7, 64, 1000):
+        monkeypatch.setattr(m, "ANCHORS_AT_ONCE", at_once)
+        assert [x.tolist() for x in m.anchors(s, 50)] == whole

@@ -7,6 +7,7 @@ runs per slice or per document, not per word.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -51,6 +52,81 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_LANE_KEYS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
+_LANE_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+#: Strings beyond this many bytes are hashed one at a time.
+LONG_STRING = 1024
+
+
+def lanes_of(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``buf`` on as a little-endian word; zeros follow the end."""
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    return np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(buf) + 1,), strides=(1,))
+
+
+def string_hashes(lanes: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte strings start[i]:end[i] of the buffer that ``lanes`` are of.
+
+    Eight bytes at a time are mixed into the state by a bijection that is no polynomial, so that strings of a regular
+    build do not collide by their build; strings of up to eight bytes never do among those of their length.
+    """
+    size = end - start
+    h = mix(size.astype(U64) * _LANE_KEYS[0] + U64(seed))
+    some, at, left = np.arange(len(start)), start, size
+    long = np.flatnonzero(size > LONG_STRING)
+    if len(long):
+        raw = np.ascontiguousarray(lanes[::8])  # whole words from place 0 on
+        raw = raw.view(np.uint8)
+        for i in long.tolist():
+            digest = hashlib.blake2b(raw[start[i] : end[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+            h[i] = int.from_bytes(digest, "little")
+        some = np.flatnonzero(size <= LONG_STRING)
+        at, left = start[some], size[some]
+    while len(some):
+        lane = lanes[at] & _LANE_MASK[np.minimum(left, 8)]
+        h[some] = mix(h[some] ^ (lane * _LANE_KEYS[1]))
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    return h
+
+
+#: A prime and a base for rolling hashes over words that are hashes already.
+PRIME = U64((1 << 61) - 1)
+RADIX = 0x0B7E151628AED2A6
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> U64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _times(x: np.ndarray, by: int) -> np.ndarray:
+    """x * by modulo the prime, in halves of 31 bits."""
+    low, high = x & U64(0x7FFFFFFF), x >> U64(31)
+    b0, b1 = U64(by & 0x7FFFFFFF), U64(by >> 31)
+    middle = high * b0 + low * b1
+    return _reduced(U64(2) * high * b1 + (middle >> U64(30)) + ((middle & U64(0x3FFFFFFF)) << U64(31)) + low * b0)
+
+
+def window_sums(values: np.ndarray, width: int) -> np.ndarray:
+    """Rabin-Karp hash, modulo 2**61 - 1, of each ``width`` successive values: those of windows of 1, 2, 4, ... values, put
+    together by the bits of ``width``."""
+    n, size, done = len(values), 1, 0
+    if n < width:
+        return np.zeros(0, dtype=U64)
+    block, out = _reduced(values), None
+    while True:
+        if width & size:
+            step = n - done - size + 1
+            out = block if out is None else _reduced(_times(out[:step], pow(RADIX, size, int(PRIME))) + block[done : done + step])
+            done += size
+        if done == width:
+            return out
+        block = _reduced(_times(block[:-size], pow(RADIX, size, int(PRIME))) + block[size:])
+        size *= 2
+
+
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0]+1, ... size[0] of them, then those of the next."""
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())

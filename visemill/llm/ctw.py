@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import LOWER, NOT_SPACE, U64, PrefixHash, Slice, join_words, mix, word_bounds
+from .bytetext import LOWER, NOT_SPACE, U64, Slice, join_words, lanes_of, mix, string_hashes, word_bounds
 from .chunks import chunk_documents, each_chunk, key_bits, pack_bytes, pack_keys, rows_with, split_by_part, unpack_bytes, unpack_keys, with_columns
 from .scratch import cut
 
@@ -57,7 +57,7 @@ def words_of(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     start, end, bounds = word_bounds(low, s.off, NOT_SPACE)
     doc = np.repeat(np.arange(len(s)), np.diff(bounds))
     text, off, _ = join_words(low, start, end, doc, len(s))
-    return text, off, mix(PrefixHash(low).of(start, end) + (end - start).astype(U64)), bounds
+    return text, off, string_hashes(lanes_of(low), start, end), bounds
 
 
 def grams_of(text: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:

@@ -19,21 +19,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import LOWER, U64, WORDLIKE, PrefixHash, Slice, mix, ragged, slices, word_bounds
+from .bytetext import LOWER, U64, WORDLIKE, Slice, lanes_of, ragged, slices, string_hashes, word_bounds
 from .chunks import pack_bytes, rows_with, unpack_bytes, with_columns
 from .scratch import cut
 
-INDEX = "shard long, words binary, terms binary, counts binary, positions binary, rows binary"
-RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
-#: Benchmark items that one search takes to the shards.
-ITEMS_AT_ONCE = 5_000
+INDEX = "shard long, words binary, terms binary, counts binary, positions binary, ends binary, text binary, rows binary"
+RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("n_near", T.LongType())]
+#: Benchmark items, and bytes of their texts, that one search takes to the shards.
+ITEMS_AT_ONCE, ITEM_BYTES_AT_ONCE = 5_000, 8 << 20
 
 
-def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, hash of each word, its start, and the words before each text."""
+@dataclass
+class Words:
+    """Words of some texts: the lower-cased bytes, where each begins and ends in them, and the words before each text."""
+
+    buf: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    bounds: np.ndarray
+
+    def hashes(self) -> np.ndarray:
+        return string_hashes(lanes_of(self.buf), self.start, self.end)
+
+
+def words_of(buf: np.ndarray, off: np.ndarray) -> Words:
     low = LOWER[buf]
-    start, end, bounds = word_bounds(low, off, WORDLIKE)
-    return low, mix(PrefixHash(low).of(start, end) + (end - start).astype(U64)), start, bounds
+    return Words(low, *word_bounds(low, off, WORDLIKE))
+
+
+def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether word i of ``a`` is word j of ``b``, letter by letter."""
+    size = a.end[i] - a.start[i]
+    same = size == b.end[j] - b.start[j]
+    k = np.flatnonzero(same)
+    letters = a.buf[ragged(a.start[i[k]], size[k])] == b.buf[ragged(b.start[j[k]], size[k])]
+    if len(k):
+        same[k] = np.logical_and.reduceat(letters, np.cumsum(size[k]) - size[k])
+    return same
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -42,7 +64,8 @@ def build_index(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
         for s in slices(batches):
-            _, h, _, bounds = tokens(s.buf, s.off)
+            words = words_of(s.buf, s.off)
+            h, bounds = words.hashes(), words.bounds
             by = np.argsort(h, kind="stable")
             terms, count = np.unique(h[by], return_counts=True)
             first = np.cumsum(count) - count
@@ -51,8 +74,8 @@ def build_index(docs: DataFrame) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, s.rows.schema) as out:
                 out.write_batch(s.rows)
-            blobs = [np.diff(bounds).astype("<i8").tobytes(), terms.astype("<u8").tobytes(), count.astype("<i4").tobytes(), step.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), sink.getvalue().to_pybytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array([pack_bytes(b)], pa.binary()) for b in blobs)], ["shard", "words", "terms", "counts", "positions", "rows"])
+            blobs = [np.diff(bounds).astype("<i8").tobytes(), terms.astype("<u8").tobytes(), count.astype("<i4").tobytes(), step.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), s.off.astype("<i8").tobytes(), s.buf.tobytes(), sink.getvalue().to_pybytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array([pack_bytes(b)], pa.binary()) for b in blobs)], INDEX.replace(" binary", "").replace(" long", "").split(", "))
             shard += 1
 
     return cut(docs.mapInArrow(run, INDEX))
@@ -91,11 +114,14 @@ def open_shard(row: dict) -> Shard:
 
 @dataclass
 class Phrases:
-    """Phrases of up to ``width`` terms; terms[i, k] for k below size[i], item[i] the number of its item."""
+    """Phrases of up to ``width`` terms; terms[i, k] for k below size[i], item[i] the number of its item, first[i] the first
+    of its words in ``words``."""
 
     terms: np.ndarray
     size: np.ndarray
     item: np.ndarray
+    first: np.ndarray
+    words: Words
     order: np.ndarray | None = None  # of the terms of each phrase, rare ones first
 
 
@@ -103,13 +129,13 @@ def phrases_of(texts: list[str | None], width: int) -> Phrases:
     """All runs of ``width`` words of each text; a shorter text that has words is one phrase."""
     data = [(t or "").encode() for t in texts]
     off = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
-    _, h, _, bounds = tokens(np.frombuffer(b"".join(data), np.uint8), off)
-    words = np.diff(bounds)
+    found = words_of(np.frombuffer(b"".join(data), np.uint8), off)
+    h, words = found.hashes(), np.diff(found.bounds)
     n = np.where(words >= width, words - width + 1, np.minimum(words, 1))
-    first = ragged(bounds[:-1], n)
+    first = ragged(found.bounds[:-1], n)
     size = np.repeat(np.minimum(words, width), n)
     at = first[:, None] + np.minimum(np.arange(width), size[:, None] - 1)
-    return Phrases(h[at] if len(h) else np.zeros((0, width), U64), size, np.repeat(np.arange(len(texts)), n))
+    return Phrases(h[at] if len(h) else np.zeros((0, width), U64), size, np.repeat(np.arange(len(texts)), n), first, found)
 
 
 def rank_terms(index: DataFrame, phrases: Phrases) -> Phrases:
@@ -161,6 +187,18 @@ def exact_matches(shard: Shard, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
     return phrase, word
 
 
+def verified(row: dict, p: Phrases, phrase: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the matches whose words are the phrase's letter by letter; equal hashes alone prove nothing."""
+    if not len(phrase):
+        return phrase, word
+    text = np.frombuffer(unpack_bytes(row["text"]), np.uint8)
+    here = words_of(text, np.frombuffer(unpack_bytes(row["ends"]), "<i8"))
+    size = p.size[phrase]
+    same = same_words(here, ragged(word, size), p.words, ragged(p.first[phrase], size))
+    ok = np.logical_and.reduceat(same, np.cumsum(size) - size)
+    return phrase[ok], word[ok]
+
+
 def near_matches(shard: Shard, p: Phrases, within: int) -> tuple[np.ndarray, np.ndarray]:
     """(phrase, word) of each posting of a phrase's rarest term with every other term at most ``within`` words away in
     the same document, in any order."""
@@ -184,18 +222,20 @@ def near_matches(shard: Shard, p: Phrases, within: int) -> tuple[np.ndarray, np.
     return phrase, word
 
 
-MATCHES = "shard long, doc int, word long, size int, item_id string, phrase long"
+MATCHES = "shard long, doc int, word long, size int, item_id string, phrase long, near boolean"
 
 
 def search(index: DataFrame, benchmark: DataFrame, width: int = 13, within: int | None = None) -> DataFrame:
     """Matches of the phrases of ``benchmark(item_id, text)``: shard, doc (number in the shard), word (in the shard),
-    size, item_id, phrase. Exact phrases, or with ``within`` proximity matches around each phrase's rarest term.
+    size, item_id, phrase, near. Exact phrases, verified letter by letter (near is false); with ``within`` also proximity
+    matches around each phrase's rarest term (near is true), whose words are equal when their 64-bit hashes are.
 
-    Items are taken to the shards in blocks of bounded number. Null texts have no words; a null item_id is ''.
+    Items are taken to the shards in blocks of bounded number and size. Null texts have no words; a null item_id is ''.
     """
     spark = index.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEMS_AT_ONCE), -(-size // ITEM_BYTES_AT_ONCE))
     found = None
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
@@ -208,28 +248,32 @@ def search(index: DataFrame, benchmark: DataFrame, width: int = 13, within: int
                 for i in range(batch.num_rows):
                     row = {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
                     shard = open_shard(row)
-                    phrase, word = exact_matches(shard, p) if within is None else near_matches(shard, p, within)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(word), row["shard"]), pa.int64()), pa.array(shard.document(word), pa.int32()), pa.array(word, pa.int64()), pa.array(p.size[phrase], pa.int32()), pa.array(names[p.item[phrase]], pa.string()), pa.array(phrase, pa.int64())],
-                        ["shard", "doc", "word", "size", "item_id", "phrase"],
-                    )
-
-        part = index.select("shard", "words", "terms", "counts", "positions").mapInArrow(run, MATCHES)
+                    for near in (False,) if within is None else (False, True):
+                        phrase, word = near_matches(shard, p, within) if near else verified(row, p, *exact_matches(shard, p))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(word), row["shard"]), pa.int64()), pa.array(shard.document(word), pa.int32()), pa.array(word, pa.int64()), pa.array(p.size[phrase], pa.int32()), pa.array(names[p.item[phrase]], pa.string()), pa.array(phrase, pa.int64()), pa.array(np.full(len(word), near))],
+                            ["shard", "doc", "word", "size", "item_id", "phrase", "near"],
+                        )
+
+        part = index.select("shard", "words", "terms", "counts", "positions", "ends", "text").mapInArrow(run, MATCHES)
         found = part if found is None else found.union(part)
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, within: int = 26) -> DataFrame:
     """Score every row of ``docs`` against ``benchmark``: the other columns, n_words, n_hit (words inside any occurrence
     of a benchmark window), n_items, items_sha256 (sorted item ids, comma-joined), contaminated (n_hit > 0 and
-    ``share`` * n_hit >= n_words).
+    ``share`` * n_hit >= n_words), and n_near: items with a window all of whose words lie, in any order, at most ``within``
+    words from its rarest one. An input column of such a name gives way; the column text is left out.
 
     Texts are lower-cased; words are runs of a-z, 0-9 and non-ASCII characters. A window is ``width`` successive words of
-    an item, or the whole of a shorter one. Null texts have no words. Words are equal when their 64-bit hashes are.
+    an item, or the whole of a shorter one. Null texts have no words. Every match behind n_hit and n_items is compared
+    letter by letter; n_near rests on 64-bit hashes of words.
     """
     index = build_index(docs)
-    matches = search(index, benchmark, width).groupBy("shard").agg(
-        F.collect_set(F.struct("doc", "word", "size")).alias("hits"), F.collect_set(F.struct("doc", "item_id")).alias("items")
+    exact, of = ~F.col("near"), F.struct("doc", "item_id")
+    matches = search(index, benchmark, width, within).groupBy("shard").agg(
+        F.collect_set(F.when(exact, F.struct("doc", "word", "size"))).alias("hits"), F.collect_set(F.when(exact, of)).alias("items"), F.collect_set(F.when(F.col("near"), of)).alias("nears")
     )  # bounded by the words and items of one shard
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +289,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
                 names: dict[int, list[str]] = {}
                 for x in row["items"] or []:
                     names.setdefault(x["doc"], []).append(x["item_id"])
+                near = np.bincount([x["doc"] for x in row["nears"] or []], minlength=len(bounds) - 1)
                 table = pa.ipc.open_stream(unpack_bytes(row["rows"])).read_all().combine_chunks().to_batches()
                 rest = table[0] if table else pa.RecordBatch.from_pylist([])
                 n = np.diff(bounds)
@@ -255,6 +300,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
                     "n_items": pa.array([len(x) for x in some], pa.int64()),
                     "items_sha256": pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in some], pa.string()),
                     "contaminated": pa.array((hit > 0) & (share * hit >= n)),
+                    "n_near": pa.array(near, pa.int64()),
                 })
 
     return index.select("shard", "words", "rows").join(matches, "shard", "left").mapInArrow(finish, with_columns(docs.schema, "text", RESULT))

@@ -92,13 +92,18 @@ OP4 = """WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesc
   sum(24 + plain + signs + 4 * opens)::BIGINT AS formatted_chars, string_agg(concat(role, ' '), '' ORDER BY turn, role, text) AS roles FROM size GROUP BY 1)
  SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, regexp_full_match(roles, '(system )?(user assistant )+') AS valid FROM agg"""
 
-OP5 = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), win AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM h)),
- hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM win) WHERE least < doc_id),
+# strings of 50 bytes are put together from halves: 2, 4, ... 32 bytes, then 32 + 16 + 2
+OP5 = """WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents), byte AS (SELECT doc_id, generate_subscripts(l, 1) AS p, unnest(l) AS c FROM d),
+ w2 AS (SELECT *, c || lead(c, 1) OVER w AS s2 FROM byte WINDOW w AS (PARTITION BY doc_id ORDER BY p)), w4 AS (SELECT *, s2 || lead(s2, 2) OVER w AS s4 FROM w2 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+ w8 AS (SELECT doc_id, p, s2, s4 || lead(s4, 4) OVER w AS s8 FROM w4 WINDOW w AS (PARTITION BY doc_id ORDER BY p)), w16 AS (SELECT doc_id, p, s2, s8 || lead(s8, 8) OVER w AS s16 FROM w8 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+ w32 AS (SELECT doc_id, p, s2, s16, s16 || lead(s16, 16) OVER w AS s32 FROM w16 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+ win AS (SELECT doc_id, p AS i, md5_number(s32 || lead(s16, 32) OVER w || lead(s2, 48) OVER w) AS s FROM w32 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+ first AS (SELECT s, min(doc_id) AS least FROM win WHERE s IS NOT NULL GROUP BY 1), hit AS (SELECT doc_id, i FROM win JOIN first USING (s) WHERE least < doc_id),
  edge AS (SELECT doc_id, i AS p, 1 AS d FROM hit UNION ALL SELECT doc_id, i + 50, -1 FROM hit), step AS (SELECT doc_id, p, sum(d) AS d FROM edge GROUP BY 1, 2),
- byte AS (SELECT doc_id, unnest(range(1, length(h) // 2 + 1)) AS p, h FROM h), cover AS (SELECT b.doc_id, b.p, substr(b.h, 2 * b.p - 1, 2) AS c, sum(coalesce(s.d, 0)) OVER (PARTITION BY b.doc_id ORDER BY b.p) > 0 AS gone FROM byte b LEFT JOIN step s ON s.doc_id = b.doc_id AND s.p = b.p),
+ cover AS (SELECT b.doc_id, b.p, b.c, sum(coalesce(s.d, 0)) OVER (PARTITION BY b.doc_id ORDER BY b.p) > 0 AS gone FROM byte b LEFT JOIN step s ON s.doc_id = b.doc_id AND s.p = b.p),
  runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM cover),
  agg AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(c, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM runs GROUP BY 1)
- SELECT h.doc_id, length(h.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN agg ON agg.doc_id = h.doc_id"""
+ SELECT d.doc_id, len(l)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id"""
 
 OP7 = """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
  link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98e0),
@@ -112,8 +117,14 @@ OP8 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS w F
  phrase AS (SELECT item_id, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i, w FROM b WHERE len(w) > 0), ph AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM phrase),
  sizes AS (SELECT DISTINCT n FROM ph), win AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)),
  hit AS (SELECT w.doc_id, w.i, w.n, p.item_id FROM win w JOIN ph p ON p.n = w.n AND p.s = w.s), pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit), np AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY 1),
+ occ AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d), freq AS (SELECT t, count(*) AS n FROM occ GROUP BY 1),
+ term AS (SELECT item_id, ph, t, min(p) AS p FROM (SELECT item_id, i AS ph, unnest(w[i:i + n - 1]) AS t, generate_subscripts(w[i:i + n - 1], 1) AS p FROM phrase) GROUP BY 1, 2, 3),
+ known AS (SELECT term.*, coalesce(freq.n, 0) AS f, count(*) OVER (PARTITION BY item_id, ph) AS size, min(coalesce(freq.n, 0)) OVER (PARTITION BY item_id, ph) AS least, row_number() OVER (PARTITION BY item_id, ph ORDER BY coalesce(freq.n, 0), p) AS rank FROM term LEFT JOIN freq USING (t)),
+ lead AS (SELECT k.item_id, k.ph, k.size, o.doc_id, o.p FROM known k JOIN occ o USING (t) WHERE rank = 1 AND least > 0),
+ near AS (SELECT l.doc_id, l.item_id FROM lead l JOIN known k ON k.item_id = l.item_id AND k.ph = l.ph JOIN occ o ON o.doc_id = l.doc_id AND o.t = k.t WHERE abs(o.p - l.p) <= 26 GROUP BY l.doc_id, l.item_id, l.ph, l.p HAVING count(DISTINCT o.t) = max(l.size)),
+ nears AS (SELECT doc_id, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_near FROM near GROUP BY 1),
  items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1)
- SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated FROM d LEFT JOIN np ON np.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, coalesce(n_near, 0) AS n_near FROM d LEFT JOIN np ON np.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id LEFT JOIN nears ON nears.doc_id = d.doc_id"""
 
 OP9 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
  hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1), edge AS (SELECT doc_id, i AS p, 1 AS d FROM hit UNION ALL SELECT doc_id, i + 35, -1 FROM hit), step AS (SELECT doc_id, p, sum(d) AS d FROM edge GROUP BY 1, 2),

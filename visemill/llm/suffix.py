@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import U64, PrefixHash, Slice, give_back, mix, ragged
+from .bytetext import U64, PrefixHash, Slice, give_back, lanes_of, mix, ragged, string_hashes
 from .chunks import chunk_documents, each_chunk, key_bits, occurring_elsewhere, pack_bytes, pack_keys, rows_with, shared_flags, split_by_part, unpack_bytes, unpack_keys, with_columns
 
 ANCHOR = 16
+#: Windows of a text whose anchors are found at once.
+ANCHORS_AT_ONCE = 4 << 20
 RESULT = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())]
 #: Suffixes that a task compares at once.
 SUFFIXES_AT_ONCE = 200_000
@@ -116,15 +118,29 @@ class Suffixes:
 
 # ---------------------------------------------------------------- anchors
 def anchors(s: Slice, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of successive windows of ``depth`` bytes with the same anchor: key, anchor position, first and last window."""
+    """Runs of successive windows of ``depth`` bytes with the same anchor: key, anchor position, first and last window.
+
+    A long text is worked through in overlapping pieces, and a run that goes on in the next piece is put together.
+    """
+    runs = [_anchors(s.buf[at : at + ANCHORS_AT_ONCE + depth - 1], s.off - at, depth, at) for at in range(0, max(len(s.buf) - depth + 1, 1), ANCHORS_AT_ONCE)]
+    key, anchor, first, last = (np.concatenate(x) for x in zip(*runs))
+    if len(runs) > 1:
+        goes_on = np.zeros(len(key), dtype=bool)
+        goes_on[1:] = (anchor[1:] == anchor[:-1]) & (first[1:] == last[:-1] + 1) & (first[1:] % ANCHORS_AT_ONCE == 0) & ~np.isin(first[1:], s.off)
+        key, anchor, first, last = key[~goes_on], anchor[~goes_on], first[~goes_on], last[np.append(np.flatnonzero(~goes_on)[1:] - 1, len(last) - 1)]
+    return key, anchor, first, last
+
+
+def _anchors(buf: np.ndarray, off: np.ndarray, depth: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of a piece of a slice that begins at ``base``; ``off`` are the documents' borders as seen from there."""
     none = np.zeros(0, np.int64)
-    n = len(s.buf) - depth + 1
+    n = len(buf) - depth + 1
     if n <= 0:
         return none.astype(U64), none, none, none
-    h = PrefixHash(s.buf)
-    at = np.arange(len(s.buf) - ANCHOR + 1)
-    key = mix(h.of(at, at + ANCHOR))
-    low = (key & U64(0xFFFFFFFF00000000)) | at.astype(U64)
+    lanes = lanes_of(buf)
+    at = len(buf) - ANCHOR + 1
+    key = mix(mix(lanes[:at]) ^ lanes[8 : at + 8])
+    low = (key & U64(0xFFFFFFFF00000000)) | np.arange(at, dtype=U64)
     span, width = depth - ANCHOR + 1, 1
     while 2 * width <= span:
         low = np.minimum(low[:-width], low[width:])
@@ -133,16 +149,17 @@ def anchors(s: Slice, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         low = np.minimum(low[: -(span - width)], low[span - width :])
     anchor = (low[:n] & U64(0xFFFFFFFF)).astype(np.int64)
     edge = np.zeros(n + 1, dtype=np.int64)
-    a, b = s.off[:-1], np.maximum(s.off[1:] - depth + 1, s.off[:-1])
-    np.add.at(edge, np.minimum(a, n), 1)
-    np.add.at(edge, np.minimum(b, n), -1)
+    a = np.clip(off[:-1], 0, n)
+    b = np.clip(np.maximum(off[1:] - depth + 1, off[:-1]), 0, n)
+    np.add.at(edge, a, 1)
+    np.add.at(edge, b, -1)
     inside = np.cumsum(edge[:-1]) > 0
     head = inside.copy()
     head[1:] &= ~inside[:-1] | (anchor[1:] != anchor[:-1])
     first = np.flatnonzero(head)
     tail = inside.copy()
     tail[:-1] &= ~inside[1:] | (anchor[1:] != anchor[:-1])
-    return key[anchor[first]], anchor[first], first, np.flatnonzero(tail)
+    return key[anchor[first]], base + anchor[first], base + first, base + np.flatnonzero(tail)
 
 
 def union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +198,7 @@ def unpack_contexts(data: bytes):
 
 def settle_in_chunk(s: Slice, doc: np.ndarray, first: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Occurrences (of equal text around equal anchors) of which a smaller document of the chunk has the same."""
-    h = mix(PrefixHash(s.buf).of(first, first + size) ^ key)
+    h = string_hashes(lanes_of(s.buf), first, first + size) ^ key
     by = np.lexsort((doc, h))
     h, d, f, z = h[by], doc[by], first[by], size[by]
     head = np.concatenate([[True], h[1:] != h[:-1]])
@@ -217,7 +234,7 @@ def covered(key, doc, count, shift, text, depth: int) -> np.ndarray:
         buf = text[base : place[last - 1] + size[last - 1]]
         at = place[own] - base
         # equal contexts once, with their smallest document
-        h = mix(PrefixHash(buf).of(at, at + size[own]) ^ mix(key[own] + shift[own].astype(U64)))
+        h = string_hashes(lanes_of(buf), at, at + size[own]) ^ mix(key[own] + shift[own].astype(U64))
         kind, one, back = np.unique(h, return_index=True, return_inverse=True)
         agree = size[own] == size[own][one[back]]
         agree[agree] = np.logical_and.reduceat(buf[ragged(at[agree], size[own][agree])] == buf[ragged(at[one[back[agree]]], size[own][agree])], np.cumsum(size[own][agree]) - size[own][agree])
@@ -280,7 +297,7 @@ def covered_spans(docs: DataFrame, depth: int = 50) -> DataFrame:
     def send_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, s, row in each_chunk(batches):
             key, anchor, first, last, doc, _ = open_questions(s, row)
-            h = PrefixHash(s.buf).of(first, last + depth) ^ mix((anchor - first).astype(U64)) if len(key) else key
+            h = string_hashes(lanes_of(s.buf), first, last + depth) ^ mix((anchor - first).astype(U64))
             parts, border = split_by_part(key, bits)
             data = [pack_keys(key[a:b], bits) for a, b in zip(border[:-1], border[1:])]
             more = [h[a:b].astype("<u8").tobytes() + pack_bytes(doc[a:b].astype("<i8").tobytes()) for a, b in zip(border[:-1], border[1:])]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bytetext import NOT_SPACE, U64, PrefixHash, Slice, join_words, mix, word_bounds
+from .bytetext import NOT_SPACE, Slice, join_words, lanes_of, mix, string_hashes, window_sums, word_bounds
 from .chunks import chunk_documents, each_chunk, key_bits, occurring_elsewhere, rows_with, shared_flags, with_columns
 
 RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())]
@@ -21,8 +21,8 @@ def window_hashes(s: Slice, width: int) -> tuple[tuple, np.ndarray, np.ndarray]:
     words = start, end, bounds = word_bounds(s.buf, s.off, NOT_SPACE)
     n = np.maximum(np.diff(bounds) - width + 1, 0)
     first = np.repeat(bounds[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    word = mix(PrefixHash(s.buf).of(start, end) + (end - start).astype(U64))
-    return words, first, mix(PrefixHash(word).of(first, first + width))
+    word = string_hashes(lanes_of(s.buf), start, end)
+    return words, first, mix(window_sums(word, width)[first])
 
 
 def remove_repeated_windows(docs: DataFrame, width: int = 35, with_text: bool = True) -> DataFrame:
