@@ -83,3 +83,16 @@ def test_stages_on_odd_rows(spark, odd_docs):
 def test_of_a_repeated_id_one_row_stays(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "something else entirely here now")], "doc_id long, text string")
     assert sorted(r.doc_id for r in keep_one_of_near_copies(df).collect()) == [1, 2]
+
+
+def test_columns_of_any_name_are_kept(spark, odd_docs):
+    from pyspark.sql import functions as F
+
+    names = ["n_removed", "n_words", "n_bytes", "n_spans", "kept_text", "kept_sha256", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "row", "score", "stats", "component_id", "fingerprint"]
+    docs = odd_docs.select("*", *[F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "no such words")], "item_id long, text string")
+    for f in (lambda d: keep_good(d, labels, 0.0), keep_one_of_near_copies, cut_repeats, lambda d: keep_uncontaminated(d, bench)):
+        out = f(docs)
+        assert out.columns == docs.columns
+        assert all(r[n] == (None if r.doc_id is None else f"{n} of {r.doc_id}") for r in out.collect() for n in names)

@@ -1,9 +1,12 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
 from visemill.llm.bytetext import Slice
-from visemill.llm.quality import FEATURES, classify, statistics, train
+from visemill.llm.quality import CLASSES, FEATURES, classify, statistics, train
 from visemill.llm.queries import op10_quality_trees
 
 
@@ -59,3 +62,32 @@ def test_statistics_have_a_column_each():
     s = Slice(np.frombuffer(b"a b!! cC", np.uint8), np.array([0, 0, 8]), np.array([True, False]), None)
     x = statistics(s)
     assert x.shape == (2, len(FEATURES)) and not x[0].any() and x[1].any()
+
+
+def plain_statistics(text):
+    """The features of one text by their definitions."""
+    data = text.encode()
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    if not words:
+        return [0.0] * len(FEATURES)
+    n, w, size = len(data), len(words), [len(x.encode()) for x in words]
+    mean = sum(size) / w
+    lines = [x for x in text.split("\n") if x]
+    count = Counter(words)
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    share = Counter(data)
+    return [
+        math.log1p(n), math.log1p(w), *(sum(bool(m[b]) for b in data) / n for m in CLASSES.values()), mean, math.sqrt(max(sum(x * x for x in size) / w - mean**2, 0)),
+        sum(x > 12 for x in size) / w, sum(x <= 2 for x in size) / w, sum("A" <= x[0] <= "Z" for x in words) / w, len(count) / w, max(count.values()) / w,
+        sum(a == b for a, b in zip(words, words[1:])) / w, len(lines) / w, len(set(lines)) / max(len(lines), 1),
+        sum(sum(map(letter, x.encode())) < 0.5 * len(x.encode()) for x in words) / w, -sum(c / n * math.log2(c / n) for c in share.values()),
+    ]
+
+
+def test_statistics_by_their_definitions(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect()]
+    texts += ["", " \n ", "one", "a a a A", "Ünï (cöde) 你好 | #1!!\n\nline\nline\r\n***", "x" * 3000 + " y\n" + "z " * 50]
+    data = [(t or "").encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+    got = statistics(Slice(np.frombuffer(b"".join(data), np.uint8), off, np.zeros(len(data), bool), None))
+    assert np.allclose(got, [plain_statistics(t or "") for t in texts], rtol=1e-4, atol=1e-5)

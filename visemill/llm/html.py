@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow mfrac msup msub msqrt mtext svg text tspan g object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not shown as text of the page.
-HIDDEN = ("script", "style", "title", "textarea", "noscript", "template", "svg", "math", "iframe", "object", "select", "button", "datalist")
-#: Of these, those that run to the end of the page where no tag closes them; those that may be empty (<svg/>); those that do not nest.
-TO_END, EMPTY, FLAT = frozenset("script style title textarea noscript iframe".split()), frozenset({"svg", "math"}), frozenset({"select", "button"})
+HIDDEN = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "select", "button", "datalist")
+#: Of these, those that run to the end of the page where no tag closes them, and those that do not nest.
+TO_END, FLAT = frozenset("script style title textarea noscript iframe".split()), frozenset({"select", "button"})
 #: Opening the first closes an open one of the second.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>%s)(?=[\s/>])(?P<rest>[^>]*)>|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>|<[!?][^>]*>|(?P<text>[^<]+|<)" % "|".join(HIDDEN), re.S | re.I)
@@ -45,7 +45,7 @@ def tokens_of(page: str) -> Iterator[re.Match]:
         yield m
         at = m.end()
         name = (m["raw"] or "").lower()
-        if not name or name in unclosed or (name in EMPTY and m["rest"].endswith("/")):
+        if not name or name in unclosed:
             continue
         if end := ENDS[name].search(page, at):
             at = end.end() if end[0].startswith("</") else at
@@ -214,10 +214,18 @@ FURNITURE = {
     "nav": ["Home", "News", "About us", "Contact", "Archive", "Sign in", "Next page", "Topics", "Accueil", "Kontakt", "Inicio"],
     "notice": ["We use cookies to improve your visit. Accept all.", "This site is in maintenance tonight.", "Subscribe to our newsletter!", "Please enable notifications."],
     "footer": ["© 2024 Example. All rights reserved.", "Terms of use", "Privacy", "Imprint", "Powered by example.com"],
+    "thread": ["Comments", "Reader comments", "Replies", "Responses", "Discussion", "Kommentare", "Commentaires", "Comentarios"],
     "form": ["Your name", "Your e-mail address", "Search", "Send", "Leave a reply"],
 }
 
 
+#: Fixed openings of the threads that readers write below an article.
+THREADS = [
+    'section class="comments"', 'div id="comments"', 'ol class="comment-list"', 'div class="reader-comments"', 'section id="discussion"', 'div class="discussion"', 'div id="disqus_thread"',
+    'section class="responses"', 'ul class="replies"', 'div id="respond"', 'div class="user-feedback"', 'section class="talkback"', 'div class="thread"', 'section',
+]
+
+
 #: Private characters that mark text as furniture or main text.
 MARKS = ("\ue000", "\ue001")
 
@@ -273,10 +281,13 @@ def labelled_page(rng: np.random.Generator, sentences: list[str]) -> list[tuple[
             body += text(1, 1, pick(["h2", "h3"]))
         if chance(0.06):
             body += wrap(pick(['div class="ad"', "aside", 'div class="share"']), [(said(1), 0)])
-    comments = [("<h3>", -1), (pick(["Comments", "Reader comments", said(1)]), 0), ("</h3>", -1)]
+    comments = [("<h3>", -1), (pick([*FURNITURE["thread"], f"{int(rng.integers(2, 200))} {pick(FURNITURE['thread']).lower()}", said(1)]), 0), ("</h3>", -1)]
     for _ in range(int(rng.integers(1, 5))):
-        comments += wrap(pick(['div class="comment"', 'li class="comment"', "article class=\"comment\"", "p"]), [(said(int(rng.integers(1, 5))), 0)])
-    comments = wrap(pick(['section class="comments"', 'div id="comments"', 'ol class="comment-list"', 'div class="reader-comments"']), comments)
+        reply = [(said(int(rng.integers(1, 5))), 0)]
+        if chance(0.3):
+            reply = wrap(pick(["div class=\"author\"", "b", "span class=\"user\""]), [(pick(sentences).split()[0], 0)]) + wrap("p", reply)
+        comments += wrap(pick(['div class="comment"', 'li class="comment"', "article class=\"comment\"", "p", "p", 'div class="reply"', "li", 'div class="response"']), reply)
+    comments = wrap(pick(THREADS), comments)
     inside = chance(0.3)
     if chance(0.35) and inside:
         body += comments
@@ -303,21 +314,23 @@ def labelled_blocks(pieces: list[tuple[str, int]]) -> tuple[list[list[str]], lis
     return features_of(blocks), labels
 
 
-def learn_field(pages: DataFrame, sample: int = 200, layouts: int = 600) -> Field:
+def learn_field(pages: DataFrame, sample: int = 200, layouts: int = 600, page_chars: int = 20_000, block_sentences: int = 20, sentences_in_all: int = 5_000) -> Field:
     """Train on ``layouts`` labelled pages of random layout, filled with sentences of at most ``sample`` pages.
 
-    Which page lends sentences is decided by a hash of its id; both numbers bound what reaches the driver.
+    Which page lends sentences is decided by a hash of its id. A lending page gives its first ``page_chars`` characters, a
+    block of it ``block_sentences`` sentences, all pages ``sentences_in_all``: these bounds hold for the training sample
+    alone, and what reaches the driver stays under ``sample`` times ``page_chars``.
     """
     ids = [r[0] for r in pages.select("page_id").filter("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
     lending = pages.filter(F.col("page_id").isin(ids)).limit(sample)
-    rows = lending.select("page_id", F.substring("html", 1, 20_000).alias("html")).collect()
+    rows = lending.select("page_id", F.substring("html", 1, page_chars).alias("html")).collect()
     rows.sort(key=lambda r: (r.page_id, r.html or ""))
     sentences = []
     for r in rows:
         for b in blocks_of(r.html):
-            sentences += [s for s in re.split(r"(?<=[.!?]) ", b.text) if s][:20]
+            sentences += [s for s in re.split(r"(?<=[.!?]) ", b.text) if s][:block_sentences]
     rng = np.random.default_rng(11)
-    sentences = sentences[:5000] or ["A short line of text.", "Another one follows it, somewhat longer than the first!", "Menu"]
+    sentences = sentences[:sentences_in_all] or ["A short line of text.", "Another one follows it, somewhat longer than the first!", "Menu"]
     return train_field([labelled_blocks(labelled_page(rng, sentences)) for _ in range(layouts)])
 
 

@@ -260,11 +260,12 @@ def search(index: DataFrame, benchmark: DataFrame, width: int = 13, within: int
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, within: int = 26) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, within: int | None = 26) -> DataFrame:
     """Score every row of ``docs`` against ``benchmark``: the other columns, n_words, n_hit (words inside any occurrence
     of a benchmark window), n_items, items_sha256 (sorted item ids, comma-joined), contaminated (n_hit > 0 and
     ``share`` * n_hit >= n_words), and n_near: items with a window all of whose words lie, in any order, at most ``within``
-    words from its rarest one. An input column of such a name gives way; the column text is left out.
+    words from its rarest one (0 where ``within`` is None: not looked for). An input column of such a name gives way; the
+    column text is left out.
 
     Texts are lower-cased; words are runs of a-z, 0-9 and non-ASCII characters. A window is ``width`` successive words of
     an item, or the whole of a shorter one. Null texts have no words. Every match behind n_hit and n_items is compared

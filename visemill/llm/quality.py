@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import NOT_SPACE, U64, PrefixHash, Slice, mix, slices, word_bounds
+from .bytetext import NOT_SPACE, U64, Slice, lanes_of, mix, slices, string_hashes, word_bounds
 from .scratch import cut
 
 _b = np.arange(256)
@@ -58,7 +58,8 @@ def statistics(s: Slice) -> np.ndarray:
     mean = per_doc(length, bounds) / w
     spread = np.sqrt(np.maximum(per_doc(length**2, bounds) / w - mean**2, 0))
     first = s.buf[start]
-    h = mix(PrefixHash(s.buf).of(start, end) + (end - start).astype(U64))
+    lanes = lanes_of(s.buf)
+    h = string_hashes(lanes, start, end)
     doc = np.repeat(np.arange(n), words)
     follow = np.zeros(len(h))
     follow[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
@@ -74,7 +75,7 @@ def statistics(s: Slice) -> np.ndarray:
     ls, le, lb = word_bounds(s.buf, s.off, line)
     lines = np.diff(lb)
     ld = np.repeat(np.arange(n), lines)
-    lh = mix(PrefixHash(s.buf).of(ls, le)) ^ mix(ld.astype(U64) + U64(1))
+    lh = string_hashes(lanes, ls, le) ^ mix(ld.astype(U64) + U64(1))
     _, lone = np.unique(lh, return_index=True)
     entropy = np.zeros(n)
     for shares_of in np.array_split(np.arange(n), max(1, n // 2000)):
@@ -183,22 +184,32 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample: int = 20_000, **options) -> Forest:
-    """Train on at most ``sample`` labelled rows that are not held out, chosen by a hash of doc_id.
-
-    ``sample`` bounds what reaches the driver. Null labels and ids are left out; repeated labels all count.
-    """
+def usable_labels(labels: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, y) of about ``sample`` labels at most that are not held out, chosen by a hash of doc_id. Null labels and ids
+    are left out; repeated labels all count."""
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out())
     usable = usable.select("doc_id", F.col("quality").cast("int").alias("y"))
     n = usable.count()
     if n > sample:  # a hash takes a share a little under the bound, so that no task sends more than its part
         usable = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(950_000 * sample / n))
+    return usable
+
+
+def fit(stats: DataFrame, usable: DataFrame, sample: int = 20_000, **options) -> Forest:
+    """Train on the labelled rows of ``stats(doc_id, stats)``; ``sample`` bounds what reaches the driver."""
     rows = stats.select("doc_id", "stats").join(usable, "doc_id").limit(sample).select("doc_id", "stats", "y").collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, bytes(r.stats)))
     x = np.frombuffer(b"".join(bytes(r.stats) for r in rows), dtype=np.float32).reshape(-1, len(FEATURES))
     return train(x, np.array([r.y for r in rows], dtype=np.float64), **options)
 
 
+def fit_documents(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Forest:
+    """Train on the labelled rows of ``docs``; statistics are taken of these alone."""
+    usable = usable_labels(labels, sample)
+    some = docs.select("doc_id", "text").join(usable.select("doc_id").distinct(), "doc_id", "left_semi")
+    return fit(with_statistics(some, ["doc_id"]), usable, sample)
+
+
 def score(stats: DataFrame, forest: Forest, threshold: float = 0.7) -> DataFrame:
     """``stats`` with score and predicted (1 from ``threshold`` on) in place of the packed features."""
     shared = stats.sparkSession.sparkContext.broadcast(forest)
@@ -221,4 +232,4 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold
     language, source and id are no inputs of a score.
     """
     stats = cut(with_statistics(docs, ["doc_id"]))
-    return score(stats, fit(stats, labels, sample), threshold).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return score(stats, fit(stats, usable_labels(labels, sample), sample), threshold).select("doc_id", held_out().alias("held_out"), "score", "predicted")

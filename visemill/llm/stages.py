@@ -1,16 +1,16 @@
-"""Filters and rewrites of ``documents`` built on the operators; each keeps the columns of its input."""
+"""Filters and rewrites of ``documents`` built on the operators; each keeps the columns of its input, whatever their names."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import slices
 from .postings import decontaminate
-from .quality import fit, statistics, with_statistics
+from .quality import fit_documents, statistics
 from .scratch import cut
 from .simhash import near_duplicates
 from .suffix import remove_covered_bytes
@@ -18,7 +18,7 @@ from .suffix import remove_covered_bytes
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Rows whose text the quality trees score at ``threshold`` or more. Nulls and empty texts are scored like others."""
-    forest = docs.sparkSession.sparkContext.broadcast(fit(cut(with_statistics(docs, ["doc_id"])), labels))
+    forest = docs.sparkSession.sparkContext.broadcast(fit_documents(docs, labels))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -31,6 +31,15 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
     return docs.mapInArrow(run, docs.schema)
 
 
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """Id and text, and the whole row in one column, so that no name clashes with an operator's columns."""
+    return docs.select("doc_id", "text", F.struct([_column(c) for c in docs.columns]).alias("row"))
+
+
 def keep_one_of_near_copies(docs: DataFrame, distance: int = 4) -> DataFrame:
     """The row with the smallest doc_id of each group of near copies. Rows of null doc_id stay; of rows that repeat a
     doc_id one stays."""
@@ -47,13 +56,15 @@ def keep_one_of_near_copies(docs: DataFrame, distance: int = 4) -> DataFrame:
 def cut_repeats(docs: DataFrame, depth: int = 50) -> DataFrame:
     """Texts without what a document of smaller doc_id has too, in runs of ``depth`` bytes or more; n_chars follows
     the text, and a null text becomes empty."""
-    out = remove_covered_bytes(docs, depth)
-    new = {"text": F.col("kept_text"), "n_chars": F.length(F.col("kept_text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("kept_text")}
-    return out.select([new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    out = remove_covered_bytes(_apart(docs), depth)
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return out.select([new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows that hold no benchmark passage to speak of: those not ``contaminated``."""
-    found = decontaminate(docs.withColumn("_text", F.col("text")), benchmark)
-    return found.filter("not contaminated").select([F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    found = decontaminate(_apart(docs), benchmark, within=None)
+    return found.filter("not contaminated").select([F.col("row").getField(c).alias(c) for c in docs.columns])
 
