@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from visemill.llm.packing import cut_into_pieces, pack
-from visemill.llm.scratch import ensure_checkpoint_dir
+from visemill.llm.scratch import ensure_checkpoint_dir, remove_folder
 from visemill.llm.stages import cut_repeats, keep_good, keep_one_of_near_copies, keep_uncontaminated
 
 
@@ -45,11 +45,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet in the shared checkpoint folder for the next to read."""
+    """All stages over ``documents``; each is written as Parquet in the shared checkpoint folder for the next to read, and
+    removed when that one is written. The last stage keeps its own checkpoint of all that it needs."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        remove_folder(spark, f"{folder}/{k - 1}")
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    remove_folder(spark, folder)
+    return packed
