@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import contrast, grouped_auc
+from .ordering import grouped_percentiles, hash_order
 
 # Share of a syllable at which the vowel and the final begin when split in proportion.
 SPLIT = (0.25, 0.60)
@@ -73,10 +74,11 @@ def label_coverage(labels: DataFrame, lengths: DataFrame, by: str) -> DataFrame:
 
 def span_distribution(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, median, 5th and 95th percentile, mean in ms, and shares of at most, under 40 ms and over 600 ms."""
-    ms = F.col(value) * 1000
-    share = lambda c: F.round(F.avg(c.cast("double")), 4)
-    p = lambda q: F.round(F.percentile(ms, F.lit(q)), 1)
-    return values.groupBy(*by).agg(F.count(value).alias("n"), p(0.5).alias("median_ms"), p(0.05).alias("p5_ms"), p(0.95).alias("p95_ms"), F.round(F.avg(ms), 1).alias("mean_ms"), share(ms <= 40 + 1e-6).alias("frac_le_40ms"), share(ms < 40 - 1e-6).alias("frac_lt_40ms"), share(ms > 600 + 1e-6).alias("frac_gt_600ms"))
+    rows = values.select(*by, (F.col(value) * 1000).alias("_ms"))
+    ms, share = F.col("_ms"), lambda c: F.round(F.avg(c.cast("double")), 4)
+    places = grouped_percentiles(rows, by, "_ms", {"_p50": 0.5, "_p5": 0.05, "_p95": 0.95}).drop("n")
+    sums = rows.groupBy(*by).agg(F.count(ms).alias("n"), F.round(F.avg(ms), 1).alias("mean_ms"), share(ms <= 40 + 1e-6).alias("frac_le_40ms"), share(ms < 40 - 1e-6).alias("frac_lt_40ms"), share(ms > 600 + 1e-6).alias("frac_gt_600ms"))
+    return sums.join(places, by, "left").select(*by, "n", *[F.round(p, 1).alias(c) for p, c in (("_p50", "median_ms"), ("_p5", "p5_ms"), ("_p95", "p95_ms"))], "mean_ms", "frac_le_40ms", "frac_lt_40ms", "frac_gt_600ms")
 
 
 def alignment_summary(records: DataFrame, syllables: DataFrame, by: str) -> DataFrame:
@@ -85,10 +87,13 @@ def alignment_summary(records: DataFrame, syllables: DataFrame, by: str) -> Data
     per = syllables.groupBy("utt_id").agg(F.count("*").alias("n_syl"), F.min("logprob").alias("worst"), F.sum("logprob").alias("lp"), F.count_if(F.col("logprob") < F.log(F.lit(0.5))).alias("n_low"))
     rows = records.join(per, "utt_id", "left")
     ok = F.col("ok")
-    return rows.groupBy(by).agg(
+    rates = rows.select(by, F.when(ok, F.col("n_syl") / F.col("duration")).alias("_rate"))
+    rates = grouped_percentiles(rates, [by], "_rate", {"rate_median": 0.5}).select(by, F.round("rate_median", 2).alias("rate_median"))
+    out = rows.groupBy(by).agg(
         F.count("*").alias("n_utts"), F.round(F.avg(ok.cast("double")), 4).alias("success_rate"), F.sum(F.when(ok, F.col("n_syl"))).alias("n_syllables"), F.round(F.sum(F.when(ok, F.col("lp"))) / F.sum(F.when(ok, F.col("n_syl"))), 4).alias("mean_logprob"),
-        F.round(F.sum(F.when(ok, F.col("n_low"))) / F.sum(F.when(ok, F.col("n_syl"))), 4).alias("frac_low"), F.round(F.avg(F.when(ok, (F.col("worst") < F.log(F.lit(0.1))).cast("double"))), 4).alias("frac_utts_low"), F.round(F.median(F.when(ok, F.col("n_syl") / F.col("duration"))), 2).alias("rate_median"),
+        F.round(F.sum(F.when(ok, F.col("n_low"))) / F.sum(F.when(ok, F.col("n_syl"))), 4).alias("frac_low"), F.round(F.avg(F.when(ok, (F.col("worst") < F.log(F.lit(0.1))).cast("double"))), 4).alias("frac_utts_low"),
     )
+    return out.join(rates, by, "left")
 
 
 def profile(events: DataFrame, frames: DataFrame, by: str, reach: int, group: str, value: str = "z") -> DataFrame:
@@ -127,38 +132,33 @@ def best_shift(curve: DataFrame, by: list[str]) -> DataFrame:
     return peak.drop("_at").join(widths, by)
 
 
+#: Chances that a Poisson variable of mean one is at most 0, 1, ... 7.
+POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(8))
+
+
 def bootstrap_shift(values: DataFrame, by: list[str], replicas: int = 500, seed: int = 0) -> DataFrame:
-    """95 % intervals over utterances of the best shift and of d at shift 0.
+    """95 % intervals over utterances of the best shift (refined between the shifts) and of d at the shift nearest to 0.
 
-    ``values(*by, utt, shift, positive, x)`` shrink to sums for each utterance and shift first; a task then draws
-    utterances for one contrast.
+    ``values(*by, utt, shift, positive, x)`` shrink to sums for each utterance and shift. An utterance counts in a replica
+    as often as a Poisson draw of mean one says, made from a hash of seed, utterance and replica, so replicas are sums that
+    every task can begin. Null with fewer than five utterances.
     """
     sums = values.filter("x is not null").groupBy(*by, "utt", "shift", "positive").agg(F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2"), F.count("*").alias("n"))
-
-    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        utts, u = np.unique(rows["utt"], return_inverse=True)
-        shifts, s = np.unique(rows["shift"], return_inverse=True)
-        if len(utts) < 5:
-            return pd.DataFrame([[*key, None, None, None, None]])
-        m = np.zeros((2, 3, len(utts), len(shifts)))
-        for k, c in enumerate(("n", "s1", "s2")):
-            np.add.at(m[:, k], (rows["positive"].astype(int).to_numpy(), u, s), rows[c].to_numpy())
-        rng = np.random.default_rng(seed)
-        best, zero = [], []
-        at0 = int(np.argmin(np.abs(shifts)))
-        for _ in range(replicas):
-            w = np.bincount(rng.integers(0, len(utts), len(utts)), minlength=len(utts)).astype(float)
-            n, s1, s2 = np.einsum("u,gkus->kgs", w, m)
-            mean = s1 / np.maximum(n, 1)
-            var = (s2 - n * mean**2) / np.maximum(n - 1, 1)
-            pooled = np.sqrt(np.maximum(((n - 1) * var).sum(axis=0) / np.maximum(n.sum(axis=0) - 2, 1), 1e-12))
-            d = (mean[1] - mean[0]) / pooled
-            best.append(shifts[int(np.argmax(d))])
-            zero.append(d[at0])
-        return pd.DataFrame([[*key, *np.percentile(best, [2.5, 97.5]), *np.percentile(zero, [2.5, 97.5])]])
-
-    kinds = ", ".join(f"{c} {values.schema[c].dataType.simpleString()}" for c in by)
-    return sums.groupBy(*by).applyInPandas(draw, f"{kinds}, shift_low double, shift_high double, d_low double, d_high double")
+    u = F.conv(F.substring(hash_order(F.lit(seed), F.col("utt"), F.col("replica")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    weight = sum(((u > p).cast("int") for p in POISSON), F.lit(0))
+    drawn = sums.select(*by, "utt").distinct().withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))).withColumn("w", weight).filter("w > 0")
+    part = lambda c, yes: F.sum(F.when(F.col("positive") == yes, F.col("w") * F.col(c)))
+    both = drawn.join(sums, [*by, "utt"]).groupBy(*by, "replica", "shift").agg(*[part(c, k == 1).alias(f"{c}_{k}") for c in ("n", "s1", "s2") for k in (0, 1)])
+    squares = lambda k: F.col(f"s2_{k}") - F.col(f"s1_{k}") * F.col(f"s1_{k}") / F.col(f"n_{k}")
+    pooled = F.sqrt(F.greatest((squares(0) + squares(1)) / F.greatest(F.col("n_0") + F.col("n_1") - 2, F.lit(1)), F.lit(1e-12)))
+    curve = both.withColumn("d", (F.col("s1_1") / F.col("n_1") - F.col("s1_0") / F.col("n_0")) / pooled)
+    each = best_shift(curve.select(*by, "replica", "shift", "d"), [*by, "replica"])
+    near = curve.groupBy(*by, "replica").agg(F.min_by("d", F.struct(F.abs("shift"), "shift")).alias("d0"))
+    p = lambda c, q: F.percentile(c, F.lit(q))  # noqa: E731 - one value a replica
+    limits = each.join(near, [*by, "replica"]).groupBy(*by).agg(p("best_shift", 0.025).alias("shift_low"), p("best_shift", 0.975).alias("shift_high"), p("d0", 0.025).alias("d_low"), p("d0", 0.975).alias("d_high"))
+    known = sums.groupBy(*by).agg(F.countDistinct("utt").alias("_utts"))
+    enough = F.col("_utts") >= 5
+    return known.join(limits, by, "left").select(*by, *[F.when(enough, F.col(c)).alias(c) for c in ("shift_low", "shift_high", "d_low", "d_high")])
 
 
 def paired_effect(rows: DataFrame, by: list[str], higher: str, lower: str) -> DataFrame:
@@ -169,10 +169,11 @@ def paired_effect(rows: DataFrame, by: list[str], higher: str, lower: str) -> Da
 
 def robust_statistics(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Percentiles, the scaled median absolute deviation and the mean, in ms of seconds."""
-    middle = rows.groupBy(*by).agg(F.median(value).alias("_m"))
-    spread = rows.join(F.broadcast(middle), by).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    p = lambda q: (F.percentile(value, F.lit(q)) * 1000)
-    return spread.groupBy(*by).agg(F.count(value).alias("n"), p(0.05).alias("p5_ms"), p(0.25).alias("p25_ms"), p(0.5).alias("median_ms"), p(0.75).alias("p75_ms"), p(0.95).alias("p95_ms"), (F.median("_d") * 1482.6).alias("robust_sd_ms"), (F.avg(value) * 1000).alias("mean_ms"))
+    places = grouped_percentiles(rows, by, value, {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95})
+    away = rows.join(places.select(*by, F.col("median").alias("_m")), by).select(*by, F.abs(F.col(value) - F.col("_m")).alias("_d"))
+    spread = grouped_percentiles(away, by, "_d", {"_mad": 0.5}).drop("n")
+    mean = rows.groupBy(*by).agg((F.avg(value) * 1000).alias("mean_ms"))
+    return places.join(spread, by).join(mean, by).select(*by, "n", *[(F.col(c) * 1000).alias(f"{c}_ms") for c in ("p5", "p25", "median", "p75", "p95")], (F.col("_mad") * 1482.6).alias("robust_sd_ms"), "mean_ms")
 
 
 def class_table(rows: DataFrame, by: list[str], channels: list[str], least: int = 20) -> DataFrame:

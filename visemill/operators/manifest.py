@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from .ordering import global_row_number, hash_order
+from .ordering import global_row_number, grouped_row_number, hash_order
 
 
 # ---------------------------------------------------------------- joins
@@ -88,10 +88,9 @@ def shard(rows: DataFrame, k: int, n: int, key: str = "video_stem") -> DataFrame
 
 def stride_sample(rows: DataFrame, cell: list[str], per_cell: int, key: str = "utt_id") -> DataFrame:
     """About ``per_cell`` rows of each cell, evenly spread over ``key``."""
-    w = Window.partitionBy(*cell)
-    step = F.greatest(F.floor(F.count("*").over(w) / per_cell), F.lit(1))
-    at = F.row_number().over(w.orderBy(key)) - 1
-    return rows.withColumn("_at", at).withColumn("_step", step).filter((F.col("_at") % F.col("_step") == 0) & (F.col("_at") < F.col("_step") * per_cell)).drop("_at", "_step")
+    numbered = grouped_row_number(rows, cell, [F.col(key)], "_at", "_size")
+    step = F.greatest(F.floor(F.col("_size") / per_cell), F.lit(1))
+    return numbered.filter((F.col("_at") % step == 0) & (F.col("_at") < step * per_cell)).select(*rows.columns)
 
 
 def speaker_sample(rows: DataFrame, n: int, seed: int, key: str = "utt_id") -> DataFrame:
@@ -99,39 +98,49 @@ def speaker_sample(rows: DataFrame, n: int, seed: int, key: str = "utt_id") -> D
     speakers = rows.select("speaker").distinct()
     total = speakers.count()
     quota = global_row_number(speakers, [F.col("speaker")], "_s").withColumn("_quota", F.lit(n // max(total, 1)) + (F.col("_s") < n % max(total, 1)).cast("int"))
-    pick = F.row_number().over(Window.partitionBy("speaker").orderBy(hash_order(F.lit(seed), F.col(key)), key))
-    return rows.withColumn("_pick", pick).join(quota, "speaker").filter("_pick <= _quota").select(*rows.columns)
+    picked = grouped_row_number(rows, ["speaker"], [hash_order(F.lit(seed), F.col(key)), F.col(key)], "_pick", "_size")
+    return picked.join(quota, "speaker").filter("_pick < _quota").select(*rows.columns)
+
+
+def greedy_cuts(histogram: list[tuple[int, int]], budget: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """How rows sorted by length fall into batches, one entry a length: (length, first position, batch that is open, rows
+    that still go there, first new batch, rows of a new batch); and the number of batches.
+
+    A batch takes rows while rows times the longest stay within ``budget``; a longer row is a batch.
+    """
+    out, at, batches, held = [], 0, 0, 0
+    for value, count in histogram:
+        room = max(1, budget // max(value, 1))
+        joins = min(count, max(0, room - held)) if held and value <= budget else 0
+        fresh = count - joins
+        out.append((value, at, batches - 1, joins, batches, room))
+        if fresh:
+            batches += -(-fresh // room)
+            held = fresh - (fresh - 1) // room * room
+        else:
+            held += joins
+        held = held if value <= budget else 0
+        at += count
+    return out, batches
 
 
 def length_batches(rows: DataFrame, length: str, budget: int, key: str, epoch: int = 0, seed: int = 0) -> DataFrame:
     """Batches of rows of like length: sorted by length, each as large as size * longest <= ``budget`` lets it be; a
     longer row stands alone. Adds batch (in length order) and batch_order (shuffled by a hash of seed and epoch).
 
-    The greedy cut depends on lengths alone, so it is made on the histogram of lengths; rows find their batch by
-    position.
+    The greedy cut depends on lengths alone, so the driver makes it on their histogram, one entry a length; rows find their
+    batch by position and division.
     """
-    histogram = sorted((r[0], r[1]) for r in rows.groupBy(length).count().collect())  # one row for each length
-    first: list[int] = []
-    at, size = 0, 0
-    for value, count in histogram:
-        left = count
-        while left:
-            room = max(1, budget // max(value, 1)) if not size else budget // max(value, 1) - size
-            if size and room <= 0:
-                size = 0
-                continue
-            if not size:
-                first.append(at)
-            take = min(left, room)
-            at, size, left = at + take, size + take, left - take
-            if value > budget:
-                size = 0
-    numbered = global_row_number(rows, [F.col(length), F.col(key)], "_at")
+    histogram = sorted((r[0], r[1]) for r in rows.groupBy(length).count().collect())
+    cuts, n = greedy_cuts(histogram, budget)
     spark = rows.sparkSession
-    bounds = spark.createDataFrame([(b, a, z) for b, (a, z) in enumerate(zip(first, [*first[1:], at]))], "batch int, _first long, _end long")
-    slot = bounds.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_first") / 64), F.floor((F.col("_end") - 1) / 64))))
-    out = numbered.withColumn("_slot", F.floor(F.col("_at") / 64)).join(slot, "_slot").filter("_at >= _first and _at < _end")
-    order = global_row_number(bounds.select("batch"), [hash_order(F.lit(seed), F.lit(epoch), F.col("batch")), F.col("batch")], "batch_order")
+    kinds = spark.createDataFrame(cuts, "_value long, _at0 long, _open long, _joins long, _fresh long, _room long").withColumn("_value", F.col("_value").cast(rows.schema[length].dataType))
+    placed = global_row_number(rows, [F.col(length), F.col(key)], "_at").join(kinds, F.col(length) == F.col("_value"))
+    r = F.col("_at") - F.col("_at0")
+    batch = F.when(r < F.col("_joins"), F.col("_open")).otherwise(F.col("_fresh") + F.floor((r - F.col("_joins")) / F.col("_room")))
+    out = placed.withColumn("batch", batch.cast("int"))
+    numbers = spark.range(n).select(F.col("id").cast("int").alias("batch"))
+    order = global_row_number(numbers, [hash_order(F.lit(seed), F.lit(epoch), F.col("batch")), F.col("batch")], "batch_order")
     return out.join(order, "batch").select(*rows.columns, "batch", "batch_order")
 
 

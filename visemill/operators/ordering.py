@@ -11,10 +11,14 @@ _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row's place in its par
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the folder named by ``spark.checkpoint.dir`` (a temporary one only where it is unset)."""
+    """Write ``df`` once to the folder named by ``spark.checkpoint.dir``. Where that is unset, a local master gets a
+    temporary folder; elsewhere it is an error, as executors could not read each other's."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="visemill-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="visemill-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -51,6 +55,14 @@ def global_cumsum(df: DataFrame, order: list[Column], values: dict[str, str]) ->
     return out.select(*df.columns, *values.values())
 
 
+def grouped_row_number(df: DataFrame, by: list[str], order: list[Column], name: str, size: str) -> DataFrame:
+    """0-based position of each row within its group, and the group's ``size``: a group is a stretch of one global order,
+    so no task has to hold it."""
+    numbered = global_row_number(df, [*map(F.col, by), *order], "_global")
+    groups = numbered.groupBy(*by).agg(F.min("_global").alias("_first"), F.count("*").alias(size))
+    return numbered.join(groups, by).withColumn(name, F.col("_global") - F.col("_first")).select(*df.columns, name, size)
+
+
 def grouped_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """(by, the named percentiles, n) of ``value``, nulls left out, interpolated between neighbours.
 

@@ -87,32 +87,41 @@ def draw_distractors(pool: DataFrame, queries: DataFrame, k: int, seed: int) ->
     pick = lambda of, n: F.pmod(F.conv(F.substring(hash_order(F.lit(seed), *of), 1, 15), 16, 10).cast("long"), n)
     q = queries.select(F.col("id").alias("query"), F.col("speaker").alias("_qs"), F.col("session").alias("_qe"))
     steps = q.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(min(k, max(total - 1, 0)))))).withColumn("_s", F.pmod(pick((F.col("query"), F.lit("speaker")), F.lit(max(total, 1))) + F.col("_step"), F.lit(max(total, 1))))
-    others = steps.join(F.broadcast(speakers) if total < 100_000 else speakers, "_s").filter("speaker <> _qs")
+    others = steps.join(speakers, "_s").filter("speaker <> _qs")
     others = others.withColumn("_n", F.col("_first") + pick((F.col("query"), F.col("speaker")), F.col("_count"))).drop("speaker")
     chosen = others.join(members, "_n").withColumn("pos", F.row_number().over(Window.partitionBy("query").orderBy("_step"))).filter(F.col("pos") <= k)
     chosen = chosen.select("query", "_qs", "_qe", "pos", F.col("id").alias("candidate"), "speaker", "session", F.lit("other_speaker").alias("kind"))
     if total - 1 >= k:
         return chosen.select("query", "pos", "candidate", "kind")
-    # speakers are fewer than distractors: go on with unused recordings
+    # speakers are fewer than distractors: go on with unused recordings. At most k + 1 are used, so that of the next
+    # 2k + 2 in the query's own rotation k are free, or all that there are have been looked at
     groups = pool.groupBy("speaker", "session").agg(F.min_by("id", hash_order(F.lit(seed), F.col("id"))).alias("candidate"))
+    groups = global_row_number(groups, [F.col("speaker"), F.col("session")], "_g")
+    n = max(groups.count(), 1)
+    around = q.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(min(2 * k + 1, n - 1))))).withColumn("_g", F.pmod(pick((F.col("query"), F.lit("group")), F.lit(n)) + F.col("_step"), F.lit(n)))
     used = chosen.select("query", "speaker", "session").union(q.select("query", "_qs", "_qe"))
-    free = q.crossJoin(groups).join(used, ["query", "speaker", "session"], "left_anti")
+    free = around.join(groups, "_g").join(used, ["query", "speaker", "session"], "left_anti")
     have = chosen.groupBy("query").agg(F.max("pos").alias("_have"))
     free = free.join(have, "query", "left").withColumn("_have", F.coalesce("_have", F.lit(0)))
-    order = Window.partitionBy("query").orderBy(hash_order(F.lit(seed), F.col("query"), F.col("speaker"), F.col("session")), "speaker", "session")
     kind = F.when(F.col("speaker") == F.col("_qs"), "same_speaker_other_session").otherwise("other_speaker_other_session")
-    more = free.withColumn("pos", F.col("_have") + F.row_number().over(order)).filter(F.col("pos") <= k).select("query", "pos", "candidate", kind.alias("kind"))
+    more = free.withColumn("pos", F.col("_have") + F.row_number().over(Window.partitionBy("query").orderBy("_step"))).filter(F.col("pos") <= k).select("query", "pos", "candidate", kind.alias("kind"))
     return chosen.select("query", "pos", "candidate", "kind").union(more)
 
 
-def noise_clips(rows: DataFrame, n: int, seed: int, pool_size: int = 64) -> DataFrame:
-    """(id, pos, clip): ``n`` clips for each row of ``rows(id, key, text, speaker)`` from a hashed pool of bounded size,
-    of other sound and other text, those of other speakers first."""
-    pool = rows.orderBy(hash_order(F.lit(seed), F.col("id")), "id").limit(pool_size)
-    pool = pool.select(F.col("id").alias("clip"), F.col("key").alias("_k"), F.col("text").alias("_t"), F.col("speaker").alias("_s"))
-    pairs = rows.join(F.broadcast(pool), (F.col("key") != F.col("_k")) & (F.col("text") != F.col("_t")))
-    order = Window.partitionBy("id").orderBy((F.col("speaker") == F.col("_s")).cast("int"), hash_order(F.lit(seed), F.col("id"), F.col("clip")), "clip")
-    return pairs.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n).select("id", "pos", "clip")
+def noise_clips(rows: DataFrame, n: int | Column, seed: int, pool_size: int = 64, others_only: bool = False) -> DataFrame:
+    """(id, pos, clip): ``n`` clips (a number, or a column of ``rows``) for each row of ``rows(id, key, text, speaker)`` from
+    a hashed pool of bounded size, of other sound and other text, those of other speakers first, or with ``others_only``
+    none but those (a voice that leaks into a recording).
+
+    The pool is an array of ``pool_size`` entries in the plan, so each row chooses for itself and nothing is shuffled.
+    """
+    pool = rows.select("id", "key", "text", "speaker").orderBy(hash_order(F.lit(seed), F.col("id")), "id").limit(pool_size).collect()
+    kinds = {c: rows.schema[c].dataType for c in ("id", "key", "text", "speaker")}
+    entries = F.array(*[F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in kinds.items()]) for r in pool])
+    fits = F.filter(entries, lambda p: (p["key"] != F.col("key")) & (p["text"] != F.col("text")) & (p["speaker"] != F.col("speaker") if others_only else F.lit(True)))
+    ranked = F.array_sort(F.transform(fits, lambda p: F.struct((p["speaker"] == F.col("speaker")).cast("int").alias("own"), hash_order(F.lit(seed), F.col("id"), p["id"]).alias("h"), p["id"].alias("clip"))))
+    out = rows.withColumn("_n", n if isinstance(n, Column) else F.lit(n)).select("id", F.posexplode(F.slice(ranked, F.lit(1), F.col("_n"))).alias("pos", "p")) if pool else rows.limit(0).select("id", F.lit(0).alias("pos"), F.struct(F.col("id").alias("clip")).alias("p"))
+    return out.select("id", (F.col("pos") + 1).alias("pos"), "p.clip")
 
 
 def noise_pool(rows: DataFrame, size: int, seed: int, longest: int = 1 << 20) -> list[tuple]:
