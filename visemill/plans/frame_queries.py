@@ -213,9 +213,18 @@ def subgroups(spark, sf_dir):
     return A.shift_curve(shifted(spark, sf_dir), ["split"]).select("split", "shift", R("d", 5))
 
 
-@query("a25_bootstrap")
+_CHANCES = " + ".join(f"(u > {p!r}e0)::INT" for p in A.POISSON)
+BOOT = f"""{SHIFT}, su AS (SELECT split, utt, shift, positive, sum(x) AS s1, sum(x * x) AS s2, count(*) AS n FROM sh GROUP BY 1, 2, 3, 4), uu AS (SELECT DISTINCT split, utt FROM su), hh AS (SELECT split, utt, r, ('0x' || substr(md5(concat_ws('|', '0', utt, r)), 1, 8))::BIGINT / 4294967296e0 AS u FROM uu, range(200) q(r)),
+ dw AS (SELECT split, utt, r, {_CHANCES} AS w FROM hh), bo AS (SELECT su.split, r, shift, sum(w * n) FILTER (positive) AS n1, sum(w * n) FILTER (NOT positive) AS n0, sum(w * s1) FILTER (positive) AS a1, sum(w * s1) FILTER (NOT positive) AS a0, sum(w * s2) FILTER (positive) AS b1, sum(w * s2) FILTER (NOT positive) AS b0 FROM dw JOIN su ON su.split = dw.split AND su.utt = dw.utt WHERE w > 0 GROUP BY 1, 2, 3),
+ bd AS (SELECT split, r, shift, (a1 / n1 - a0 / n0) / sqrt(greatest((b1 - a1 * a1 / n1 + b0 - a0 * a0 / n0) / greatest(n1 + n0 - 2, 1), 1e-12)) AS d FROM bo),
+ bn AS (SELECT *, lag(d) OVER w AS p, lead(d) OVER w AS q, row_number() OVER (PARTITION BY split, r ORDER BY d DESC, shift) AS k FROM bd WINDOW w AS (PARTITION BY split, r ORDER BY shift)),
+ bt AS (SELECT split, r, shift + coalesce(CASE WHEN p - 2 * d + q < 0 THEN 0.5e0 * (p - q) / (p - 2 * d + q) * 20 ELSE 0 END, 0) AS best FROM bn WHERE k = 1), bz AS (SELECT split, r, d FROM bd WHERE shift = 0)"""
+
+
+@query("a25_bootstrap", f"WITH {BOOT} SELECT split, round(quantile_cont(best, 0.025), 4) AS shift_low, round(quantile_cont(best, 0.975), 4) AS shift_high, round(quantile_cont(d, 0.025), 5) AS d_low, round(quantile_cont(d, 0.975), 5) AS d_high FROM bt JOIN bz USING (split, r) GROUP BY 1")
 def bootstrap(spark, sf_dir):
-    return A.bootstrap_shift(shifted(spark, sf_dir), ["split"], replicas=200)
+    out = A.bootstrap_shift(shifted(spark, sf_dir), ["split"], replicas=200)
+    return out.select("split", R("shift_low", 4), R("shift_high", 4), R("d_low", 5), R("d_high", 5))
 
 
 @query("a26_paired_effect", "WITH g AS (SELECT l_returnflag AS flag, l_quantity - l_discount * 400 AS d FROM lineitem) SELECT flag, count(d) AS n, round(avg(d), 5) AS mean_diff, round(avg(d) / stddev_samp(d), 5) AS dz, round(avg((d > 0)::INT), 5) AS share_higher FROM g GROUP BY 1")
@@ -253,7 +262,15 @@ def av_lag(spark, sf_dir):
     return A.lag_sums(rows, ["utt_key"], "k", "a", "b", 3).select("utt_key", "lag", R("s", 5), "n")
 
 
-@query("a32_label_scoring")
+SCORED = f"""{SYL}, v AS (SELECT unnest(['ctc', 'ctc', 'proportional', 'proportional']) AS mode, unnest([0e0, 0.05e0, 0e0, 0.05e0]) AS lead), fr AS (SELECT mode, lead, utt_id, pos, onset, has_unk, start_s, ext_end_s, unnest(range(CAST(greatest(ceil((start_s - lead - 1e-9) * 25), 0) AS BIGINT), CAST(ceil((ext_end_s - lead - 1e-9) * 25) AS BIGINT))) AS k FROM syl, v),
+ e AS (SELECT *, k / 25e0 + lead AS t, CASE WHEN mode = 'ctc' THEN start_s + 0.02e0 ELSE start_s + (ext_end_s - start_s) * 0.25e0 END AS second, CASE WHEN NOT has_unk THEN ext_end_s WHEN mode = 'ctc' THEN start_s + 0.04e0 ELSE start_s + (ext_end_s - start_s) * 0.6e0 END AS third FROM fr),
+ lab AS (SELECT mode, lead, utt_id, k, CASE WHEN t < second - 1e-9 THEN onset WHEN t < third - 1e-9 THEN 30 ELSE CASE WHEN has_unk THEN 50 END END AS token, row_number() OVER (PARTITION BY mode, lead, utt_id, k ORDER BY pos DESC) AS n FROM e),
+ hit AS (SELECT mode, lead, coalesce(token < 25, false) AS positive, f.x FROM lab JOIN frames f ON f.utt_key = lab.utt_id AND f.k = lab.k WHERE n = 1),
+ rk AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY mode, lead, x) - 1) / 2e0 AS r FROM hit WINDOW w AS (PARTITION BY mode, lead ORDER BY x)),
+ gr AS (SELECT mode, lead, count(*) FILTER (positive) AS n1, count(*) FILTER (NOT positive) AS n0, avg(x) FILTER (positive) AS m1, avg(x) FILTER (NOT positive) AS m0, var_samp(x) FILTER (positive) AS v1, var_samp(x) FILTER (NOT positive) AS v0, sum(r) FILTER (positive) AS rs FROM rk GROUP BY 1, 2)"""
+
+
+@query("a32_label_scoring", f"WITH {FRAMES}, {SCORED} SELECT mode, round(lead * 1000)::INT AS lead_ms, n1, n0, round(m1, 6) AS mean1, round(m0, 6) AS mean0, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS d, round((rs - n1 * (n1 + 1) / 2e0) / n1 / n0, 6) AS auc FROM gr")
 def label_scoring(spark, sf_dir):
     s = with_tokens(spark, sf_dir)
     both = None
@@ -262,7 +279,8 @@ def label_scoring(spark, sf_dir):
             part = A.frame_labels(s, "utt_id", 25.0, lead_s=lead, proportional=proportional).withColumn("mode", F.lit("proportional" if proportional else "ctc")).withColumn("lead_ms", F.lit(int(lead * 1000)))
             both = part if both is None else both.union(part)
     values = frames(spark, sf_dir).select((F.col("utt_key") + 0).alias("utt_id"), F.col("k").cast("long").alias("k"), F.col("x").alias("z"))
-    return A.score_labels(both, values, "utt_id", ["mode", "lead_ms"], F.coalesce(F.col("token") < 25, F.lit(False)))
+    out = A.score_labels(both, values, "utt_id", ["mode", "lead_ms"], F.coalesce(F.col("token") < 25, F.lit(False)))
+    return out.select("mode", "lead_ms", "n1", "n0", R("mean1"), R("mean0"), R("d"), R("auc"))
 
 
 @query("a33_acceptance", "WITH v AS (SELECT event_type AS name, avg(value) AS value FROM events GROUP BY 1), c(name, low, high) AS (VALUES ('click', 0e0, 100e0), ('error', 90e0, 100e0), ('absent', 0e0, 1e0)) SELECT c.name, low, high, round(value, 6) AS value, coalesce(value BETWEEN low AND high, false) AS passed FROM c LEFT JOIN v USING (name)")

@@ -75,13 +75,36 @@ def groups(spark, sf_dir):
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "g.char", "g.kind", F.col("g.first").cast("long").alias("first"), F.col("g.last").cast("long").alias("last"))
 
 
+def aligned_texts(spark, sf_dir):
+    """The groups of each text, and a span of frames for each of its tokens."""
+    rows = hangul(spark, sf_dir).select("doc_id", K.text_groups(K.normalize(F.col("raw"))).alias("groups")).filter("groups is not null and size(groups) > 0")
+    first = "CAST(i * 3 + doc_id % 5 AS INT)"
+    tokens = F.expr(f"transform(sequence(0, element_at(groups, -1).last - 1), i -> struct(i AS id, {first} AS first, {first} + 1 AS last, -(i % 7) / 10e0 AS logprob))")
+    return rows.select(F.col("doc_id").alias("utt_id"), (F.element_at("groups", -1)["last"] * 3 + 40).alias("n_frames"), "groups", tokens.alias("tokens"))
+
+
+@query("v6_syllable_records", f"""WITH {JAMO_SQL}, ok AS (SELECT doc_id FROM tok GROUP BY 1 HAVING NOT bool_or(list_contains(ids, 4))),
+ g AS (SELECT doc_id, pos - 1 AS pos, c, u, sum(len(ids)) OVER w - len(ids) AS a, sum(len(ids)) OVER w AS z, sum((c = ' ')::INT) OVER w AS word, sum(len(ids)) OVER (PARTITION BY doc_id) * 3 + 40 AS n FROM (SELECT t.*, unicode(c) - 44032 AS u FROM tok t) JOIN ok USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ s AS (SELECT *, (a * 3 + doc_id % 5) / 50e0 AS b, round(((z - 1) * 3 + doc_id % 5 + 2) / 50e0, 3) AS e FROM g WHERE u BETWEEN 0 AND 11171), x AS (SELECT *, coalesce(lead(b) OVER (PARTITION BY doc_id ORDER BY pos), n / 50e0) AS nx FROM s)
+ SELECT doc_id AS utt_id, pos::INT AS pos, c AS char, word::BIGINT AS word, round(b, 3) AS start_s, e AS end_s, round(greatest(e, least(nx, e + 0.4e0)), 3) AS ext_end_s, nx > e + 0.4e0 + 1e-9 AS ext_capped, round(list_avg(list_transform(range(a::BIGINT, z::BIGINT), lambda i: -(i % 7) / 10e0)), 3) + 0e0 AS logprob FROM x""")
+def records(spark, sf_dir):
+    from ..operators.segments import syllable_records
+
+    return syllable_records(aligned_texts(spark, sf_dir), 50.0).select("utt_id", "pos", "char", "word", "start_s", "end_s", "ext_end_s", "ext_capped", (F.col("logprob") + 0.0).alias("logprob"))
+
+
 # ---------------------------------------------------------------- error rates
 @query("a5_cer", f"WITH {REFS} SELECT angle, count(*) AS n, round({CER.format(h='hyp')}, 6) AS cer FROM refs GROUP BY 1")
 def cer(spark, sf_dir):
     return references(spark, sf_dir).groupBy("angle").agg(F.count("*").alias("n"), F.round(M.cer(F.col("ref"), F.col("hyp")), 6).alias("cer"))
 
 
-@query("a6_wer", None)
+# each distinct word of a pair becomes one character
+WORDS_SQL = f"""{REFS}, w AS (SELECT angle, list_filter(string_split(ref, ' '), lambda x: x <> '') AS a, list_filter(string_split(hyp, ' '), lambda x: x <> '') AS b FROM refs), u AS (SELECT *, list_distinct(list_concat(a, b)) AS u FROM w),
+ c AS (SELECT angle, len(a) AS n, array_to_string(list_transform(a, lambda x: chr(CAST(33 + list_position(u, x) AS INT))), '') AS a, array_to_string(list_transform(b, lambda x: chr(CAST(33 + list_position(u, x) AS INT))), '') AS b FROM u)"""
+
+
+@query("a6_wer", f"WITH {WORDS_SQL} SELECT angle, count(*) AS n, round(sum(levenshtein(a, b))::DOUBLE / sum(n), 6) AS wer FROM c GROUP BY 1")
 def wer(spark, sf_dir):
     return references(spark, sf_dir).groupBy("angle").agg(F.count("*").alias("n"), F.round(M.wer(F.col("ref"), F.col("hyp")), 6).alias("wer"))
 
