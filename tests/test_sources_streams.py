@@ -105,11 +105,43 @@ def test_subtitles_and_reports(spark, tmp_path):
     assert [s.text for s in spark.read.json(str(tmp_path / "j")).first().segments] == ["", " a  b ", "c"]
 
 
-def test_manifest_writer_replaces_only_its_parts(spark, tmp_path):
+def test_manifest_writer_replaces_videos_and_marks_last(spark, tmp_path, monkeypatch):
     out = str(tmp_path / "m")
-    W.write_manifests(spark.createDataFrame([("a", 1), ("b", 1)], "split_dir string, n int"), out)
-    W.write_manifests(spark.createDataFrame([("b", 2)], "split_dir string, n int"), out)
-    assert sorted((r.split_dir, r.n) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 2)]
+    write = lambda rows: W.write_manifests(spark.createDataFrame(rows, "video_stem string, split_dir string, n int"), out, buckets=3)
+    write([("v1", "O", 1), ("v2", "O", 1), ("v2", "O", 2), ("v3", "P", 1)])
+    write([("v3", "O", 7), ("v4", "P", 1)])
+    read = lambda: sorted(map(tuple, W.read_done_manifests(spark, out).collect()))
+    first = [("v1", "O", 1), ("v2", "O", 1), ("v2", "O", 2), ("v3", "O", 7), ("v4", "P", 1)]
+    assert read() == first
+    write([("v3", "O", 7), ("v4", "P", 1)])
+    assert read() == first
+    assert sorted((r.video_stem, r.n_utts) for r in spark.read.parquet(f"{out}/done").collect()) == [("v1", 1), ("v2", 2), ("v3", 1), ("v4", 1)]
+    whole = W.replace_keys
+
+    def breaks(rows, path, *args, **options):
+        if path.endswith("/rows"):
+            raise OSError("disk full")
+        whole(rows, path, *args, **options)
+
+    monkeypatch.setattr(W, "replace_keys", breaks)
+    with pytest.raises(OSError):
+        write([("v2", "O", 9)])
+    monkeypatch.undo()
+    assert sorted({r[0] for r in read()}) == ["v1", "v3", "v4"]  # v2 is to be done again
+    write([("v2", "O", 9)])
+    assert ("v2", "O", 9) in read() and len(read()) == 4
+
+
+def test_archives_are_indexed_by_their_headers(spark, tmp_path):
+    with open(tmp_path / "big.tar", "wb") as f:  # a hole of 3 GB stands for a film
+        for name, size in (("a/film.mp4", 3 << 30), ("b/next.wav", 4)):
+            info = tarfile.TarInfo(name)
+            info.size = size
+            f.write(info.tobuf(format=tarfile.GNU_FORMAT))
+            f.seek(-(-size // 512) * 512, 1)
+        f.write(bytes(1024))
+    got = {r.key: r for r in R.media_index(spark, str(tmp_path)).collect()}
+    assert got["film.mp4"].size == 3 << 30 and got["film.mp4"].offset == 512 and got["next.wav"].offset == 512 * 2 + (3 << 30)
 
 
 def test_ingest_and_status_streams(spark, tmp_path):

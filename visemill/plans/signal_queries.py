@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,9 @@ from ..operators import segments as G
 from ..operators import signal as S
 from ..operators.ordering import cut
 from ..streaming import jobs as J
-from .adapters import FRAMES, frames, table
+from ..sources.readers import read_manifests
+from ..sources.writers import read_done_manifests, write_manifests
+from .adapters import FRAMES, UTT, frames, table, utterances
 from .registry import query
 
 
@@ -155,9 +158,15 @@ def batch_scorer(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streams
-def shared_folder(spark, name: str) -> str:
+@contextmanager
+def shared_folder(spark, name: str):
+    """A folder of its own below the checkpoint folder, removed in the end."""
     cut(spark.range(1))  # sets the checkpoint folder where the session names none
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}")
+    try:
+        yield where.toString()
+    finally:
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def event_stream(spark, sf_dir) -> DataFrame:
@@ -171,19 +180,42 @@ def event_stream(spark, sf_dir) -> DataFrame:
 
 @query("r1_incremental_ingest", "SELECT count(DISTINCT event_id) AS n, count(DISTINCT user_id) AS users, round(sum(value), 2) AS total FROM events")
 def ingest(spark, sf_dir):
-    folder = shared_folder(spark, "ingest")
     stream = event_stream(spark, sf_dir).select("event_id", "user_id", "value")
-    for _ in range(2):  # the second run finds nothing new
-        J.ingest(stream, "event_id", f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total"))
+    with shared_folder(spark, "ingest") as folder:
+        for _ in range(2):  # the second run finds nothing new
+            J.ingest(stream, "event_id", f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+        return cut(spark.read.parquet(f"{folder}/rows").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total")))
 
 
 @query("r2_latest_status", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_id, event_type FROM r WHERE k = 1")
 def latest(spark, sf_dir):
-    folder = shared_folder(spark, "status")
     stream = event_stream(spark, sf_dir).select("user_id", "event_id", "event_type", "ts")
-    J.latest_status(stream, "user_id", ["ts", "event_id"], f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
-    return J.current_status(spark, f"{folder}/table").select("user_id", "event_id", "event_type")
+    with shared_folder(spark, "status") as folder:
+        J.latest_status(stream, "user_id", ["ts", "event_id"], f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+        return cut(J.current_status(spark, f"{folder}/table").select("user_id", "event_id", "event_type"))
+
+
+@query("s7_manifest_writer", f"WITH {UTT}, w AS (SELECT *, CASE WHEN video_stem % 3 = 0 THEN duration + 1 ELSE duration END AS d FROM utt) SELECT split_dir, count(*) AS n, count(DISTINCT video_stem) AS videos, round(sum(d), 4) AS seconds FROM w GROUP BY 1")
+def manifest_writer(spark, sf_dir):
+    """Two writes: all videos, then every third again with other durations; rows of done videos as they lie there."""
+    rows = utterances(spark, sf_dir)
+    again = rows.filter("video_stem % 3 = 0").withColumn("duration", F.col("duration") + 1)
+    with shared_folder(spark, "manifests") as folder:
+        write_manifests(rows, folder, buckets=8)
+        write_manifests(again, folder, buckets=8)
+        out = read_done_manifests(spark, folder)
+        return cut(out.groupBy("split_dir").agg(F.count("*").alias("n"), F.countDistinct("video_stem").alias("videos"), F.round(F.sum("duration"), 4).alias("seconds")))
+
+
+@query("s3_manifest_reader", f"WITH {UTT} SELECT speaker, count(*) AS n, round(sum(duration), 4) AS seconds, (SELECT count(*) FROM utt WHERE has_unk) AS n_bad FROM utt WHERE NOT has_unk GROUP BY 1")
+def manifest_reader(spark, sf_dir):
+    """The utterances as JSON lines, those with unknown characters without a required key, read back."""
+    rows = utterances(spark, sf_dir).select("utt_id", F.col("video_stem").cast("string").alias("video_stem"), "split_dir", "speaker", "angle", F.col("n_frames").cast("int").alias("n_frames"), "duration", F.lit("").alias("text"), "has_unk", F.lit("a.npz").alias("npz"), F.when(~F.col("has_unk"), "m.mp4").alias("mouth_mp4"))
+    with shared_folder(spark, "lines") as folder:
+        rows.write.json(f"{folder}/m")
+        good, problems = read_manifests(spark, f"{folder}/m")
+        bad = problems.agg(F.count("*").alias("n_bad"))
+        return cut(good.groupBy("speaker").agg(F.count("*").alias("n"), F.round(F.sum("duration"), 4).alias("seconds")).crossJoin(F.broadcast(bad)))
 
 
 RESAMPLED = f"""{FRAMES}, f AS (SELECT utt_key, k, CASE WHEN valid THEN k / 25e0 END AS t FROM frames),

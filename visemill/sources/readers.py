@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,20 +58,24 @@ def explode_sentences(videos: DataFrame) -> DataFrame:
 
 
 def media_index(spark: SparkSession, path: str) -> DataFrame:
-    """(key, stem, ext, path, size, offset) of media files below ``path`` and of the members of tar archives there; only
-    tar headers are read. ``offset`` is null for plain files. Of one key the last path stays."""
+    """(key, stem, ext, path, size, offset) of media files below ``path`` and of the members of tar archives there.
+
+    A task opens an archive by its path and leaps from header to header, so archives may be of any size. ``offset`` is null
+    for plain files and sparse members. Of one key the last path stays.
+    """
     meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
     split = lambda p: (F.regexp_extract(p, r"([^/]*?)(\.[^./]*)?$", 1).alias("stem"), F.lower(F.regexp_extract(p, r"(\.[^./]*)$", 1)).alias("ext"))
     plain = meta.filter(F.lower("path").rlike(r"\.(mp4|wav)$")).select(*split(F.col("path")), "path", "size", F.lit(None).cast("long").alias("offset"))
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for where, content in zip(b["path"], b["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    rows = [(f"{where}!{m.name}", m.size, m.offset_data) for m in tar if m.isfile()]
-                yield pd.DataFrame(rows, columns=["path", "size", "offset"])
+            for where in b["path"]:
+                system, at = pafs.FileSystem.from_uri(where)
+                with system.open_input_file(at) as archive, tarfile.open(fileobj=archive, mode="r:") as tar:
+                    rows = [(f"{where}!{m.name}", m.size, None if m.sparse else m.offset_data) for m in tar if m.isfile()]
+                yield pd.DataFrame(rows, columns=["path", "size", "offset"]).astype({"offset": "Int64"})
 
-    tars = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tar").load(path).select("path", "content")
+    tars = meta.filter(F.lower("path").endswith(".tar")).select("path").repartition("path")
     inside = tars.mapInPandas(members, "path string, size long, offset long").filter(F.lower("path").rlike(r"\.(mp4|wav)$")).select(*split(F.col("path")), "path", "size", "offset")
     both = plain.unionByName(inside).withColumn("key", F.concat("stem", "ext"))
     return both.groupBy("key").agg(F.max_by(F.struct("stem", "ext", "path", "size", "offset"), "path").alias("m")).select("key", "m.*")

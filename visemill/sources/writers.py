@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import srt_time
+from ..operators.ordering import cut
 
 
 def finite(x: Column) -> Column:
@@ -21,9 +22,50 @@ def write_report(rows: DataFrame, path: str) -> None:
     finite_numbers(rows).write.mode("overwrite").json(path)
 
 
-def write_manifests(utt: DataFrame, path: str, by: str = "split_dir") -> None:
-    """Parquet, one folder for each value of ``by``; a second write replaces only the folders that it brings."""
-    utt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def replace_keys(rows: DataFrame, path: str, key: str, buckets: int, drop: DataFrame | None = None) -> None:
+    """Put ``rows`` into the Parquet table at ``path`` in place of all that it holds of their keys (or of those of ``drop``).
+
+    The table is dealt to folders by a hash of the key; only folders that hold such a key are read and written anew.
+    """
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    keys = (rows if drop is None else drop).select(key).distinct()
+    new = rows.withColumn("_bucket", bucket)
+    if folder_exists(spark, path):
+        touched = [r[0] for r in keys.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+        kept = spark.read.parquet(path).filter(F.col("_bucket").isin(touched)).join(keys, key, "left_anti")
+        new = cut(new.unionByName(kept, allowMissingColumns=True))
+        if drop is not None:  # a folder that loses all its rows is not among those written
+            left = {r[0] for r in new.select("_bucket").distinct().collect()}
+            for b in set(touched) - left:
+                where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_bucket={b}")
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    new.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+
+
+def write_manifests(utt: DataFrame, path: str, key: str = "video_stem", buckets: int = 64) -> None:
+    """Manifest rows under ``path``/rows and the videos that are done under ``path``/done(video_stem, n_utts).
+
+    A video that is written again is replaced, the others stay as they are. Its done marker goes first and comes back last,
+    so a write that breaks off leaves a video without one, to be done again.
+    """
+    utt = cut(utt)
+    done = utt.groupBy(key).agg(F.count("*").alias("n_utts"))
+    if folder_exists(utt.sparkSession, f"{path}/done"):
+        replace_keys(done.limit(0), f"{path}/done", key, buckets, drop=utt)
+    replace_keys(utt, f"{path}/rows", key, buckets)
+    replace_keys(done, f"{path}/done", key, buckets)
+
+
+def read_done_manifests(spark: SparkSession, path: str, key: str = "video_stem") -> DataFrame:
+    """Rows of the videos whose marker is there."""
+    rows = spark.read.parquet(f"{path}/rows").drop("_bucket")
+    return rows.join(spark.read.parquet(f"{path}/done").select(key), key, "left_semi").select(rows.columns)
 
 
 def srt_cues(segments: DataFrame) -> DataFrame:

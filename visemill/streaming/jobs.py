@@ -7,42 +7,51 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.intervals import latest_by_key
+from ..operators.ordering import cut
+from ..sources.writers import folder_exists, replace_keys
 
 
 def ingest(stream: DataFrame, key: str, sink: str, checkpoint: str):
     """Append rows of new files once; a key seen before is dropped, so a second run adds nothing. Runs to the end of what
-    is there, then stops."""
-    return stream.dropDuplicates([key]).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    is there, then stops.
 
+    What was seen is the table itself, not a state that grows: each batch is a folder, written again whole if it is
+    repeated, and leaves out the keys of the folders before it (of which only the key column is read).
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates([key])
+        if folder_exists(spark, sink):
+            before = spark.read.parquet(sink).filter(F.col("_batch") < number).select(key)
+            fresh = fresh.join(before, key, "left_anti").select(batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{sink}/_batch={number}")
 
-def latest_status(stream: DataFrame, key: str, order: list[str], sink: str, checkpoint: str):
-    """Keep a Parquet table of the last record of each key. Every batch folds its own rows into the table, so the state is
-    the table itself and a repeated batch changes nothing."""
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_status(stream: DataFrame, key: str, order: list[str], sink: str, checkpoint: str, buckets: int = 64):
+    """Keep a Parquet table of the last record of each key, dealt to folders by a hash of the key. A batch reads and writes
+    the folders of its own keys only, and a repeated batch changes nothing."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = latest_by_key(batch, key, order)
-        versions = spark._jvm.org.apache.hadoop.fs.Path(sink)
-        system = versions.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = sorted(int(f.getPath().getName()[1:]) for f in system.listStatus(versions) if f.getPath().getName().startswith("v")) if system.exists(versions) else []
-        before = [n for n in done if n < number]
-        merged = latest_by_key(spark.read.parquet(f"{sink}/v{before[-1]}").unionByName(fresh), key, order) if before else fresh
-        merged.write.mode("overwrite").parquet(f"{sink}/v{number}")
+        fresh = cut(latest_by_key(batch, key, order))
+        if folder_exists(batch.sparkSession, sink):
+            before = batch.sparkSession.read.parquet(sink).drop("_bucket")
+            fresh = latest_by_key(fresh.unionByName(before.join(fresh.select(key), key, "left_semi")), key, order)
+        replace_keys(fresh, sink, key, buckets)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_status(spark, sink: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(sink)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    last = max(int(f.getPath().getName()[1:]) for f in system.listStatus(path) if f.getPath().getName().startswith("v"))
-    return spark.read.parquet(f"{sink}/v{last}")
+def current_status(spark: SparkSession, sink: str) -> DataFrame:
+    return spark.read.parquet(sink).drop("_bucket")
 
 
 # ---------------------------------------------------------------- frame resampler
