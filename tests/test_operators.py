@@ -381,3 +381,41 @@ def test_bootstrap_brackets_the_truth(spark):
     rows = [("c", u, s, bool(k % 2), float(r.normal() + (k % 2) * (2 - abs(s) / 20))) for u in range(30) for k in range(6) for s in (-40, -20, 0, 20, 40)]
     got = A.bootstrap_shift(spark.createDataFrame(rows, "c string, utt int, shift int, positive boolean, x double"), ["c"], replicas=100).first()
     assert got.shift_low <= 0 <= got.shift_high and got.d_low < 2 < got.d_high
+
+
+def test_windows_shifts_and_bands(spark):
+    df = spark.range(300).select("id", (F.col("id") % 60).alias("n"))
+    rows = df.select("n", S.window_start(F.col("n"), 20, F.col("id")).alias("start"), "id").select("*", S.signed_shift(F.col("start"), F.col("n"), 20, 3, 5, F.col("id")).alias("shift"), S.mask_bands(F.col("n"), 2, 7, F.col("id")).alias("bands")).collect()
+    for r in rows:
+        assert (r.start is None) == (r.n < 20)
+        assert all(b.start is None and r.n < b.length or 0 <= b.start and b.start + b.length <= r.n and b.length <= 7 for b in r.bands)
+        if r.start is None:
+            assert r["shift"] == 0
+        else:
+            fits = [s for m in (3, 4, 5) for s in (-m, m) if 0 <= r.start + s <= r.n - 20]
+            assert r["shift"] in (fits or [0])
+    assert {r["shift"] for r in rows} == {-5, -4, -3, 0, 3, 4, 5}
+
+
+def test_leakage_and_leaking_clips(spark):
+    r = np.random.default_rng(8)
+    streams = [[r.normal(size=400).tolist(), r.normal(size=300).tolist(), r.normal(size=350).tolist()]]
+    got = spark.createDataFrame([(streams[0], 6.0)], "s array<array<double>>, level double").select(S.leakage_column("s", "level")).first()[0]
+    own = np.array(streams[0][0])
+    assert [len(g) for g in got] == [400] * 3
+    assert 20 * np.log10(S.rms(own) / S.rms(np.array(got[0]) - own)) == pytest.approx(6, abs=1e-3)
+    rows = [(i, f"k{i // 2}", f"t{i % 5}", f"s{i % 3}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, key string, text string, speaker string").withColumn("want", (F.col("id") % 3 + 2).cast("int"))
+    of = {x[0]: x for x in rows}
+    clips = P.noise_clips(df, F.col("want"), 1, pool_size=20).collect()
+    for i in of:
+        mine = [c for c in clips if c.id == i]
+        assert len(mine) == i % 3 + 2 and all(of[c.clip][1] != of[i][1] and of[c.clip][2] != of[i][2] for c in mine)
+    leaks = P.noise_clips(df, 1, 1, pool_size=20, others_only=True).collect()
+    assert len(leaks) == 40 and all(of[c.clip][3] != of[c.id][3] for c in leaks)
+    assert P.noise_clips(df.limit(0), 2, 1).collect() == []
+
+
+def test_negatives_fall_back_to_sessions(spark):
+    two = spark.createDataFrame([("a", 1), ("b", 1)], "speaker string, session int")
+    assert P.negative_columns(two) == "speaker" and P.negative_columns(two.filter("speaker = 'a'")) == "session"

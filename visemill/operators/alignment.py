@@ -96,6 +96,15 @@ def alignment_summary(records: DataFrame, syllables: DataFrame, by: str) -> Data
     return out.join(rates, by, "left")
 
 
+def delta_summary(deltas: DataFrame, by: list[str], value: str, tolerance: float = 0.02) -> DataFrame:
+    """How far syllables begin or end from their labels, by group: n, shares not before the label (by ``tolerance``), more
+    than 100 ms before and more than 300 ms after it, and the 5th, 50th and 95th percentile in ms."""
+    x, share = F.col(value), lambda c: F.round(F.avg(c.cast("double")), 4)
+    shares = deltas.filter(x.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), share(x >= -tolerance).alias("frac_after"), share(x < -0.1).alias("frac_100ms_before"), share(x > 0.3).alias("frac_300ms_after"))
+    places = grouped_percentiles(deltas, by, value, {"p5": 0.05, "p50": 0.5, "p95": 0.95}).drop("n")
+    return shares.join(places, by).select(*by, "n", "frac_after", "frac_100ms_before", "frac_300ms_after", *[F.round(F.col(p) * 1000, 1).alias(c) for p, c in (("p50", "median_ms"), ("p5", "p5_ms"), ("p95", "p95_ms"))])
+
+
 def profile(events: DataFrame, frames: DataFrame, by: str, reach: int, group: str, value: str = "z") -> DataFrame:
     """(group, offset, n, mean) of the frame value around events: ``events(by, k0, group)`` spread over the offsets and
     joined with ``frames(by, k, value)`` on frame number."""
@@ -176,6 +185,37 @@ def robust_statistics(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return places.join(spread, by).join(mean, by).select(*by, "n", *[(F.col(c) * 1000).alias(f"{c}_ms") for c in ("p5", "p25", "median", "p75", "p95")], (F.col("_mad") * 1482.6).alias("robust_sd_ms"), "mean_ms")
 
 
+def centred_jitter(rows: DataFrame, by: list[str], speaker: str, value: str, least: int = 5) -> DataFrame:
+    """Spread of ``value`` around each speaker's own median, speakers with fewer than ``least`` values left out: n, the
+    scaled median absolute deviation and the interquartile range in ms."""
+    own = grouped_percentiles(rows, [*by, speaker], value, {"_m": 0.5}).filter(F.col("n") >= least).drop("n")
+    away = rows.join(own, [*by, speaker]).select(*by, (F.col(value) - F.col("_m")).alias("_d"), F.abs(F.col(value) - F.col("_m")).alias("_a"))
+    iqr = grouped_percentiles(away, by, "_d", {"_q1": 0.25, "_q3": 0.75})
+    mad = grouped_percentiles(away, by, "_a", {"_mad": 0.5}).drop("n")
+    return iqr.join(mad, by).select(*by, "n", (F.col("_mad") * 1482.6).alias("robust_sd_ms"), ((F.col("_q3") - F.col("_q1")) * 1000).alias("iqr_ms"))
+
+
+def subgroup_curves(values: DataFrame, groups: list[str]) -> DataFrame:
+    """(group, value, shift, n1, n0, d): the shift curve of each value of each column of ``groups``."""
+    kinds = F.array(*[F.struct(F.lit(g).alias("group"), F.col(g).cast("string").alias("value")) for g in groups])
+    rows = values.select("shift", "positive", "x", F.inline(kinds))
+    return contrast(rows, ["group", "value", "shift"]).select("group", "value", "shift", "n1", "n0", "d")
+
+
+def agreement(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: n, Pearson's r of two columns (null for fewer than four rows), and mean, deviation and range of y - x."""
+    rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    gap = F.col(y) - F.col(x)
+    return rows.agg(F.count("*").alias("n"), F.when(F.count("*") >= 4, F.corr(x, y)).alias("r"), F.avg(gap).alias("mean"), F.stddev_samp(gap).alias("sd"), F.min(gap).alias("least"), F.max(gap).alias("most"))
+
+
+def video_summary(segments: DataFrame, frames: DataFrame, by: str, modes: list[str], mode: str = "topic") -> DataFrame:
+    """Subtitles of each video: segments, how many of each mode, how many with text, seconds, and the share of its frames
+    with a face (null without frames)."""
+    told = segments.groupBy(by).agg(F.count("*").alias("n"), *[F.count_if(F.col(mode) == m).alias(f"n_{m}") for m in modes], F.count_if(F.trim("text") != "").alias("with_text"), F.sum(F.col("end_s") - F.col("start_s")).alias("seconds"))
+    return told.join(frames.groupBy(by).agg(F.avg(F.col("valid").cast("double")).alias("valid_ratio")), by, "left")
+
+
 def class_table(rows: DataFrame, by: list[str], channels: list[str], least: int = 20) -> DataFrame:
     """n and the mean of every channel of each class with at least ``least`` rows."""
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in channels]).filter(F.col("n") >= least)

@@ -132,6 +132,19 @@ def z_scores(frames: DataFrame, by: str, value: str, valid: str, floor: float =
     return frames.withColumn("z", F.when(F.col(valid) & (F.count(x).over(w) >= 2), z).otherwise(0.0))
 
 
+def pixel_z_scores(frames: DataFrame, by: str, pixels: str = "pixels", floor: float = 1e-3, fixed: tuple[float, float] | None = None) -> DataFrame:
+    """``pixels`` (bytes as numbers, one channel a row) divided by 255 and brought to mean 0 and deviation 1 over all frames
+    of a group, or by the ``fixed`` mean and deviation of a whole data set. Frames are summed first, groups from those."""
+    unit = F.transform(pixels, lambda p: p.cast("double") / 255)
+    if fixed:
+        return frames.withColumn(pixels, F.transform(unit, lambda p: (p - fixed[0]) / fixed[1]))
+    add = lambda f: F.aggregate(unit, F.lit(0.0), lambda a, p: a + f(p))
+    sums = frames.select(by, F.size(pixels).alias("n"), add(lambda p: p).alias("s1"), add(lambda p: p * p).alias("s2")).groupBy(by).agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+    mean = F.col("s1") / F.col("n")
+    scale = sums.select(by, mean.alias("_mean"), F.greatest(F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0))), F.lit(floor)).alias("_sd"))
+    return frames.join(scale, by).withColumn(pixels, F.transform(unit, lambda p: (p - F.col("_mean")) / F.col("_sd"))).drop("_mean", "_sd")
+
+
 def even_times(rows: DataFrame, by: str, order: str, start: str, end: str) -> DataFrame:
     """``even_start`` and ``even_end``: as many equal spans as rows between the first start and the last end."""
     w = Window.partitionBy(by)

@@ -69,6 +69,14 @@ def split_report(rows: DataFrame, main_angle: str = "A") -> DataFrame:
     return rows.groupBy("split").agg(F.count("*").alias("n_all"), F.count_if(F.col("drop_reason").isNull()).alias("n_kept"), hours.alias("hours"), unique.alias("hours_main"))
 
 
+def storage_status(rows: DataFrame, paths: list[str], files: DataFrame, by: str = "split_dir") -> DataFrame:
+    """By ``by``: utterances, seconds, and of the files that they name those there, their bytes, and those missing or empty."""
+    named = rows.select(by, F.explode(F.array(*paths)).alias("rel_path")).join(files.select("rel_path", "size"), "rel_path", "left")
+    there = F.coalesce(F.col("size") > 0, F.lit(False))
+    stored = named.groupBy(by).agg(F.count_if(there).alias("files"), F.sum(F.when(there, F.col("size")).otherwise(0)).alias("bytes"), F.count_if(~there).alias("missing"))
+    return rows.groupBy(by).agg(F.count("*").alias("utts"), F.sum("duration").alias("seconds")).join(stored, by)
+
+
 # ---------------------------------------------------------------- subsets, shards, batches
 def even_subset(rows: DataFrame, n: int, key: str = "utt_id") -> DataFrame:
     """At most ``n`` rows, evenly spread over the order of ``key``: those at floor(i * total / n)."""

@@ -215,15 +215,41 @@ def selection_credit(candidates: DataFrame, query: list[str]) -> DataFrame:
     return out.groupBy(*query).agg(credit.alias("credit"), F.count_if(~F.col("is_true")).alias("distractors"))
 
 
+def nway_report(candidates: DataFrame, n_values: list[int], groups: list[str]) -> DataFrame:
+    """(direction, n_way, group, value, n, n_skipped, acc, chance, all_other) of ``candidates(direction, query, pos, s, kind,
+    *groups)``: over all queries (group 'all') and by each column of ``groups``.
+
+    The true candidate has pos 0, distractors follow from 1. Of N candidates the first N - 1 distractors count; queries
+    with fewer are skipped. ``all_other`` is the share of queries whose distractors are all of kind 'other_speaker'.
+    """
+    wide = candidates.withColumn("n_way", F.explode(F.array(*map(F.lit, n_values)))).filter("pos < n_way").withColumn("is_true", F.col("pos") == 0)
+    keys = ["direction", "n_way", "query"]
+    credit = selection_credit(wide, keys)
+    rest = wide.groupBy(*keys).agg(*[F.first(g).alias(g) for g in groups], F.min(F.when(~F.col("is_true"), (F.col("kind") == "other_speaker").cast("int"))).alias("_other"))
+    rows = credit.join(rest, keys).withColumn("_ok", F.col("distractors") == F.col("n_way") - 1)
+    kinds = F.array(F.struct(F.lit("all").alias("group"), F.lit("").alias("value")), *[F.struct(F.lit(g).alias("group"), F.col(g).cast("string").alias("value")) for g in groups])
+    spread = rows.select("direction", "n_way", "credit", "_ok", "_other", F.inline(kinds))
+    return spread.groupBy("direction", "n_way", "group", "value").agg(
+        F.count_if("_ok").alias("n"), F.count_if(~F.col("_ok")).alias("n_skipped"), F.avg(F.when(F.col("_ok"), F.col("credit"))).alias("acc"), (1 / F.first("n_way")).alias("chance"), F.avg(F.when(F.col("_ok"), F.col("_other").cast("double"))).alias("all_other")
+    )
+
+
 def offset_predictions(offsets: DataFrame, query: list[str]) -> DataFrame:
     """Offset with the highest score of each query; the smallest of equals."""
     return offsets.groupBy(*query).agg(F.max_by("offset", F.struct("s", -F.col("offset"))).alias("offset"))
 
 
+def long_enough(windows: DataFrame, reach: int, width: int) -> Column:
+    """Whether a window of ``width`` frames from ``start`` of a clip of ``n`` stays inside at all offsets up to ``reach``."""
+    return (F.col("start") >= reach) & (F.col("start") + reach + width <= F.col("n"))
+
+
 def offset_report(predictions: DataFrame, frame_ms: float = 40.0) -> DataFrame:
+    """Errors of ``predictions(offset)``; a null offset is a query that was too short to try."""
     err = F.abs("offset")
     return predictions.agg(
-        F.count("*").alias("n"), F.avg((err <= 1).cast("double")).alias("acc_pm1"), F.avg((err == 0).cast("double")).alias("acc_exact"), (F.median(err) * frame_ms).alias("median_abs_ms"), (F.avg(err) * frame_ms).alias("mean_abs_ms")
+        F.count_if(F.col("offset").isNull()).alias("n_skipped_short"),
+        F.count("offset").alias("n"), F.avg((err <= 1).cast("double")).alias("acc_pm1"), F.avg((err == 0).cast("double")).alias("acc_exact"), (F.median(err) * frame_ms).alias("median_abs_ms"), (F.avg(err) * frame_ms).alias("mean_abs_ms")
     )
 
 
@@ -256,6 +282,11 @@ def scene_assignments(scores: DataFrame, scene: list[str]) -> DataFrame:
     return scores.groupBy(*scene).applyInPandas(one, f"{kinds}, scene_right boolean, stream_share double")
 
 
+def scene_report(scores: DataFrame, by: list[str], unit: list[str]) -> DataFrame:
+    """n, scene_acc and stream_acc of the assignments of each unit (a scene, or one of its windows), by variant."""
+    return scene_assignments(scores, [*by, *unit]).groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("scene_right").cast("double")).alias("scene_acc"), F.avg("stream_share").alias("stream_acc"))
+
+
 def offscreen(scores: DataFrame, stream: list[str], threshold: float) -> DataFrame:
     """The best face of each stream, or null (off screen) where none reaches ``threshold``; the smallest of equals."""
     out = scores.groupBy(*stream).agg(F.max(F.struct("s", (-F.col("face")).alias("f"))).alias("b"))

@@ -20,16 +20,21 @@ def mean_frame_cosine(video: Column, audio: Column, frames: Column) -> Column:
     return F.aggregate(F.zip_with(video, audio, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v) / frames
 
 
-def score_histogram(rows: DataFrame, negative: str, *, bins: int = 2000, block_rows: int = 4096) -> DataFrame:
+def negative_columns(rows: DataFrame) -> str:
+    """What tells negatives apart: the speaker, or with a single speaker the session."""
+    return "speaker" if rows.select("speaker").distinct().limit(2).count() == 2 else "session"
+
+
+def score_histogram(rows: DataFrame, negative: str | None = None, *, bins: int = 2000, block_rows: int = 4096) -> DataFrame:
     """Counts of binned cosines (positive, bin, n) over all (face, stream) pairs of ``rows(id, face, stream, speaker,
     session)``, for verification: positives are a row's own pair, negatives those whose ``negative`` columns (comma
-    separated) differ. Scores lie in [-1, 1]; bin b covers [-1 + 2b / bins, -1 + 2(b + 1) / bins).
+    separated; by default those of ``negative_columns``) differ. Scores lie in [-1, 1]; bin b covers [-1 + 2b / bins, -1 + 2(b + 1) / bins).
 
     Both sides are dealt to blocks of about ``block_rows``; a task multiplies one block of faces by one of streams and
     sends counts only. Every pair is scored, as verification asks, so the work grows with the square of the rows.
     """
     blocks = max(1, -(-rows.count() // block_rows))
-    keys = [c.strip() for c in negative.split(",")]
+    keys = [c.strip() for c in (negative or negative_columns(rows)).split(",")]
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = rows.select("id", "face", *keys, block.alias("a")).withColumn("b", other)
@@ -62,14 +67,19 @@ def score_histogram(rows: DataFrame, negative: str, *, bins: int = 2000, block_r
 def batch_statistics(rows: DataFrame, batch: str) -> DataFrame:
     """By batch of ``rows(id, key, face, stream, <batch>)``: mean cosine of own pairs and of negatives (pairs of other
     ``key``; equal keys share sound and count as neither), share of faces whose best allowed stream is their own, and
-    of streams likewise. Batches are small by construction."""
+    of streams likewise. With a column ``shifted`` (the own stream at another time, or null) also shift_cos and acc_shift,
+    the mean cosine with it and how often the stream in time scores higher. Batches are small by construction."""
     a = rows.select(batch, F.col("id").alias("i"), F.col("key").alias("ki"), "face")
     b = rows.select(batch, F.col("id").alias("j"), F.col("key").alias("kj"), "stream")
     pairs = a.join(b, batch).filter("i = j or ki <> kj").withColumn("s", cosine(F.col("face"), F.col("stream"))).select(batch, "i", "j", "s")
     means = pairs.groupBy(batch).agg(F.avg(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("pos_cos"), F.avg(F.when(F.col("i") != F.col("j"), F.col("s"))).alias("neg_cos"))
     va = pairs.groupBy(batch, "i").agg(F.max_by("j", "s").alias("best")).groupBy(batch).agg(F.avg((F.col("best") == F.col("i")).cast("double")).alias("acc_va"))
     av = pairs.groupBy(batch, "j").agg(F.max_by("i", "s").alias("best")).groupBy(batch).agg(F.avg((F.col("best") == F.col("j")).cast("double")).alias("acc_av"))
-    return means.join(va, batch).join(av, batch)
+    out = means.join(va, batch).join(av, batch)
+    if "shifted" not in rows.columns:
+        return out
+    both = rows.filter("shifted is not null").select(batch, cosine(F.col("face"), F.col("stream")).alias("_own"), cosine(F.col("face"), F.col("shifted")).alias("_s"))
+    return out.join(both.groupBy(batch).agg(F.avg("_s").alias("shift_cos"), F.avg((F.col("_own") > F.col("_s")).cast("double")).alias("acc_shift")), batch, "left")
 
 
 def draw_distractors(pool: DataFrame, queries: DataFrame, k: int, seed: int) -> DataFrame:

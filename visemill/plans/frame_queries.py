@@ -197,10 +197,10 @@ def profiles(spark, sf_dir):
 SHIFT = f"{FRAMES}, sh AS (SELECT utt_key % 3 AS split, utt_key AS utt, o * 20 AS shift, k % 2 = 0 AS positive, x + CASE WHEN k % 2 = 0 THEN 20 - abs(o - 1) * 5 ELSE 0 END AS x FROM frames, (SELECT unnest(range(-3, 4)) AS o)), cu AS (SELECT split, shift, avg(x) FILTER (positive) AS m1, avg(x) FILTER (NOT positive) AS m0, count(*) FILTER (positive) AS n1, count(*) FILTER (NOT positive) AS n0, var_samp(x) FILTER (positive) AS v1, var_samp(x) FILTER (NOT positive) AS v0 FROM sh GROUP BY 1, 2), d AS (SELECT split, shift, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS d FROM cu)"
 
 
-def shifted(spark, sf_dir):
+def shifted(spark, sf_dir, **more):
     o = F.explode(F.sequence(F.lit(-3), F.lit(3)))
     rows = frames(spark, sf_dir).withColumn("o", o)
-    return rows.select((F.col("utt_key") % 3).alias("split"), F.col("utt_key").alias("utt"), (F.col("o") * 20).cast("long").alias("shift"), (F.col("k") % 2 == 0).alias("positive"), (F.col("x") + F.when(F.col("k") % 2 == 0, 20 - F.abs(F.col("o") - 1) * 5).otherwise(0)).alias("x"))
+    return rows.select((F.col("utt_key") % 3).alias("split"), F.col("utt_key").alias("utt"), (F.col("o") * 20).cast("long").alias("shift"), (F.col("k") % 2 == 0).alias("positive"), (F.col("x") + F.when(F.col("k") % 2 == 0, 20 - F.abs(F.col("o") - 1) * 5).otherwise(0)).alias("x"), *[c.alias(n) for n, c in more.items()])
 
 
 @query("a24_shift_curve", f"""WITH {SHIFT}, n AS (SELECT *, lag(d) OVER w AS p, lead(d) OVER w AS q, row_number() OVER (PARTITION BY split ORDER BY d DESC, shift) AS r FROM d WINDOW w AS (PARTITION BY split ORDER BY shift)) SELECT split, round(d, 5) AS peak, round(shift + CASE WHEN p - 2 * d + q < 0 THEN 0.5e0 * (p - q) / (p - 2 * d + q) * 20 ELSE 0 END, 4) AS best_shift FROM n WHERE r = 1""")
@@ -295,9 +295,56 @@ def run_summary(spark, sf_dir):
     return A.log_summary(log, ["decoder"]).select("decoder", "n_ok", "n_failed", "frames", R("valid_ratio"), R("frames_per_s"))
 
 
-@query("a36_video_summary", f"WITH {SENT} SELECT video_stem, count(*) AS n, count(*) FILTER (topic = 'user') AS n_user, count(*) FILTER (topic = 'assistant') AS n_assistant, count(*) FILTER (trim(text) <> '') AS with_text, round(sum(end_s - start_s), 4) AS seconds FROM sent GROUP BY 1")
+@query("a36_video_summary", f"WITH {SENT}, {FRAMES}, r AS (SELECT utt_key, avg(valid::INT) AS ratio FROM frames GROUP BY 1), v AS (SELECT video_stem, count(*) AS n, count(*) FILTER (topic = 'user') AS n_user, count(*) FILTER (topic = 'assistant') AS n_assistant, count(*) FILTER (trim(text) <> '') AS with_text, round(sum(end_s - start_s), 4) AS seconds FROM sent GROUP BY 1) SELECT v.*, round(ratio, 6) AS valid_ratio FROM v LEFT JOIN r ON r.utt_key = v.video_stem")
 def video_summary(spark, sf_dir):
-    return sentences(spark, sf_dir).groupBy("video_stem").agg(F.count("*").alias("n"), F.count_if(F.col("topic") == "user").alias("n_user"), F.count_if(F.col("topic") == "assistant").alias("n_assistant"), F.count_if(F.trim("text") != "").alias("with_text"), F.round(F.sum(F.col("end_s") - F.col("start_s")), 4).alias("seconds"))
+    out = A.video_summary(sentences(spark, sf_dir), frames(spark, sf_dir).withColumnRenamed("utt_key", "video_stem"), "video_stem", ["user", "assistant"])
+    return out.select("video_stem", "n", "n_user", "n_assistant", "with_text", R("seconds", 4), R("valid_ratio"))
+
+
+@query("a20_label_deltas", f"""WITH {UTT}, r AS (SELECT 'onset' AS kind, noise_env, 0.25e0 - (0.15e0 + time_shift) AS x FROM utt WHERE NOT has_unk UNION ALL SELECT 'offset', noise_env, 0.3e0 - (0.1e0 - time_shift) FROM utt WHERE NOT has_unk)
+ SELECT kind, noise_env, count(*) AS n, round(avg((x >= -0.02e0)::INT), 4) AS frac_after, round(avg((x < -0.1e0)::INT), 4) AS frac_100ms_before, round(avg((x > 0.3e0)::INT), 4) AS frac_300ms_after, round(quantile_cont(x, 0.5) * 1000, 1) AS median_ms, round(quantile_cont(x, 0.05) * 1000, 1) AS p5_ms, round(quantile_cont(x, 0.95) * 1000, 1) AS p95_ms FROM r GROUP BY 1, 2""")
+def label_deltas(spark, sf_dir):
+    u = utterances(spark, sf_dir).filter("not has_unk")
+    rows = u.selectExpr("noise_env", "inline(array(struct('onset' AS kind, 0.25e0 - (0.15e0 + time_shift) AS x), struct('offset' AS kind, 0.3e0 - (0.1e0 - time_shift) AS x)))")
+    return A.delta_summary(rows, ["kind", "noise_env"], "x")
+
+
+@query("a27_centred_jitter", """WITH m AS (SELECT event_type, user_id, quantile_cont(value, 0.5) AS m, count(value) AS n FROM events GROUP BY 1, 2), d AS (SELECT e.event_type, value - m AS d FROM events e JOIN m ON m.event_type = e.event_type AND m.user_id = e.user_id WHERE n >= 5)
+ SELECT event_type, count(*) AS n, round(quantile_cont(abs(d), 0.5) * 1482.6e0, 4) AS robust_sd_ms, round((quantile_cont(d, 0.75) - quantile_cont(d, 0.25)) * 1000, 4) AS iqr_ms FROM d GROUP BY 1""")
+def jitter(spark, sf_dir):
+    out = A.centred_jitter(table(spark, sf_dir, "events").select("event_type", "user_id", "value"), ["event_type"], "user_id", "value")
+    return out.select("event_type", "n", R("robust_sd_ms", 4), R("iqr_ms", 4))
+
+
+GROUPS_SQL = SHIFT.replace("x + CASE WHEN", "k % 3 = 0 AS sure, x + CASE WHEN", 1)
+
+
+@query("a28_subgroup_curves", f"""WITH {GROUPS_SQL}, g AS (SELECT shift, positive, x, unnest(['split', 'utt', 'sure']) AS grp, unnest([split::VARCHAR, utt::VARCHAR, sure::VARCHAR]) AS value FROM sh), a AS (SELECT grp, value, shift, avg(x) FILTER (positive) AS m1, avg(x) FILTER (NOT positive) AS m0, count(*) FILTER (positive) AS n1, count(*) FILTER (NOT positive) AS n0, var_samp(x) FILTER (positive) AS v1, var_samp(x) FILTER (NOT positive) AS v0 FROM g GROUP BY 1, 2, 3)
+ SELECT grp AS "group", value, shift, n1, n0, CASE WHEN n1 >= 3 AND n0 >= 3 THEN round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 5) END AS d FROM a""")
+def subgroup_curves(spark, sf_dir):
+    rows = shifted(spark, sf_dir, sure=(F.col("k") % 3 == 0))
+    return A.subgroup_curves(rows, ["split", "utt", "sure"]).select("group", "value", "shift", "n1", "n0", R("d", 5))
+
+
+LAGS_SQL = f"""{FRAMES}, d AS (SELECT utt_key, k, x - lag(x, 1, x) OVER (PARTITION BY utt_key ORDER BY k) AS a, (CASE WHEN valid THEN x ELSE 0 END) AS b FROM frames), s AS (SELECT p.utt_key, o AS lag, sum(q.a * p.b) / count(*) AS m FROM d p, (SELECT unnest(range(-3, 4)) AS o) c, d q WHERE q.utt_key = p.utt_key AND q.k = p.k + o GROUP BY 1, 2),
+ l AS (SELECT utt_key, arg_max(lag, m) * 40e0 AS x FROM s GROUP BY 1), y AS (SELECT utt_key, avg(x) AS y FROM frames GROUP BY 1)"""
+
+
+@query("a31_lag_agreement", f"WITH {LAGS_SQL} SELECT count(*) AS n, round(corr(y, x), 6) AS r, round(avg(y - x), 5) AS mean, round(stddev_samp(y - x), 5) AS sd, round(min(y - x), 5) AS least, round(max(y - x), 5) AS most FROM l JOIN y USING (utt_key)")
+def lag_agreement(spark, sf_dir):
+    w = Window.partitionBy("utt_key").orderBy("k")
+    rows = frames(spark, sf_dir).select("utt_key", "k", "x", (F.col("x") - F.coalesce(F.lag("x").over(w), F.col("x"))).alias("a"), F.expr("IF(valid, x, 0)").alias("b"))
+    lags = A.best_lag(A.lag_sums(rows, ["utt_key"], "k", "a", "b", 3), ["utt_key"]).select("utt_key", (F.col("lag") * 40.0).alias("lag_ms"))
+    out = A.agreement(lags.join(rows.groupBy("utt_key").agg(F.avg("x").alias("shift_ms")), "utt_key"), "lag_ms", "shift_ms")
+    return out.select("n", R("r"), *[R(c, 5) for c in ("mean", "sd", "least", "most")])
+
+
+@query("w16_pixel_z_scores", """WITH p AS (SELECT vec_id, label, unnest(list_transform(embedding, lambda x: CAST(floor(abs(x) * 1000) AS BIGINT) % 256)) AS p, generate_subscripts(embedding, 1) AS i FROM embeddings), u AS (SELECT vec_id, label, i, p / 255e0 AS p FROM p), s AS (SELECT label, avg(p) AS m, greatest(stddev_pop(p), 1e-3) AS sd FROM u GROUP BY 1)
+ SELECT vec_id, round(sum((p - m) / sd), 5) AS total, round(max((p - m) / sd), 5) AS top FROM u JOIN s USING (label) GROUP BY 1""")
+def pixels(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000) % 256).alias("pixels"))
+    out = I.pixel_z_scores(rows, "label")
+    return out.select("vec_id", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(F.array_max("pixels"), 5).alias("top"))
 
 
 @query("t3_worst_and_typical", f"""WITH {REFS}, e AS (SELECT speaker, utt_id, piece, levenshtein(ref, hyp) AS edits FROM refs), m AS (SELECT speaker, quantile_cont(edits, 0.5) AS m FROM e GROUP BY 1), r AS (SELECT e.speaker, utt_id, piece, row_number() OVER (PARTITION BY e.speaker ORDER BY edits DESC, utt_id, piece) AS a, row_number() OVER (PARTITION BY e.speaker ORDER BY abs(edits - m), utt_id, piece) AS b FROM e JOIN m USING (speaker)) SELECT speaker, max(CASE WHEN a = 1 THEN utt_id END) AS worst, max(CASE WHEN a = 1 THEN piece END) AS worst_piece, max(CASE WHEN b = 1 THEN utt_id END) AS typical, max(CASE WHEN b = 1 THEN piece END) AS typical_piece FROM r GROUP BY 1""")

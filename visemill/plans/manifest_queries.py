@@ -245,6 +245,14 @@ def status(spark, sf_dir):
     )
 
 
+@query("a4_storage", f"""WITH {UTT}, {FILES}, n AS (SELECT split_dir, duration, (video_stem * 7 + sentence_id) % 300 AS a, video_stem % 200 AS b FROM utt), p AS (SELECT split_dir, unnest([a, b]) AS page_id FROM n), s AS (SELECT split_dir, count(*) FILTER (size > 0) AS files, coalesce(sum(size) FILTER (size > 0), 0)::BIGINT AS bytes, count(*) FILTER (coalesce(size, 0) = 0) AS missing FROM p LEFT JOIN files USING (page_id) GROUP BY 1)
+ SELECT split_dir, count(*) AS utts, round(sum(duration), 3) AS seconds, max(files) AS files, max(bytes) AS bytes, max(missing) AS missing FROM n JOIN s USING (split_dir) GROUP BY 1""")
+def storage(spark, sf_dir):
+    rows = utterances(spark, sf_dir).selectExpr("split_dir", "duration", "CAST((video_stem * 7 + sentence_id) % 300 AS STRING) AS npz", "CAST(video_stem % 200 AS STRING) AS mouth_mp4")
+    there = files(spark, sf_dir).select(F.col("page_id").cast("string").alias("rel_path"), "size")
+    return M.storage_status(rows, ["npz", "mouth_mp4"], there).withColumn("seconds", F.round("seconds", 3))
+
+
 # ---------------------------------------------------------------- subsets and batches
 @query("w8_even_subset", f"WITH {UTT}, n AS (SELECT utt_id, row_number() OVER (ORDER BY utt_id) - 1 AS k, count(*) OVER () AS total FROM utt), i AS (SELECT DISTINCT CAST(floor(i * ((SELECT max(total) FROM n) / 500e0)) AS BIGINT) AS k FROM range(0, 500) r(i)) SELECT utt_id FROM n JOIN i USING (k)")
 def even(spark, sf_dir):

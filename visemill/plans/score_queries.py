@@ -140,6 +140,13 @@ def jamo_pairs(spark, sf_dir):
     return rows.select("doc_id", F.explode(M.align_ids("ref", "hyp")).alias("p")).select("doc_id", "p.*")
 
 
+@query("v7_edit_alignment", f"""WITH {JAMO_SQL}, r AS (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS a FROM tok GROUP BY 1), h AS (SELECT doc_id, a, list_filter(list_transform(a, lambda x: CASE WHEN x % 11 = 0 THEN x + 1 ELSE x END), lambda x: x % 13 <> 0) AS b FROM r)
+ SELECT doc_id, levenshtein(array_to_string(list_transform(a, lambda x: chr(CAST(33 + x AS INT))), ''), array_to_string(list_transform(b, lambda x: chr(CAST(33 + x AS INT))), ''))::BIGINT AS edits, len(a)::BIGINT AS n_ref, len(b)::BIGINT AS n_hyp FROM h""")
+def edit_alignment(spark, sf_dir):
+    rows = jamo_pairs(spark, sf_dir)
+    return rows.groupBy("doc_id").agg(F.count_if(~F.col("ref").eqNullSafe(F.col("hyp"))).alias("edits"), F.count("ref").alias("n_ref"), F.count("hyp").alias("n_hyp"))
+
+
 @query("a9_jamo_errors")
 def jamo_errors(spark, sf_dir):
     rows = jamo_pairs(spark, sf_dir).withColumn("class", K.class_of(F.col("ref")))
@@ -230,12 +237,13 @@ def histogram(spark, sf_dir):
 
 
 @query("j13_batch_statistics", f"""WITH {EMB}, e AS (SELECT *, id // 25 AS batch, concat(speaker, '|', session) AS key FROM emb), p AS (SELECT a.batch, a.id AS i, b.id AS j, {COS} AS s FROM e a JOIN e b ON a.batch = b.batch AND (a.id = b.id OR a.key <> b.key)),
-  m AS (SELECT batch, avg(s) FILTER (i = j) AS pos_cos, avg(s) FILTER (i <> j) AS neg_cos FROM p GROUP BY 1), va AS (SELECT batch, i, arg_max(j, s) AS best FROM p GROUP BY 1, 2), av AS (SELECT batch, j, arg_max(i, s) AS best FROM p GROUP BY 1, 2)
- SELECT m.batch, round(pos_cos, 6) AS pos_cos, round(neg_cos, 6) AS neg_cos, round((SELECT avg((best = i)::INT) FROM va WHERE va.batch = m.batch), 6) AS acc_va, round((SELECT avg((best = j)::INT) FROM av WHERE av.batch = m.batch), 6) AS acc_av FROM m""")
+  m AS (SELECT batch, avg(s) FILTER (i = j) AS pos_cos, avg(s) FILTER (i <> j) AS neg_cos FROM p GROUP BY 1), sh AS (SELECT batch, id, list_cosine_similarity(CAST(face AS DOUBLE[]), stream) AS own, CASE WHEN id % 3 > 0 THEN list_cosine_similarity(CAST(face AS DOUBLE[]), list_concat(stream[2:64], stream[1:1])) END AS s FROM e), ss AS (SELECT batch, avg(s) AS shift_cos, avg((own > s)::INT) FILTER (s IS NOT NULL) AS acc_shift FROM sh GROUP BY 1), va AS (SELECT batch, i, arg_max(j, s) AS best FROM p GROUP BY 1, 2), av AS (SELECT batch, j, arg_max(i, s) AS best FROM p GROUP BY 1, 2)
+ SELECT m.batch, round(pos_cos, 6) AS pos_cos, round(neg_cos, 6) AS neg_cos, round((SELECT avg((best = i)::INT) FROM va WHERE va.batch = m.batch), 6) AS acc_va, round((SELECT avg((best = j)::INT) FROM av WHERE av.batch = m.batch), 6) AS acc_av, round(shift_cos, 6) AS shift_cos, round(acc_shift, 6) AS acc_shift FROM m LEFT JOIN ss USING (batch)""")
 def batch_statistics(spark, sf_dir):
     rows = faces(spark, sf_dir).withColumn("batch", F.floor(F.col("id") / 25)).withColumn("key", F.concat_ws("|", "speaker", "session"))
+    rows = rows.withColumn("shifted", F.when(F.col("id") % 3 > 0, F.concat(F.slice("stream", 2, 63), F.slice("stream", 1, 1))))
     out = P.batch_statistics(rows, "batch")
-    return out.select("batch", *[F.round(c, 6).alias(c) for c in ("pos_cos", "neg_cos", "acc_va", "acc_av")])
+    return out.select("batch", *[F.round(c, 6).alias(c) for c in ("pos_cos", "neg_cos", "acc_va", "acc_av", "shift_cos", "acc_shift")])
 
 
 @query("j14_verification", f"""WITH {EMB}, s AS (SELECT (a.id = b.id)::INT AS positive, least(floor(({COS} + 1) * 1000), 1999) AS score FROM emb a, emb b WHERE a.id = b.id OR a.speaker <> b.speaker), c AS (SELECT score, sum(positive) AS p, sum(1 - positive) AS n FROM s GROUP BY 1),
@@ -287,6 +295,27 @@ def nway(spark, sf_dir):
     return out.groupBy("speaker").agg(F.count("*").alias("n"), F.round(F.avg("credit"), 6).alias("acc"))
 
 
+BOTH_WAYS = f"""{EMB}, cand AS (SELECT a.id AS query, a.speaker, a.session, d, (a.id + d * 13) % (SELECT count(*) FROM emb) AS other FROM emb a, (SELECT unnest(range(0, 6)) AS d) WHERE d <= 1 + a.id % 6),
+  cs AS (SELECT 'v2a' AS direction, c.query, c.speaker, c.session, d AS pos, b.speaker <> c.speaker AS far, round({COS}, 1) + 0e0 AS s FROM cand c JOIN emb a ON a.id = c.query JOIN emb b ON b.id = c.other UNION ALL
+   SELECT 'a2v', c.query, c.speaker, c.session, d, a.speaker <> c.speaker, round({COS}, 1) + 0e0 FROM cand c JOIN emb b ON b.id = c.query JOIN emb a ON a.id = c.other),
+  w AS (SELECT cs.*, n_way FROM cs, (SELECT unnest([2, 4, 6]) AS n_way) WHERE pos < n_way), q AS (SELECT direction, n_way, query, speaker, session, max(s) FILTER (pos = 0) AS t, max(s) FILTER (pos > 0) AS best, count(*) FILTER (pos > 0) AS n, min(far::INT) FILTER (pos > 0) AS far FROM w GROUP BY 1, 2, 3, 4, 5),
+  c AS (SELECT q.*, n = n_way - 1 AS ok, CASE WHEN t > best THEN 1e0 WHEN t = best THEN 1e0 / (1 + (SELECT count(*) FROM w WHERE w.direction = q.direction AND w.n_way = q.n_way AND w.query = q.query AND pos > 0 AND s = t)) ELSE 0e0 END AS credit FROM q),
+  g AS (SELECT direction, n_way, ok, credit, far, unnest(['all', 'speaker', 'session']) AS grp, unnest(['', speaker, session::VARCHAR]) AS value FROM c)"""
+
+
+@query("a15_nway_report", f"WITH {BOTH_WAYS} SELECT direction, n_way::INT AS n_way, grp AS \"group\", value, count(*) FILTER (ok) AS n, count(*) FILTER (NOT ok) AS n_skipped, round(avg(credit) FILTER (ok), 6) AS acc, round(avg(far) FILTER (ok), 6) AS all_other FROM g GROUP BY 1, 2, 3, 4")
+def nway_report(spark, sf_dir):
+    e = faces(spark, sf_dir)
+    n = e.count()
+    c = e.select(F.col("id").alias("query"), "speaker", "session", F.col("face").alias("f0"), F.col("stream").alias("s0"), F.explode(F.sequence(F.lit(0), F.least(F.lit(5), (1 + F.col("id") % 6)).cast("int"))).alias("pos")).withColumn("other", (F.col("query") + F.col("pos") * 13) % n)
+    c = c.join(e.select(F.col("id").alias("other"), F.col("face").alias("f1"), F.col("stream").alias("s1"), F.col("speaker").alias("their")), "other")
+    kind = F.when(F.col("speaker") != F.col("their"), "other_speaker").otherwise("same_speaker_other_session")
+    ways = F.array(F.struct(F.lit("v2a").alias("direction"), P.cosine(F.col("f0"), F.col("s1")).alias("s")), F.struct(F.lit("a2v").alias("direction"), P.cosine(F.col("f1"), F.col("s0")).alias("s")))
+    rows = c.select("query", "pos", kind.alias("kind"), "speaker", "session", F.inline(ways)).withColumn("s", F.round("s", 1) + 0.0)
+    out = M.nway_report(rows, [2, 4, 6], ["speaker", "session"])
+    return out.select("direction", "n_way", "group", "value", "n", "n_skipped", F.round("acc", 6).alias("acc"), F.round("all_other", 6).alias("all_other"))
+
+
 @query("a16_leakage", f"""WITH {SCORES}, l AS (SELECT cs.*, level, CASE WHEN is_true THEN s - level / 20e0 ELSE s END AS ls FROM cs, (SELECT unnest([0, 5, 10]) AS level)), q AS (SELECT level, query, max(ls) FILTER (is_true) AS t, max(ls) FILTER (NOT is_true) AS best FROM l GROUP BY 1, 2)
  SELECT level, count(*) AS n, sum((t > best)::INT)::BIGINT AS n_strict FROM q GROUP BY 1""")
 def leakage(spark, sf_dir):
@@ -302,10 +331,13 @@ def predictions(spark, sf_dir):
     return M.offset_predictions(rows, ["query"])
 
 
-@query("a17_offsets", f"WITH {OFFSETS} SELECT count(*) AS n, round(avg((abs(o) <= 1)::INT), 6) AS acc_pm1, round(avg((o = 0)::INT), 6) AS acc_exact, round(quantile_cont(abs(o), 0.5) * 40, 4) AS median_abs_ms, round(avg(abs(o)) * 40, 4) AS mean_abs_ms FROM best")
+@query("a17_offsets", f"WITH {OFFSETS}, size AS (SELECT user_id AS query, count(*) AS n FROM events GROUP BY 1), tried AS (SELECT size.query, CASE WHEN n >= 62 THEN o END AS o FROM size JOIN best USING (query)) SELECT count(*) FILTER (o IS NULL) AS n_skipped_short, count(o) AS n, round(avg((abs(o) <= 1)::INT), 6) AS acc_pm1, round(avg((o = 0)::INT), 6) AS acc_exact, round(quantile_cont(abs(o), 0.5) * 40, 4) AS median_abs_ms, round(avg(abs(o)) * 40, 4) AS mean_abs_ms FROM tried")
 def offsets(spark, sf_dir):
-    out = M.offset_report(predictions(spark, sf_dir))
-    return out.select("n", F.round("acc_pm1", 6).alias("acc_pm1"), F.round("acc_exact", 6).alias("acc_exact"), F.round("median_abs_ms", 4).alias("median_abs_ms"), F.round("mean_abs_ms", 4).alias("mean_abs_ms"))
+    # windows of 31 frames from the 16th on: a user needs 15 more on either side
+    sizes = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("query")).agg(F.count("*").alias("n")).withColumn("start", F.lit(15)).withColumn("fits", M.long_enough(None, 15, 32))
+    tried = predictions(spark, sf_dir).join(sizes, "query").select("query", F.when(F.col("fits"), F.col("offset")).alias("offset"))
+    out = M.offset_report(tried)
+    return out.select("n_skipped_short", "n", F.round("acc_pm1", 6).alias("acc_pm1"), F.round("acc_exact", 6).alias("acc_exact"), F.round("median_abs_ms", 4).alias("median_abs_ms"), F.round("mean_abs_ms", 4).alias("mean_abs_ms"))
 
 
 @query("a17_offset_histogram", f"WITH {OFFSETS} SELECT CAST(b AS INT) AS \"offset\", (SELECT count(*) FROM best WHERE o = b) AS n FROM range(-15, 16) r(b)")
@@ -328,6 +360,34 @@ def scenes(spark, sf_dir):
     return M.scene_assignments(s.join(full, "scene"), ["scene"]).agg(F.count("*").alias("n"), F.count_if("scene_right").alias("n_right"))
 
 
+# scenes of two, in windows of 16 components and whole, clean and with leakage
+SCENE_SQL = f"""{EMB}, e AS (SELECT id // 2 AS scene, id % 2 AS k, CAST(face AS DOUBLE[]) AS face, stream FROM emb), o AS (SELECT a.scene, a.k, a.face, a.stream, b.stream AS rest FROM e a JOIN e b ON a.scene = b.scene AND a.k <> b.k),
+ v AS (SELECT scene, k, face, unnest(['clean', 'leak']) AS variant, unnest([stream, list_transform(range(1, 65), lambda i: stream[i] + 0.8e0 * rest[i])]) AS stream FROM o),
+ s AS (SELECT a.variant, a.scene, win, a.k AS f, b.k AS t, list_cosine_similarity(a.face[win * 16 + 1:win * 16 + 16], b.stream[win * 16 + 1:win * 16 + 16]) AS s FROM v a JOIN v b ON a.scene = b.scene AND a.variant = b.variant, (SELECT unnest(range(0, 4)) AS win)),
+ m AS (SELECT variant, scene, win, sum(s) FILTER (f = t) AS own, sum(s) FILTER (f <> t) AS crossed FROM s GROUP BY 1, 2, 3)"""
+
+
+def scene_windows(spark, sf_dir):
+    e = faces(spark, sf_dir).select(F.floor(F.col("id") / 2).alias("scene"), (F.col("id") % 2).cast("int").alias("n"), "face", "stream")
+    both = e.join(e.select("scene", (1 - F.col("n")).alias("n"), F.col("stream").alias("rest")), ["scene", "n"])
+    leak = F.zip_with("stream", "rest", lambda a, b: a + 0.8 * b)
+    v = both.select("scene", "n", "face", F.inline(F.array(F.struct(F.lit("clean").alias("variant"), F.col("stream").alias("a")), F.struct(F.lit("leak").alias("variant"), leak.alias("a")))))
+    pairs = v.select("variant", "scene", F.col("n").alias("face"), F.col("face").alias("v")).join(v.select("variant", "scene", F.col("n").alias("stream"), "a"), ["variant", "scene"])
+    pairs = pairs.withColumn("win", F.explode(F.array(*map(F.lit, range(4)))))
+    part = lambda c: F.slice(c, F.col("win") * 16 + 1, F.lit(16))
+    return pairs.select("variant", "scene", "win", "face", "stream", P.cosine(part("v"), part("a")).alias("s"))
+
+
+@query("a18_scene_variants", f"WITH {SCENE_SQL} SELECT variant, count(*) AS n, round(avg((own >= crossed)::INT), 6) AS scene_acc, round(avg((own >= crossed)::INT), 6) AS stream_acc FROM m GROUP BY 1")
+def scene_variants(spark, sf_dir):
+    return M.scene_report(scene_windows(spark, sf_dir), ["variant"], ["scene", "win"]).select("variant", "n", F.round("scene_acc", 6).alias("scene_acc"), F.round("stream_acc", 6).alias("stream_acc"))
+
+
+@query("v8_assignments", f"WITH {SCENE_SQL} SELECT variant, scene, win::INT AS win, own >= crossed AS scene_right FROM m")
+def assignments(spark, sf_dir):
+    return M.scene_assignments(scene_windows(spark, sf_dir), ["variant", "scene", "win"]).select("variant", "scene", "win", "scene_right")
+
+
 @query("a35_offscreen", f"""WITH {EMB}, e AS (SELECT *, id // 3 AS scene, id % 3 AS k FROM emb), s AS (SELECT a.scene, a.k AS f, b.k AS t, round({COS}, 3) AS s FROM e a JOIN e b ON a.scene = b.scene), r AS (SELECT scene, t, f, s, row_number() OVER (PARTITION BY scene, t ORDER BY s DESC, f) AS n FROM s)
  SELECT scene::INT AS scene, t::INT AS stream, CASE WHEN s >= 0.8e0 THEN f END::INT AS face, s FROM r WHERE n = 1""")
 def offscreen(spark, sf_dir):

@@ -117,6 +117,23 @@ def draws(spark, sf_dir):
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(outside).alias("n_outside"), F.count_if(F.col("m.length") > F.floor(F.col("n_chars") * 0.1)).alias("n_too_long"))
 
 
+def _sql_draw(low: str, high: str, key: str) -> str:
+    return f"{low} + ('0x' || substr(md5({key}), 1, 15))::BIGINT % ({high} - ({low}) + 1)"
+
+
+DRAWS_SQL = f"""w AS (SELECT doc_id, n_chars AS n, CASE WHEN n_chars >= 40 THEN {_sql_draw("0", "n_chars - 40", "concat_ws('|', '5', doc_id, 'window')")} END AS start FROM documents),
+ c AS (SELECT *, list_filter([-4, 4, -5, 5, -6, 6], lambda s: start + s >= 0 AND start + s + 40 <= n) AS ways FROM w), l AS (SELECT *, {_sql_draw("0", "least(8, 80)", "concat_ws('|', '5', doc_id, '0', 'length')")} AS band FROM c)"""
+
+
+@query("v10_window_draws", f"""WITH {DRAWS_SQL} SELECT doc_id, coalesce(start, -1) AS start, CASE WHEN start IS NULL OR len(ways) = 0 THEN 0 ELSE ways[1 + ({_sql_draw("0", "len(ways) - 1", "concat_ws('|', '5', doc_id, 'shift')")})::INT] END::INT AS shift, band AS band_length, {_sql_draw("0", "80 - band", "concat_ws('|', '5', doc_id, '0', 'start')")} AS band_start FROM l""")
+def window_draws(spark, sf_dir):
+    """For each text's length the first frame of a window of 40, a shift of 4 to 6 frames, and one band of 80 bins masked."""
+    key = (F.lit(5), F.col("doc_id"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("n")).withColumn("start", S.window_start(F.col("n"), 40, *key))
+    bands = S.mask_bands(F.lit(80).cast("long"), 1, 8, *key)
+    return rows.select("doc_id", F.coalesce("start", F.lit(-1)).alias("start"), S.signed_shift(F.col("start"), F.col("n"), 40, 4, 6, *key).cast("int").alias("shift"), bands[0]["length"].cast("long").alias("band_length"), bands[0]["start"].cast("long").alias("band_start"))
+
+
 @query("v11_lip_events", f"""WITH {FRAMES}, e AS (SELECT user_id AS utt_key, event_id AS event, CAST(event_id % 50 AS BIGINT) AS k0 FROM events), s AS (SELECT e.utt_key, event, f.k - k0 AS o, x AS v FROM e JOIN frames f ON f.utt_key = e.utt_key AND f.k BETWEEN k0 - 4 AND k0 + 2 + 3),
   r AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY v, o) AS n, min(o) OVER (PARTITION BY event) AS a, max(o) OVER (PARTITION BY event) AS b FROM s WHERE o <= 2), m AS (SELECT utt_key, event, o AS lo, o = a OR o = b AS edge FROM r WHERE n = 1),
   d AS (SELECT s.event, s.o, s.v - lag(s.v) OVER (PARTITION BY s.event ORDER BY s.o) AS rise FROM s JOIN m ON m.event = s.event AND s.o BETWEEN lo AND lo + 3), t AS (SELECT event, o, row_number() OVER (PARTITION BY event ORDER BY rise DESC, o) AS n FROM d WHERE rise IS NOT NULL)
