@@ -143,3 +143,20 @@ def test_counts_and_inverse():
     a, b = np.array([0, 1, 5, 5000, 100_000]), np.array([0, 0, 3, 7, 90_000])
     want = [math.lgamma(p + 0.5) + math.lgamma(q + 0.5) - math.log(math.pi) - math.lgamma(p + q + 1) for p, q in zip(a, b)]
     assert np.allclose(log_kt(a, b), want, rtol=1e-9)
+
+
+@pytest.mark.parametrize("at_once", [7, 1000])
+def test_grams_in_blocks_give_the_same_scores(spark, odd_docs, at_once, monkeypatch):
+    import visemill.llm.ctw as m
+
+    texts = [b"ab", b"", b"abcab" * 50, b"\xc3\xa9"]
+    text, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    whole, before = m.grams_of(text, off, 5)
+    whole = np.concatenate(list(whole))
+    want = []
+    for t in texts:
+        line = b"\xff" * 5 + t + b"\xff"
+        want += [int.from_bytes(bytes([0, 0, *line[i - 1 : i - 6 if i > 5 else None : -1], line[i]]), "big") for i in range(5, len(line))]
+    assert whole.tolist() == want and before.tolist() == [0, 3, 4, 255, 258]
+    monkeypatch.setattr(m, "GRAMS_AT_ONCE", at_once)
+    assert np.concatenate(list(m.grams_of(text, off, 5)[0])).tolist() == want

@@ -60,22 +60,35 @@ def words_of(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return text, off, string_hashes(lanes_of(low), start, end), bounds
 
 
-def grams_of(text: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The gram at each predicted byte (the closing edge included), and the number of grams before each text.
+#: Grams that are made at once.
+GRAMS_AT_ONCE = 2 << 20
+
+
+def grams_of(text: np.ndarray, off: np.ndarray, depth: int) -> tuple[Iterator[np.ndarray], np.ndarray]:
+    """The gram at each predicted byte (the closing edge included), in blocks, and the number of grams before each text.
 
     From the highest byte on: the last context byte, the one before it, ... and the predicted byte.
     """
     n = np.diff(off)
-    begin = off[:-1] + np.arange(len(n)) * (depth + 1) + depth
+    begin = off[:-1] + np.arange(len(n)) * (depth + 1) + depth  # of each text in a line with edges around it
     line = np.full(len(text) + len(n) * (depth + 1), EDGE, dtype=np.uint8)
-    place = np.repeat(begin - off[:-1], n) + np.arange(len(text))
-    line[place] = text
-    at = np.repeat(begin - (off[:-1] + np.arange(len(n))), n + 1) + np.arange(len(text) + len(n))
-    wide = line.astype(U64)
-    key = wide[at]
-    for k in range(1, depth + 1):
-        key |= wide[at - k] << U64(8 * (depth + 1 - k))
-    return key, off + np.arange(len(off))
+    for i in range(len(n)) if len(n) == 1 else ():
+        line[begin[i] : begin[i] + n[i]] = text
+    if len(n) > 1:
+        line[np.repeat(begin - off[:-1], n) + np.arange(len(text))] = text
+    before = off + np.arange(len(off))
+
+    def blocks() -> Iterator[np.ndarray]:
+        for first in range(0, int(before[-1]), GRAMS_AT_ONCE):
+            place = np.arange(first, min(first + GRAMS_AT_ONCE, int(before[-1])))
+            own = np.searchsorted(before, place, "right") - 1
+            at = place - before[own] + begin[own]
+            key = line[at].astype(U64)
+            for k in range(1, depth + 1):
+                key |= line[at - k].astype(U64) << U64(8 * (depth + 1 - k))
+            yield key
+
+    return blocks(), before
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -206,8 +219,11 @@ def score_documents(docs: DataFrame, depth: int = 5) -> DataFrame:
                 train = ~held_out_rows(s)
                 ends += int(train.sum())
                 text, off, word, bounds = words_of(s)
-                key, at = grams_of(text, off, depth)
-                grams.append(_tally(mix(key), np.repeat(train, np.diff(at))))
+                blocks, at = grams_of(text, off, depth)
+                trained, done = np.repeat(train, np.diff(at)), 0
+                for key in blocks:
+                    grams.append(_tally(mix(key), trained[done : done + len(key)]))
+                    done += len(key)
                 words.append(_tally(word, np.repeat(train, np.diff(bounds))))
             for kind, found in ((GRAM, grams), (WORD, words)):
                 keys, count = _distinct(found)
@@ -302,11 +318,12 @@ def score_documents(docs: DataFrame, depth: int = 5) -> DataFrame:
         prepared, gram_keys, word_keys = [], [], []
         for s in slices:
             text, off, word, bounds = words_of(s)
-            key, at = grams_of(text, off, depth)
-            key, back = np.unique(mix(key), return_inverse=True)
+            blocks, at = grams_of(text, off, depth)
+            kinds = [np.unique(mix(key), return_inverse=True) for key in blocks]
+            kinds = [(key, back.astype(np.int32)) for key, back in kinds]
             word, word_back = np.unique(word, return_inverse=True)
-            prepared.append((s, off, key, back.astype(np.int32), at, word, word_back.astype(np.int32), bounds))
-            gram_keys.append(key)
+            prepared.append((s, off, kinds, at, word, word_back.astype(np.int32), bounds))
+            gram_keys += [key for key, _ in kinds]
             word_keys.append(word)
         values = {}
         for kind, keys, dtype in ((GRAM, gram_keys, np.float32), (WORD, word_keys, "<i8")):
@@ -314,9 +331,15 @@ def score_documents(docs: DataFrame, depth: int = 5) -> DataFrame:
             data = [np.frombuffer(unpack_bytes(d), dtype) for _, d in sorted(replies[kind])]
             values[kind] = keys, np.concatenate(data) if data else np.zeros(0, dtype)
         out = []
-        for s, off, key, back, at, word, word_back, bounds in prepared:
+        for s, off, kinds, at, word, word_back, bounds in prepared:
             keys, value = values[GRAM]
-            total = np.add.reduceat(value[np.searchsorted(keys, key)].astype(np.float64)[back], at[:-1])
+            total, done = np.zeros(len(s)), 0
+            for key, back in kinds:  # a text may go on in the next block
+                each = value[np.searchsorted(keys, key)].astype(np.float64)[back]
+                first = np.searchsorted(at, done, "right") - 1
+                last = np.searchsorted(at, done + len(back), "left")
+                total[first:last] += np.add.reduceat(each, np.maximum(at[first:last] - done, 0))
+                done += len(back)
             keys, count = values[WORD]
             c = count[np.searchsorted(keys, word)][word_back] if len(word) else np.zeros(0, np.int64)
             sums = np.concatenate([[0], np.cumsum(np.log10((c + 0.5) / denominator))])[bounds]

@@ -40,6 +40,32 @@ FEATURES = [
 ]
 
 
+#: Texts, and bytes of them, whose bytes are counted at once.
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 2_000, 1 << 20
+
+
+def byte_shares(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Share of each class among the bytes of each text, and the entropy of its bytes; zero for an empty one."""
+    n, size = len(s), np.diff(s.off)
+    masks = np.stack(list(CLASSES.values()), axis=1).astype(np.float64)
+    shares, entropy = np.zeros((n, len(CLASSES))), np.zeros(n)
+    first = 0
+    while first < n:
+        last = int(min(max(first + 1, np.searchsorted(s.off, s.off[first] + BYTES_AT_ONCE, "right") - 1), first + TEXTS_AT_ONCE, n))
+        count = np.zeros(256 * (last - first), dtype=np.int64)
+        whole = int(s.off[last])
+        step = BYTES_AT_ONCE if last == first + 1 else max(whole, 1)  # a text alone may be long
+        for a in range(int(s.off[first]), whole, step):
+            b = min(a + step, whole)
+            owner = np.repeat(np.arange(last - first), size[first:last]) if last > first + 1 else 0
+            count += np.bincount(owner * 256 + s.buf[a:b].astype(np.int64), minlength=len(count))
+        p = count.reshape(-1, 256) / np.maximum(size[first:last], 1)[:, None]
+        shares[first:last] = p @ masks
+        entropy[first:last] = -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1)
+        first = last
+    return shares, entropy
+
+
 def statistics(s: Slice) -> np.ndarray:
     """Features of each text (rows), all zero for one without words."""
     n = len(s)
@@ -49,8 +75,7 @@ def statistics(s: Slice) -> np.ndarray:
         return np.diff(total[at])
 
     size = np.diff(s.off)
-    safe = np.maximum(size, 1)
-    shares = [per_doc(mask[s.buf], s.off) / safe for mask in CLASSES.values()]
+    shares, entropy = byte_shares(s)
     start, end, bounds = word_bounds(s.buf, s.off, NOT_SPACE)
     words = np.diff(bounds)
     w = np.maximum(words, 1)
@@ -68,7 +93,7 @@ def statistics(s: Slice) -> np.ndarray:
     top = np.zeros(n)
     np.maximum.at(top, doc[one], times)
     alpha = (CLASSES["upper"] | CLASSES["lower"] | CLASSES["wide"])[s.buf]
-    letters = np.concatenate([[0], np.cumsum(alpha)])
+    letters = np.concatenate([[0], np.cumsum(alpha, dtype=np.int32)])
     bare = letters[end] - letters[start] < 0.5 * (end - start)
     line = np.ones(256, dtype=bool)
     line[10] = False
@@ -77,15 +102,8 @@ def statistics(s: Slice) -> np.ndarray:
     ld = np.repeat(np.arange(n), lines)
     lh = string_hashes(lanes, ls, le) ^ mix(ld.astype(U64) + U64(1))
     _, lone = np.unique(lh, return_index=True)
-    entropy = np.zeros(n)
-    for shares_of in np.array_split(np.arange(n), max(1, n // 2000)):
-        if len(shares_of):
-            a, b = s.off[shares_of[0]], s.off[shares_of[-1] + 1]
-            owner = np.repeat(np.arange(len(shares_of)), size[shares_of])
-            p = np.bincount(owner * 256 + s.buf[a:b], minlength=256 * len(shares_of)).reshape(-1, 256) / safe[shares_of, None]
-            entropy[shares_of] = -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1)
     columns = [
-        np.log1p(size), np.log1p(words), *shares, mean, spread, per_doc(length > 12, bounds) / w, per_doc(length <= 2, bounds) / w,
+        np.log1p(size), np.log1p(words), *shares.T, mean, spread, per_doc(length > 12, bounds) / w, per_doc(length <= 2, bounds) / w,
         per_doc(CLASSES["upper"][first], bounds) / w, distinct, top / w, per_doc(follow, bounds) / w, lines / w,
         np.bincount(ld[lone], minlength=n) / np.maximum(lines, 1), per_doc(bare, bounds) / w, entropy,
     ]
