@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,17 +54,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, data = [], []
-            label = batch.column(2)
-            for vec, mark in zip(batch.column(1), label.to_pylist()):
-                x = None
-                if mark is not None and vec.is_valid and vec.values.null_count == 0 and len(vec.values):
-                    x = vec.values.cast(arrow).to_numpy().astype(kind)
-                    if not np.isfinite(x).all() or not x.any():
-                        x = None
-                data.append(None if x is None else (x + x.dtype.type(0)).tobytes())
-                keys.append(None if x is None else hashlib.blake2b(data[-1] + str(mark).encode(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), label.cast(pa.string()), pa.array(data, pa.binary())], ["vec_id", "key", "label", "vec"])
+            lists, label = batch.column(1), batch.column(2)
+            size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = lists.flatten().fill_null(float("nan")).cast(arrow).to_numpy(zero_copy_only=False).astype(kind)
+            x = x + x.dtype.type(0)  # no negative zeros
+            off = np.concatenate([[0], np.cumsum(size)])
+            within = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[off])
+            good = (within(~np.isfinite(x)) == 0) & (within(x != 0) > 0) & label.is_valid().to_numpy(zero_copy_only=False)
+            raw, marks, at = x.tobytes(), label.cast(pa.string()).to_pylist(), (off * x.itemsize).tolist()
+            data = [raw[at[i] : at[i + 1]] if ok else None for i, ok in enumerate(good.tolist())]
+            keys = [None if d is None else hashlib.blake2b(d + m.encode(), digest_size=16).digest() for d, m in zip(data, marks)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(marks, pa.string()), pa.array(data, pa.binary())], ["vec_id", "key", "label", "vec"])
 
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding", "label").mapInArrow(read, "vec_id long, key binary, label string, vec binary")
     rows = cut(rows)
