@@ -96,3 +96,8 @@ def test_columns_of_any_name_are_kept(spark, odd_docs):
         out = f(docs)
         assert out.columns == docs.columns
         assert all(r[n] == (None if r.doc_id is None else f"{n} of {r.doc_id}") for r in out.collect() for n in names)
+
+
+def test_clean_rows_come_back_as_they_were(spark, odd_docs):
+    bench = spark.createDataFrame([(1, "no such words anywhere")], "item_id long, text string")
+    assert rows_of(keep_uncontaminated(odd_docs, bench)) == rows_of(odd_docs)

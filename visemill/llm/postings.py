@@ -260,12 +260,12 @@ def search(index: DataFrame, benchmark: DataFrame, width: int = 13, within: int
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, within: int | None = 26) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, within: int | None = 26, with_text: bool = False) -> DataFrame:
     """Score every row of ``docs`` against ``benchmark``: the other columns, n_words, n_hit (words inside any occurrence
     of a benchmark window), n_items, items_sha256 (sorted item ids, comma-joined), contaminated (n_hit > 0 and
     ``share`` * n_hit >= n_words), and n_near: items with a window all of whose words lie, in any order, at most ``within``
     words from its rarest one (0 where ``within`` is None: not looked for). An input column of such a name gives way; the
-    column text is left out.
+    column text comes back, from the index, only ``with_text`` (an empty one for null).
 
     Texts are lower-cased; words are runs of a-z, 0-9 and non-ASCII characters. A window is ``width`` successive words of
     an item, or the whole of a shorter one. Null texts have no words. Every match behind n_hit and n_items is compared
@@ -295,7 +295,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
                 rest = table[0] if table else pa.RecordBatch.from_pylist([])
                 n = np.diff(bounds)
                 some = [names.get(k, []) for k in range(len(n))]
-                yield rows_with(Slice(None, bounds, None, rest), {
+                texts = {}
+                if with_text:
+                    ends = pa.py_buffer(unpack_bytes(row["ends"]))
+                    texts["text"] = pa.LargeStringArray.from_buffers(len(n), ends, pa.py_buffer(unpack_bytes(row["text"]))).cast(pa.string())
+                yield rows_with(Slice(None, bounds, None, rest), texts | {
                     "n_words": pa.array(n, pa.int64()),
                     "n_hit": pa.array(hit, pa.int64()),
                     "n_items": pa.array([len(x) for x in some], pa.int64()),
@@ -304,4 +308,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
                     "n_near": pa.array(near, pa.int64()),
                 })
 
-    return index.select("shard", "words", "rows").join(matches, "shard", "left").mapInArrow(finish, with_columns(docs.schema, "text", RESULT))
+    kept = ["shard", "words", "rows", *(("ends", "text") if with_text else ())]
+    result = [T.StructField("text", T.StringType())] * with_text + RESULT
+    return index.select(*kept).join(matches, "shard", "left").mapInArrow(finish, with_columns(docs.schema, "text", result))

@@ -36,8 +36,9 @@ def _column(name: str) -> Column:
 
 
 def _apart(docs: DataFrame) -> DataFrame:
-    """Id and text, and the whole row in one column, so that no name clashes with an operator's columns."""
-    return docs.select("doc_id", "text", F.struct([_column(c) for c in docs.columns]).alias("row"))
+    """Id and text, and the rest of the row in one column, so that no name clashes with an operator's columns."""
+    rest = [_column(c).alias(c) for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.struct(*rest, F.col("text").isNull().alias("text")).alias("row"))
 
 
 def keep_one_of_near_copies(docs: DataFrame, distance: int = 4) -> DataFrame:
@@ -65,6 +66,7 @@ def cut_repeats(docs: DataFrame, depth: int = 50) -> DataFrame:
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows that hold no benchmark passage to speak of: those not ``contaminated``."""
-    found = decontaminate(_apart(docs), benchmark, within=None)
-    return found.filter("not contaminated").select([F.col("row").getField(c).alias(c) for c in docs.columns])
+    found = decontaminate(_apart(docs), benchmark, within=None, with_text=True)
+    text = F.when(~F.col("row").getField("text"), F.col("text")).alias("text")
+    return found.filter("not contaminated").select([text if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
