@@ -87,6 +87,31 @@ def test_texts_that_repeat_themselves(spark, seed, monkeypatch):
     assert words_of(remove_repeated_windows(spark.createDataFrame(words, "doc_id long, text string").repartition(3))) == repeated(words)
 
 
+@pytest.mark.parametrize("bits", [1, 4])
+def test_collisions_of_candidates_are_found_and_mended(spark, bits):
+    r = random.Random(bits)
+    line = "".join(r.choice("abcd ") for _ in range(400))
+    rows = [(k, line[r.randint(0, 200) : r.randint(220, 400)] + r.choice(["", "tail " * 9, line[:90]])) for k in range(30)]
+    rows += [(40 + k, ("a", "b", "c")[k % 3] * 60 + "x" * (k % 5)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert bytes_of(remove_covered_bytes(df, hash_bits=bits)) == covered(rows)
+
+
+def test_false_claims_are_told_from_true_ones():
+    import visemill.llm.suffix as m
+
+    a = np.frombuffer(b"0123456789" * 300, np.uint8)
+    c = a.copy()
+    c[1450] ^= 1
+    first, size = np.array([5, 40, 200, 1400]), np.array([60, 50, 1300, 90])
+    to = np.full(4, 7)
+    evidence = [(7, m.pack_claims(a, first, size, to)), (8, m.pack_claims(c, first, size, to))]
+    (start, end, ok), (_, _, not_ok), (_, _, elsewhere) = m.verified([m.pack_claims(x, first, size, h) for x, h in ((a, to), (c, to), (c, to + 1))], evidence, 0)
+    assert ok and not not_ok and elsewhere and start.tolist() == first.tolist() and end.tolist() == (first + size).tolist()
+    assert [ok for _, _, ok in m.verified([m.pack_claims(a, first, size, to)], [], 0)] == [False]
+    assert m.same_texts(a, first, c, first, size).tolist() == [True, True, False, False]
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_suffix_sort(seed):
     r = np.random.default_rng(seed)

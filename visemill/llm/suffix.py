@@ -2,9 +2,11 @@
 
 Every substring of ``depth`` bytes contains one anchor: the position whose 16 bytes hash lowest, the first of equals.
 Equal substrings have equal anchors at equal places, so only substrings around anchors that occur twice can repeat. One
-exchange of packed anchor keys tells which do. A second one, of hashes of the text around them, settles those whose
-whole surrounding a smaller document has too. The text around what is left is shuffled by anchor and sorted as suffixes
-within each anchor, and runs with a common prefix of ``depth`` bytes give the document that holds each substring first.
+exchange of packed anchor keys tells which do. A second one, of hashes of the text around them, finds candidates: those
+whose whole surrounding a smaller document seems to have too. The text around what is left is shuffled by anchor and
+sorted as suffixes within each anchor, and runs with a common prefix of ``depth`` bytes give the document that holds each
+substring first. The candidates' text meets the text that they are said to equal and is compared byte for byte. A
+candidate that differs betrays a collision, and everything begins anew with another seed.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import U64, PrefixHash, Slice, give_back, lanes_of, mix, ragged, string_hashes
+from .bytetext import LONG_STRING, U64, PrefixHash, Slice, give_back, lanes_of, mix, ragged, string_hashes
 from .chunks import chunk_documents, each_chunk, key_bits, occurring_elsewhere, pack_bytes, pack_keys, rows_with, shared_flags, split_by_part, unpack_bytes, unpack_keys, with_columns
+from .scratch import cut
 
 ANCHOR = 16
 #: Windows of a text whose anchors are found at once.
@@ -29,6 +32,8 @@ RESULT = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.L
 SUFFIXES_AT_ONCE = 200_000
 #: Surroundings of anchors that a task unpacks at once.
 CONTEXTS_AT_ONCE = 20_000
+#: Short texts that are compared with others at once.
+TEXTS_AT_ONCE = 8192
 
 
 # ---------------------------------------------------------------- suffix sort
@@ -196,6 +201,59 @@ def unpack_contexts(data: bytes):
     return [*wide, *short, np.frombuffer(data, dtype=np.uint8, offset=4 + 32 * n)]
 
 
+def pack_claims(buf, first, size, holder) -> bytes:
+    """Texts ``size`` bytes from ``first`` on, bytes that several cover once, and the chunk that each is said to be in."""
+    by = np.argsort(first, kind="stable")
+    first, size, holder = first[by], size[by], holder[by]
+    text = [buf[a:b] for a, b in zip(*(x.tolist() for x in union(first, first + size)))]
+    numbers = np.stack([np.diff(first, prepend=0), size, holder]).astype("<i8")
+    return pack_bytes(len(first).to_bytes(8, "little") + numbers.tobytes() + np.concatenate(text).tobytes())
+
+
+def unpack_claims(data: bytes):
+    """First bytes in the sender's chunk, sizes, chunks, the texts, and where in them each begins."""
+    data = unpack_bytes(data)
+    n = int.from_bytes(data[:8], "little")
+    step, size, holder = np.frombuffer(data, dtype="<i8", count=3 * n, offset=8).reshape(3, -1)
+    first = np.cumsum(step)
+    start, end = union(first, first + size)
+    run = np.searchsorted(start, first, "right") - 1
+    return first, size, holder, np.frombuffer(data, dtype=np.uint8, offset=8 + 24 * n), (np.cumsum(end - start) - (end - start))[run] + first - start[run]
+
+
+def same_texts(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from ``at`` of a and from ``to`` of b on are equal, for each."""
+    out = np.ones(len(size), dtype=bool)
+    for i in np.flatnonzero(size > LONG_STRING).tolist():
+        out[i] = np.array_equal(a[at[i] : at[i] + size[i]], b[to[i] : to[i] + size[i]])
+    short = np.flatnonzero((size <= LONG_STRING) & (size > 0))
+    for some in np.split(short, range(TEXTS_AT_ONCE, len(short), TEXTS_AT_ONCE)):
+        if len(some):
+            n = size[some]
+            out[some] = np.logical_and.reduceat(a[ragged(at[some], n)] == b[ragged(to[some], n)], np.cumsum(n) - n)
+    return out
+
+
+def verified(claims: Iterable[bytes], evidence: list[tuple[int, bytes]], seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Starts and ends of each sender's claimed texts, and whether the chunk named for each does lend that very text."""
+    lent = [(chunk, *unpack_claims(data)) for chunk, data in evidence]
+    text = np.concatenate([np.zeros(0, np.uint8), *(x[4] for x in lent)])
+    base = np.cumsum([0, *(len(x[4]) for x in lent)])
+    start = np.concatenate([np.zeros(0, np.int64), *(x[5] + b for x, b in zip(lent, base))])
+    size = np.concatenate([np.zeros(0, np.int64), *(x[2] for x in lent)])
+    chunk = np.repeat(np.array([x[0] for x in lent], dtype=np.int64), [len(x[1]) for x in lent])
+    h = string_hashes(lanes_of(text), start, start + size, seed) ^ mix(chunk.astype(U64))
+    by = np.argsort(h)
+    h, start, size = h[by], start[by], size[by]
+    for data in claims:
+        first, n, holder, mine, at = unpack_claims(data)
+        asked = string_hashes(lanes_of(mine), at, at + n, seed) ^ mix(holder.astype(U64))
+        k = np.searchsorted(h, asked)
+        ok = k < len(h)
+        ok[ok] = (h[k[ok]] == asked[ok]) & (size[k[ok]] == n[ok])
+        yield first, first + n, bool(ok.all() and same_texts(mine, at, text, start[k], n).all())
+
+
 def settle_in_chunk(s: Slice, doc: np.ndarray, first: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Occurrences (of equal text around equal anchors) of which a smaller document of the chunk has the same."""
     h = string_hashes(lanes_of(s.buf), first, first + size) ^ key
@@ -259,10 +317,26 @@ def covered(key, doc, count, shift, text, depth: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- the job
-def covered_spans(docs: DataFrame, depth: int = 50) -> DataFrame:
-    """Chunks of ``docs`` with a column ``spans``: packed intervals of chunk bytes to remove."""
+def covered_spans(docs: DataFrame, depth: int = 50, hash_bits: int = 64) -> DataFrame:
+    """Chunks of ``docs`` with a column ``spans``: packed intervals of chunk bytes to remove.
+
+    Candidates are found by hashes of ``hash_bits`` bits (whole texts: twice as many). When a comparison betrays a
+    collision, all is done anew with another seed and, up to 64, twice the bits.
+    """
     chunks = chunk_documents(docs)
     bits = key_bits(chunks, 1 / 18, 200_000)
+    seed = 0
+    while True:
+        told = cut(_judged(chunks, depth, bits, seed, min(64, hash_bits << seed)))
+        if told.filter("collided").isEmpty():
+            spans = told.groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
+            return chunks.join(spans, "chunk", "left")
+        seed += 1
+
+
+def _judged(chunks: DataFrame, depth: int, bits: int, seed: int, hash_bits: int) -> DataFrame:
+    """Packed intervals to remove from each chunk, and whether a candidate was none (collided)."""
+    mask = U64((1 << hash_bits) - 1)
 
     def keys_of(s: Slice) -> np.ndarray:
         return np.unique(anchors(s, depth)[0])
@@ -271,41 +345,46 @@ def covered_spans(docs: DataFrame, depth: int = 50) -> DataFrame:
         for chunk, s, _ in each_chunk(batches):
             data = s.buf.tobytes()
             at = np.flatnonzero(np.diff(s.off) >= depth)
-            marks = [hashlib.blake2b(data[s.off[i] : s.off[i + 1]], digest_size=16).digest() for i in at]
+            marks = [hashlib.blake2b(data[s.off[i] : s.off[i + 1]], digest_size=max(1, hash_bits // 4), salt=seed.to_bytes(8, "little")).digest() for i in at]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chunk), pa.int64()), pa.array(at, pa.int32()), pa.array(s.ids()[at], pa.int64()), pa.array(marks, pa.binary())], ["chunk", "at", "doc", "digest"])
 
     # of texts that are alike as a whole only the one with the smallest id needs judging
     marked = chunks.mapInArrow(digests, "chunk long, at int, doc long, digest binary")
-    first_of = marked.groupBy("digest").agg(F.min("doc").alias("least"))
-    copies = marked.join(first_of, "digest").filter("doc > least").groupBy("chunk").agg(F.collect_list("at").alias("copies"))
+    first_of = marked.groupBy("digest").agg(F.min(F.struct("doc", "chunk", "at")).alias("least"))
+    none = F.lit(None)
+    alike = marked.join(first_of, "digest").filter("doc > least.doc").select(F.explode(F.array(
+        F.struct("chunk", F.struct("at", F.col("least.chunk").alias("to"), F.col("least.at").alias("of")).alias("copy"), none.cast("int").alias("lent")),
+        F.struct(F.col("least.chunk").alias("chunk"), none.cast("struct<at: int, to: long, of: int>").alias("copy"), F.col("least.at").alias("lent")),
+    )).alias("x")).select("x.*")
+    copies = alike.groupBy("chunk").agg(F.collect_list("copy").alias("copies"), F.collect_set("lent").alias("lent"))
 
     def open_questions(s: Slice, row: dict):
         """Anchors left to judge, by key: key, anchor, first and last window, document; and what the chunk settles alone."""
         key, anchor, first, last = anchors(s, depth)
         keys, at, count = np.unique(key, return_inverse=True, return_counts=True)
         copied = np.zeros(len(s), dtype=bool)
-        copied[row["copies"] or []] = True
+        copied[[x["at"] for x in row["copies"] or []]] = True
         own = np.searchsorted(s.off, first, "right") - 1
         take = ((count > 1) | shared_flags(keys, row["shared"], bits))[at] & ~copied[own]
         key, anchor, first, last, doc = key[take], anchor[take], first[take], last[take], s.ids()[own[take]]
         settled = settle_in_chunk(s, doc, first, last - first + depth, key) if len(key) else np.zeros(0, dtype=bool)
         left = np.flatnonzero(~settled)
         left = left[np.argsort(key[left], kind="stable")]
-        gone = np.concatenate([first[settled], s.off[:-1][copied]]), np.concatenate([last[settled] + depth, s.off[1:][copied]])
+        gone = first[settled], last[settled] + depth
         return key[left], anchor[left], first[left], last[left], doc[left], gone
 
     def send_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, s, row in each_chunk(batches):
             key, anchor, first, last, doc, _ = open_questions(s, row)
-            h = string_hashes(lanes_of(s.buf), first, last + depth) ^ mix((anchor - first).astype(U64))
+            h = (string_hashes(lanes_of(s.buf), first, last + depth, seed) ^ mix((anchor - first).astype(U64))) & mask
             parts, border = split_by_part(key, bits)
             data = [pack_keys(key[a:b], bits) for a, b in zip(border[:-1], border[1:])]
             more = [h[a:b].astype("<u8").tobytes() + pack_bytes(doc[a:b].astype("<i8").tobytes()) for a, b in zip(border[:-1], border[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), chunk), pa.int64()), pa.array(parts, pa.int64()), pa.array(data, pa.binary()), pa.array(more, pa.binary())], ["chunk", "part", "data", "more"])
 
     def compare(table: pa.Table) -> pa.Table:
-        """For each anchor: covered whole (an equal surrounding in a smaller document), or in need of its text (other
-        surroundings of the same anchor exist), or neither."""
+        """For each anchor: whole (its surrounding seems to be in a smaller document, in a chunk that is named), in need of
+        its text (other surroundings of the same anchor exist), or neither; and lent (what others are whole by)."""
         part = table.column("part")[0].as_py()
         each = [unpack_keys(x.as_py(), part, bits) for x in table.column("data")]
         size = [len(x) for x in each]
@@ -317,32 +396,65 @@ def covered_spans(docs: DataFrame, depth: int = 50) -> DataFrame:
         k, g, d = key[by], h[by], doc[by]
         kind = np.ones(len(by), dtype=bool)
         kind[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1])
-        least = d[np.flatnonzero(kind)[np.cumsum(kind) - 1]]
+        head = np.flatnonzero(kind)[np.cumsum(kind) - 1]
+        least = d[head]
         new = np.ones(len(by), dtype=bool)
         new[1:] = k[1:] != k[:-1]
         kinds = np.add.reduceat(kind.astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
-        whole, text = np.empty(len(by), dtype=bool), np.empty(len(by), dtype=bool)
+        whole, text, lent, holder = (np.zeros(len(by), dtype=t) for t in (bool, bool, bool, np.int64))
         whole[by] = d > least
         text[by] = (d == least) & (kinds > 1)
+        lent[by[head[d > least]]] = True
+        holder[by] = np.repeat(table.column("chunk").to_numpy(), size)[by][head]
         cuts = np.cumsum(size)[:-1]
-        bits_of = [np.packbits(np.concatenate([a, b])).tobytes() for a, b in zip(np.split(whole, cuts), np.split(text, cuts))]
-        return pa.table({"chunk": table.column("chunk"), "state": pa.array([{"part": part, "bits": x} for x in bits_of], pa.struct([("part", pa.int64()), ("bits", pa.binary())]))})
+        states = [{"part": part, "bits": np.packbits(np.concatenate([a, b, c])).tobytes(), "holders": pack_bytes(to[a].astype("<i8").tobytes())} for a, b, c, to in zip(*(np.split(x, cuts) for x in (whole, text, lent, holder)))]
+        return pa.table({"chunk": table.column("chunk"), "state": pa.array(states, pa.struct([("part", pa.int64()), ("bits", pa.binary()), ("holders", pa.binary())]))})
+
+    def part_of(chunk: int) -> int:
+        return int(mix(np.array([chunk], dtype=U64))[0] >> U64(64 - bits))
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, s, row in each_chunk(batches):
             key, anchor, first, last, doc, gone = open_questions(s, row)
             parts_of, border = split_by_part(key, bits)
-            whole, text = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+            whole, text, lent = np.zeros((3, len(key)), dtype=bool)
+            holder = np.zeros(len(key), dtype=np.int64)
             at = {int(p): (a, b) for p, a, b in zip(parts_of, border[:-1], border[1:])}
             for x in row["states"] or []:
                 a, b = at[x["part"]]
-                flags = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=2 * (b - a)).astype(bool)
-                whole[a:b], text[a:b] = flags[: b - a], flags[b - a :]
+                flags = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=3 * (b - a)).astype(bool)
+                whole[a:b], text[a:b], lent[a:b] = flags.reshape(3, -1)
+                holder[a:b][whole[a:b]] = np.frombuffer(unpack_bytes(x["holders"]), "<i8")
             parts, data = [], []
-            start, end = union(np.concatenate([gone[0], first[whole]]), np.concatenate([gone[1], last[whole] + depth]))
+            # of copies of one text the chunk claims the first, and compares the others with that
+            ones, others, like = {}, [], []
+            for x in row["copies"] or []:
+                one = x["of"] if x["to"] == chunk else ones.setdefault((x["to"], x["of"]), x["at"])
+                if one != x["at"]:
+                    others.append(x["at"])
+                    like.append(one)
+            others, like = np.array(others, dtype=np.int64), np.array(like, dtype=np.int64)
+            length = np.diff(s.off)
+            alike = length[others] == length[like]
+            if not (alike.all() and same_texts(s.buf, s.off[others], s.buf, s.off[like], length[others]).all()):
+                parts.append(0)
+                data.append(b"x")
+            start, end = union(np.concatenate([gone[0], s.off[others]]), np.concatenate([gone[1], s.off[others + 1]]))
             if len(start):
-                parts.append(int(mix(np.array([chunk], dtype=U64))[0] >> U64(64 - bits)))
+                parts.append(part_of(chunk))
                 data.append(b"i" + pack_intervals(start, end))
+            copy, docs_lent = np.array(list(ones.values()), dtype=np.int64), np.array(sorted(row["lent"] or []), dtype=np.int64)
+            mine = np.concatenate([first[whole], s.off[copy]]), np.concatenate([(last - first + depth)[whole], length[copy]]), np.concatenate([holder[whole], np.array([to for to, _ in ones], dtype=np.int64)])
+            part = (mix(mine[2].astype(U64)) >> U64(64 - bits)).astype(np.int64)
+            by = np.argsort(part, kind="stable")
+            for of in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
+                if len(of):
+                    parts.append(int(part[of[0]]))
+                    data.append(b"v" + pack_claims(s.buf, *(x[of] for x in mine)))
+            begin, size = np.concatenate([first[lent], s.off[docs_lent]]), np.concatenate([(last - first + depth)[lent], length[docs_lent]])
+            if len(begin):
+                parts.append(part_of(chunk))
+                data.append(b"e" + pack_claims(s.buf, begin, size, np.zeros_like(begin)))
             left = np.flatnonzero(text)
             part = (key[left] >> U64(64 - bits)).astype(np.int64)
             for of in np.split(left, np.flatnonzero(np.diff(part)) + 1):
@@ -353,14 +465,24 @@ def covered_spans(docs: DataFrame, depth: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), chunk), pa.int64()), pa.array(parts, pa.int64()), pa.array(data, pa.binary())], ["chunk", "part", "data"])
 
     def judge(table: pa.Table) -> pa.Table:
-        to, spans, rows = [], [], []
+        to, spans, rows, claims, evidence, collided = [], [], [], [], [], False
         for c, data in zip(table.column("chunk").to_pylist(), table.column("data")):
             data = data.as_py()
             if data[:1] == b"i":
                 to.append(c)
                 spans.append(data[1:])
+            elif data[:1] == b"v":
+                claims.append((c, data[1:]))
+            elif data[:1] == b"e":
+                evidence.append((c, data[1:]))
+            elif data[:1] == b"x":
+                collided = True
             else:
                 rows.append((c, unpack_contexts(data[1:])))
+        for (c, _), (start, end, ok) in zip(claims, verified((x for _, x in claims), evidence, seed)):
+            collided |= not ok
+            to.append(c)
+            spans.append(pack_intervals(*union(start, end)))
         if rows:
             key, doc, first, count, shift = (np.concatenate([r[1][k] for r in rows]) for k in range(5))
             text = np.concatenate([r[1][5] for r in rows])
@@ -385,26 +507,28 @@ def covered_spans(docs: DataFrame, depth: int = 50) -> DataFrame:
                 if len(x):
                     to.append(rows[whose[x[0]]][0])
                     spans.append(pack_intervals(*union(window[x], window[x] + depth)))
+        if collided and not to:
+            to, spans = [-1], [pack_intervals(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         give_back()
-        return pa.table({"chunk": pa.array(to, pa.int64()), "spans": pa.array(spans, pa.binary())})
+        return pa.table({"chunk": pa.array(to, pa.int64()), "spans": pa.array(spans, pa.binary()), "collided": pa.array(np.full(len(to), collided))})
 
     asked = occurring_elsewhere(chunks, keys_of, bits).join(copies, "chunk", "left")
     hashes = asked.mapInArrow(send_hashes, "chunk long, part long, data binary, more binary")
-    states = hashes.groupBy("part").applyInArrow(compare, "chunk long, state struct<part: long, bits: binary>")
+    states = hashes.groupBy("part").applyInArrow(compare, "chunk long, state struct<part: long, bits: binary, holders: binary>")
     states = states.groupBy("chunk").agg(F.collect_list("state").alias("states"))
     sent = asked.join(states, "chunk", "left").mapInArrow(send, "chunk long, part long, data binary")
-    told = sent.groupBy("part").applyInArrow(judge, "chunk long, spans binary")
-    return chunks.join(told.groupBy("chunk").agg(F.collect_list("spans").alias("spans")), "chunk", "left")
+    return sent.groupBy("part").applyInArrow(judge, "chunk long, spans binary, collided boolean")
 
 
-def remove_covered_bytes(docs: DataFrame, depth: int = 50, with_text: bool = True) -> DataFrame:
+def remove_covered_bytes(docs: DataFrame, depth: int = 50, with_text: bool = True, hash_bits: int = 64) -> DataFrame:
     """Remove each byte of the UTF-8 texts covered by a ``depth``-byte string that also starts in a document with a
     smaller doc_id. Overlaps count; strings are judged on the input; matches never cross documents.
 
     Returns the other columns of ``docs``, n_bytes, n_removed, n_spans (maximal removed runs), kept_text (the
     remaining bytes as text, halves of cut characters left out; null unless ``with_text``) and kept_sha256 (of the
     remaining bytes). A null text is empty. A null doc_id counts as larger
-    than any other; rows of equal doc_id, repeated rows among them, take nothing from each other.
+    than any other; rows of equal doc_id, repeated rows among them, take nothing from each other. Every removed byte has
+    been compared with an equal one; ``hash_bits`` only sets how often comparisons are in vain.
     """
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,4 +556,4 @@ def remove_covered_bytes(docs: DataFrame, depth: int = 50, with_text: bool = Tru
                 "kept_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()),
             })
 
-    return covered_spans(docs, depth).mapInArrow(finish, with_columns(docs.schema, "text", RESULT))
+    return covered_spans(docs, depth, hash_bits).mapInArrow(finish, with_columns(docs.schema, "text", RESULT))
