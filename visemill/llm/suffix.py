@@ -317,25 +317,9 @@ def covered(key, doc, count, shift, text, depth: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- the job
-def covered_spans(docs: DataFrame, depth: int = 50, hash_bits: int = 64) -> DataFrame:
-    """Chunks of ``docs`` with a column ``spans``: packed intervals of chunk bytes to remove.
-
-    Candidates are found by hashes of ``hash_bits`` bits (whole texts: twice as many). When a comparison betrays a
-    collision, all is done anew with another seed and, up to 64, twice the bits.
-    """
-    chunks = chunk_documents(docs)
-    bits = key_bits(chunks, 1 / 18, 200_000)
-    seed = 0
-    while True:
-        told = cut(_judged(chunks, depth, bits, seed, min(64, hash_bits << seed)))
-        if told.filter("collided").isEmpty():
-            spans = told.groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
-            return chunks.join(spans, "chunk", "left")
-        seed += 1
-
-
-def _judged(chunks: DataFrame, depth: int, bits: int, seed: int, hash_bits: int) -> DataFrame:
-    """Packed intervals to remove from each chunk, and whether a candidate was none (collided)."""
+def covered_spans(chunks: DataFrame, depth: int, bits: int, seed: int, hash_bits: int) -> DataFrame:
+    """Packed intervals of chunk bytes to remove, and whether a candidate was none (collided). Candidates are found by
+    hashes of ``hash_bits`` bits (whole texts: twice as many)."""
     mask = U64((1 << hash_bits) - 1)
 
     def keys_of(s: Slice) -> np.ndarray:
@@ -477,6 +461,8 @@ def _judged(chunks: DataFrame, depth: int, bits: int, seed: int, hash_bits: int)
                 evidence.append((c, data[1:]))
             elif data[:1] == b"x":
                 collided = True
+                to.append(c)
+                spans.append(pack_intervals(np.zeros(0, np.int64), np.zeros(0, np.int64)))
             else:
                 rows.append((c, unpack_contexts(data[1:])))
         for (c, _), (start, end, ok) in zip(claims, verified((x for _, x in claims), evidence, seed)):
@@ -507,8 +493,6 @@ def _judged(chunks: DataFrame, depth: int, bits: int, seed: int, hash_bits: int)
                 if len(x):
                     to.append(rows[whose[x[0]]][0])
                     spans.append(pack_intervals(*union(window[x], window[x] + depth)))
-        if collided and not to:
-            to, spans = [-1], [pack_intervals(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         give_back()
         return pa.table({"chunk": pa.array(to, pa.int64()), "spans": pa.array(spans, pa.binary()), "collided": pa.array(np.full(len(to), collided))})
 
@@ -548,7 +532,7 @@ def remove_covered_bytes(docs: DataFrame, depth: int = 50, with_text: bool = Tru
             kept = s.buf[~gone].tobytes()
             off = (s.off - total).tolist()
             parts = [kept[a:b] for a, b in zip(off[:-1], off[1:])]
-            yield rows_with(s, {
+            rows = rows_with(s, {
                 "n_bytes": pa.array(np.diff(s.off), pa.int64()),
                 "n_removed": pa.array(np.diff(total), pa.int64()),
                 "n_spans": pa.array(np.diff(spans), pa.int64()),
@@ -556,4 +540,24 @@ def remove_covered_bytes(docs: DataFrame, depth: int = 50, with_text: bool = Tru
                 "kept_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()),
             })
 
-    return covered_spans(docs, depth, hash_bits).mapInArrow(finish, with_columns(docs.schema, "text", RESULT))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([pack_bytes(sink.getvalue().to_pybytes())], pa.binary()), pa.array([bool(row["collided"])])], ["data", "collided"])
+
+    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                yield from pa.ipc.open_stream(unpack_bytes(data.as_py()))
+        give_back()
+
+    chunks = chunk_documents(docs)
+    bits = key_bits(chunks, 1 / 18, 200_000)
+    seed = 0
+    while True:
+        spans = covered_spans(chunks, depth, bits, seed, min(64, hash_bits << seed))
+        spans = spans.groupBy("chunk").agg(F.collect_list("spans").alias("spans"), F.max("collided").alias("collided"))
+        done = cut(chunks.join(spans, "chunk", "left").mapInArrow(finish, "data binary, collided boolean"))
+        if done.filter("collided").isEmpty():
+            return done.select("data").mapInArrow(unpack, with_columns(docs.schema, "text", RESULT))
+        seed += 1  # a comparison betrayed a collision: all anew
