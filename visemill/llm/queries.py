@@ -81,6 +81,31 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Fixed rules: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op11_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_templates import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fim import fill_in_middle, restore_text
+
+    formed = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    formed = formed.withColumns({"output_sha256": F.sha2(F.col("output").cast("binary"), 256), "kept_form": F.col("form")})
+    back = restore_text(formed).withColumn("restored_sha256", F.sha2(F.col("text").cast("binary"), 256))
+    return back.select("doc_id", "n", F.col("kept_form").alias("form"), "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -133,6 +158,47 @@ OP9 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x
  SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id"""
 
 
+OP12 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+ num AS (SELECT *, len(w) AS n, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2, ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM d),
+ cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS a, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM num),
+ part AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM cut)
+ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM part"""
+
+
+def _op11(depth: int = 4, share: float = 0.05, least: int = 3, weight: float = 2.0, purity: float = 0.5, apart: float = 2.706) -> str:
+    """The template tree level by level, as in ``judge_urls``."""
+    fits = lambda host, path: f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+    longest = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    rule, says = (" ".join(f"WHEN {fits(h, p)} THEN '{x}'" for h, p, x in [(h, p, (h + p, v)[k]) for h, p, v in longest]) for k in (0, 1))
+    smoothed = lambda of: f"({of}blocked::DOUBLE + {weight}::DOUBLE * parent) / ({of}labelled::DOUBLE + {weight}::DOUBLE)"
+    a, n, b, m = "acc[-1].blocked::DOUBLE", "acc[-1].labelled::DOUBLE", "x[1].blocked::DOUBLE", "x[1].labelled::DOUBLE"
+    differ = f"{a} * {m} <> {b} * {n} AND ({a} * {m} - {b} * {n}) * ({a} * {m} - {b} * {n}) * ({n} + {m}) >= {apart}::DOUBLE * {n} * {m} * ({a} + {b}) * ({n} + {m} - {a} - {b})"
+    alone = f"(acc[-1].labelled = 0) <> (x[1].labelled = 0) OR ({differ})"
+    both = "acc[1:len(acc) - 1] || [{'segments': acc[-1].segments || x[1].segments, 'labelled': acc[-1].labelled + x[1].labelled, 'blocked': acc[-1].blocked + x[1].blocked}]"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    parts = [
+        "u0 AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        f"u1 AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u0)",
+        f"u2 AS (SELECT *, CASE {rule} END AS rule, CASE {says} END AS says FROM u1)",
+        f"r0 AS (SELECT *, str_split(substr(path, 2), '/')[1:{depth}] AS segs, (says IS NOT NULL)::BIGINT AS labelled, coalesce(says = 'block', false)::BIGINT AS blocked, (SELECT coalesce(sum((says = 'block')::BIGINT)::DOUBLE / nullif(count(says), 0), 0) FROM u2) AS blocked_share, '' AS template FROM u2)",
+    ]
+    for k in range(depth):
+        parent = smoothed("all_") if k == 0 else "parent"
+        parts += [
+            f"h{k} AS (SELECT *, segs[{k + 1}] AS segment FROM r{k})",
+            f"t{k} AS (SELECT host, template, all_n, all_labelled, all_blocked, {parent} AS parent FROM (SELECT host, template, count(*) AS all_n, sum(labelled)::BIGINT AS all_labelled, sum(blocked)::BIGINT AS all_blocked, max(blocked_share) AS parent FROM h{k} WHERE segment IS NOT NULL GROUP BY 1, 2) q)",
+            f"c{k} AS (SELECT host, template, segment, count(*) AS n, sum(labelled)::BIGINT AS labelled, sum(blocked)::BIGINT AS blocked FROM h{k} WHERE segment IS NOT NULL GROUP BY 1, 2, 3)",
+            f"f{k} AS (SELECT c.* FROM c{k} c JOIN t{k} t ON c.host = t.host AND c.template = t.template WHERE n >= {least} AND n >= {share}::DOUBLE * all_n)",
+            f"s{k} AS (SELECT * FROM f{k} UNION ALL SELECT t.host, t.template, NULL, all_n - coalesce(n, 0), all_labelled - coalesce(labelled, 0), all_blocked - coalesce(blocked, 0) FROM t{k} t LEFT JOIN (SELECT host, template, sum(n)::BIGINT AS n, sum(labelled)::BIGINT AS labelled, sum(blocked)::BIGINT AS blocked FROM f{k} GROUP BY 1, 2) q ON q.host = t.host AND q.template = t.template WHERE all_n > coalesce(n, 0))",
+            f"l{k} AS (SELECT host, template, list([{{'segments': [segment], 'labelled': labelled, 'blocked': blocked}}] ORDER BY labelled = 0, CASE WHEN labelled = 0 THEN 0 ELSE blocked::DOUBLE / labelled::DOUBLE END, segment NULLS FIRST) AS siblings FROM s{k} GROUP BY 1, 2)",
+            f"g{k} AS (SELECT host, template, unnest(list_reduce(siblings, lambda acc, x: CASE WHEN {alone} THEN acc || x ELSE {both} END)) AS g FROM l{k})",
+            f"b{k} AS (SELECT g.host, g.template, unnest(g.segments) AS segment, array_to_string(list_sort(list_transform(g.segments, lambda s: coalesce(replace(replace(replace(s, '%', '%25'), '*', '%2A'), '|', '%7C'), '*'))), '|') AS shown, CASE WHEN g.labelled = all_labelled THEN parent ELSE {smoothed('g.')} END AS share FROM g{k} g JOIN t{k} t ON g.host = t.host AND g.template = t.template)",
+            f"r{k + 1} AS (SELECT h.page_id, h.host, h.path, h.rule, h.says, h.segs, h.labelled, h.blocked, coalesce(o.share, w.share, h.blocked_share) AS blocked_share, h.template || coalesce('/' || coalesce(o.shown, w.shown), '') AS template FROM h{k} h LEFT JOIN b{k} o ON o.host = h.host AND o.template = h.template AND o.segment = h.segment LEFT JOIN b{k} w ON h.segment IS NOT NULL AND w.host = h.host AND w.template = h.template AND w.segment IS NULL)",
+        ]
+    return f"WITH {', '.join(parts)} SELECT page_id, host, path, rule, coalesce(says, CASE WHEN blocked_share >= {purity} THEN 'block' ELSE 'allow' END) AS verdict, template, blocked_share FROM r{depth}"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the others are held against brute force in the tests."""
-    return {"op4_chat_formatting": OP4, "op5_suffix_array": OP5, "op7_sign_hashing": OP7, "op8_positional_index": OP8, "op9_rabin_karp": OP9}
+    return {"op4_chat_formatting": OP4, "op5_suffix_array": OP5, "op7_sign_hashing": OP7, "op8_positional_index": OP8, "op9_rabin_karp": OP9, "op11_url_templates": _op11(), "op12_fill_in_middle": OP12}
