@@ -1,3 +1,4 @@
+import datetime
 import io
 import json
 import tarfile
@@ -107,7 +108,7 @@ def test_subtitles_and_reports(spark, tmp_path):
 
 def test_manifest_writer_replaces_videos_and_marks_last(spark, tmp_path, monkeypatch):
     out = str(tmp_path / "m")
-    write = lambda rows: W.write_manifests(spark.createDataFrame(rows, "video_stem string, split_dir string, n int"), out, buckets=3)
+    write = lambda rows: W.write_manifests(spark.createDataFrame(rows, "video_stem string, split_dir string, n int"), out)
     write([("v1", "O", 1), ("v2", "O", 1), ("v2", "O", 2), ("v3", "P", 1)])
     write([("v3", "O", 7), ("v4", "P", 1)])
     read = lambda: sorted(map(tuple, W.read_done_manifests(spark, out).collect()))
@@ -115,21 +116,17 @@ def test_manifest_writer_replaces_videos_and_marks_last(spark, tmp_path, monkeyp
     assert read() == first
     write([("v3", "O", 7), ("v4", "P", 1)])
     assert read() == first
-    assert sorted((r.video_stem, r.n_utts) for r in spark.read.parquet(f"{out}/done").collect()) == [("v1", 1), ("v2", 2), ("v3", 1), ("v4", 1)]
-    whole = W.replace_keys
-
-    def breaks(rows, path, *args, **options):
-        if path.endswith("/rows"):
-            raise OSError("disk full")
-        whole(rows, path, *args, **options)
-
-    monkeypatch.setattr(W, "replace_keys", breaks)
-    with pytest.raises(OSError):
-        write([("v2", "O", 9)])
-    monkeypatch.undo()
-    assert sorted({r[0] for r in read()}) == ["v1", "v3", "v4"]  # v2 is to be done again
+    assert sorted((r.video_stem, r.n_utts) for r in W.done_videos(spark, out).collect()) == [("v1", 1), ("v2", 2), ("v3", 1), ("v4", 1)]
+    count = F.count
+    monkeypatch.setattr(W.F, "count", lambda *_: 1 / 0)  # breaks off between rows and markers
+    with pytest.raises(ZeroDivisionError):
+        write([("v2", "O", 9), ("v5", "O", 1)])
+    monkeypatch.setattr(W.F, "count", count)
+    assert read() == first  # rows without a marker don't count
     write([("v2", "O", 9)])
     assert ("v2", "O", 9) in read() and len(read()) == 4
+    W.write_manifests(spark.createDataFrame([("v1", "O", 1, 2.0)], "video_stem string, split_dir string, n int, more double"), out)
+    assert ("v1", "O", 1, 2.0) in read() and len(read()) == 4
 
 
 def test_archives_are_indexed_by_their_headers(spark, tmp_path):
@@ -145,19 +142,28 @@ def test_archives_are_indexed_by_their_headers(spark, tmp_path):
 
 
 def test_ingest_and_status_streams(spark, tmp_path):
-    schema = "stem string, n int, ok boolean"
-    def feed(k, rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    schema = "stem string, n int, ok boolean, at timestamp"
+    day = lambda d: datetime.datetime(2024, 1, d)
 
-    feed(0, [("a", 1, False), ("b", 1, True)])
-    stream = lambda: spark.readStream.schema(schema).json(str(tmp_path / "in"))
-    for rows in ([], [("a", 2, True), ("c", 1, False)], []):
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    feed([("a", 1, False, day(1)), ("b", 1, True, day(2)), ("b", 1, True, day(2))])
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    kept, late, added = [], [], []
+    for rows in ([], [("a", 2, True, day(2)), ("c", 1, False, day(9))], [], [("d", 1, True, day(20)), ("late", 1, True, day(8))], [("late", 1, True, day(3)), ("e", 1, True, day(21))], []):
         if rows:
-            feed(1, rows)
-        J.ingest(stream(), "stem", str(tmp_path / "rows"), str(tmp_path / "c1")).awaitTermination()
-        J.latest_status(stream(), "stem", ["n"], str(tmp_path / "status"), str(tmp_path / "c2")).awaitTermination()
-    assert sorted(r.stem for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == ["a", "b", "c"]
-    assert {r.stem: r.ok for r in J.current_status(spark, str(tmp_path / "status")).collect()} == {"a": True, "b": True, "c": False}
+            feed(rows)
+        run = J.ingest(stream(), "stem", "at", "5 days", str(tmp_path / "rows"), str(tmp_path / "c1"))
+        run.awaitTermination()
+        kept.append(max([op["numRowsTotal"] for p in run.recentProgress for op in p["stateOperators"]], default=0))
+        late.append(J.rows_too_late(run))
+        added.append(spark.read.parquet(str(tmp_path / "rows")).count())
+        J.latest_status(stream(), "stem", ["n"], str(tmp_path / "status"), str(tmp_path / "c2"), buckets=5).awaitTermination()
+    assert added == [2, 3, 3, 5, 6, 6] and sum(late) == 1  # day 3 is before the watermark of day 15
+    assert sorted(r.stem for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == ["a", "b", "c", "d", "e", "late"]
+    assert max(kept) <= 5  # keys that the watermark has passed are forgotten
+    assert {r.stem: r.ok for r in J.current_status(spark, str(tmp_path / "status")).collect()} == {"a": True, "b": True, "c": False, "d": True, "e": True, "late": True}
 
 
 def grid(times, fps):
@@ -216,12 +222,21 @@ def test_repair_by_stretches_and_in_parts():
 
 
 def test_resampler_stream_equals_batch(spark, tmp_path):
-    rows = [(v, k, k / 25 if k % 5 else None, k == 29) for v in ("a", "b") for k in range(30)]
-    schema = "video string, frame long, t double, last boolean"
-    for part in (rows[:20] + rows[30:45], rows[20:30] + rows[45:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = J.resample_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(str(tmp_path / "in")), 30.0)
-    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    """Video a is marked at its end, b ends by its timer when c's frames or the clock move on, c is still open."""
+    start = datetime.datetime(2024, 1, 1)
+    row = lambda v, k, last=False: (v, k, k / 25 if k % 5 else None, start + datetime.timedelta(seconds=k / 25 + 100 * (v == "c")), last)
+    rows = [row(v, k, v == "a" and k == 29) for v in "ab" for k in range(30)]
+    more = [row("c", k) for k in range(40)]
+    schema = "video string, frame long, t double, at timestamp, last boolean"
+    parts = [rows[:20][::-1] + rows[30:45], rows[20:30] + rows[45:], more[:30], more[30:]]
+    run = None
+    with J.with_timers(spark):
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = J.resample_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 30.0, delay="1 second", patience=20.0)
+            run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            run.awaitTermination()
     got = {(r.video, r.frame): (r.copies, r.fixed) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {(r.video, r.frame): (r.copies, r.fixed) for r in J.resample_batch(spark.createDataFrame(rows, schema), 30.0).collect()}
-    assert got == want
+    want = {(r.video, r.frame): (r.copies, r.fixed) for r in J.resample_batch(spark.createDataFrame(rows + more, schema), 30.0).collect()}
+    assert got == {k: v for k, v in want.items() if k != ("c", 39)}  # told when its timer comes
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")

@@ -195,13 +195,21 @@ def event_stream(spark, sf_dir) -> DataFrame:
     return files.parquet(path) if folder else files.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-@query("r1_incremental_ingest", "SELECT count(DISTINCT event_id) AS n, count(DISTINCT user_id) AS users, round(sum(value), 2) AS total FROM events")
+@query("r1_incremental_ingest", "SELECT count(DISTINCT event_id) AS n, count(DISTINCT user_id) AS users, round(sum(value), 2) AS total, 0::BIGINT AS again FROM events")
 def ingest(spark, sf_dir):
-    stream = event_stream(spark, sf_dir).select("event_id", "user_id", "value")
+    """The events ingested twice; ``again`` is what the second run added. Files may hold events of the whole month, in any order."""
+    stream = event_stream(spark, sf_dir).select("event_id", "user_id", "value", "ts")
     with shared_folder(spark, "ingest") as folder:
-        for _ in range(2):  # the second run finds nothing new
-            J.ingest(stream, "event_id", f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-        return cut(spark.read.parquet(f"{folder}/rows").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total")))
+        counts = []
+        for _ in range(2):
+            run = J.ingest(stream, "event_id", "ts", "40 days", f"{folder}/rows", f"{folder}/checkpoint")
+            run.awaitTermination()
+            if late := J.rows_too_late(run):
+                raise ValueError(f"{late} events came after the watermark")
+            counts.append(spark.read.parquet(f"{folder}/rows").count())
+        rows = spark.read.parquet(f"{folder}/rows")
+        again = F.lit(counts[1] - counts[0]).cast("long").alias("again")
+        return cut(rows.agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total"), again))
 
 
 @query("r2_latest_status", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, event_id, event_type FROM r WHERE k = 1")
@@ -218,8 +226,8 @@ def manifest_writer(spark, sf_dir):
     rows = utterances(spark, sf_dir)
     again = rows.filter("video_stem % 3 = 0").withColumn("duration", F.col("duration") + 1)
     with shared_folder(spark, "manifests") as folder:
-        write_manifests(rows, folder, buckets=8)
-        write_manifests(again, folder, buckets=8)
+        write_manifests(rows, folder)
+        write_manifests(again, folder)
         out = read_done_manifests(spark, folder)
         return cut(out.groupBy("split_dir").agg(F.count("*").alias("n"), F.countDistinct("video_stem").alias("videos"), F.round(F.sum("duration"), 4).alias("seconds")))
 
@@ -242,8 +250,38 @@ RESAMPLED = f"""{FRAMES}, f AS (SELECT utt_key, k, CASE WHEN valid THEN k / 25e0
  z AS (SELECT *, row_number() OVER (PARTITION BY utt_key ORDER BY k DESC) AS n FROM r)"""
 
 
-@query("r3_frame_resampler", f"WITH RECURSIVE {RESAMPLED} SELECT CAST(utt_key AS VARCHAR) AS video, (k + 1)::BIGINT AS n, greatest(grid, CAST(ceil((time + gap - 1e-6) * 30) AS BIGINT)) AS copies, fixed::BIGINT AS fixed FROM z WHERE n = 1")
+RESAMPLED_SQL = f"WITH RECURSIVE {RESAMPLED} SELECT CAST(utt_key AS VARCHAR) AS video, (k + 1)::BIGINT AS n, greatest(grid, CAST(ceil((time + gap - 1e-6) * 30) AS BIGINT)) AS copies, fixed::BIGINT AS fixed FROM z WHERE n = 1"
+
+
+def timed_frames(spark, sf_dir) -> DataFrame:
+    return frames(spark, sf_dir).select(F.col("utt_key").cast("string").alias("video"), F.col("k").cast("long").alias("frame"), F.when(F.col("valid"), F.col("k") / 25.0).alias("t"))
+
+
+def resampled(copies: DataFrame) -> DataFrame:
+    return copies.groupBy("video").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"), F.max("fixed").alias("fixed"))
+
+
+@query("r3_frame_resampler", RESAMPLED_SQL)
 def resampler(spark, sf_dir):
-    rows = frames(spark, sf_dir).select(F.col("utt_key").cast("string").alias("video"), F.col("k").cast("long").alias("frame"), F.when(F.col("valid"), F.col("k") / 25.0).alias("t"))
-    out = J.resample_batch(rows, 30.0)
-    return out.groupBy("video").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"), F.max("fixed").alias("fixed"))
+    return resampled(J.resample_batch(timed_frames(spark, sf_dir), 30.0))
+
+
+@query("r3_resampler_stream", RESAMPLED_SQL)
+def resampler_stream(spark, sf_dir):
+    """The same frames as a stream that arrives in three files' time and stops each time; no frame is marked as a video's
+    last, so every state ends by its timer once a clock has moved the watermark past all frames."""
+    at = lambda seconds: F.timestamp_millis((seconds * 1000).cast("long"))
+    rows = timed_frames(spark, sf_dir).select("video", "frame", "t", at(F.col("frame") / 25).alias("at"), F.lit(False).alias("last"))
+    with shared_folder(spark, "frames") as folder, J.with_timers(spark):
+        rows = cut(rows)
+        longest = rows.agg(F.max("frame")).first()[0] or 0
+        none = spark.range(1).select(F.lit(None).cast("string").alias("video"), F.lit(None).cast("long").alias("frame"), F.lit(None).cast("double").alias("t"))
+        clock = none.select("*", at(F.lit(longest / 25 + 120)).alias("at"), F.lit(False).alias("last"))
+        half = longest // 2
+        for part in (rows.filter(F.col("frame") <= half), rows.filter(F.col("frame") > half), clock):
+            part.write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+            copies = J.resample_stream(stream, 30.0, delay="5 seconds", patience=60.0)
+            run = copies.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+            run.trigger(availableNow=True).start().awaitTermination()
+        return cut(resampled(spark.read.parquet(f"{folder}/out")))

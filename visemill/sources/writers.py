@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,45 +29,49 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def replace_keys(rows: DataFrame, path: str, key: str, buckets: int, drop: DataFrame | None = None) -> None:
-    """Put ``rows`` into the Parquet table at ``path`` in place of all that it holds of their keys (or of those of ``drop``).
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def replace_keys(rows: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Put ``rows`` into the Parquet table at ``path`` in place of all that it holds of their keys.
 
     The table is dealt to folders by a hash of the key; only folders that hold such a key are read and written anew.
     """
     spark = rows.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    keys = (rows if drop is None else drop).select(key).distinct()
+    bucket = bucket_of(key, buckets)
     new = rows.withColumn("_bucket", bucket)
     if folder_exists(spark, path):
+        keys = rows.select(key).distinct()
         touched = [r[0] for r in keys.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
         kept = spark.read.parquet(path).filter(F.col("_bucket").isin(touched)).join(keys, key, "left_anti")
         new = cut(new.unionByName(kept, allowMissingColumns=True))
-        if drop is not None:  # a folder that loses all its rows is not among those written
-            left = {r[0] for r in new.select("_bucket").distinct().collect()}
-            for b in set(touched) - left:
-                where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_bucket={b}")
-                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     new.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
 
 
-def write_manifests(utt: DataFrame, path: str, key: str = "video_stem", buckets: int = 64) -> None:
-    """Manifest rows under ``path``/rows and the videos that are done under ``path``/done(video_stem, n_utts).
+def write_manifests(utt: DataFrame, path: str, key: str = "video_stem") -> None:
+    """Append manifest rows as a batch of their own under ``path``/rows, then the markers (video_stem, n_utts) of its videos
+    under ``path``/done.
 
-    A video that is written again is replaced, the others stay as they are. Its done marker goes first and comes back last,
-    so a write that breaks off leaves a video without one, to be done again.
+    Nothing is rewritten: a video that comes again is read from the batch of its newest marker. A write that breaks off
+    leaves no marker, so what was there before stays in force and the batch is to be written again. One writer at a time.
     """
+    batch = f"{time.time_ns():020d}"
     utt = cut(utt)
-    done = utt.groupBy(key).agg(F.count("*").alias("n_utts"))
-    if folder_exists(utt.sparkSession, f"{path}/done"):
-        replace_keys(done.limit(0), f"{path}/done", key, buckets, drop=utt)
-    replace_keys(utt, f"{path}/rows", key, buckets)
-    replace_keys(done, f"{path}/done", key, buckets)
+    utt.write.parquet(f"{path}/rows/_batch={batch}")
+    utt.groupBy(key).agg(F.count("*").alias("n_utts")).write.parquet(f"{path}/done/_batch={batch}")
+
+
+def done_videos(spark: SparkSession, path: str, key: str = "video_stem") -> DataFrame:
+    """(video_stem, n_utts, _batch): the newest marker of each video."""
+    markers = spark.read.schema(f"{key} {spark.read.parquet(f'{path}/done').schema[key].dataType.simpleString()}, n_utts long, _batch string").parquet(f"{path}/done")
+    return markers.groupBy(key).agg(F.max_by("n_utts", "_batch").alias("n_utts"), F.max("_batch").alias("_batch"))
 
 
 def read_done_manifests(spark: SparkSession, path: str, key: str = "video_stem") -> DataFrame:
-    """Rows of the videos whose marker is there."""
-    rows = spark.read.parquet(f"{path}/rows").drop("_bucket")
-    return rows.join(spark.read.parquet(f"{path}/done").select(key), key, "left_semi").select(rows.columns)
+    """Rows of the videos that are done, as last written."""
+    rows = spark.read.option("mergeSchema", True).parquet(f"{path}/rows").withColumn("_batch", F.lpad(F.col("_batch").cast("string"), 20, "0"))
+    return rows.join(done_videos(spark, path, key).select(key, "_batch"), [key, "_batch"], "left_semi").drop("_batch")
 
 
 def srt_cues(segments: DataFrame) -> DataFrame:

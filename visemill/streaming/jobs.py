@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,40 +11,39 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.intervals import latest_by_key
 from ..operators.ordering import cut
-from ..sources.writers import folder_exists, replace_keys
+from ..sources.writers import bucket_of, folder_exists, replace_keys
 
 
-def ingest(stream: DataFrame, key: str, sink: str, checkpoint: str):
-    """Append rows of new files once; a key seen before is dropped, so a second run adds nothing. Runs to the end of what
-    is there, then stops.
+def ingest(stream: DataFrame, key: str, time: str, delay: str, sink: str, checkpoint: str):
+    """Append rows of new files once to the Parquet table ``sink``; a key seen before is dropped, so a second run adds
+    nothing. Runs to the end of what is there, then stops.
 
-    What was seen is the table itself, not a state that grows: each batch is a folder, written again whole if it is
-    repeated, and leaves out the keys of the folders before it (of which only the key column is read).
+    A key is remembered until the watermark, ``delay`` behind the latest ``time`` (a timestamp), has passed its row, so the state
+    holds the keys of that stretch and no more: ``delay`` must exceed how far apart copies of a row arrive. Rows older than
+    the watermark are left out; ``rows_too_late`` counts them.
     """
+    fresh = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return fresh.writeStream.format("parquet").outputMode("append").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        if folder_exists(spark, sink):
-            before = spark.read.parquet(sink).filter(F.col("_batch") < number).select(key)
-            fresh = fresh.join(before, key, "left_anti").select(batch.columns)
-        fresh.write.mode("overwrite").parquet(f"{sink}/_batch={number}")
 
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def rows_too_late(query) -> int:
+    """Rows that the batches of a stopped query (those that Spark still reports on) left out as older than the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
 def latest_status(stream: DataFrame, key: str, order: list[str], sink: str, checkpoint: str, buckets: int = 64):
     """Keep a Parquet table of the last record of each key, dealt to folders by a hash of the key. A batch reads and writes
-    the folders of its own keys only, and a repeated batch changes nothing."""
+    the folders that its own keys fall into, and a repeated batch changes nothing."""
 
     def fold(batch: DataFrame, number: int) -> None:
         fresh = cut(latest_by_key(batch, key, order))
         if folder_exists(batch.sparkSession, sink):
-            before = batch.sparkSession.read.parquet(sink).drop("_bucket")
+            touched = [r[0] for r in fresh.select(bucket_of(key, buckets).alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+            before = batch.sparkSession.read.parquet(sink).filter(F.col("_bucket").isin(touched)).drop("_bucket")
             fresh = latest_by_key(fresh.unionByName(before.join(fresh.select(key), key, "left_semi")), key, order)
         replace_keys(fresh, sink, key, buckets)
 
@@ -161,18 +161,68 @@ def resample_batch(frames: DataFrame, fps: float) -> DataFrame:
     return placed.mapInPandas(run, COPIES)
 
 
-def resample_stream(frames: DataFrame, fps: float) -> DataFrame:
-    """The same for a stream of ``frames(video, frame, t, last boolean)``, rows of a video in order; five numbers of state
-    for each open video, dropped at its last frame. A frame's copies are told when the next one comes."""
+class Resampler(StatefulProcessor):
+    """Five numbers of state for each open video. It ends at its last frame, or by a timer: when the watermark has passed the
+    video's latest frame by ``patience`` milliseconds, the frame held back is told as the last."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("frame")
-        was = Carried(*state.get) if state.exists else Carried()
-        told, now = grid_copies(rows["frame"].to_numpy(), _numbers(rows["t"]), fps, was, bool(rows["last"].iloc[-1]))
-        if rows["last"].iloc[-1]:
-            state.remove()
-        else:
-            state.update((now.grid, now.frame, now.time, now.gap, now.fixed))
-        yield told.assign(video=key[0])[["video", "frame", "copies", "fixed"]]
+    def __init__(self, fps: float, patience: int):
+        self.fps, self.patience = fps, patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("carried", STATE)
 
-    return frames.groupBy("video").applyInPandasWithState(step, COPIES, STATE, "append", GroupStateTimeout.NoTimeout)
+    def _serve(self, video: str, rows: pd.DataFrame, ends: bool) -> pd.DataFrame:
+        was = Carried(*self.state.get()) if self.state.exists() else Carried()
+        told, now = grid_copies(rows["frame"].to_numpy(), _numbers(rows["t"]), self.fps, was, ends)
+        if ends:
+            self.state.clear()
+        else:
+            self.state.update((now.grid, now.frame, now.time, now.gap, now.fixed))
+        return told.assign(video=video)[["video", "frame", "copies", "fixed"]]
+
+    def _stop_timers(self) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows)).sort_values("frame")
+        if key[0] is None:  # a clock's row
+            return
+        ends = bool(got["last"].fillna(False).any())
+        self._stop_timers()
+        if not ends:
+            self.handle.registerTimer(int(got["at"].max().timestamp() * 1000) + self.patience)
+        yield self._serve(key[0], got, ends)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            yield self._serve(key[0], pd.DataFrame({"frame": np.zeros(0, dtype=np.int64), "t": np.zeros(0)}), True)
+
+    def close(self) -> None:
+        pass
+
+
+def resample_stream(frames: DataFrame, fps: float, delay: str = "10 seconds", patience: float = 30.0) -> DataFrame:
+    """``resample_batch`` for a stream of ``frames(video, frame, t, at timestamp, last boolean)``. A frame's copies are told
+    when the next one comes; those of a video's last frame when it is marked ``last``, or when the watermark (``delay``
+    behind the latest ``at`` of all videos) is ``patience`` seconds past its ``at``.
+
+    Within a batch rows may come in any order, batches follow that of the frames. Rows without a video are a clock: they
+    move the watermark on and are told nowhere. A frame that comes after its video has ended begins it anew. Needs the
+    RocksDB state store (``with_timers``).
+    """
+    rows = frames.select("video", "frame", "t", "at", "last").withWatermark("at", delay)
+    return rows.groupBy("video").transformWithStateInPandas(Resampler(fps, round(patience * 1000)), T.StructType.fromDDL(COPIES), "Append", "EventTime")
+
+
+@contextmanager
+def with_timers(spark: SparkSession):
+    """Streams started inside keep their state where timers are at hand."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
