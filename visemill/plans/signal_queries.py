@@ -198,7 +198,7 @@ def event_stream(spark, sf_dir) -> DataFrame:
 @query("r1_incremental_ingest", "SELECT count(DISTINCT event_id) AS n, count(DISTINCT user_id) AS users, round(sum(value), 2) AS total, 0::BIGINT AS again FROM events")
 def ingest(spark, sf_dir):
     """The events ingested twice; ``again`` is what the second run added. Files may hold events of the whole month, in any order."""
-    stream = event_stream(spark, sf_dir).select("event_id", "user_id", "value", "ts")
+    stream = event_stream(spark, sf_dir).select("event_id", "user_id", "value", F.col("ts").cast("timestamp").alias("ts"))
     with shared_folder(spark, "ingest") as folder:
         counts = []
         for _ in range(2):
@@ -270,7 +270,7 @@ def resampler(spark, sf_dir):
 def resampler_stream(spark, sf_dir):
     """The same frames as a stream that arrives in three files' time and stops each time; no frame is marked as a video's
     last, so every state ends by its timer once a clock has moved the watermark past all frames."""
-    at = lambda seconds: F.timestamp_millis((seconds * 1000).cast("long"))
+    at = lambda seconds: F.timestamp_millis((seconds * 1000).cast("long") + 1_700_000_000_000)
     rows = timed_frames(spark, sf_dir).select("video", "frame", "t", at(F.col("frame") / 25).alias("at"), F.lit(False).alias("last"))
     with shared_folder(spark, "frames") as folder, J.with_timers(spark):
         rows = cut(rows)
