@@ -107,9 +107,60 @@ def test_credit_and_assignment(spark):
     assert X.best_assignment(np.array([[0.1, 0.9, 0.2], [0.8, 0.7, 0.1], [0.3, 0.6, 0.5]])).tolist() == [1, 0, 2]
 
 
-def test_edit_alignment(spark):
-    got = spark.createDataFrame([([1, 2, 3], [1, 3, 4]), ([], [5]), ([6], [])], "r array<int>, h array<int>").select(X.align_ids("r", "h")).collect()
-    assert [[tuple(p) for p in g[0]] for g in got] == [[(1, 1), (2, 3), (3, 4)], [(None, 5)], [(6, None)]]
+def one_alignment(a, b):
+    """The preferred alignment by recursion over prefixes: pairs of ids."""
+    cost = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            cost[i, j] = min(cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+
+    def back(i, j):
+        if not i and not j:
+            return []
+        ways = [((i - 1, j - 1), (a[i - 1], b[j - 1]), a[i - 1] != b[j - 1])] if i and j else []
+        ways += [((i - 1, j), (a[i - 1], None), 1)] if i else []
+        ways += [((i, j - 1), (None, b[j - 1]), 1)] if j else []
+        at, pair, _ = next(w for w in ways if cost[i, j] == cost[w[0]] + w[2])
+        return [*back(*at), pair]
+
+    return back(len(a), len(b))
+
+
+def test_edit_alignment(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [([1, 2, 3], [1, 3, 4]), ([], [5]), ([6], []), ([], []), (None, [1]), (None, None)]
+    rows += [tuple(r.integers(0, 4, r.integers(0, 25)).tolist() for _ in range(2)) for _ in range(200)]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "k int, r array<int>, h array<int>")
+    want = [one_alignment(a or [], b or []) for a, b in rows]
+    assert [[tuple(p) for p in g[1]] for g in df.select("k", X.align_ids("r", "h")).orderBy("k").collect()] == want
+    monkeypatch.setattr(X, "CELLS", 12)  # halves of halves
+    for a, b in rows[6:]:
+        steps = X._way(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
+        i, j, got = 0, 0, []
+        for s in steps.tolist():
+            got.append((a[i] if s != X.HYP else None, b[j] if s != X.REF else None))
+            i, j = i + (s != X.HYP), j + (s != X.REF)
+        assert got == one_alignment(a, b)
+
+
+def test_alignment_of_a_long_text():
+    """12,000 tokens against as many: a table of all steps would have 144 million cells."""
+    r = np.random.default_rng(5)
+    a = r.integers(0, 60, 12_000)
+    b = np.delete(np.where(r.random(12_000) < 0.1, r.integers(0, 60, 12_000), a), r.integers(0, 12_000, 300))
+    steps = X._way(a, b)
+    i, j = np.cumsum(steps != X.HYP) - 1, np.cumsum(steps != X.REF) - 1
+    wrong = (steps != X.BOTH) | (a[np.maximum(i, 0)] != b[np.maximum(j, 0)])
+    assert wrong.sum() == X.char_distance("".join(chr(33 + x) for x in a), "".join(chr(33 + x) for x in b))
+
+
+def test_edits_without_python_for_short_texts(spark):
+    r = np.random.default_rng(6)
+    rows = [tuple("".join(r.choice(list("abé "), r.integers(0, 30))) for _ in range(2)) for _ in range(300)] + [("", ""), (None, "a"), ("a", None), ("same", "same")]
+    df = spark.createDataFrame(rows, "r string, h string")
+    both = df.select("r", "h", X.edits(F.col("r"), F.col("h"), 40).alias("short"), X.edits(F.col("r"), F.col("h")).alias("any"))
+    assert all(x.short == x.any == (None if x.r is None or x.h is None else X.char_distance(x.r, x.h)) for x in both.collect())
+    assert "Python" not in df.select(X.edits(F.col("r"), F.col("h"), 40))._jdf.queryExecution().toString()
 
 
 def test_distractors_follow_the_rules(spark):

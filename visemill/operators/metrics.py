@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,17 +64,31 @@ def char_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([None if r is None or h is None else char_distance(r, h) for r, h in zip(ref, hyp)], dtype="Int64")
 
 
-def edits(ref: Column, hyp: Column, short: int = 500) -> Column:
-    """Edit distance of two columns: Spark's own function for texts of up to ``short`` characters, ``char_edits`` beyond."""
-    small = F.greatest(F.length(ref), F.length(hyp)) <= short
-    own = F.when(ref == hyp, 0).when(small, F.levenshtein(F.when(small, ref), F.when(small, hyp)))
-    return F.coalesce(own.cast("long"), char_edits(F.when(~small, ref), F.when(~small, hyp)))
+#: Up to this length Spark's own edit distance is quicker, and up to so many edits its banded one.
+SHORT, FEW = 500, 8
 
 
-def cer(ref: Column, hyp: Column) -> Column:
+def edits(ref: Column, hyp: Column, longest: int | None = None) -> Column:
+    """Edit distance of two columns. Where the caller knows that no text is longer than ``longest`` and that is short, no
+    Python is in the plan; else texts beyond ``SHORT`` characters go to ``char_edits``."""
+
+    def own(r: Column, h: Column) -> Column:
+        return F.when(r == h, 0).otherwise(F.coalesce(F.nullif(F.levenshtein(r, h, FEW), F.lit(-1)), F.levenshtein(r, h))).cast("long")
+
+    if longest is not None and longest <= SHORT:
+        return own(ref, hyp)
+    small = F.greatest(F.length(ref), F.length(hyp)) <= SHORT
+    return F.coalesce(F.when(small, own(F.when(small, ref), F.when(small, hyp))), char_edits(F.when(~small, ref), F.when(~small, hyp)))
+
+
+def cer(ref: Column, hyp: Column, longest: int | None = None) -> Column:
     """Aggregate: character edits over reference characters, spaces left out; null without reference characters."""
     r, h = without_spaces(ref), without_spaces(hyp)
-    return F.sum(edits(r, h)) / F.nullif(F.sum(F.length(r)), F.lit(0))
+    return F.sum(edits(r, h, longest)) / F.nullif(F.sum(F.length(r)), F.lit(0))
+
+
+#: White space between words, as in ``word_count``.
+SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 @F.pandas_udf(T.LongType())
@@ -79,7 +96,7 @@ def word_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Edit distance between the words of two texts."""
 
     def one(r: str, h: str) -> int:
-        a, b = (r or "").split(), (h or "").split()
+        a, b = ([w for w in SPACES.split(t or "") if w] for t in (r, h))
         row = np.arange(len(b) + 1)
         names: dict[str, int] = {}
         codes = np.array([names.setdefault(w, len(names)) for w in b], dtype=np.int64)
@@ -102,11 +119,12 @@ def wer(ref: Column, hyp: Column) -> Column:
     return F.sum(word_edits(ref, hyp)) / F.nullif(F.sum(word_count(ref)), F.lit(0))
 
 
-def error_cube(rows: DataFrame, by: list[str], hyps: list[str], ref: str = "ref") -> DataFrame:
-    """CER of each hypothesis column over every subset of ``by``; null keys mean all. Columns cer_<hyp>, n, level."""
+def error_cube(rows: DataFrame, by: list[str], hyps: list[str], ref: str = "ref", longest: int | None = None) -> DataFrame:
+    """CER of each hypothesis column over every subset of ``by``; null keys mean all. Columns cer_<hyp>, n, level. ``longest``
+    as for ``edits``."""
     # edits once for each row, then a cube over numbers instead of texts
     r = without_spaces(F.col(ref))
-    lean = rows.select(*by, F.length(r).alias("_chars"), *[edits(r, without_spaces(F.col(h))).alias(f"_e_{h}") for h in hyps])
+    lean = rows.select(*by, F.length(r).alias("_chars"), *[edits(r, without_spaces(F.col(h)), longest).alias(f"_e_{h}") for h in hyps])
     rates = [(F.sum(f"_e_{h}") / F.nullif(F.sum("_chars"), F.lit(0))).alias(f"cer_{h}") for h in hyps]
     return lean.cube(*by).agg(F.count("*").alias("n"), *rates, F.grouping_id().alias("level"))
 
@@ -295,34 +313,104 @@ def offscreen(scores: DataFrame, stream: list[str], threshold: float) -> DataFra
 
 # ---------------------------------------------------------------- sequences
 PAIRS = T.ArrayType(T.StructType([T.StructField("ref", T.IntegerType()), T.StructField("hyp", T.IntegerType())]))
-
-
-@F.pandas_udf(PAIRS)
-def align_ids(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Edit alignment of two id sequences; going back, a match or substitution is preferred to a deletion, that to an insertion."""
-
-    def one(a, b):
-        a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
-        cost = np.empty((len(a) + 1, len(b) + 1), dtype=np.int32)
-        steps = np.arange(len(b) + 1)
-        cost[0] = steps
-        for i in range(1, len(a) + 1):
-            best = np.minimum(cost[i - 1, :-1] + (b != a[i - 1]), cost[i - 1, 1:] + 1)
-            cost[i] = np.minimum.accumulate(np.concatenate([[i], best]) - steps) + steps
-        out, i, j = [], len(a), len(b)
-        while i or j:
-            if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-                i, j = i - 1, j - 1
-                out.append({"ref": int(a[i]), "hyp": int(b[j])})
-            elif i and cost[i, j] == cost[i - 1, j] + 1:
-                i -= 1
-                out.append({"ref": int(a[i]), "hyp": None})
-            else:
-                j -= 1
-                out.append({"ref": None, "hyp": int(b[j])})
-        return out[::-1]
-
-    return pd.Series([one(a, b) for a, b in zip(ref, hyp)])
+#: Cells of a table of steps that are kept at once.
+CELLS = 1 << 20
+#: Last step into a cell: both sequences, the reference alone (a deletion), the hypothesis alone (an insertion).
+BOTH, REF, HYP = 0, 1, 2
+
+
+def _steps(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+    """For a batch of pairs (a row of ``a`` and of ``b`` each), for each prefix of ``a`` from the empty one on, the last steps of its best alignments
+    with all prefixes of ``b``, in the order of preference."""
+    place = np.arange(b.shape[1] + 1)
+    cost = np.repeat(place[None], len(a), axis=0)
+    paired = np.full(cost.shape, a.shape[1] + b.shape[1] + 1)
+    yield np.full(cost.shape, HYP, dtype=np.int8)
+    for x in a.T:
+        paired[:, 1:] = cost[:, :-1] + (b != x[:, None])
+        single = cost + 1
+        cost = np.minimum.accumulate(np.minimum(paired, single) - place, axis=1) + place  # insertions follow on from the left
+        yield np.where(paired == cost, BOTH, np.where(single == cost, REF, HYP)).astype(np.int8)
+
+
+def _ways_back(table: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+    """The steps of each pair of a batch, in order, from its table of last steps; pair k ends at cell i[k], j[k]."""
+    size, longest = i + j, int((i + j).max(initial=0))
+    out, pair, n = np.full((len(i), longest), -1, dtype=np.int8), np.arange(len(i)), np.zeros(len(i), dtype=np.int64)
+    for k in range(longest):
+        some = np.flatnonzero(i + j > 0)
+        step = table[i[some], pair[some], j[some]]
+        out[some, k] = step
+        i[some] -= step != HYP
+        j[some] -= step != REF
+        n[some] += 1
+    return [row[:m][::-1] for row, m in zip(out, n.tolist())] if len(size) else []
+
+
+def _way(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The steps of the preferred alignment of one long pair, in memory as long as ``b``.
+
+    Each cell below the middle of ``a`` knows in which column its way back meets the middle, so the halves on both sides of
+    that crossing are aligned alone; the way through the whole table is the way through both.
+    """
+    if len(a) <= 1 or len(a) * (len(b) + 1) <= CELLS:
+        return _ways_back(np.array(list(_steps(a[None], b[None]))), np.array([len(a)]), np.array([len(b)]))[0]
+    middle = len(a) // 2
+    crossing = place = np.arange(len(b) + 1)
+    for i, [step] in enumerate(_steps(a[None], b[None])):
+        if i > middle:
+            met = np.where(step == BOTH, np.roll(crossing, 1), crossing)
+            crossing = met[np.maximum.accumulate(np.where(step == HYP, 0, place))]
+    c = int(crossing[-1])
+    return np.concatenate([_way(a[:middle], b[:c]), _way(a[middle:], b[c:])])
+
+
+def _all_ways(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """The steps of each pair. Pairs of like lengths advance together in one table of at most ``CELLS``; longer ones alone."""
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(a)
+    order = sorted(range(len(a)), key=lambda k: (len(a[k]), len(b[k])))
+    while order:
+        batch, n, m = [], 0, 0
+        while order:
+            n, m = max(n, len(a[order[-1]])), max(m, len(b[order[-1]]))
+            if batch and (len(batch) + 1) * n * (m + 1) > CELLS:
+                break
+            batch.append(order.pop())
+        if len(batch) == 1:
+            out[batch[0]] = _way(a[batch[0]], b[batch[0]])
+            continue
+        n, m = (max(len(x[k]) for k in batch) for x in (a, b))
+        left, right = np.full((len(batch), n), -1), np.full((len(batch), m), -1)
+        for row, k in enumerate(batch):
+            left[row, : len(a[k])], right[row, : len(b[k])] = a[k], b[k]
+        table = np.array(list(_steps(left, right)))
+        ends = [np.array([len(x[k]) for k in batch]) for x in (a, b)]
+        for k, way in zip(batch, _ways_back(table, *ends)):
+            out[k] = way
+    return out
+
+
+@F.arrow_udf(PAIRS)
+def align_ids(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Edit alignment of two id sequences (not negative) of any length; going back, a match or substitution is preferred to
+    a deletion, that to an insertion. A null sequence counts as empty."""
+
+    def split(ids: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+        off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        return flat, [flat[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+
+    (all_a, a), (all_b, b) = split(ref), split(hyp)
+    ways = _all_ways(a, b)
+    steps = np.concatenate([*ways, np.zeros(0, dtype=np.int8)])
+    columns = []
+    for flat, other in ((all_a, HYP), (all_b, REF)):
+        there = steps != other
+        at = np.maximum(np.cumsum(there) - 1, 0)
+        value = flat[at] if len(flat) else np.zeros(len(steps), dtype=np.int64)
+        columns.append(pa.array(value.astype(np.int32), mask=~there))
+    off = np.concatenate([[0], np.cumsum([len(w) for w in ways])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays(columns, ["ref", "hyp"]))
 
 
 def score_batches(rows: DataFrame, load, output: str, keep: list[str], batch: int = 256) -> DataFrame:

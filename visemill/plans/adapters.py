@@ -62,12 +62,44 @@ FROM events)"""
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utterances: successive pieces of up to 100 characters of each whole text, and what was heard."""
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS utt_id", "source AS speaker", "lang AS angle", "posexplode(regexp_extract_all(regexp_replace(text, '[^ -~]+', ''), '.{1,100}', 0)) AS (piece, ref)")
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS utt_id", "source AS speaker", "lang AS angle", "posexplode(regexp_extract_all(text, '(?s).{1,100}', 0)) AS (piece, ref)")
     return rows.withColumn("hyp", F.expr("replace(replace(ref, 'th', 't'), 'on', 'onn')"))
 
 
-REFS = """refs AS (SELECT doc_id AS utt_id, source AS speaker, lang AS angle, (piece - 1)::INT AS piece, ref, replace(replace(ref, 'th', 't'), 'on', 'onn') AS hyp
-FROM (SELECT doc_id, source, lang, unnest(p) AS ref, generate_subscripts(p, 1) AS piece FROM (SELECT doc_id, source, lang, regexp_extract_all(regexp_replace(text, '[^ -~]+', '', 'g'), '.{1,100}') AS p FROM documents) t) q)"""
+#: No reference or hypothesis above is longer.
+LONGEST = 200
+
+
+def single_bytes(text: str) -> str:
+    """SQL: ``text`` with every character beyond printable ASCII as a control character of its own, for DuckDB compares bytes."""
+    return f"translate({text}, (SELECT chars FROM odd), '{''.join(map(chr, [*range(1, 32), 127]))}')"
+
+
+REFS = """odd AS (SELECT string_agg(c, '' ORDER BY c) AS chars FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) q WHERE unicode(c) > 126 OR unicode(c) BETWEEN 1 AND 31),
+ refs AS (SELECT doc_id AS utt_id, source AS speaker, lang AS angle, (piece - 1)::INT AS piece, ref, replace(replace(ref, 'th', 't'), 'on', 'onn') AS hyp
+FROM (SELECT doc_id, source, lang, unnest(p) AS ref, generate_subscripts(p, 1) AS piece FROM (SELECT doc_id, source, lang, regexp_extract_all(text, '(?s).{1,100}') AS p FROM documents) t) q)"""
+
+
+# letters and digits of a text spoken as syllables: the k-th sign below as the syllable 373 k places after the first; X stays, as do signs
+# that the normal form knows or drops, and letters beyond ASCII, which have no token
+SIGNS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWYZ0123456789:;+=%&#@$^|`\\"
+SYLLABLES = "".join(chr(0xAC00 + 373 * k % 11172) for k in range(len(SIGNS)))
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, raw): every whole text in Hangul; empty for a null text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.translate(F.coalesce("text", F.lit("")), SIGNS, SYLLABLES).alias("raw"))
+
+
+def spoken_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(utt_id, raw): the same as successive utterances of up to 60 characters."""
+    pieces = spoken(spark, sf_dir).select("doc_id", F.posexplode(F.expr("regexp_extract_all(raw, '(?s).{1,60}', 0)")).alias("piece", "raw"))
+    return pieces.select(F.concat_ws("_", "doc_id", "piece").alias("utt_id"), "raw").repartition(spark.sparkContext.defaultParallelism * 2)  # a long text is many pieces
+
+
+RAW = f"translate(coalesce(text, ''), '{SIGNS}', '{SYLLABLES}')"
+SPOKEN = f"spoken AS (SELECT doc_id, {RAW} AS raw FROM documents)"
+SPOKEN_PIECES = f"spoken AS (SELECT concat(doc_id, '_', piece - 1) AS doc_id, raw FROM (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS piece FROM (SELECT doc_id, regexp_extract_all({RAW}, '(?s).{{1,60}}') AS l FROM documents)))"
 
 
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import alignment as A
 from ..operators import intervals as I
 from ..operators.metrics import edits
 from ..sources.writers import srt_cues
-from .adapters import FRAMES, REFS, SENT, UTT, frames, references, sentences, table, utterances
+from .adapters import FRAMES, LONGEST, REFS, SENT, UTT, frames, references, sentences, single_bytes, table, utterances
 from .registry import query
 
 R = lambda n, k=6: F.round(n, k).alias(n)
@@ -41,12 +41,12 @@ def visual_ratio(spark, sf_dir):
     return out.select("utt_key", "seg", R("share"))
 
 
-@query("j10_halves", f"""WITH {SENT}, a AS (SELECT video_stem, CASE WHEN (start_s + end_s) / 2 < 20 THEN 'clean' ELSE 'noisy' END AS half, string_agg(regexp_replace(text, '[^ -~]+', '', 'g'), ' ' ORDER BY start_s) AS ref, string_agg(replace(regexp_replace(text, '[^ -~]+', '', 'g'), 'th', 't'), ' ' ORDER BY start_s) AS hyp, array_to_string(list_sort(list_distinct(list(topic))), ',') AS modes FROM sent GROUP BY 1, 2)
- SELECT half, count(*) AS n, round(CAST(sum(levenshtein(replace(ref, ' ', ''), replace(hyp, ' ', ''))) AS DOUBLE) / sum(length(replace(ref, ' ', ''))), 6) AS cer, max(modes) AS modes FROM a GROUP BY 1""")
+@query("j10_halves", f"""WITH {SENT}, odd AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS chars FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM conversations) q WHERE unicode(c) > 126 OR unicode(c) BETWEEN 1 AND 31), a AS (SELECT video_stem, CASE WHEN (start_s + end_s) / 2 < 20 THEN 'clean' ELSE 'noisy' END AS half, string_agg(text, ' ' ORDER BY start_s) AS ref, string_agg(replace(text, 'th', 't'), ' ' ORDER BY start_s) AS hyp, array_to_string(list_sort(list_distinct(list(topic))), ',') AS modes FROM sent GROUP BY 1, 2)
+ SELECT half, count(*) AS n, round(CAST(sum(levenshtein({single_bytes("replace(ref, ' ', '')")}, {single_bytes("replace(hyp, ' ', '')")})) AS DOUBLE) / sum(length(replace(ref, ' ', ''))), 6) AS cer, max(modes) AS modes FROM a GROUP BY 1""")
 def halves(spark, sf_dir):
     from ..operators.metrics import cer
 
-    s = sentences(spark, sf_dir).withColumn("half", F.when((F.col("start_s") + F.col("end_s")) / 2 < 20, "clean").otherwise("noisy")).withColumn("plain", F.regexp_replace("text", "[^ -~]+", ""))
+    s = sentences(spark, sf_dir).withColumn("half", F.when((F.col("start_s") + F.col("end_s")) / 2 < 20, "clean").otherwise("noisy")).withColumn("plain", F.col("text"))
     joined = s.groupBy("video_stem", "half").agg(F.array_sort(F.collect_list(F.struct("start_s", "plain"))).alias("t"), F.concat_ws(",", F.array_sort(F.collect_set("topic"))).alias("modes"))
     text = F.array_join(F.transform("t", lambda x: x["plain"]), " ")
     hyp = F.array_join(F.transform("t", lambda x: F.replace(x["plain"], F.lit("th"), F.lit("t"))), " ")
@@ -347,9 +347,9 @@ def pixels(spark, sf_dir):
     return out.select("vec_id", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(F.array_max("pixels"), 5).alias("top"))
 
 
-@query("t3_worst_and_typical", f"""WITH {REFS}, e AS (SELECT speaker, utt_id, piece, levenshtein(ref, hyp) AS edits FROM refs), m AS (SELECT speaker, quantile_cont(edits, 0.5) AS m FROM e GROUP BY 1), r AS (SELECT e.speaker, utt_id, piece, row_number() OVER (PARTITION BY e.speaker ORDER BY edits DESC, utt_id, piece) AS a, row_number() OVER (PARTITION BY e.speaker ORDER BY abs(edits - m), utt_id, piece) AS b FROM e JOIN m USING (speaker)) SELECT speaker, max(CASE WHEN a = 1 THEN utt_id END) AS worst, max(CASE WHEN a = 1 THEN piece END) AS worst_piece, max(CASE WHEN b = 1 THEN utt_id END) AS typical, max(CASE WHEN b = 1 THEN piece END) AS typical_piece FROM r GROUP BY 1""")
+@query("t3_worst_and_typical", f"""WITH {REFS}, e AS (SELECT speaker, utt_id, piece, levenshtein({single_bytes('ref')}, {single_bytes('hyp')}) AS edits FROM refs), m AS (SELECT speaker, quantile_cont(edits, 0.5) AS m FROM e GROUP BY 1), r AS (SELECT e.speaker, utt_id, piece, row_number() OVER (PARTITION BY e.speaker ORDER BY edits DESC, utt_id, piece) AS a, row_number() OVER (PARTITION BY e.speaker ORDER BY abs(edits - m), utt_id, piece) AS b FROM e JOIN m USING (speaker)) SELECT speaker, max(CASE WHEN a = 1 THEN utt_id END) AS worst, max(CASE WHEN a = 1 THEN piece END) AS worst_piece, max(CASE WHEN b = 1 THEN utt_id END) AS typical, max(CASE WHEN b = 1 THEN piece END) AS typical_piece FROM r GROUP BY 1""")
 def worst(spark, sf_dir):
-    e = references(spark, sf_dir).select("speaker", "utt_id", "piece", edits(F.col("ref"), F.col("hyp")).alias("edits"))
+    e = references(spark, sf_dir).select("speaker", "utt_id", "piece", edits(F.col("ref"), F.col("hyp"), LONGEST).alias("edits"))
     m = e.groupBy("speaker").agg(F.median("edits").alias("m"))
     of = F.struct("utt_id", "piece")
     out = e.join(m, "speaker").groupBy("speaker").agg(F.min_by(of, F.struct(-F.col("edits"), "utt_id", "piece")).alias("w"), F.min_by(of, F.struct(F.abs(F.col("edits") - F.col("m")), "utt_id", "piece")).alias("t"))

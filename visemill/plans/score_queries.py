@@ -8,51 +8,49 @@ from ..functions import text as K
 from ..operators import metrics as M
 from ..operators import ordering
 from ..operators import pairs as P
-from .adapters import BIN, EMB, REFS, binary_scores, faces, references, table
+from .adapters import BIN, EMB, LONGEST, REFS, SPOKEN, SPOKEN_PIECES, binary_scores, faces, references, single_bytes, spoken, spoken_pieces, table
 from .registry import query
 
-CER = "CAST(sum(levenshtein(replace(ref, ' ', ''), replace({h}, ' ', ''))) AS DOUBLE) / nullif(sum(length(replace(ref, ' ', ''))), 0)"
+CER = f"CAST(sum(levenshtein({single_bytes("replace(ref, ' ', '')")}, {single_bytes("replace({h}, ' ', '')")})) AS DOUBLE) / nullif(sum(length(replace(ref, ' ', ''))), 0)"
 
 
 # ---------------------------------------------------------------- text
-HANGUL = "concat(chr(44032 + CAST(doc_id % 11172 AS INT)), ' ', chr(44032 + CAST(n_chars % 11172 AS INT)), CASE WHEN doc_id % 7 = 0 THEN 'X' WHEN doc_id % 7 = 1 THEN '(?)' WHEN doc_id % 7 = 2 THEN '!' ELSE '' END, ' ', chr(44032 + CAST((doc_id * 31) % 11172 AS INT)), '.')"
+def normal_sql(text: str) -> str:
+    return rf"""trim(regexp_replace(translate(nfc_normalize({text}), concat(chr(160), chr(10), chr(9), chr(13), '…()/"''[]{{}}<>~*_-'), '    .'), '\s+', ' ', 'g'))"""
 
 
-def hangul(spark, sf_dir):
-    def syllable(e: str):  # Spark's chr() ends at 255
-        return F.decode(F.unhex(F.concat(*[F.lpad(F.hex(b), 2, "0") for b in (F.expr(f"224 + int((44032 + ({e})) div 4096)"), F.expr(f"128 + int((44032 + ({e})) div 64 % 64)"), F.expr(f"128 + int((44032 + ({e})) % 64)"))])), "UTF-8")
+TOKENS = """CASE WHEN c = ' ' THEN [5] WHEN unicode(c) BETWEEN 44032 AND 55203 THEN CASE WHEN (unicode(c) - 44032) % 28 > 0 THEN [(unicode(c) - 44032) // 588 + 6, (unicode(c) - 44032) % 588 // 28 + 25, (unicode(c) - 44032) % 28 + 45] ELSE [(unicode(c) - 44032) // 588 + 6, (unicode(c) - 44032) % 588 // 28 + 25] END
+   WHEN c = '.' THEN [73] WHEN c = '?' THEN [74] WHEN c = '!' THEN [75] WHEN c = ',' THEN [76] ELSE [4] END"""
 
-    tail = F.expr("CASE WHEN doc_id % 7 = 0 THEN 'X' WHEN doc_id % 7 = 1 THEN '(?)' WHEN doc_id % 7 = 2 THEN '!' ELSE '' END")
-    raw = F.concat(syllable("doc_id % 11172"), F.lit(" "), syllable("n_chars % 11172"), tail, F.lit(" "), syllable("(doc_id * 31) % 11172"), F.lit("."))
-    return table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
 
+def jamo_sql(texts: str) -> str:
+    return f"{texts}, norm AS (SELECT doc_id, raw, {normal_sql('raw')} AS norm FROM spoken), chars AS (SELECT *, list_filter(string_split(norm, ''), lambda c: c <> '') AS chars FROM norm), tok AS (SELECT *, flatten(list_transform(chars, lambda c: {TOKENS})) AS ids FROM chars)"
 
-JAMO_SQL = f"""raw AS (SELECT doc_id, {HANGUL} AS raw FROM documents), norm AS (SELECT doc_id, raw, trim(replace(replace(raw, '(', ''), ')', '')) AS norm FROM raw),
- chars AS (SELECT doc_id, raw, norm, unnest(string_split(norm, '')) AS c, generate_subscripts(string_split(norm, ''), 1) AS pos FROM norm),
- code AS (SELECT *, unicode(c) - 44032 AS u FROM chars),
- tok AS (SELECT doc_id, raw, norm, c, pos, CASE WHEN c = ' ' THEN [5] WHEN u BETWEEN 0 AND 11171 THEN CASE WHEN u % 28 > 0 THEN [u // 588 + 6, u % 588 // 28 + 25, u % 28 + 45] ELSE [u // 588 + 6, u % 588 // 28 + 25] END
-   WHEN c = '.' THEN [73] WHEN c = '?' THEN [74] WHEN c = '!' THEN [75] WHEN c = ',' THEN [76] ELSE [4] END AS ids FROM code)"""
 
+JAMO_SQL, PIECES_SQL = jamo_sql(SPOKEN), jamo_sql(SPOKEN_PIECES)
+#: One row for each character of the texts whose characters all have tokens.
+GROUPS_SQL = f"""g AS (SELECT doc_id, pos - 1 AS pos, c, len({TOKENS}) AS n FROM (SELECT doc_id, unnest(chars) AS c, generate_subscripts(chars, 1) AS pos FROM tok WHERE NOT list_contains(ids, 4)))"""
 
-@query("p4_normalize", r"""SELECT doc_id, trim(regexp_replace(translate(nfc_normalize(text), concat(chr(160), chr(10), chr(9), chr(13), '…()/"''[]{}<>~*_-'), '    .'), '\s+', ' ', 'g')) AS normal FROM documents""")
+
+@query("p4_normalize", f"SELECT doc_id, {normal_sql('text')} AS normal FROM documents")
 def normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", K.normalize(F.col("text")).alias("normal"))
 
 
-@query("p5_jamo_encode", f"WITH {JAMO_SQL} SELECT doc_id, array_to_string(flatten(list(ids ORDER BY pos)), ' ') AS ids FROM tok GROUP BY 1")
+@query("p5_jamo_encode", f"WITH {JAMO_SQL} SELECT doc_id, array_to_string(ids, ' ') AS ids FROM tok")
 def jamo(spark, sf_dir):
-    rows = hangul(spark, sf_dir)
+    rows = spoken(spark, sf_dir)
     return rows.select("doc_id", F.array_join(K.jamo_ids(K.normalize(F.col("raw"))).cast("array<string>"), " ").alias("ids"))
 
 
-@query("p6_jamo_decode", f"WITH {JAMO_SQL} SELECT doc_id, replace(max(norm), 'X', 'X') AS decoded FROM tok GROUP BY 1")
+@query("p6_jamo_decode", rf"WITH {JAMO_SQL} SELECT doc_id, regexp_replace(norm, '[^ .?!,가-힣]', 'X', 'g') AS decoded FROM tok")
 def jamo_decode(spark, sf_dir):
-    return hangul(spark, sf_dir).select("doc_id", K.jamo_text(K.jamo_ids(K.normalize(F.col("raw")))).alias("decoded"))
+    return spoken(spark, sf_dir).select("doc_id", K.jamo_text(K.jamo_ids(K.normalize(F.col("raw")))).alias("decoded"))
 
 
-@query("p7_has_unknown", f"WITH {JAMO_SQL} SELECT doc_id, bool_or(contains(raw, 'X') OR norm = '' OR list_contains(ids, 4)) AS has_unk FROM tok GROUP BY 1")
+@query("p7_has_unknown", f"WITH {JAMO_SQL} SELECT doc_id, contains(raw, 'X') OR norm = '' OR list_contains(ids, 4) AS has_unk FROM tok")
 def unknown(spark, sf_dir):
-    return hangul(spark, sf_dir).select("doc_id", K.has_unknown(K.normalize(F.col("raw")), F.col("raw")).alias("has_unk"))
+    return spoken(spark, sf_dir).select("doc_id", K.has_unknown(K.normalize(F.col("raw")), F.col("raw")).alias("has_unk"))
 
 
 CLASS_SQL = """CASE WHEN t = 5 THEN 'space' WHEN t BETWEEN 46 AND 72 THEN 'final' WHEN t BETWEEN 73 AND 76 THEN 'punct'
@@ -60,47 +58,52 @@ CLASS_SQL = """CASE WHEN t = 5 THEN 'space' WHEN t BETWEEN 46 AND 72 THEN 'final
   WHEN t IN (33, 34, 35, 36, 37, 38, 39, 40, 41, 42) THEN 'rounded' WHEN t IN (25, 27, 29, 31) THEN 'open' WHEN t IN (26, 28, 30, 32, 43, 44, 45) THEN 'spread' END"""
 
 
-@query("p8_token_class", f"WITH {JAMO_SQL}, t AS (SELECT doc_id, unnest(ids) AS t FROM tok) SELECT coalesce({CLASS_SQL}, '-') AS class, count(*) AS n FROM t GROUP BY 1")
+@query("p8_token_class", f"WITH {JAMO_SQL}, t AS (SELECT unnest(ids) AS t FROM tok) SELECT coalesce({CLASS_SQL}, '-') AS class, count(*) AS n FROM t GROUP BY 1")
 def token_class(spark, sf_dir):
-    tokens = hangul(spark, sf_dir).select(F.explode(K.jamo_ids(K.normalize(F.col("raw")))).alias("t"))
+    tokens = spoken(spark, sf_dir).select(F.explode(K.jamo_ids(K.normalize(F.col("raw")))).alias("t"))
     return tokens.groupBy(F.coalesce(K.class_of(F.col("t")), F.lit("-")).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("p9_text_groups", f"""WITH {JAMO_SQL}, ok AS (SELECT doc_id FROM tok GROUP BY 1 HAVING NOT bool_or(list_contains(ids, 4)))
- SELECT doc_id, pos - 1 AS pos, c AS char, CASE WHEN c = ' ' THEN 'space' WHEN u BETWEEN 0 AND 11171 THEN 'syl' ELSE 'punct' END AS kind,
-  CAST(sum(len(ids)) OVER (PARTITION BY doc_id ORDER BY pos) - len(ids) AS BIGINT) AS first, CAST(sum(len(ids)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS last
- FROM (SELECT t.*, unicode(c) - 44032 AS u FROM tok t) JOIN ok USING (doc_id)""")
+@query("p9_text_groups", f"""WITH {JAMO_SQL}, {GROUPS_SQL}, r AS (SELECT doc_id, pos, c, CASE WHEN c = ' ' THEN 'space' WHEN unicode(c) BETWEEN 44032 AND 55203 THEN 'syl' ELSE 'punct' END AS kind, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS last, n FROM g)
+ SELECT doc_id, count(*) AS n, md5(string_agg(concat_ws('|', c, kind, last - n, last), ';' ORDER BY pos)) AS groups_md5 FROM r GROUP BY 1""")
 def groups(spark, sf_dir):
-    rows = hangul(spark, sf_dir).select("doc_id", F.posexplode(K.text_groups(K.normalize(F.col("raw")))).alias("pos", "g"))
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "g.char", "g.kind", F.col("g.first").cast("long").alias("first"), F.col("g.last").cast("long").alias("last"))
+    """The groups of each whole text whose characters all have tokens, as one digest."""
+    rows = spoken(spark, sf_dir).select("doc_id", K.text_groups(K.normalize(F.col("raw"))).alias("g")).filter("size(g) > 0")
+    shown = F.transform("g", lambda g: F.concat_ws("|", g["char"], g["kind"], g["first"].cast("string"), g["last"].cast("string")))
+    return rows.select("doc_id", F.size("g").cast("long").alias("n"), F.md5(F.array_join(shown, ";").cast("binary")).alias("groups_md5"))
 
 
 def aligned_texts(spark, sf_dir):
-    """The groups of each text, and a span of frames for each of its tokens."""
-    rows = hangul(spark, sf_dir).select("doc_id", K.text_groups(K.normalize(F.col("raw"))).alias("groups")).filter("groups is not null and size(groups) > 0")
-    first = "CAST(i * 3 + doc_id % 5 AS INT)"
+    """The groups of each utterance, and a span of frames for each of its tokens."""
+    rows = spoken_pieces(spark, sf_dir).select("utt_id", K.text_groups(K.normalize(F.col("raw"))).alias("groups")).filter("size(groups) > 0")
+    first = "CAST(i * 3 + length(utt_id) % 5 AS INT)"
     tokens = F.expr(f"transform(sequence(0, element_at(groups, -1).last - 1), i -> struct(i AS id, {first} AS first, {first} + 1 AS last, -(i % 7) / 10e0 AS logprob))")
-    return rows.select(F.col("doc_id").alias("utt_id"), (F.element_at("groups", -1)["last"] * 3 + 40).alias("n_frames"), "groups", tokens.alias("tokens"))
+    return rows.select("utt_id", (F.element_at("groups", -1)["last"] * 3 + 40).alias("n_frames"), "groups", tokens.alias("tokens"))
 
 
-@query("v6_syllable_records", f"""WITH {JAMO_SQL}, ok AS (SELECT doc_id FROM tok GROUP BY 1 HAVING NOT bool_or(list_contains(ids, 4))),
- g AS (SELECT doc_id, pos - 1 AS pos, c, u, sum(len(ids)) OVER w - len(ids) AS a, sum(len(ids)) OVER w AS z, sum((c = ' ')::INT) OVER w AS word, sum(len(ids)) OVER (PARTITION BY doc_id) * 3 + 40 AS n FROM (SELECT t.*, unicode(c) - 44032 AS u FROM tok t) JOIN ok USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
- s AS (SELECT *, (a * 3 + doc_id % 5) / 50e0 AS b, round(((z - 1) * 3 + doc_id % 5 + 2) / 50e0, 3) AS e FROM g WHERE u BETWEEN 0 AND 11171), x AS (SELECT *, coalesce(lead(b) OVER (PARTITION BY doc_id ORDER BY pos), n / 50e0) AS nx FROM s)
- SELECT doc_id AS utt_id, pos::INT AS pos, c AS char, word::BIGINT AS word, round(b, 3) AS start_s, e AS end_s, round(greatest(e, least(nx, e + 0.4e0)), 3) AS ext_end_s, nx > e + 0.4e0 + 1e-9 AS ext_capped, round(list_avg(list_transform(range(a::BIGINT, z::BIGINT), lambda i: -(i % 7) / 10e0)), 3) + 0e0 AS logprob FROM x""")
+@query("v6_syllable_records", f"""WITH {PIECES_SQL}, {GROUPS_SQL}, o AS (SELECT *, length(doc_id) % 5 AS d, sum(n) OVER w - n AS a, sum(n) OVER w AS z, sum((c = ' ')::INT) OVER w AS word, sum(n) OVER (PARTITION BY doc_id) * 3 + 40 AS frames FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ s AS (SELECT *, (a * 3 + d) / 50e0 AS b, round(((z - 1) * 3 + d + 2) / 50e0, 3) AS e FROM o WHERE unicode(c) BETWEEN 44032 AND 55203), x AS (SELECT *, coalesce(lead(b) OVER (PARTITION BY doc_id ORDER BY pos), frames / 50e0) AS nx FROM s),
+ r AS (SELECT doc_id, pos, c, word, round(b, 3) AS start_s, e AS end_s, round(greatest(e, least(nx, e + 0.4e0)), 3) AS ext_end_s, nx > e + 0.4e0 + 1e-9 AS capped, round(list_avg(list_transform(range(a::BIGINT, z::BIGINT), lambda i: -(i % 7) / 10e0)), 3) AS logprob FROM x)
+ SELECT doc_id AS utt_id, count(*) AS n, md5(string_agg(concat_ws('|', pos, c, word), ';' ORDER BY pos)) AS syllables_md5, round(sum(start_s), 3) AS start_s, round(sum(end_s), 3) AS end_s, round(sum(ext_end_s), 3) AS ext_end_s, count(*) FILTER (capped) AS n_capped, round(sum(logprob), 3) + 0e0 AS logprob FROM r GROUP BY 1""")
 def records(spark, sf_dir):
+    """The syllables of each utterance, their times summed up."""
     from ..operators.segments import syllable_records
 
-    return syllable_records(aligned_texts(spark, sf_dir), 50.0).select("utt_id", "pos", "char", "word", "start_s", "end_s", "ext_end_s", "ext_capped", (F.col("logprob") + 0.0).alias("logprob"))
+    rows = syllable_records(aligned_texts(spark, sf_dir), 50.0)
+    shown = F.concat_ws("|", F.col("pos").cast("string"), "char", F.col("word").cast("string"))
+    syllables = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", shown.alias("shown")))), lambda x: x["shown"]), ";").cast("binary"))
+    totals = [F.round(F.sum(c), 3).alias(c) for c in ("start_s", "end_s", "ext_end_s")]
+    return rows.groupBy("utt_id").agg(F.count("*").alias("n"), syllables.alias("syllables_md5"), *totals, F.count_if("ext_capped").alias("n_capped"), (F.round(F.sum("logprob"), 3) + 0.0).alias("logprob"))
 
 
 # ---------------------------------------------------------------- error rates
 @query("a5_cer", f"WITH {REFS} SELECT angle, count(*) AS n, round({CER.format(h='hyp')}, 6) AS cer FROM refs GROUP BY 1")
 def cer(spark, sf_dir):
-    return references(spark, sf_dir).groupBy("angle").agg(F.count("*").alias("n"), F.round(M.cer(F.col("ref"), F.col("hyp")), 6).alias("cer"))
+    return references(spark, sf_dir).groupBy("angle").agg(F.count("*").alias("n"), F.round(M.cer(F.col("ref"), F.col("hyp"), LONGEST), 6).alias("cer"))
 
 
 # each distinct word of a pair becomes one character
-WORDS_SQL = f"""{REFS}, w AS (SELECT angle, list_filter(string_split(ref, ' '), lambda x: x <> '') AS a, list_filter(string_split(hyp, ' '), lambda x: x <> '') AS b FROM refs), u AS (SELECT *, list_distinct(list_concat(a, b)) AS u FROM w),
+WORDS_SQL = f"""{REFS}, w AS (SELECT angle, list_filter(regexp_split_to_array(ref, '\\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(hyp, '\\s+'), lambda x: x <> '') AS b FROM refs), u AS (SELECT *, list_distinct(list_concat(a, b)) AS u FROM w),
  c AS (SELECT angle, len(a) AS n, array_to_string(list_transform(a, lambda x: chr(CAST(33 + list_position(u, x) AS INT))), '') AS a, array_to_string(list_transform(b, lambda x: chr(CAST(33 + list_position(u, x) AS INT))), '') AS b FROM u)"""
 
 
@@ -119,7 +122,7 @@ def modes(spark, sf_dir):
 
 
 def scored(spark, sf_dir):
-    return modes(spark, sf_dir).groupBy("mode", "snr").agg(F.count("*").alias("n"), M.cer(F.col("ref"), F.col("hyp")).alias("cer"))
+    return modes(spark, sf_dir).groupBy("mode", "snr").agg(F.count("*").alias("n"), M.cer(F.col("ref"), F.col("hyp"), LONGEST).alias("cer"))
 
 
 @query("a7_modes_by_snr", f"WITH {MODES}, w AS (SELECT snr, max(cer) FILTER (mode = 'av') AS av, max(cer) FILTER (mode = 'audio') AS audio, max(cer) FILTER (mode = 'video') AS video FROM scored GROUP BY 1) SELECT snr, round(av, 6) AS av, round(audio, 6) AS audio, round(video, 6) AS video, round(audio - av, 6) AS gain, audio - av > 0 AS av_better FROM w")
@@ -130,33 +133,57 @@ def modes_by_snr(spark, sf_dir):
 
 @query("a8_cer_cube", f"""WITH {REFS}, two AS (SELECT *, replace(ref, 'a', 'aa') AS att FROM refs) SELECT speaker, angle, count(*) AS n, round({CER.format(h='hyp')}, 6) AS cer_hyp, round({CER.format(h='att')}, 6) AS cer_att, grouping(speaker, angle)::BIGINT AS level FROM two GROUP BY CUBE (speaker, angle)""")
 def cube(spark, sf_dir):
-    out = M.error_cube(references(spark, sf_dir).withColumn("att", F.expr("replace(ref, 'a', 'aa')")), ["speaker", "angle"], ["hyp", "att"])
+    out = M.error_cube(references(spark, sf_dir).withColumn("att", F.expr("replace(ref, 'a', 'aa')")), ["speaker", "angle"], ["hyp", "att"], longest=LONGEST)
     return out.select("speaker", "angle", "n", F.round("cer_hyp", 6).alias("cer_hyp"), F.round("cer_att", 6).alias("cer_att"), F.col("level").cast("long").alias("level"))
 
 
-def jamo_pairs(spark, sf_dir):
-    ids = K.jamo_ids(K.normalize(F.col("raw")))
-    rows = hangul(spark, sf_dir).select("doc_id", ids.alias("ref")).withColumn("hyp", F.filter(F.transform("ref", lambda x: F.when(x % 11 == 0, x + 1).otherwise(x)), lambda x: x % 13 != 0))
-    return rows.select("doc_id", F.explode(M.align_ids("ref", "hyp")).alias("p")).select("doc_id", "p.*")
+HEARD = "list_filter(list_transform(ids, lambda x: CASE WHEN x % 11 = 0 THEN x + 1 ELSE x END), lambda x: x % 13 <> 0)"
+
 
+def misheard(ids: str):
+    """Every eleventh token heard as the next one, every thirteenth not at all."""
+    return F.filter(F.transform(ids, lambda x: F.when(x % 11 == 0, x + 1).otherwise(x)), lambda x: x % 13 != 0)
 
-@query("v7_edit_alignment", f"""WITH {JAMO_SQL}, r AS (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS a FROM tok GROUP BY 1), h AS (SELECT doc_id, a, list_filter(list_transform(a, lambda x: CASE WHEN x % 11 = 0 THEN x + 1 ELSE x END), lambda x: x % 13 <> 0) AS b FROM r)
- SELECT doc_id, levenshtein(array_to_string(list_transform(a, lambda x: chr(CAST(33 + x AS INT))), ''), array_to_string(list_transform(b, lambda x: chr(CAST(33 + x AS INT))), ''))::BIGINT AS edits, len(a)::BIGINT AS n_ref, len(b)::BIGINT AS n_hyp FROM h""")
+
+@query("v7_edit_alignment", f"""WITH {PIECES_SQL}, h AS (SELECT doc_id, ids AS a, {HEARD} AS b FROM tok WHERE len(ids) > 0)
+ SELECT doc_id AS utt_id, levenshtein(array_to_string(list_transform(a, lambda x: chr(CAST(33 + x AS INT))), ''), array_to_string(list_transform(b, lambda x: chr(CAST(33 + x AS INT))), ''))::BIGINT AS edits, len(a)::BIGINT AS n_ref, len(b)::BIGINT AS n_hyp FROM h""")
 def edit_alignment(spark, sf_dir):
-    rows = jamo_pairs(spark, sf_dir)
-    return rows.groupBy("doc_id").agg(F.count_if(~F.col("ref").eqNullSafe(F.col("hyp"))).alias("edits"), F.count("ref").alias("n_ref"), F.count("hyp").alias("n_hyp"))
+    rows = spoken_pieces(spark, sf_dir).select("utt_id", K.jamo_ids(K.normalize(F.col("raw"))).alias("ref")).filter("size(ref) > 0")
+    pairs = rows.select("utt_id", M.align_ids("ref", misheard("ref")).alias("p"))
+    count = lambda test: F.size(F.filter("p", test)).cast("long")
+    return pairs.select("utt_id", count(lambda p: ~p["ref"].eqNullSafe(p["hyp"])).alias("edits"), count(lambda p: p["ref"].isNotNull()).alias("n_ref"), count(lambda p: p["hyp"].isNotNull()).alias("n_hyp"))
+
+
+def word_pairs(spark, sf_dir):
+    """(ref, hyp, times) of the aligned tokens of all words of the texts: a word that comes again is aligned once."""
+    words = spoken(spark, sf_dir).select(F.explode(F.split(K.normalize(F.col("raw")), " ")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("times"))
+    rows = words.select("times", K.jamo_ids(F.col("word")).alias("ids"))
+    return rows.select("times", F.explode(M.align_ids("ids", misheard("ids"))).alias("p")).select("p.ref", "p.hyp", "times")
+
+
+# a cell of each word's table has its cost and its way, a letter for each step (B both, R the reference, H what was heard); row by row
+PAIRS_SQL = f"""{JAMO_SQL}, w AS (SELECT word, count(*) AS times FROM (SELECT unnest(string_split(norm, ' ')) AS word FROM norm) WHERE word <> '' GROUP BY 1),
+ wt AS (SELECT word, times, flatten(list_transform(string_split(word, ''), lambda c: {TOKENS})) AS ids FROM w), ab AS (SELECT word, times, ids AS a, {HEARD} AS b FROM wt),
+ rows(word, i, costs, ways) AS (SELECT word, 0, range(0, len(b) + 1), list_transform(range(0, len(b) + 1), lambda j: repeat('H', j::BIGINT)) FROM ab UNION ALL
+  SELECT word, i, list_transform(cells, lambda c: c.cost), list_transform(cells, lambda c: c.way) FROM (SELECT r.word, r.i + 1 AS i, list_reduce(list_transform(range(1, len(ab.b) + 1), lambda j: [{{'cost': r.costs[j] + (ab.b[j] <> ab.a[r.i + 1])::BIGINT, 'way': r.ways[j], 'over': r.costs[j + 1] + 1, 'above': r.ways[j + 1]}}]),
+   lambda acc, x: acc || [{{'cost': least(x[1].cost, x[1].over, acc[-1].cost + 1), 'way': CASE WHEN x[1].cost <= least(x[1].over, acc[-1].cost + 1) THEN x[1].way || 'B' WHEN x[1].over <= acc[-1].cost + 1 THEN x[1].above || 'R' ELSE acc[-1].way || 'H' END, 'over': 0::BIGINT, 'above': ''}}],
+   [{{'cost': (r.i + 1)::BIGINT, 'way': repeat('R', r.i + 1), 'over': 0::BIGINT, 'above': ''}}]) AS cells FROM rows r JOIN ab ON ab.word = r.word WHERE r.i < len(ab.a)) q),
+ done AS (SELECT ab.word, times, a, b, ways[-1] AS way FROM rows r JOIN ab ON ab.word = r.word AND r.i = len(ab.a)), steps AS (SELECT *, unnest(string_split(way, '')) AS s, generate_subscripts(string_split(way, ''), 1) AS k FROM done),
+ placed AS (SELECT *, (sum((s <> 'H')::INT) OVER w)::BIGINT AS i, (sum((s <> 'R')::INT) OVER w)::BIGINT AS j FROM steps WINDOW w AS (PARTITION BY word ORDER BY k)), pairs AS (SELECT CASE WHEN s <> 'H' THEN a[i] END AS ref, CASE WHEN s <> 'R' THEN b[j] END AS hyp, times FROM placed)"""
 
 
-@query("a9_jamo_errors")
+@query("a9_jamo_errors", f"WITH RECURSIVE {PAIRS_SQL} SELECT {CLASS_SQL.replace('t ', 'ref ')} AS class, coalesce(sum(times) FILTER (ref IS NOT NULL), 0)::BIGINT AS n_ref, coalesce(sum(times) FILTER (ref = hyp), 0)::BIGINT AS n_right, coalesce(sum(times) FILTER (ref IS NOT NULL AND hyp IS NULL), 0)::BIGINT AS n_deleted, coalesce(sum(times) FILTER (ref IS NULL), 0)::BIGINT AS n_inserted FROM pairs GROUP BY 1")
 def jamo_errors(spark, sf_dir):
-    rows = jamo_pairs(spark, sf_dir).withColumn("class", K.class_of(F.col("ref")))
-    return rows.groupBy("class").agg(F.count("ref").alias("n_ref"), F.count_if(F.col("ref") == F.col("hyp")).alias("n_right"), F.count_if(F.col("ref").isNotNull() & F.col("hyp").isNull()).alias("n_deleted"), F.count_if(F.col("ref").isNull()).alias("n_inserted"))
+    rows = word_pairs(spark, sf_dir).withColumn("class", K.class_of(F.col("ref")))
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("times"))), F.lit(0))
+    ref, hyp = F.col("ref"), F.col("hyp")
+    return rows.groupBy("class").agg(total(ref.isNotNull()).alias("n_ref"), total(ref == hyp).alias("n_right"), total(ref.isNotNull() & hyp.isNull()).alias("n_deleted"), total(ref.isNull()).alias("n_inserted"))
 
 
-@query("t2_top_substitutions")
+@query("t2_top_substitutions", f"WITH RECURSIVE {PAIRS_SQL} SELECT ref::INT AS ref, hyp::INT AS hyp, sum(times)::BIGINT AS n FROM pairs WHERE ref <> hyp GROUP BY 1, 2 ORDER BY n DESC, ref, hyp LIMIT 20")
 def substitutions(spark, sf_dir):
-    rows = jamo_pairs(spark, sf_dir).filter("ref is not null and hyp is not null and ref <> hyp")
-    return rows.groupBy("ref", "hyp").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ref", "hyp").limit(20)
+    rows = word_pairs(spark, sf_dir).filter("ref is not null and hyp is not null and ref <> hyp")
+    return rows.groupBy("ref", "hyp").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "ref", "hyp").limit(20)
 
 
 @query("a10_estimate_summary", """WITH e AS (SELECT event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS dsp, value / 2 AS model FROM events) SELECT event_type, round(quantile_cont(dsp, 0.5), 6) AS dsp, round(quantile_cont(model, 0.5), 6) AS model, round(quantile_cont(coalesce((dsp + model) / 2, model), 0.5), 6) AS hybrid, count(*) AS n FROM e GROUP BY 1""")
@@ -168,7 +195,7 @@ def estimates(spark, sf_dir):
 @query("a11_threshold", f"""WITH {MODES}, v AS (SELECT {CER.format(h='hyp')} AS video FROM modes WHERE mode = 'video'), a AS (SELECT snr, cer FROM scored WHERE mode = 'av'), t AS (SELECT max(snr) FILTER (cer > video) AS threshold, max(snr) AS top FROM a, v)
  SELECT threshold::DOUBLE AS threshold, CASE WHEN top IS NULL THEN 'no_data' WHEN threshold IS NULL THEN 'video_never_better' WHEN threshold = top THEN 'video_always_better' ELSE 'ok' END AS status FROM t""")
 def threshold(spark, sf_dir):
-    video = modes(spark, sf_dir).filter("mode = 'video'").agg(M.cer(F.col("ref"), F.col("hyp"))).first()[0]
+    video = modes(spark, sf_dir).filter("mode = 'video'").agg(M.cer(F.col("ref"), F.col("hyp"), LONGEST)).first()[0]
     return M.suggest_threshold(scored(spark, sf_dir).filter("mode = 'av'"), float(video)).withColumn("threshold", F.col("threshold").cast("double"))
 
 
@@ -184,7 +211,7 @@ def threshold_estimates(spark, sf_dir):
  SELECT epoch, round(av, 6) AS av, round(audio, 6) AS audio, round(audio - av, 6) AS lips_gain, epoch = (SELECT epoch FROM v ORDER BY av, epoch LIMIT 1) AS best FROM v""")
 def progress(spark, sf_dir):
     rows = references(spark, sf_dir).withColumn("epoch", F.floor(F.col("utt_id") / 40).cast("int"))
-    v = rows.groupBy("epoch").agg(M.cer(F.col("ref"), F.col("hyp")).alias("av"), M.cer(F.col("ref"), F.expr("replace(ref, 'a', '')")).alias("audio"))
+    v = rows.groupBy("epoch").agg(M.cer(F.col("ref"), F.col("hyp"), LONGEST).alias("av"), M.cer(F.col("ref"), F.expr("replace(ref, 'a', '')"), LONGEST).alias("audio"))
     best = v.agg(F.min_by("epoch", F.struct("av", "epoch")).alias("b"))
     return v.crossJoin(F.broadcast(best)).select("epoch", F.round("av", 6).alias("av"), F.round("audio", 6).alias("audio"), F.round(F.col("audio") - F.col("av"), 6).alias("lips_gain"), (F.col("epoch") == F.col("b")).alias("best"))
 
