@@ -155,14 +155,15 @@ def edit_alignment(spark, sf_dir):
 
 
 def word_pairs(spark, sf_dir):
-    """(ref, hyp, times) of the aligned tokens of all words of the texts: a word that comes again is aligned once."""
-    words = spoken(spark, sf_dir).select(F.explode(F.split(K.normalize(F.col("raw")), " ")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("times"))
+    """(ref, hyp, times) of the aligned tokens of all words of the texts, up to four characters at a time: what comes again is
+    aligned once."""
+    words = spoken(spark, sf_dir).select(K.normalize(F.col("raw")).alias("norm")).select(F.explode(F.expr("regexp_extract_all(norm, '[^ ]{1,4}', 0)")).alias("word")).groupBy("word").agg(F.count("*").alias("times"))
     rows = words.select("times", K.jamo_ids(F.col("word")).alias("ids"))
     return rows.select("times", F.explode(M.align_ids("ids", misheard("ids"))).alias("p")).select("p.ref", "p.hyp", "times")
 
 
 # a cell of each word's table has its cost and its way, a letter for each step (B both, R the reference, H what was heard); row by row
-PAIRS_SQL = f"""{JAMO_SQL}, w AS (SELECT word, count(*) AS times FROM (SELECT unnest(string_split(norm, ' ')) AS word FROM norm) WHERE word <> '' GROUP BY 1),
+PAIRS_SQL = f"""{JAMO_SQL}, w AS (SELECT word, count(*) AS times FROM (SELECT unnest(regexp_extract_all(norm, '[^ ]{{1,4}}')) AS word FROM norm) GROUP BY 1),
  wt AS (SELECT word, times, flatten(list_transform(string_split(word, ''), lambda c: {TOKENS})) AS ids FROM w), ab AS (SELECT word, times, ids AS a, {HEARD} AS b FROM wt),
  rows(word, i, costs, ways) AS (SELECT word, 0, range(0, len(b) + 1), list_transform(range(0, len(b) + 1), lambda j: repeat('H', j::BIGINT)) FROM ab UNION ALL
   SELECT word, i, list_transform(cells, lambda c: c.cost), list_transform(cells, lambda c: c.way) FROM (SELECT r.word, r.i + 1 AS i, list_reduce(list_transform(range(1, len(ab.b) + 1), lambda j: [{{'cost': r.costs[j] + (ab.b[j] <> ab.a[r.i + 1])::BIGINT, 'way': r.ways[j], 'over': r.costs[j + 1] + 1, 'above': r.ways[j + 1]}}]),
