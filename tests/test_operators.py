@@ -357,6 +357,74 @@ def test_best_paths():
     assert G.best_paths([np.zeros((2, 3))], [np.array([1, 1])])[0][2] == -math.inf
 
 
+def test_long_paths_equal_the_full_table():
+    """Utterances of hundreds of frames, of different lengths, against a table of all scores."""
+    r = np.random.default_rng(8)
+    targets = [r.integers(1, 6, n) for n in (0, 1, 40, 90, 91)]
+    logp = [np.log(r.dirichlet(np.ones(6), n)) for n in (7, 300, 257, 400, 91)]
+    for t, x, (token, lp, total) in zip(targets, logp, G.best_paths(logp, targets)):
+        label = [0]
+        for c in t.tolist():
+            label += [c, 0]
+        score = {0: x[0][label[0]]} | ({1: x[0][label[1]]} if len(t) else {})
+        for row in x[1:]:
+            score = {s: max([score[q] for q in (s, s - 1) if q in score] + [score[s - 2] for _ in [0] if s - 2 in score and s % 2 and label[s] != label[s - 2]]) + row[label[s]] for s in range(len(label)) if any(q in score for q in (s, s - 1)) or (s - 2 in score and s % 2 and label[s] != label[s - 2])}
+        want = max([score[s] for s in (len(label) - 1, len(label) - 2) if s in score], default=-math.inf)
+        if want == -math.inf:
+            assert total == want and np.isnan(lp).all()
+            continue
+        assert total == pytest.approx(want) == pytest.approx(lp.sum())
+        heard = token[token >= 0]
+        assert heard[np.flatnonzero(np.diff(heard, prepend=-1))].tolist() == list(range(len(t))) and (np.diff(heard) >= 0).all()
+
+
+def test_lag_profile_and_reports(spark):
+    r = np.random.default_rng(9)
+
+    def expected(v, a, reach):
+        v, a = np.array(v), np.maximum(np.array(a), np.percentile(a, 20))
+        smooth = lambda x: [(sum(x[max(0, i - 1) : i + 2])) / 3 for i in range(len(x))]
+        steps = []
+        for x in (v, a):
+            s = smooth(x.tolist())
+            d = np.array([s[0] - x[0], *(q - p for p, q in zip(s, s[1:]))])
+            steps.append((d - d.mean()) / (d.std() + 1e-6))
+        v, a = steps
+        n = len(v)
+        return [sum(a[k + j] * v[k] for k in range(n) if 0 <= k + j < n) for j in range(-reach, reach + 1)]
+
+    rows = []
+    for k in range(12):
+        n = int(r.integers(20, 70))
+        a = r.normal(size=n + 6)
+        rows.append((k % 3, k % 2, a[3 : n + 3].tolist(), a[3 - k % 3 : n + 3 - k % 3].tolist(), 1.0))
+    odd = [(7, 1, None, [1.0], 1.0), (7, 1, [1.0] * 30, [1.0] * 29, 1.0), (7, 1, [1.0, None] * 20, [1.0] * 40, 1.0), (7, 1, [1.0] * 8, [1.0] * 8, 1.0), (0, 0, [0.0] * 30, [0.0] * 30, 0.1)]
+    df = spark.createDataFrame(rows + odd, "video int, speaker int, v array<double>, a array<double>, valid_ratio double")
+    got = df.select("v", "a", A.lag_profile(F.col("v"), F.col("a"), 4).alias("p")).collect()
+    for g, (_, _, v, a, _) in zip(got, rows):
+        assert [x.s for x in g.p] == pytest.approx(expected(v, a, 4), abs=1e-9) and [x.lag for x in g.p] == list(range(-4, 5)) and [x.n for x in g.p] == [len(v) - abs(j) for j in range(-4, 5)]
+    assert [g.p for g in got[12:16]] == [None] * 4
+    videos = A.lag_by_video(df, ["video"], 4)
+    assert {r.video: r.lag for r in videos.collect()} == {0: 0, 1: 1, 2: 2} and all(r.sharpness > 0.3 and r.n_utts == 4 for r in videos.collect())
+    one = A.lag_by_speaker(videos.withColumn("speaker", F.lit("s")), ["speaker"]).first()
+    assert (one.n, one.median_lag, one.least_lag, one.most_lag) == (3, 1.0, 0, 2)
+
+
+def test_values_at_shifts(spark):
+    r = np.random.default_rng(10)
+    series = {u: {k: None if r.random() < 0.2 else float(r.integers(0, 50)) for k in range(40) if r.random() < 0.9} for u in range(3)}
+    frames = spark.createDataFrame([(u, k, z) for u, s in series.items() for k, z in s.items()], "u int, k int, z double")
+    events = [(u, 100 * u + e, int(r.integers(-5, 45)), *sorted(r.integers(-5, 20, 2).tolist())) for u in range(4) for e in range(25)]
+    got = A.values_at_shifts(spark.createDataFrame(events, "u int, event int, k0 int, first int, last int"), frames, "u", [-6, 0, 3], longest=26).collect()
+    want = {}
+    for u, e, k0, a, z in events:
+        s = series.get(u, {})
+        for shift in (-6, 0, 3):
+            inside = [s[k] for k in range(a + shift, max(a, z) + shift + 1) if s.get(k) is not None]
+            want[u, e, shift] = (s.get(k0 + shift), min(inside, default=None))
+    assert {(r.u, r.event, r["shift"]): (r.at, r.low) for r in got} == want
+
+
 def test_syllable_records(spark):
     # three syllables, a space after the second: tokens 0-1, 2-4, space 5, 6-7
     first = [0, 2, 10, 11, 12, 20, 50, 52]

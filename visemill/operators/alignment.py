@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import contrast, grouped_auc
-from .ordering import grouped_percentiles, hash_order
+from .ordering import grouped_percentiles
 
 # Share of a syllable at which the vowel and the final begin when split in proportion.
 SPLIT = (0.25, 0.60)
@@ -145,19 +150,44 @@ def best_shift(curve: DataFrame, by: list[str]) -> DataFrame:
 POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(8))
 
 
+def replica_sums(sums: DataFrame, by: list[str], replicas: int, seed: int) -> DataFrame:
+    """(*by, shift, positive, replica, n, s1, s2): ``sums(*by, utt, shift, positive, n, s1, s2)`` added up in every replica.
+
+    An utterance counts in a replica as often as a Poisson draw of mean one says, made from a hash of seed, utterance and
+    replica. A task turns its rows into weights times sums, a matrix product for each batch, so that it sends one row for each
+    contrast, shift and replica however many utterances it has.
+    """
+    keys = [*by, "shift", "positive"]
+    kinds = ", ".join(f"`{c}` {sums.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            code, utts = pd.factorize(batch["_utt"])
+            u = np.array([[int(hashlib.md5(f"{seed}|{x}|{r}".encode()).hexdigest()[:8], 16) for r in range(replicas)] for x in utts]) / float(1 << 32)
+            weight = (u[..., None] > np.array(POISSON)).sum(axis=-1).astype(np.float64)
+            values = batch[["n", "s1", "s2"]].to_numpy(dtype=np.float64)
+            for key, rows in batch.groupby(keys, sort=False, dropna=False).indices.items():
+                totals[key] = totals.get(key, 0.0) + values[rows].T @ weight[code[rows]]
+        for key, (n, s1, s2) in totals.items():
+            yield pd.DataFrame(dict(zip(keys, key)) | {"replica": np.arange(replicas), "n": n, "s1": s1, "s2": s2})
+
+    lean = sums.select(*keys, F.col("utt").cast("string").alias("_utt"), "n", "s1", "s2").repartition("_utt")  # its weights are drawn once
+    parts = lean.mapInPandas(run, f"{kinds}, replica int, n double, s1 double, s2 double")
+    return parts.groupBy(*keys, "replica").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
+
+
 def bootstrap_shift(values: DataFrame, by: list[str], replicas: int = 500, seed: int = 0) -> DataFrame:
     """95 % intervals over utterances of the best shift (refined between the shifts) and of d at the shift nearest to 0.
 
-    ``values(*by, utt, shift, positive, x)`` shrink to sums for each utterance and shift. An utterance counts in a replica
-    as often as a Poisson draw of mean one says, made from a hash of seed, utterance and replica, so replicas are sums that
-    every task can begin. Null with fewer than five utterances.
+    ``values(*by, utt, shift, positive, x)`` shrink to sums for each utterance and shift, these to ``replica_sums``. Null with
+    fewer than five utterances.
     """
     sums = values.filter("x is not null").groupBy(*by, "utt", "shift", "positive").agg(F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2"), F.count("*").alias("n"))
-    u = F.conv(F.substring(hash_order(F.lit(seed), F.col("utt"), F.col("replica")), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    weight = sum(((u > p).cast("int") for p in POISSON), F.lit(0))
-    drawn = sums.select(*by, "utt").distinct().withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))).withColumn("w", weight).filter("w > 0")
-    part = lambda c, yes: F.sum(F.when(F.col("positive") == yes, F.col("w") * F.col(c)))
-    both = drawn.join(sums, [*by, "utt"]).groupBy(*by, "replica", "shift").agg(*[part(c, k == 1).alias(f"{c}_{k}") for c in ("n", "s1", "s2") for k in (0, 1)])
+    drawn = replica_sums(sums, by, replicas, seed)
+    part = lambda c, yes: F.sum(F.when(F.col("positive") == yes, F.col(c)))
+    both = drawn.groupBy(*by, "replica", "shift").agg(*[part(c, k == 1).alias(f"{c}_{k}") for c in ("n", "s1", "s2") for k in (0, 1)])
+    both = both.filter("n_0 > 0 and n_1 > 0")
     squares = lambda k: F.col(f"s2_{k}") - F.col(f"s1_{k}") * F.col(f"s1_{k}") / F.col(f"n_{k}")
     pooled = F.sqrt(F.greatest((squares(0) + squares(1)) / F.greatest(F.col("n_0") + F.col("n_1") - 2, F.lit(1)), F.lit(1e-12)))
     curve = both.withColumn("d", (F.col("s1_1") / F.col("n_1") - F.col("s1_0") / F.col("n_0")) / pooled)
@@ -234,6 +264,86 @@ def best_lag(sums: DataFrame, by: list[str]) -> DataFrame:
     return sums.groupBy(*by).agg(F.max_by("lag", F.struct(mean, -F.col("lag"))).alias("lag"), F.max(mean).alias("corr"), F.max(F.when(F.col("lag") == 0, mean)).alias("corr0"))
 
 
+LAG_SUMS = "array<struct<lag:int,s:double,n:bigint>>"
+
+
+def _standard_steps(x: np.ndarray) -> np.ndarray:
+    """First differences of a series smoothed over three values (nothing beyond its ends; the first against the raw value),
+    less their mean, over their deviation."""
+    step = np.diff(np.convolve(x, np.ones(3) / 3, mode="same"), prepend=x[:1])
+    return (step - step.mean()) / (step.std() + 1e-6)
+
+
+def lag_profile(video: Column, audio: Column, reach: int, floor: float = 20.0) -> Column:
+    """Sums of audio(k + lag) * video(k) and their number for lags -reach to reach, of two array columns of an utterance.
+
+    Audio is raised to its ``floor``-th percentile, both become standardised steps. All lags come from one product of Fourier
+    transforms; utterances of like lengths are transformed together. Null for arrays that are null, hold nulls, are of
+    different lengths or shorter than three times ``reach``.
+    """
+
+    @F.arrow_udf(LAG_SUMS)
+    def profile(v: pa.Array, a: pa.Array) -> pa.Array:
+        series: dict[int, list] = {}
+        for k, (x, y) in enumerate(zip(v.to_pylist(), a.to_pylist())):
+            if x is not None and y is not None and len(x) == len(y) >= max(3 * reach, 1) and None not in x and None not in y:
+                y = np.asarray(y, dtype=np.float64)
+                steps = _standard_steps(np.asarray(x, dtype=np.float64)), _standard_steps(np.maximum(y, np.percentile(y, floor)))
+                series.setdefault(1 << (len(x) + reach - 1).bit_length(), []).append((k, len(x), *steps))
+        out: list = [None] * len(v)
+        lags = np.arange(-reach, reach + 1)
+        for size, group in series.items():
+            both = np.zeros((2, len(group), size))
+            for i, (_, n, x, y) in enumerate(group):
+                both[0, i, :n], both[1, i, :n] = x, y
+            spectrum = np.fft.rfft(both)
+            sums = np.fft.irfft(spectrum[0].conj() * spectrum[1], size)[:, lags % size]
+            for (k, n, _, _), s in zip(group, sums):
+                out[k] = [{"lag": int(j), "s": float(x), "n": n - abs(int(j))} for j, x in zip(lags, s)]
+        return pa.array(out, pa.list_(pa.struct([("lag", pa.int32()), ("s", pa.float64()), ("n", pa.int64())])))
+
+    return profile(video, audio)
+
+
+def lag_by_video(utterances: DataFrame, video: list[str], reach: int, least_valid: float = 0.9) -> DataFrame:
+    """(*video, n_utts, lag, corr, corr0, sharpness) of ``utterances(*video, v array, a array, valid_ratio)``: the lag with the
+    highest mean product over a video's utterances (the smallest of equals), that mean, the one at lag 0, and how far the highest
+    is above the median of all lags. Utterances with fewer valid frames than ``least_valid`` or too short don't count."""
+    rows = utterances.filter(F.col("valid_ratio") >= least_valid).select(*video, lag_profile(F.col("v"), F.col("a"), reach).alias("p")).filter("p is not null")
+    sums = rows.select(*video, F.inline("p")).groupBy(*video, "lag").agg((F.sum("s") / F.sum("n")).alias("mean"), F.count("*").alias("n_utts"))
+    return sums.groupBy(*video).agg(
+        F.max("n_utts").alias("n_utts"), F.max_by("lag", F.struct("mean", -F.col("lag"))).alias("lag"), F.max("mean").alias("corr"), F.max(F.when(F.col("lag") == 0, F.col("mean"))).alias("corr0"), (F.max("mean") - F.median("mean")).alias("sharpness")
+    )
+
+
+def lag_by_speaker(videos: DataFrame, speaker: list[str]) -> DataFrame:
+    """Number of videos and median, least and largest lag of each speaker. ``videos(*speaker, lag)``."""
+    return videos.groupBy(*speaker).agg(F.count("*").alias("n"), F.median("lag").alias("median_lag"), F.min("lag").alias("least_lag"), F.max("lag").alias("most_lag"))
+
+
+def window_minima(frames: DataFrame, by: str, longest: int, value: str = "z") -> DataFrame:
+    """(by, k, level, low): the lowest value of the 2**level frames from k on, for all levels up to a window of ``longest``."""
+    w = Window.partitionBy(by).orderBy("k")
+    levels = [F.struct(F.lit(p).alias("level"), F.min(value).over(w.rangeBetween(0, (1 << p) - 1)).alias("low")) for p in range(max(1, longest).bit_length())]
+    return frames.select(by, F.col("k").cast("long").alias("k"), value).select(by, "k", F.array(*levels).alias("l")).select(by, "k", F.inline("l"))
+
+
+def values_at_shifts(events: DataFrame, frames: DataFrame, by: str, shifts: list[int], longest: int, value: str = "z") -> DataFrame:
+    """(by, event, shift, at, low) of ``events(by, event, k0, first, last)``: the value at frame k0 + shift, and the lowest of
+    the frames ``first`` to ``last`` + shift (at most ``longest`` of them), nulls passed over; null outside the series.
+
+    Any window is covered by two of a length of a power of two, so two look-ups by frame number find its minimum.
+    """
+    rows = events.select(by, "event", *[F.col(c).cast("long").alias(c) for c in ("k0", "first", "last")], F.explode(F.array(*map(F.lit, shifts))).alias("shift"))
+    low = window_minima(frames, by, longest, value).filter("low is not null")
+    ends = frames.groupBy(by).agg(F.min("k").cast("long").alias("_a"), F.max("k").cast("long").alias("_z"))
+    rows = rows.join(ends, by, "left").withColumn("_i", F.greatest(F.col("first") + F.col("shift"), F.col("_a"))).withColumn("_j", F.least(F.greatest("first", "last") + F.col("shift"), F.col("_z")))
+    rows = rows.withColumn("level", F.when(F.col("_i") <= F.col("_j"), F.floor(F.log2((F.col("_j") - F.col("_i") + 1).cast("double") + 1e-9)).cast("int")))
+    places = F.array(F.struct(F.lit(0).alias("level"), (F.col("k0") + F.col("shift")).alias("k"), F.lit(True).alias("point")), F.struct("level", F.col("_i").alias("k"), F.lit(False).alias("point")), F.struct("level", (F.col("_j") - F.expr("shiftleft(1L, level)") + 1).alias("k"), F.lit(False).alias("point")))
+    looked = rows.select(by, "event", "shift", F.inline(places)).join(low, [by, "k", "level"], "left")
+    return looked.groupBy(by, "event", "shift").agg(F.max(F.when(F.col("point"), F.col("low"))).alias("at"), F.min(F.when(~F.col("point"), F.col("low"))).alias("low"))
+
+
 def score_labels(labels: DataFrame, frames: DataFrame, by: str, variants: list[str], positive: Column, value: str = "z") -> DataFrame:
     """d and AUC of a label class against all others in a frame value, for each variant of labelling."""
     rows = labels.join(frames.select(by, "k", value), [by, "k"]).withColumn("positive", positive).withColumn("x", F.col(value))

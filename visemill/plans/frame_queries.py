@@ -326,6 +326,31 @@ def subgroup_curves(spark, sf_dir):
     return A.subgroup_curves(rows, ["split", "utt", "sure"]).select("group", "value", "shift", "n1", "n0", R("d", 5))
 
 
+LAG_REPORT = f"""{FRAMES}, u AS (SELECT utt_key, k, x, CASE WHEN valid THEN x ELSE 0 END AS y FROM frames), ok AS (SELECT utt_key FROM frames GROUP BY 1 HAVING avg(valid::INT) >= 0.5 AND count(*) >= 15), f AS (SELECT utt_key, k, x AS v, greatest(y, quantile_cont(y, 0.2) OVER (PARTITION BY utt_key)) AS a FROM u JOIN ok USING (utt_key)),
+ s AS (SELECT *, (coalesce(lag(v) OVER w, 0) + v + coalesce(lead(v) OVER w, 0)) / 3 AS vs, (coalesce(lag(a) OVER w, 0) + a + coalesce(lead(a) OVER w, 0)) / 3 AS a_s FROM f WINDOW w AS (PARTITION BY utt_key ORDER BY k)), d AS (SELECT utt_key, k, vs - coalesce(lag(vs) OVER w, v) AS v, a_s - coalesce(lag(a_s) OVER w, a) AS a FROM s WINDOW w AS (PARTITION BY utt_key ORDER BY k)),
+ z AS (SELECT utt_key, k, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-6) AS v, (a - avg(a) OVER w) / (stddev_pop(a) OVER w + 1e-6) AS a FROM d WINDOW w AS (PARTITION BY utt_key)),
+ p AS (SELECT p.utt_key % 40 AS video, o AS lag, sum(q.a * p.v) / count(*) AS m FROM z p, (SELECT unnest(range(-5, 6)) AS o) c, z q WHERE q.utt_key = p.utt_key AND q.k = p.k + o GROUP BY 1, 2),
+ b AS (SELECT video, lag, m, row_number() OVER (PARTITION BY video ORDER BY m DESC, lag) AS n, max(m) FILTER (lag = 0) OVER (PARTITION BY video) AS corr0, m - quantile_cont(m, 0.5) OVER (PARTITION BY video) AS sharpness FROM p)"""
+
+
+def lag_utterances(spark, sf_dir):
+    """Each user's events as an utterance of video user_id % 40, of speaker video % 7."""
+    rows = frames(spark, sf_dir).groupBy("utt_key").agg(F.array_sort(F.collect_list(F.struct("k", "x", F.expr("IF(valid, x, 0D)").alias("y")))).alias("s"), F.avg(F.col("valid").cast("double")).alias("valid_ratio"))
+    video = F.col("utt_key") % 40
+    return rows.select(video.alias("video"), (video % 7).alias("speaker"), F.transform("s", lambda x: x["x"]).alias("v"), F.transform("s", lambda x: x["y"]).alias("a"), "valid_ratio")
+
+
+@query("a31_lag_by_video", f"WITH {LAG_REPORT} SELECT video, video % 7 AS speaker, lag::INT AS lag, round(m, 6) AS corr, round(corr0, 6) AS corr0, round(sharpness, 6) AS sharpness FROM b WHERE n = 1")
+def lag_by_video(spark, sf_dir):
+    out = A.lag_by_video(lag_utterances(spark, sf_dir), ["video", "speaker"], 5, least_valid=0.5)
+    return out.select("video", "speaker", "lag", R("corr"), R("corr0"), R("sharpness"))
+
+
+@query("a31_lag_by_speaker", f"WITH {LAG_REPORT} SELECT video % 7 AS speaker, count(*) AS n, quantile_cont(lag, 0.5)::DOUBLE AS median_lag, min(lag)::INT AS least_lag, max(lag)::INT AS most_lag FROM b WHERE n = 1 GROUP BY 1")
+def lag_by_speaker(spark, sf_dir):
+    return A.lag_by_speaker(A.lag_by_video(lag_utterances(spark, sf_dir), ["video", "speaker"], 5, least_valid=0.5), ["speaker"])
+
+
 LAGS_SQL = f"""{FRAMES}, d AS (SELECT utt_key, k, x - lag(x, 1, x) OVER (PARTITION BY utt_key ORDER BY k) AS a, (CASE WHEN valid THEN x ELSE 0 END) AS b FROM frames), s AS (SELECT p.utt_key, o AS lag, sum(q.a * p.b) / count(*) AS m FROM d p, (SELECT unnest(range(-3, 4)) AS o) c, d q WHERE q.utt_key = p.utt_key AND q.k = p.k + o GROUP BY 1, 2),
  l AS (SELECT utt_key, arg_max(lag, m) * 40e0 AS x FROM s GROUP BY 1), y AS (SELECT utt_key, avg(x) AS y FROM frames GROUP BY 1)"""
 

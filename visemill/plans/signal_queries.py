@@ -84,12 +84,21 @@ def lips(spark, sf_dir):
     return rows.groupBy("label").agg(F.count("*").alias("n"), *[F.round(F.avg(F.col("g")[k]), 4).alias(c) for k, c in enumerate(("width", "inner_height", "outer_height", "inner_area"))])
 
 
+def posteriors(spark, sf_dir):
+    """Each turn of the conversations as an utterance: its characters are the labels (15 classes of code points), and each
+    has three frames in which it is likely, spoilt by a hash; whole texts make thousands of frames."""
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("utt_id"), F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != "").alias("chars"))
+    rows = rows.select("utt_id", F.transform("chars", lambda c: (F.ascii(c) % 15 + 1).cast("int")).alias("targets"))
+    score = "CAST(-IF(v = IF(f % 3 = 2, 0, get(targets, f DIV 3)), (f * 31 + v * 17) % 20 / 20e0, 1 + (f * 7 + v * 13) % 60 / 10e0) AS FLOAT)"
+    logp = F.expr(f"flatten(transform(sequence(0, greatest(3 * size(targets), 1) - 1), f -> transform(sequence(0, 15), v -> {score})))")
+    return rows.select("utt_id", F.greatest(3 * F.size("targets"), F.lit(1)).alias("n_frames"), F.lit(16).alias("vocab"), logp.alias("logp"), "targets")
+
+
 @query("v6_forced_alignment")
 def alignment(spark, sf_dir):
-    targets = F.transform(F.sequence(F.lit(0), (F.col("vec_id") % 4).cast("int")), lambda i: ((F.col("vec_id") + i) % 3 + 1).cast("int"))
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("utt_id"), F.lit(16).alias("n_frames"), F.lit(4).alias("vocab"), F.transform("embedding", lambda x: (-F.abs(x)).cast("float")).alias("logp"), targets.alias("targets"))
-    out = G.align_posteriors(rows)
-    return out.groupBy("ok", F.size("tokens").alias("n_tokens")).agg(F.count("*").alias("n"), F.round(F.avg("path_logprob"), 4).alias("path_logprob"))
+    out = G.align_posteriors(posteriors(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism))
+    frames_of = F.aggregate("tokens", F.lit(0), lambda n, t: n + t["last"] - t["first"] + 1)
+    return out.select("utt_id", "ok", F.size("tokens").alias("n_tokens"), F.round("path_logprob", 4).alias("path_logprob"), frames_of.alias("n_frames"))
 
 
 def rounded_spans(out: DataFrame) -> DataFrame:
@@ -134,7 +143,7 @@ def window_draws(spark, sf_dir):
     return rows.select("doc_id", F.coalesce("start", F.lit(-1)).alias("start"), S.signed_shift(F.col("start"), F.col("n"), 40, 4, 6, *key).cast("int").alias("shift"), bands[0]["length"].cast("long").alias("band_length"), bands[0]["start"].cast("long").alias("band_start"))
 
 
-@query("v11_lip_events", f"""WITH {FRAMES}, e AS (SELECT user_id AS utt_key, event_id AS event, CAST(event_id % 50 AS BIGINT) AS k0 FROM events), s AS (SELECT e.utt_key, event, f.k - k0 AS o, x AS v FROM e JOIN frames f ON f.utt_key = e.utt_key AND f.k BETWEEN k0 - 4 AND k0 + 2 + 3),
+@query("v11_lip_events", f"""WITH {FRAMES}, e AS (SELECT user_id AS utt_key, event_id AS event, CAST(event_id % 50 AS BIGINT) AS k0, unnest(range(-4, 6)) AS o FROM events), s AS (SELECT e.utt_key, event, o, x AS v FROM e JOIN frames f ON f.utt_key = e.utt_key AND f.k = k0 + o),
   r AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY v, o) AS n, min(o) OVER (PARTITION BY event) AS a, max(o) OVER (PARTITION BY event) AS b FROM s WHERE o <= 2), m AS (SELECT utt_key, event, o AS lo, o = a OR o = b AS edge FROM r WHERE n = 1),
   d AS (SELECT s.event, s.o, s.v - lag(s.v) OVER (PARTITION BY s.event ORDER BY s.o) AS rise FROM s JOIN m ON m.event = s.event AND s.o BETWEEN lo AND lo + 3), t AS (SELECT event, o, row_number() OVER (PARTITION BY event ORDER BY rise DESC, o) AS n FROM d WHERE rise IS NOT NULL)
  SELECT m.utt_key, m.event, lo::INT AS min_offset, edge, t.o - 0.5e0 AS release_offset FROM m LEFT JOIN t ON t.event = m.event AND t.n = 1""")
@@ -144,6 +153,17 @@ def lip_events(spark, sf_dir):
     return out.select("utt_key", "event", "min_offset", "edge", F.col("release_offset").cast("double").alias("release_offset"))
 
 
+@query("v11_values_at_shifts", f"""WITH {FRAMES}, e AS (SELECT user_id AS utt_key, event_id AS event, CAST(event_id % 50 AS BIGINT) AS k0, event_id % 7 AS n, unnest(range(-5, 6)) AS shift FROM events), w AS (SELECT utt_key, event, shift, k0 - 2 + shift + unnest(range(0, n + 3)) AS k FROM e),
+ l AS (SELECT w.utt_key, event, shift, min(CASE WHEN valid THEN x END) AS low FROM w JOIN frames f ON f.utt_key = w.utt_key AND f.k = w.k GROUP BY 1, 2, 3)
+ SELECT e.utt_key, e.shift, count(*) AS n, count(CASE WHEN valid THEN x END) AS n_at, round(sum(CASE WHEN valid THEN x END), 4) AS at, count(low) AS n_low, round(sum(low), 4) AS low FROM e LEFT JOIN frames f ON f.utt_key = e.utt_key AND f.k = e.k0 + e.shift LEFT JOIN l ON l.event = e.event AND l.shift = e.shift GROUP BY 1, 2""")
+def values_at_shifts(spark, sf_dir):
+    """For each event the value at, and the minimum from two frames before to up to six after, a frame number, at shifts of up to five frames."""
+    events = table(spark, sf_dir, "events").selectExpr("user_id AS utt_key", "event_id AS event", "event_id % 50 AS k0", "event_id % 50 - 2 AS first", "event_id % 50 + event_id % 7 AS last")
+    values = frames(spark, sf_dir).select("utt_key", "k", F.when(F.col("valid"), F.col("x")).alias("z"))
+    out = A.values_at_shifts(events, values, "utt_key", list(range(-5, 6)), longest=9)
+    return out.groupBy("utt_key", F.col("shift").cast("long").alias("shift")).agg(F.count("*").alias("n"), F.count("at").alias("n_at"), F.round(F.sum("at"), 4).alias("at"), F.count("low").alias("n_low"), F.round(F.sum("low"), 4).alias("low"))
+
+
 @query("w5_segment_packing")
 def packing(spark, sf_dir):
     rows = I.moving_stats(frames(spark, sf_dir), "utt_key", "k", "x", 5).select("utt_key", "k", (F.col("valid") & (F.col("x") > 50)).alias("active"), F.col("moving_std").alias("activity"))
