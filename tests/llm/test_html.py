@@ -105,6 +105,31 @@ def test_threads_of_readers_under_other_names(field):
         assert "agree" not in main_text(page.replace("discussion", name), field)
 
 
+STORY = ["The river rose again during the night and flooded two streets.", "Nobody was hurt, said the fire brigade, which had been warned early.", "By noon the water had gone down by half a metre."]
+MENU, IMPRINT = '<div class="menu"><a href="/">Home</a> <a href="/n">News</a></div>', '<div class="imprint">© 2024 Example</div>'
+
+
+@pytest.mark.parametrize("body", [
+    '<div class="txt"><div>{0}</div><div>{1}</div><div>{2}</div></div>',
+    "{0}<br>{1}<br><br>{2}",
+    '<div class="page-wrap"><p>{0}</p><p>{1} {2}</p></div>',
+    "<div><h1>{0}</h1><p>{1}</p><p>{2}</p></div>",
+    "<p>{0}</p><p>{1}</p><p>{2}</p>",
+    '<table><tr><td class="x9"><p>{0}</p><p>{1}</p><p>{2}</p></td></tr></table>',
+    '<div id="q"><div class="zz"><h2>{0}</h2><div>{1}</div><div>{2}</div></div></div>',
+])
+def test_articles_without_known_wrappers(field, body):
+    for menu in (MENU, "<ul><li><a href=/>Home</a><li><a href=/n>News</a><li><a href=/c>Contact</a></ul>", '<nav><a href="/">Home</a></nav>'):
+        for imprint in (IMPRINT, "<footer>Imprint</footer>", "<p>© 2024 Example. All rights reserved.</p>"):
+            assert main_text(f"<html><body>{menu}{body.format(*STORY)}{imprint}</body></html>", field) == " ".join(STORY), (menu, imprint)
+
+
+def test_time_is_linear_in_unclosed_markup():
+    for opening in ("<![CDATA[", "<!x", "<script ", "<a b='", "<!--", "<template x", '<p a="', "<?"):
+        blocks_of(opening * 100_000)
+    assert [b.text for b in blocks_of("<p>a<![CDATA[ hidden <p> ]]>b<p>c<![CDATA[ d > e<p>f")] == ["ab", "c e", "f"]
+
+
 def test_gradient_of_the_field():
     """One step of training from zero follows the gradient of the log-likelihood, by enumeration of all labellings."""
     rng = np.random.default_rng(4)

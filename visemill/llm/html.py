@@ -24,7 +24,7 @@ HIDDEN = ("script", "style", "title", "textarea", "noscript", "template", "ifram
 TO_END, FLAT = frozenset("script style title textarea noscript iframe".split()), frozenset({"select", "button"})
 #: Opening the first closes an open one of the second.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>%s)(?=[\s/>])(?P<rest>[^>]*)>|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>|<[!?][^>]*>|(?P<text>[^<]+|<)" % "|".join(HIDDEN), re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|(?P<data><!\[CDATA\[)|<(?P<raw>%s)(?=[\s/>])(?P<rest>[^>]*)(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>|<[!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)" % "|".join(HIDDEN), re.S | re.I)
 ENDS = {n: re.compile(rf"<{n}(?=[\s/>])|</{n}\s*>" if n in FLAT else rf"</{n}\s*>", re.I) for n in HIDDEN}
 NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -36,12 +36,22 @@ class Block:
     path: tuple[str, ...]  # feature strings of the ancestors
     tag: str
     linked: int  # characters inside links
+    around: int = 0  # number of the element that its own block element is a child of
 
 
 def tokens_of(page: str) -> Iterator[re.Match]:
     """Tags and texts of a page in order, hidden elements as their opening tag. Where one is not closed only its tag is passed over."""
     at, unclosed = 0, set()
     while m := TOKEN.match(page, at):
+        if m["data"]:  # to its end, or else to the next >
+            end = -1 if "data" in unclosed else page.find("]]>", m.end())
+            if end < 0:
+                unclosed.add("data")
+                end = page.find(">", m.end()) - 2
+            if end < 0:
+                return
+            at = end + 3
+            continue
         yield m
         at = m.end()
         name = (m["raw"] or "").lower()
@@ -58,19 +68,19 @@ def tokens_of(page: str) -> Iterator[re.Match]:
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order, white space collapsed, references decoded; hidden elements left out."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
     parts: list[str] = []
-    links, linked = 0, 0
+    links, linked, elements = 0, 0, 0
 
     def close() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
             path: list[str] = []
-            for name, features in stack:
+            for _, features, _ in stack:
                 path += features
-            blocks = [name for name, _ in stack if name not in INLINE]
-            out.append(Block(text, tuple(dict.fromkeys(path)), blocks[-1] if blocks else "", linked))
+            blocks = [(name, k) for name, _, k in stack if name not in INLINE]
+            out.append(Block(text, tuple(dict.fromkeys(path)), blocks[-1][0] if blocks else "", linked, blocks[-2][1] if len(blocks) > 1 else 0))
         parts.clear()
         linked = 0
 
@@ -91,7 +101,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if name not in INLINE:
             close()
         if m["close"]:
-            if any(n == name for n, _ in stack):
+            if any(n == name for n, _, _ in stack):
                 while stack:
                     gone = stack.pop()[0]
                     links -= gone == "a"
@@ -101,7 +111,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if name in CLOSES:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in CLOSES[name]:
-                    links -= sum(n == "a" for n, _ in stack[i:])
+                    links -= sum(n == "a" for n, _, _ in stack[i:])
                     del stack[i:]
                     break
                 if stack[i][0] not in INLINE:
@@ -110,24 +120,33 @@ def blocks_of(page: str | None) -> list[Block]:
             features = [f"in={name}"] if name not in ("html", "body", "p", "b", "i") else []
             for x in NAMES.finditer(m["attrs"]):
                 features += [f"named={w.lower()}" for w in WORDS.findall(x[1] or x[2] or x[3] or "")]
-            stack.append((name, tuple(features)))
+            elements += 1
+            stack.append((name, tuple(features), elements))
             links += name == "a"
     close()
     return out
 
 
 def features_of(blocks: list[Block]) -> list[list[str]]:
-    """Feature strings of each block: ancestors, own tag, and text shape."""
+    """Feature strings of each block: ancestors, own tag, text shape, its neighbours' shape, and how much of the page's
+    text outside of links stands beside it, in children of the same element."""
+    said = [len(b.text) - b.linked for b in blocks]
+    beside: dict[int, int] = {}
+    for b, n in zip(blocks, said):
+        beside[b.around] = beside.get(b.around, 0) + n
+    whole = max(1, sum(said))
+    size = [min(7, (b.text.count(" ") + 1).bit_length()) for b in blocks]
+    linked = [min(4, 5 * b.linked // max(len(b.text), 1)) for b in blocks]
     out = []
-    for b in blocks:
-        n, words = len(b.text), b.text.count(" ") + 1
-        share = min(4, 5 * b.linked // max(n, 1))
-        ends = b.text[-1]
-        f = ["any", f"tag={b.tag}", f"words={min(7, words.bit_length())}", f"linked={share}", f"stops={min(3, b.text.count('.') + b.text.count('!') + b.text.count('?'))}"]
-        if ends in ".!?\"'”»。！？…":
+    for k, b in enumerate(blocks):
+        share = min(4, 5 * beside[b.around] // whole)
+        f = ["any", f"tag={b.tag}", f"words={size[k]}", f"linked={linked[k]}", f"stops={min(3, b.text.count('.') + b.text.count('!') + b.text.count('?'))}", f"beside={share}", f"alone={min(4, 5 * said[k] // whole)}"]
+        for name, j in (("before", k - 1), ("after", k + 1)):
+            f.append(f"{name}={size[j] // 2},{linked[j] > 1}" if 0 <= j < len(blocks) else f"{name}=none")
+        if b.text[-1] in ".!?\"'”»。！？…":
             f.append("ends")
         if "©" in b.text or "opyright" in b.text:
-            f.append("rights")
+            f += ["rights", "short rights"] if size[k] < 5 else ["rights"]
         out.append(f + list(b.path))
     return out
 
@@ -254,9 +273,14 @@ def labelled_page(rng: np.random.Generator, sentences: list[str]) -> list[tuple[
     def text(k: int, label: int, tag: str = "p") -> list[tuple[str, int]]:
         return wrap(tag, [(said(k), label)])
 
+    def unheard() -> str:
+        """An element whose name tells nothing."""
+        word = "".join(pick("abcdefghiklmnoprstuvw") for _ in range(int(rng.integers(2, 8))))
+        return pick(["div", "section", "div", "td"]) + pick(["", f' class="{word}"', f' id="{word}"', f' class="{word} {pick(["wrap", "box", "txt", "page", "inner", "row", "col"])}"'])
+
     page: list[tuple[str, int]] = []
     if chance(0.8):
-        page += wrap(pick(["nav", 'div class="nav"', 'div id="menu"', 'ul class="menu"', 'div role="navigation"']), linked(words()))
+        page += wrap(pick(["nav", 'div class="nav"', 'div id="menu"', 'ul class="menu"', 'div role="navigation"', "div", unheard()]), linked(words()))
     if chance(0.5):
         page += wrap(pick(["header", 'div id="header"', 'div class="site-header"', 'div class="masthead"']), text(1, 0, pick(["h1", "p", "div"])) + (linked(words()) if chance(0.4) else []))
     if chance(0.4):
@@ -267,10 +291,13 @@ def labelled_page(rng: np.random.Generator, sentences: list[str]) -> list[tuple[
     if chance(0.3):
         page += side
     body: list[tuple[str, int]] = text(1, 1, pick(["h1", "h2", "h1 class=\"title\""])) if chance(0.8) else []
+    paragraph = pick(["p"] * 7 + ["div", "div", ""])  # without an element, lines are parted by breaks
     for _ in range(int(rng.integers(1, 9))):
         kind = rng.random()
-        if kind < 0.7:
-            body += text(int(rng.integers(1, 8)), 1)
+        if kind < 0.7 and not paragraph:
+            body += [(said(int(rng.integers(1, 8))), 1), (pick(["<br>", "<br><br>"]), -1)]
+        elif kind < 0.7:
+            body += text(int(rng.integers(1, 8)), 1, paragraph)
         elif kind < 0.8:
             body += [("<p><b>", -1), (said(1), 1), ("<br><p>", -1), (said(int(rng.integers(1, 6))), 1), ("</p>", -1)]
         elif kind < 0.88:
@@ -291,30 +318,44 @@ def labelled_page(rng: np.random.Generator, sentences: list[str]) -> list[tuple[
     inside = chance(0.3)
     if chance(0.35) and inside:
         body += comments
-    page += wrap(pick(["article", "article", "main", 'div class="content"', 'div id="main"', 'div class="post"', 'div class="article-body"', 'section class="story"', 'div id="content"']), body)
+    place = rng.random()
+    if place < 0.5:
+        body = wrap(pick(["article", "article", "main", 'div class="content"', 'div id="main"', 'div class="post"', 'div class="article-body"', 'section class="story"', 'div id="content"']), body)
+    elif place < 0.85:
+        body = wrap(unheard(), wrap(unheard(), body) if chance(0.3) else body)
+    if chance(0.1):
+        return body  # a page of nothing else
+    page += body
     if chance(0.35) and not inside:
         page += comments
     if chance(0.3):
         page += wrap(pick(["form", 'form class="search"', 'div class="form"']), [(pick(FURNITURE["form"]), 0)])
     if chance(0.3):
         page += side
-    if chance(0.9):
-        page += wrap(pick(["footer", 'div id="footer"', 'div class="site-footer"']), [(pick(FURNITURE["footer"]) + (" " + said(1) if chance(0.4) else ""), 0)])
+    if chance(0.6):
+        page += wrap(pick(["footer", 'div id="footer"', 'div class="site-footer"', 'div class="imprint"']), [(pick(FURNITURE["footer"]) + (" " + said(1) if chance(0.4) else ""), 0)])
+    elif chance(0.8):  # only its words tell an imprint
+        owner = f"{int(rng.integers(1995, 2026))} {pick(sentences).split()[0]}"
+        page += wrap(pick(["div", "p", "p", "address", "small"]), [(pick(FURNITURE["footer"][:1] + [f"© {owner}", f"Copyright {owner}", f"© {owner}. All rights reserved.", f"{owner} ©"]), 0)])
     return page
 
 
-def labelled_blocks(pieces: list[tuple[str, int]]) -> tuple[list[list[str]], list[int]]:
-    """Features and labels of a labelled page's blocks. Marks in the text carry the labels through the block splitter."""
+def labelled_blocks(pieces: list[tuple[str, int]], nameless: bool = False) -> tuple[list[list[str]], list[int]]:
+    """Features and labels of a labelled page's blocks, the names of classes and ids left out of a ``nameless`` one. Marks in
+    the text carry the labels through the block splitter."""
     page = "".join(f"{MARKS[label]}{text}" if label >= 0 else text for text, label in pieces)
     blocks = blocks_of(f"<html><body>{page}</body></html>")
     labels = []
     for b in blocks:
         labels.append(int(MARKS[1] in b.text))
         b.text = b.text.replace(MARKS[0], "").replace(MARKS[1], "") or "."
-    return features_of(blocks), labels
+    features = features_of(blocks)
+    if nameless:
+        features = [[f for f in fs if not f.startswith("named=")] for fs in features]
+    return features, labels
 
 
-def learn_field(pages: DataFrame, sample: int = 200, layouts: int = 600, page_chars: int = 20_000, block_sentences: int = 20, sentences_in_all: int = 5_000) -> Field:
+def learn_field(pages: DataFrame, sample: int = 200, layouts: int = 900, page_chars: int = 20_000, block_sentences: int = 20, sentences_in_all: int = 5_000) -> Field:
     """Train on ``layouts`` labelled pages of random layout, filled with sentences of at most ``sample`` pages.
 
     Which page lends sentences is decided by a hash of its id. A lending page gives its first ``page_chars`` characters, a
@@ -331,7 +372,7 @@ def learn_field(pages: DataFrame, sample: int = 200, layouts: int = 600, page_ch
             sentences += [s for s in re.split(r"(?<=[.!?]) ", b.text) if s][:block_sentences]
     rng = np.random.default_rng(11)
     sentences = sentences[:sentences_in_all] or ["A short line of text.", "Another one follows it, somewhat longer than the first!", "Menu"]
-    return train_field([labelled_blocks(labelled_page(rng, sentences)) for _ in range(layouts)])
+    return train_field([labelled_blocks(labelled_page(rng, sentences), nameless=rng.random() < 0.1) for _ in range(layouts)])
 
 
 def main_text(page: str | None, field: Field) -> str:
