@@ -335,8 +335,9 @@ def values_at_shifts(events: DataFrame, frames: DataFrame, by: str, shifts: list
     Any window is covered by two of a length of a power of two, so two look-ups by frame number find its minimum.
     """
     rows = events.select(by, "event", *[F.col(c).cast("long").alias(c) for c in ("k0", "first", "last")], F.explode(F.array(*map(F.lit, shifts))).alias("shift"))
-    low = window_minima(frames, by, longest, value).filter("low is not null")
     ends = frames.groupBy(by).agg(F.min("k").cast("long").alias("_a"), F.max("k").cast("long").alias("_z"))
+    every = ends.select(by, F.explode(F.sequence("_a", "_z")).alias("k")).join(frames.select(by, F.col("k").cast("long").alias("k"), value), [by, "k"], "left")
+    low = window_minima(every, by, longest, value).filter("low is not null")
     rows = rows.join(ends, by, "left").withColumn("_i", F.greatest(F.col("first") + F.col("shift"), F.col("_a"))).withColumn("_j", F.least(F.greatest("first", "last") + F.col("shift"), F.col("_z")))
     rows = rows.withColumn("level", F.when(F.col("_i") <= F.col("_j"), F.floor(F.log2((F.col("_j") - F.col("_i") + 1).cast("double") + 1e-9)).cast("int")))
     places = F.array(F.struct(F.lit(0).alias("level"), (F.col("k0") + F.col("shift")).alias("k"), F.lit(True).alias("point")), F.struct("level", F.col("_i").alias("k"), F.lit(False).alias("point")), F.struct("level", (F.col("_j") - F.expr("shiftleft(1L, level)") + 1).alias("k"), F.lit(False).alias("point")))
