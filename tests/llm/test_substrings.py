@@ -169,3 +169,29 @@ def test_anchors_of_pieces_are_those_of_the_whole(monkeypatch):
     for at_once in (1, 7, 64, 1000):
         monkeypatch.setattr(m, "ANCHORS_AT_ONCE", at_once)
         assert [x.tolist() for x in m.anchors(s, 50)] == whole
+
+
+def test_windows_whose_first_hashes_agree_by_chance():
+    """All windows suspected: those that are equal, and no others, agree in the second hash."""
+    import pyarrow as pa
+
+    from visemill.llm.windows import suspects, window_hashes
+
+    r = random.Random(8)
+    words = [r.choice("abcd") for _ in range(300)]
+    text = " ".join(words[:200] + words[50:120]).encode()
+    s = b.Slice(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), np.array([False]), pa.RecordBatch.from_pydict({"doc_id": [1]}))
+    _, first, h, second = window_hashes(s, 35)
+    every = np.arange(len(h))
+    assert suspects(np.zeros_like(h), None, 3).tolist() == every.tolist()
+    found = suspects(second(every), None, 3)
+    assert found.tolist() == suspects(h, None, 3).tolist() and len(found) == 2 * 36
+    assert not set(second(every).tolist()) & set(h.tolist())
+
+
+def test_columns_named_like_results_give_way(spark):
+    rows = [(1, "a b " * 40, 7, "x", 1), (2, "c d", 8, "y", 2), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, kept_text string, mine int")
+    got = remove_repeated_windows(docs)
+    assert sorted(got.columns) == ["doc_id", "kept_sha256", "kept_text", "mine", "n_removed", "n_words"]
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept_text, r.mine) for r in got.collect()} == {(1, 80, 80, "", 1), (2, 2, 0, "c d", 2), (None, 0, 0, "", None)}

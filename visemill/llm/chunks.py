@@ -110,15 +110,15 @@ def unpack_keys(data: bytes, part: int, bits: int) -> np.ndarray:
     return wide.view("<u8").ravel() | (np.repeat(np.arange(len(count), dtype=U64), count) << U64(48)) | (U64(part) << U64(64 - bits))
 
 
-def occurring_elsewhere(chunks: DataFrame, keys_of: Callable[[Slice], np.ndarray], bits: int) -> DataFrame:
-    """``chunks`` with a column ``shared``: for each part, the bits that tell which keys other chunks have too.
+def occurring_elsewhere(chunks: DataFrame, keys_of: Callable[[Slice, dict], np.ndarray], bits: int, name: str = "shared") -> DataFrame:
+    """``chunks`` with a column ``name``: for each part, the bits that tell which keys other chunks have too.
 
-    ``keys_of`` gives a chunk's distinct 64-bit keys, sorted; they must look uniform.
+    ``keys_of`` gives a chunk's distinct 64-bit keys, sorted, from its slice and further columns; they must look uniform.
     """
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, s, _ in each_chunk(batches):
-            keys = keys_of(s)
+        for chunk, s, row in each_chunk(batches):
+            keys = keys_of(s, row)
             parts, border = split_by_part(keys, bits)
             data = [pack_keys(keys[a:b], bits) for a, b in zip(border[:-1], border[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), chunk), pa.int64()), pa.array(parts, pa.int64()), pa.array(data, pa.binary())], ["chunk", "part", "data"])
@@ -139,7 +139,7 @@ def occurring_elsewhere(chunks: DataFrame, keys_of: Callable[[Slice], np.ndarray
 
     sent = chunks.mapInArrow(send, "chunk long, part long, data binary")
     told = sent.groupBy("part").applyInArrow(compare, "chunk long, shared struct<part: long, bits: binary>")
-    return chunks.join(told.groupBy("chunk").agg(F.collect_list("shared").alias("shared")), "chunk", "left")
+    return chunks.join(told.groupBy("chunk").agg(F.collect_list("shared").alias(name)), "chunk", "left")
 
 
 def shared_flags(keys: np.ndarray, shared: list[dict] | None, bits: int) -> np.ndarray:

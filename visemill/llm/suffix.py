@@ -322,7 +322,7 @@ def covered_spans(chunks: DataFrame, depth: int, bits: int, seed: int, hash_bits
     hashes of ``hash_bits`` bits (whole texts: twice as many)."""
     mask = U64((1 << hash_bits) - 1)
 
-    def keys_of(s: Slice) -> np.ndarray:
+    def keys_of(s: Slice, _: dict) -> np.ndarray:
         return np.unique(anchors(s, depth)[0])
 
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
