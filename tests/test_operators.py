@@ -474,13 +474,67 @@ def test_signals():
     mel = S.log_mel(r.normal(size=16000) * 0.1)
     assert mel.shape == (98, 80) and np.allclose(mel.mean(axis=0), 0, atol=1e-6) and np.allclose(mel.std(axis=0), 1, atol=1e-2)
     assert S.stacked(mel).shape == (24, 320)
-    assert S.window_features(wave, -0.05, 1.0).shape[1] == 320
+    noisy = r.normal(size=16000) * 0.1
+    whole = S.log_mel(noisy, normalised=False)
+    for start, frames in ((0, 5), (3, 10), (20, 4)):
+        own = whole[4 * start : 4 * (start + frames)]
+        want = S.stacked((own - own.mean(axis=0)) / np.sqrt(own.var(axis=0) + 1e-5))
+        assert np.allclose(S.window_features(noisy, start, frames), want, atol=1e-6)
+    assert S.window_features(noisy, -3, 6).shape == S.window_features(noisy, 23, 6).shape == S.window_features(np.zeros(0), 0, 6).shape == (6, 320)
+
+
+def test_mel_values_by_the_direct_transform():
+    """One frame by definition: sums of cosines and sines, and triangles over mel frequencies."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=400) * 0.2
+    frame = x * 32768.0 - (x * 32768.0).mean()
+    frame = np.array([frame[k] - 0.97 * frame[max(k - 1, 0)] for k in range(400)])
+    frame *= np.array([(0.5 - 0.5 * math.cos(2 * math.pi * k / 399)) ** 0.85 for k in range(400)])
+    power = [sum(v * math.cos(2 * math.pi * f * k / 512) for k, v in enumerate(frame)) ** 2 + sum(v * math.sin(2 * math.pi * f * k / 512) for k, v in enumerate(frame)) ** 2 for f in range(257)]
+    mel = lambda f: 1127 * math.log(1 + f / 700)
+    points = [mel(20) + (mel(8000) - mel(20)) * k / 81 for k in range(82)]
+    want = []
+    for a, b, c in zip(points, points[1:], points[2:]):
+        weight = [max(0.0, min((mel(f * 16000 / 512) - a) / (b - a), (c - mel(f * 16000 / 512)) / (c - b))) for f in range(257)]
+        want.append(math.log(max(sum(w * p for w, p in zip(weight, power)), np.finfo(np.float32).eps)))
+    assert np.allclose(S.log_mel(x, normalised=False)[0], want, atol=1e-6)
+
+
+def test_scorer_is_loaded_once_a_worker_and_fills_its_batches(spark):
+    def load():
+        import os
+        import uuid
+
+        loaded = f"{os.getpid()} {uuid.uuid4().hex}"
+        return lambda part: pd.DataFrame({"size": [len(part)] * len(part), "loaded": loaded, "twice": part["id"] * 2})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = X.score_batches(spark.range(0, 1000, 1, 20), load, "size int, loaded string, twice long", ["id"], batch=16).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r.id for r in rows) == list(range(1000)) and all(r.twice == 2 * r.id for r in rows)
+    assert {r.size for r in rows} == {16, 50 % 16}
+    processes = {r.loaded.split()[0] for r in rows}
+    assert len({r.loaded for r in rows}) == len(processes) < 20
+
+
+def test_regions_of_videos(spark):
+    rows = [("a", 100.0, 50.0, 300.0, 250.0), ("a", 110.0, 60.0, 330.0, 260.0), ("a", 5.0, 5.0, 5.0, 9.0), ("b", 9.0, 9.0, 8.0, 8.0)]
+    got = {r.v: tuple(r)[1:] for r in S.decode_regions(spark.createDataFrame(rows, "v string, x0 double, y0 double, x1 double, y1 double"), "v", F.lit(1920), F.lit(1080), side=105.0).collect()}
+    assert got["a"] == (72, 24, 358, 286, 144, 132)  # 230 x 210 and 12 %, a median face of 210 halved
+    assert got["b"] == (0, 0, 1920, 1080, 480, 270)
 
 
 def test_lips_do_not_change_when_the_head_turns():
     p = np.random.default_rng(0).random((478, 2)) * 10
     p[33], p[263] = (100, 100), (200, 100)
     p[61], p[291], p[13], p[14] = (120, 200), (180, 200), (150, 194), (150, 206)
+    lips = S.lip_skeleton(p)
+    assert lips.shape == (40, 2) and np.allclose(lips.mean(axis=0), 0) and np.allclose(lips[0], (p[61] - p[list(S.OUTER + S.INNER)].mean(axis=0)) / 100)
+    turn = np.array([[math.cos(1.1), math.sin(1.1)], [-math.sin(1.1), math.cos(1.1)]])
+    assert np.allclose(S.lip_skeleton(p @ turn * 0.3 - 7), lips)
     g = S.lip_geometry(p)
     assert g[0] == pytest.approx(0.6) and g[1] == pytest.approx(0.12)
     c, s = math.cos(0.4), math.sin(0.4)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import numpy as np
@@ -413,16 +414,38 @@ def align_ids(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays(columns, ["ref", "hyp"]))
 
 
-def score_batches(rows: DataFrame, load, output: str, keep: list[str], batch: int = 256) -> DataFrame:
-    """Apply a user's scorer: ``load()`` runs once in each task and gives a function from a frame of at most ``batch``
-    rows to a frame of the columns of ``output``; ``keep`` columns are put before them."""
+#: Scorers that this worker has loaded, by the number of the job they belong to.
+_LOADED: dict[str, Callable[[pd.DataFrame], pd.DataFrame]] = {}
+
+
+def score_batches(rows: DataFrame, load: Callable, output: str, keep: list[str], batch: int = 256) -> DataFrame:
+    """Apply a user's scorer: ``load()`` runs once in each Python worker, which keeps what it gives for all tasks of this
+    job: a function from a frame of ``batch`` rows to a frame of the columns of ``output``. ``keep`` columns are put before them.
+
+    Frames are filled across the batches in which rows arrive; only a task's last one may be smaller.
+    """
+    job = uuid.uuid4().hex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = load()
+        from visemill.operators.metrics import _LOADED
+
+        if job not in _LOADED:
+            _LOADED[job] = load()
+        scorer = _LOADED[job]
+
+        def scored(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.concat([part[keep].reset_index(drop=True), scorer(part).reset_index(drop=True)], axis=1)
+
+        held: list[pd.DataFrame] = []
         for frame in frames:
-            for first in range(0, len(frame), batch):
-                part = frame.iloc[first : first + batch]
-                yield pd.concat([part[keep].reset_index(drop=True), scorer(part).reset_index(drop=True)], axis=1)
+            while sum(map(len, held)) + len(frame) >= batch:
+                taken = batch - sum(map(len, held))
+                yield scored(pd.concat([*held, frame.iloc[:taken]], ignore_index=True))
+                held, frame = [], frame.iloc[taken:]
+            if len(frame):
+                held.append(frame)
+        if held:
+            yield scored(pd.concat(held, ignore_index=True))
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInPandas(run, f"{kinds}, {output}")

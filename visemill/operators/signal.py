@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,62 +30,80 @@ def as_wave(samples) -> np.ndarray:
 
 
 def frame_energy_db(wave: np.ndarray, rate: int = RATE, window: float = 0.025, hop: float = 0.010) -> np.ndarray:
-    """Mean-square level of each frame in dB, from prefix sums; a signal under one window is padded with silence."""
+    """Mean-square level of each frame in dB; a signal under one window counts as followed by silence.
+
+    Squares are summed once for each stretch that windows and hops have in common, windows are sums of such stretches.
+    """
     win, step = max(1, round(window * rate)), max(1, round(hop * rate))
-    if len(wave) < win:
-        wave = np.pad(wave, (0, win - len(wave)))
-    total = np.concatenate([[0.0], np.cumsum(wave**2)])
-    at = np.arange(0, len(wave) - win + 1, step)
-    return 10 * np.log10(np.maximum(total[at + win] - total[at], 0) / win + 1e-10)
+    unit = math.gcd(win, step)
+    squares = np.zeros(max(len(wave), win) // unit * unit)
+    squares[: len(wave)] = np.square(wave[: len(squares)])
+    cells = squares.reshape(-1, unit).sum(axis=1)
+    sums = np.lib.stride_tricks.sliding_window_view(cells, win // unit)[:: step // unit].sum(axis=1)
+    return 10 * np.log10(sums / win + 1e-10)
 
 
 def snr_estimate(wave: np.ndarray, rate: int = RATE) -> float:
-    """Level above the 70th percentile of frames over the 10th percentile, within -10 to 40 dB; -10 for no signal."""
-    if not len(wave):
+    """How far the mean of the frames louder than 70 % of them lies over the level that 10 % don't reach, within -10 to 40
+    dB; -10 for no signal."""
+    levels = np.sort(frame_energy_db(wave, rate)) if len(wave) else np.zeros(0)
+    if not levels.size:
         return -10.0
-    db = frame_energy_db(wave, rate)
-    loud = db[db > np.percentile(db, 70)]
-    return float(np.clip((loud.mean() if len(loud) else db.max()) - np.percentile(db, 10), -10, 40))
+    quiet, edge = np.quantile(levels, (0.1, 0.7))
+    speech = levels[np.searchsorted(levels, edge, side="right") :]
+    return float(min(40.0, max(-10.0, (speech.mean() if speech.size else edge) - quiet)))
 
 
 def rms(x: np.ndarray) -> float:
     return float(np.sqrt(np.mean(x**2))) if len(x) else 0.0
 
 
-def fitted(x: np.ndarray, n: int, offset: int = 0) -> np.ndarray:
-    """``n`` samples of ``x`` repeated, from ``offset`` on."""
+def unit_level(x: np.ndarray) -> np.ndarray:
+    """``x`` scaled to a level of one; what is all but silent stays as it is, times 1e8."""
+    return x / max(rms(x), 1e-8)
+
+
+def looped(x: np.ndarray, n: int, offset: int = 0) -> np.ndarray:
+    """``n`` samples of ``x`` played over and over, from ``offset`` on."""
     return np.take(x, np.arange(offset, offset + n), mode="wrap")
 
 
 def mix_at_snr(wave: np.ndarray, noise: np.ndarray, snr_db: float) -> np.ndarray:
-    """Wave plus noise, scaled to ``snr_db`` over the whole utterance."""
-    if not len(wave):
-        return wave
-    level = rms(noise)
-    if level < 1e-12:
+    """Wave plus looped noise whose level lies ``snr_db`` under that of the whole wave."""
+    if len(wave) and rms(noise) < 1e-12:
         raise ValueError("silent noise")
-    return wave + fitted(noise, len(wave)) * max(rms(wave), 1e-8) / (level * 10 ** (snr_db / 20))
+    gain = max(rms(wave), 1e-8) * 10 ** (-snr_db / 20)
+    return wave + gain / rms(noise) * looped(noise, len(wave)) if len(wave) else wave
+
+
+def white_noise(n: int, rng: np.random.Generator, clips: list) -> np.ndarray:
+    return rng.standard_normal(n)
+
+
+def pink_noise(n: int, rng: np.random.Generator, clips: list) -> np.ndarray:
+    """Power falling as 1 / f."""
+    half = 1 << max(1, (n - 1).bit_length() - 1)
+    parts = rng.standard_normal((2, half + 1))
+    parts[:, 0] = 0
+    return np.fft.irfft((parts[0] + 1j * parts[1]) / np.sqrt(np.arange(half + 1).clip(1)))[:n]
+
+
+def babble_noise(n: int, rng: np.random.Generator, clips: list) -> np.ndarray:
+    """Clips that have sound, of equal level, each looped from a place of its own."""
+    voices = [looped(unit_level(c), n, int(rng.integers(len(c)))) for c in clips if rms(c) > 1e-8]
+    if not voices:
+        raise ValueError("babble needs clips with sound")
+    return np.sum(voices, axis=0)
+
+
+NOISES = {"white": white_noise, "pink": pink_noise, "babble": babble_noise}
 
 
 def make_noise(kind: str, n: int, rng: np.random.Generator, clips: list[np.ndarray] | None = None) -> np.ndarray:
-    """Noise of unit level: white, pink (power falling as 1 / f) or babble (a sum of clips of equal level)."""
-    if kind == "white":
-        x = rng.standard_normal(n)
-    elif kind == "pink":
-        size = 1 << max(2, (n - 1).bit_length())
-        spectrum = np.fft.rfft(rng.standard_normal(size)) / np.sqrt(np.maximum(np.arange(size // 2 + 1), 1))
-        spectrum[0] = 0
-        x = np.fft.irfft(spectrum, size)[:n]
-    elif kind == "babble":
-        x = np.zeros(n)
-        for clip in clips or []:
-            if len(clip) and rms(clip) > 1e-8:
-                x += fitted(clip, n, int(rng.integers(len(clip)))) / rms(clip)
-        if rms(x) < 1e-8:
-            raise ValueError("babble needs clips with sound")
-    else:
+    """Noise of unit level, by one of the makers of ``NOISES``."""
+    if kind not in NOISES:
         raise ValueError(f"unknown noise {kind!r}")
-    return x / max(rms(x), 1e-8)
+    return unit_level(NOISES[kind](n, rng, clips or []))
 
 
 def mix_leakage(streams: list[np.ndarray], level_db: float) -> list[np.ndarray]:
@@ -123,19 +143,25 @@ def log_mel(wave: np.ndarray, rate: int = RATE, bins: int = 80, normalised: bool
 def stacked(frames: np.ndarray, by: int = 4) -> np.ndarray:
     """Every ``by`` successive frames side by side, the rest dropped."""
     n = len(frames) // by
-    return frames[: n * by].reshape(n, -1)
+    return frames[: n * by].reshape(n, by * frames.shape[1])
 
 
-def window_features(wave: np.ndarray, start_s: float, length_s: float, rate: int = RATE, context_s: float = 0.1) -> np.ndarray:
-    """Stacked features of a window of sound with context on both sides, silence outside the clip."""
-    a, n = round((start_s - context_s) * rate), round((length_s + 2 * context_s) * rate)
-    at = np.arange(a, a + n)
-    inside = (at >= 0) & (at < len(wave))
-    part = np.zeros(n)
-    part[inside] = wave[at[inside]]
-    skip = round(context_s / 0.010)
-    mel = log_mel(part, rate)
-    return stacked(mel[skip : len(mel) - skip + 2])
+def window_features(wave: np.ndarray, start_frame: int, frames: int, rate: int = RATE, context_s: float = 0.1, by: int = 4, bins: int = 80) -> np.ndarray:
+    """Stacked features of ``frames`` frames of ``by`` hops from ``start_frame`` (it may be negative), shape (frames, by * bins).
+
+    The mel frames are those of the whole wave, of which a context on both sides is looked at where the wave has it;
+    beyond the wave there is silence. Each bin is brought to mean 0 and deviation 1 over the window itself.
+    """
+    win, step = round(0.025 * rate), round(0.010 * rate)
+    context = round(context_s * rate / step) * step
+    first, size = start_frame * by * step, (frames * by - 1) * step + win
+    low = first if first < 0 else max(first - context, 0)
+    high = max(min(first + size + context, len(wave)), first + size)
+    part = np.zeros(high - low)
+    inside = wave[max(low, 0) : max(high, 0)]
+    part[max(-low, 0) : max(-low, 0) + len(inside)] = inside
+    mel = log_mel(part, rate, bins, normalised=False)[(first - low) // step :][: frames * by]
+    return stacked((mel - mel.mean(axis=0)) / np.sqrt(mel.var(axis=0) + 1e-5), by)
 
 
 def lip_geometry(points: np.ndarray) -> np.ndarray:
@@ -152,6 +178,16 @@ def lip_geometry(points: np.ndarray) -> np.ndarray:
     return np.array([p[291, 0] - p[61, 0], p[14, 1] - p[13, 1], p[17, 1] - p[0, 1], area])
 
 
+def lip_skeleton(points: np.ndarray) -> np.ndarray:
+    """The 40 lip points of one face (outer, then inner) around their mean, turned so that the eyes lie level, in units of
+    the distance between the eyes (1e-3 at least)."""
+    eyes = complex(*(points[EYES[1]] - points[EYES[0]]))
+    lips = points[list(OUTER + INNER)] @ np.array([1, 1j])
+    # a division by the eyes' axis turns back and scales at once
+    turned = (lips - lips.mean()) / (eyes if abs(eyes) >= 1e-3 else 1e-3 * (eyes / abs(eyes) if eyes else 1))
+    return np.stack([turned.real, turned.imag], axis=1)
+
+
 def mouth_box(points: np.ndarray, scale: float = 2.5) -> np.ndarray:
     """Square (x0, y0, x1, y1) around the mouth, ``scale`` times its width."""
     lips = points[list(OUTER)]
@@ -164,6 +200,31 @@ def map_boxes(boxes: Column, x0: Column, y0: Column, sx: Column, sy: Column) ->
     return F.transform(boxes, lambda b: F.array((b[0] - x0) * sx, (b[1] - y0) * sy, (b[2] - x0) * sx, (b[3] - y0) * sy))
 
 
+def decode_regions(boxes: DataFrame, by: str, width: Column, height: Column, side: float = 360.0, margin: float = 0.12) -> DataFrame:
+    """(by, x0, y0, x1, y1, w, h): the part of each video's picture to be decoded, and the size it is scaled to.
+
+    The region is the union of the video's face boxes ``boxes(by, x0, y0, x1, y1)`` with a ``margin``, within the picture, at even
+    places; it is scaled so that the median face has about ``side`` pixels (a quarter at least, never up), to even
+    sizes of 64 at least. Boxes without an area don't count; without any, the picture is the face.
+    """
+    good = boxes.withColumns({"_w": width.cast("double"), "_h": height.cast("double")}).withColumn("_good", (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    of = lambda c: F.when(F.col("_good"), F.col(c))
+    faces = good.groupBy(by).agg(
+        F.max("_w").alias("_w"), F.max("_h").alias("_h"), F.min(of("x0")).alias("a"), F.min(of("y0")).alias("b"), F.max(of("x1")).alias("c"), F.max(of("y1")).alias("d"),
+        F.median(F.when(F.col("_good"), F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).alias("face"),
+    )
+    faces = faces.select(by, "_w", "_h", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"), F.coalesce("c", "_w").alias("c"), F.coalesce("d", "_h").alias("d"), F.coalesce("face", F.greatest("_w", "_h")).alias("face"))
+    even = lambda c: (F.floor(c / 2) * 2).cast("int")
+    across, down = margin * (F.col("c") - F.col("a")), margin * (F.col("d") - F.col("b"))
+    region = faces.select(
+        by, "face", even(F.floor(F.greatest(F.col("a") - across, F.lit(0.0)))).alias("x0"), even(F.floor(F.greatest(F.col("b") - down, F.lit(0.0)))).alias("y0"),
+        even(F.least(F.ceil(F.col("c") + across).cast("double"), F.col("_w"))).alias("x1"), even(F.least(F.ceil(F.col("d") + down).cast("double"), F.col("_h"))).alias("y1"),
+    )
+    scale = F.least(F.greatest(side / F.greatest("face", F.lit(1.0)), F.lit(0.25)), F.lit(1.0))
+    sized = lambda a, z: F.greatest(F.bround((F.col(z) - F.col(a)) * scale / 2) * 2, F.lit(64)).cast("int")
+    return region.select(by, "x0", "y0", "x1", "y1", sized("x0", "x1").alias("w"), sized("y0", "y1").alias("h"))
+
+
 # ---------------------------------------------------------------- draws
 def drawn(low: Column | int, high: Column | int, *key) -> Column:
     """A whole number from ``low`` to ``high``, reproducible from the key; null where there is none."""
@@ -241,7 +302,7 @@ def mixed_snr_column(kind: str, snr_db: float, seed: int, clips: list = ()):
     return measure
 
 
-@F.pandas_udf(T.ArrayType(FLOATS))
+@F.pandas_udf(T.ArrayType(DOUBLES))
 def leakage_column(streams: pd.Series, level_db: pd.Series) -> pd.Series:
     """Streams of a scene (arrays of samples), each with the sum of the others ``level_db`` below it; a shorter stream is
     silent after its end."""
@@ -249,7 +310,7 @@ def leakage_column(streams: pd.Series, level_db: pd.Series) -> pd.Series:
     def one(parts, level):
         waves = [as_wave(p) for p in parts]
         n = max(map(len, waves), default=0)
-        return [w.astype(np.float32) for w in mix_leakage([np.pad(w, (0, n - len(w))) for w in waves], float(level))]
+        return list(mix_leakage([np.pad(w, (0, n - len(w))) for w in waves], float(level)))
 
     return pd.Series([one(p, v) for p, v in zip(streams, level_db)])
 
@@ -260,6 +321,22 @@ def mel_column(wave: pd.Series) -> pd.Series:
     return wave.map(lambda w: None if w is None else stacked(log_mel(as_wave(w))).ravel().astype(np.float32))
 
 
+def window_column(frames: int):
+    """Column function (wave, start): ``window_features`` of ``frames`` frames from frame ``start``, flattened."""
+
+    @F.pandas_udf(FLOATS)
+    def features(wave: pd.Series, start: pd.Series) -> pd.Series:
+        return pd.Series([None if w is None or s is None or np.isnan(s) else window_features(as_wave(w), int(s), frames).ravel().astype(np.float32) for w, s in zip(wave, start)])
+
+    return features
+
+
+@F.pandas_udf(DOUBLES)
+def skeleton_column(points: pd.Series) -> pd.Series:
+    """The lip skeleton of flattened landmarks, x and y of each of 40 points; null without a face."""
+    return points.map(lambda p: None if p is None else lip_skeleton(np.asarray(p, dtype=np.float64).reshape(-1, 2)).ravel())
+
+
 @F.pandas_udf(DOUBLES)
 def lip_column(points: pd.Series) -> pd.Series:
     """Geometry of the lips of flattened landmarks; null without a face."""

@@ -26,49 +26,70 @@ from .registry import query
 
 def waves(spark, sf_dir) -> DataFrame:
     """The UTF-8 bytes of each text as 8-bit samples of a sound."""
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.encode("text", "UTF-8").alias("wave"), F.octet_length("text").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("wave"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
 
 
 # frames of 400 samples every 160, from running sums of squares
-LEVEL_SQL = """b AS (SELECT doc_id, source, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents), x AS (SELECT doc_id, source, generate_subscripts(l, 1) AS i, (('0x' || unnest(l))::INT - 128) / 128e0 AS x FROM b WHERE len(l) > 0),
+LEVEL_SQL = """b AS (SELECT doc_id, source, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents), x AS (SELECT doc_id, source, generate_subscripts(l, 1) AS i, (('0x' || unnest(l))::INT - 128) / 128e0 AS x FROM b WHERE len(l) > 0),
  s AS (SELECT doc_id, source, i, sum(x * x) OVER (PARTITION BY doc_id ORDER BY i) AS s, count(*) OVER (PARTITION BY doc_id) AS n FROM x),
- f AS (SELECT doc_id, source, len(l) AS n, unnest(range(0, (greatest(len(l), 400) - 400) // 160 + 1)) AS k FROM b WHERE len(l) > 0),
- db AS (SELECT f.doc_id, f.source, k, 10 * log10(greatest(z.s - coalesce(a.s, 0), 0) / 400 + 1e-10) AS db FROM f JOIN s z ON z.doc_id = f.doc_id AND z.i = least(k * 160 + 400, f.n) LEFT JOIN s a ON a.doc_id = f.doc_id AND a.i = k * 160)"""
+ f AS (SELECT doc_id, source, len(l) AS n, unnest(range(0, (greatest(len(l), 400) - 400) // 160 + 1)) AS k FROM b),
+ db AS (SELECT f.doc_id, f.source, f.n, k, 10 * log10(greatest(coalesce(z.s, 0) - coalesce(a.s, 0), 0) / 400 + 1e-10) AS db FROM f LEFT JOIN s z ON z.doc_id = f.doc_id AND z.i = least(k * 160 + 400, f.n) LEFT JOIN s a ON a.doc_id = f.doc_id AND a.i = k * 160)"""
 
 
 @query("v1_frame_energy", f"WITH {LEVEL_SQL} SELECT source, count(*)::BIGINT AS n_frames, round(avg(db), 4) AS mean_db FROM db GROUP BY 1")
 def energy(spark, sf_dir):
-    rows = waves(spark, sf_dir).filter("n > 0").withColumn("db", S.energy_column("wave")).select("source", F.size("db").alias("n"), F.aggregate("db", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    rows = waves(spark, sf_dir).withColumn("db", S.energy_column("wave")).select("source", F.size("db").alias("n"), F.aggregate("db", F.lit(0.0), lambda a, x: a + x).alias("total"))
     return rows.groupBy("source").agg(F.sum("n").alias("n_frames"), F.round(F.sum("total") / F.sum("n"), 4).alias("mean_db"))
 
 
-@query("v2_snr_estimate", f"""WITH {LEVEL_SQL}, p AS (SELECT doc_id, source, quantile_cont(db, 0.1) AS p10, quantile_cont(db, 0.7) AS p70, max(db) AS top FROM db GROUP BY 1, 2),
- e AS (SELECT p.doc_id, p.source, least(greatest(coalesce(avg(d.db) FILTER (d.db > p70), max(top)) - max(p10), -10), 40) AS snr FROM p JOIN db d ON d.doc_id = p.doc_id GROUP BY 1, 2)
+@query("v2_snr_estimate", f"""WITH {LEVEL_SQL}, p AS (SELECT doc_id, source, quantile_cont(db, 0.1) AS p10, quantile_cont(db, 0.7) AS p70, max(db) AS top, max(n) AS n FROM db GROUP BY 1, 2),
+ e AS (SELECT p.doc_id, p.source, CASE WHEN max(p.n) = 0 THEN -10 ELSE least(greatest(coalesce(avg(d.db) FILTER (d.db > p70), max(top)) - max(p10), -10), 40) END AS snr FROM p JOIN db d ON d.doc_id = p.doc_id GROUP BY 1, 2)
  SELECT source, count(*) AS n, round(avg(snr), 4) AS snr, round(max(snr), 4) AS highest FROM e GROUP BY 1""")
 def snr(spark, sf_dir):
-    rows = waves(spark, sf_dir).filter("n > 0").select("source", S.snr_column("wave").alias("snr"))
+    rows = waves(spark, sf_dir).select("source", S.snr_column("wave").alias("snr"))
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("snr"), 4).alias("snr"), F.round(F.max("snr"), 4).alias("highest"))
 
 
-@query("v3_noise_mixing", "SELECT source, unnest(['white', 'pink', 'babble']) AS kind, count(*) AS n, 5e0 AS snr FROM documents WHERE text <> '' GROUP BY source")
+@query("v3_noise_mixing", "SELECT source, unnest(['white', 'pink', 'babble']) AS kind, count(*) AS n, CASE WHEN bool_or(text <> '') THEN 5e0 END AS snr FROM documents GROUP BY source")
 def mixing(spark, sf_dir):
-    """Level of each whole sound over the noise that was put on it, as measured afterwards: what was asked for."""
-    rows = waves(spark, sf_dir).filter("n > 0").select("doc_id", "source", "wave")
+    """Level of each whole sound over the noise that was put on it, as measured afterwards: what was asked for. Empty sounds
+    have none. A check of the mixing alone: the samples of noise are drawn."""
+    rows = waves(spark, sf_dir).select("doc_id", "source", "wave")
     clips = P.noise_pool(rows.select(F.col("doc_id").alias("id"), "wave"), 7, 8)
-    out = None
-    for kind in ("white", "pink", "babble"):
-        measured = rows.select("source", S.mixed_snr_column(kind, 5.0, 1, clips)("doc_id", "wave").alias("snr"))
-        part = measured.groupBy("source").agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.round(F.avg("snr"), 2).alias("snr"))
-        out = part if out is None else out.union(part)
-    return out
+    levels = [F.struct(F.lit(kind).alias("kind"), S.mixed_snr_column(kind, 5.0, 1, clips)("doc_id", "wave").alias("snr")) for kind in ("white", "pink", "babble")]
+    measured = rows.select("source", F.inline(F.array(*levels)))
+    return measured.groupBy("source", "kind").agg(F.count("*").alias("n"), F.round(F.avg("snr"), 2).alias("snr"))
 
 
-@query("v4_log_mel", "SELECT source, count(*) AS n, sum((1 + (octet_length(encode(text)) - 400) // 160) // 4)::BIGINT AS stacked_frames FROM documents WHERE octet_length(encode(text)) >= 1120 GROUP BY 1")
+@query("v3_leakage", """WITH b AS (SELECT conv_id, turn, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM conversations), len AS (SELECT conv_id, max(len(l)) AS n FROM b GROUP BY 1), p AS (SELECT b.conv_id, turn, l, unnest(range(1, n + 1)) AS i FROM b JOIN len USING (conv_id)),
+ x AS (SELECT conv_id, turn, i, CASE WHEN i <= len(l) THEN (('0x' || l[i])::INT - 128) / 128e0 ELSE 0 END AS x FROM p), r AS (SELECT *, sum(x) OVER (PARTITION BY conv_id, i) - x AS rest FROM x),
+ g AS (SELECT conv_id, turn, sqrt(avg(x * x)) AS own, sqrt(avg(rest * rest)) AS others FROM r GROUP BY 1, 2), m AS (SELECT r.conv_id, r.turn, i, CASE WHEN others < 1e-12 THEN x ELSE x + rest * greatest(own, 1e-8) / (others * power(10, 6 / 20e0)) END AS y FROM r JOIN g ON g.conv_id = r.conv_id AND g.turn = r.turn)
+ SELECT conv_id, count(DISTINCT turn) AS n_streams, count(*) AS n_samples, round(sum(y), 4) AS total, round(sum(y * y), 4) AS energy, round(sum(y * (i % 7)), 4) AS weighted FROM m GROUP BY 1""")
+def leakage(spark, sf_dir):
+    """The turns of a conversation as the streams of a scene, each with the others 6 dB below it; every sample is compared."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("wave")))).alias("t"))
+    mixed = turns.select("conv_id", S.leakage_column(F.transform("t", lambda x: x["wave"]), F.lit(6.0)).alias("streams"))
+    samples = mixed.select("conv_id", F.size("streams").cast("long").alias("n_streams"), F.explode("streams").alias("y")).select("conv_id", "n_streams", F.posexplode("y").alias("i", "y"))
+    total = lambda c: F.round(F.sum(c), 4)
+    return samples.groupBy("conv_id", "n_streams").agg(F.count("*").alias("n_samples"), total(F.col("y")).alias("total"), total(F.col("y") * F.col("y")).alias("energy"), total(F.col("y") * ((F.col("i") + 1) % 7)).alias("weighted"))
+
+
+@query("v4_log_mel", "SELECT source, count(*) AS n, sum(CASE WHEN octet_length(encode(text)) >= 400 THEN (1 + (octet_length(encode(text)) - 400) // 160) // 4 ELSE 0 END)::BIGINT AS stacked_frames FROM documents GROUP BY 1")
 def mel(spark, sf_dir):
-    rows = waves(spark, sf_dir).filter("n >= 1120").select("source", F.size(S.mel_column("wave")).alias("n"))
+    rows = waves(spark, sf_dir).select("source", F.size(S.mel_column("wave")).alias("n"))
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("n") / 320).cast("long").alias("stacked_frames"))
 
 
+@query("v4_window_features")
+def window_features(spark, sf_dir):
+    """Ten frames of each sound from a drawn place on, which may lie before its start or after its end; the sum over a
+    window is zero but for what silence leaves, so squares and weighted sums are shown."""
+    rows = waves(spark, sf_dir).select("doc_id", "wave", (S.drawn(-4, F.floor(F.col("n") / 640) + 4, F.lit(5), F.col("doc_id"))).cast("int").alias("start"))
+    out = rows.select("doc_id", "start", S.window_column(10)("wave", "start").alias("f"))
+    fold = lambda step: F.round(F.aggregate("f", F.lit(0.0), step), 2)
+    return out.select("doc_id", "start", F.size("f").alias("n"), fold(lambda a, x: a + x * x).alias("squares"))
+
+
 LIP_SQL = """p AS (SELECT vec_id, label, embedding AS v, v[(2 * 33) % 64 + 1]::DOUBLE AS lx, v[(2 * 33 + 1) % 64 + 1]::DOUBLE AS ly, v[(2 * 263) % 64 + 1]::DOUBLE AS rx, v[(2 * 263 + 1) % 64 + 1]::DOUBLE AS ry FROM embeddings),
  s AS (SELECT *, greatest(sqrt((rx - lx) * (rx - lx) + (ry - ly) * (ry - ly)), 1e-6) AS scale FROM p),
  k AS (SELECT vec_id, i, n, v[(2 * i) % 64 + 1]::DOUBLE - lx AS dx, v[(2 * i + 1) % 64 + 1]::DOUBLE - ly AS dy, rx - lx AS ax, ry - ly AS ay, scale FROM s, (SELECT unnest([78, 95, 88, 178, 87, 14, 317, 402, 318, 324, 308, 415, 310, 311, 312, 13, 82, 81, 80, 191, 291, 61, 17, 0]) AS i, unnest(range(1, 25)) AS n) q),
@@ -84,6 +105,27 @@ def lips(spark, sf_dir):
     return rows.groupBy("label").agg(F.count("*").alias("n"), *[F.round(F.avg(F.col("g")[k]), 4).alias(c) for k, c in enumerate(("width", "inner_height", "outer_height", "inner_area"))])
 
 
+_POINTS = ", ".join(map(str, S.OUTER + S.INNER))
+
+
+@query("v5_lip_skeleton", f"""WITH p AS (SELECT vec_id, label, embedding AS v, v[(2 * 33) % 64 + 1]::DOUBLE AS lx, v[(2 * 33 + 1) % 64 + 1]::DOUBLE AS ly, v[(2 * 263) % 64 + 1]::DOUBLE AS rx, v[(2 * 263 + 1) % 64 + 1]::DOUBLE AS ry FROM embeddings), s AS (SELECT *, rx - lx AS ax, ry - ly AS ay FROM p),
+ k AS (SELECT vec_id, label, n, v[(2 * i) % 64 + 1]::DOUBLE AS x, v[(2 * i + 1) % 64 + 1]::DOUBLE AS y, ax, ay, ax * ax + ay * ay AS q FROM s, (SELECT unnest([{_POINTS}]) AS i, unnest(range(0, 40)) AS n) c), c AS (SELECT *, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy FROM k WINDOW w AS (PARTITION BY vec_id))
+ SELECT label, n::INT AS point, count(*) AS n, round(avg((dx * ax + dy * ay) / q), 5) + 0e0 AS x, round(avg((dy * ax - dx * ay) / q), 5) + 0e0 AS y FROM c GROUP BY 1, 2""")
+def skeleton(spark, sf_dir):
+    points = F.slice(F.flatten(F.array_repeat("embedding", 15)), 1, 956)
+    rows = table(spark, sf_dir, "embeddings").select("label", S.skeleton_column(points).alias("s"))
+    pairs = rows.select("label", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.struct(F.get(F.col("s"), 2 * k).alias("x"), F.get(F.col("s"), 2 * k + 1).alias("y")))).alias("point", "p"))
+    return pairs.groupBy("label", "point").agg(F.count("*").alias("n"), (F.round(F.avg("p.x"), 5) + 0.0).alias("x"), (F.round(F.avg("p.y"), 5) + 0.0).alias("y"))
+
+
+@query("v5_decode_regions", """WITH b AS (SELECT user_id, value * 9 AS x0, (event_id % 200)::DOUBLE AS y0, value * 9 + event_id % 400 - 20 AS x1, event_id % 200 + value * 4 - 10 AS y1 FROM events), g AS (SELECT user_id, bool_or(x1 > x0 AND y1 > y0) AS any_, min(x0) FILTER (x1 > x0 AND y1 > y0) AS a, min(y0) FILTER (x1 > x0 AND y1 > y0) AS b, max(x1) FILTER (x1 > x0 AND y1 > y0) AS c, max(y1) FILTER (x1 > x0 AND y1 > y0) AS d, quantile_cont(greatest(x1 - x0, y1 - y0), 0.5) FILTER (x1 > x0 AND y1 > y0) AS face FROM b GROUP BY 1),
+ f AS (SELECT user_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 1280) AS c, coalesce(d, 720) AS d, coalesce(face, 1280) AS face FROM g), r AS (SELECT user_id, face, floor(floor(greatest(a - 0.12e0 * (c - a), 0)) / 2) * 2 AS x0, floor(floor(greatest(b - 0.12e0 * (d - b), 0)) / 2) * 2 AS y0, floor(least(ceil(c + 0.12e0 * (c - a)), 1280) / 2) * 2 AS x1, floor(least(ceil(d + 0.12e0 * (d - b)), 720) / 2) * 2 AS y1 FROM f),
+ z AS (SELECT *, least(greatest(360 / greatest(face, 1), 0.25e0), 1) AS s FROM r) SELECT user_id, x0::INT AS x0, y0::INT AS y0, x1::INT AS x1, y1::INT AS y1, greatest(round_even((x1 - x0) * s / 2, 0) * 2, 64)::INT AS w, greatest(round_even((y1 - y0) * s / 2, 0) * 2, 64)::INT AS h FROM z""")
+def decode_regions(spark, sf_dir):
+    boxes = table(spark, sf_dir, "events").selectExpr("user_id", "value * 9 AS x0", "CAST(event_id % 200 AS DOUBLE) AS y0", "value * 9 + event_id % 400 - 20 AS x1", "event_id % 200 + value * 4 - 10 AS y1")
+    return S.decode_regions(boxes, "user_id", F.lit(1280), F.lit(720))
+
+
 def posteriors(spark, sf_dir):
     """Each turn of the conversations as an utterance: its characters are the labels (15 classes of code points), and each
     has three frames in which it is likely, spoilt by a hash; whole texts make thousands of frames."""
