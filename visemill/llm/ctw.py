@@ -198,7 +198,7 @@ def _tally(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, np.bincount(at, weights=trained, minlength=len(keys)).astype(np.int64)
 
 
-def score_documents(docs: DataFrame, depth: int = 5) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = 6) -> DataFrame:
     """Score every row of ``docs``: its other columns, held_out, n_tokens, n_known, train_tokens, base_score, score,
     n_text_bytes and bits_per_byte.
 
