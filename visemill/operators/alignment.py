@@ -264,6 +264,15 @@ def best_lag(sums: DataFrame, by: list[str]) -> DataFrame:
     return sums.groupBy(*by).agg(F.max_by("lag", F.struct(mean, -F.col("lag"))).alias("lag"), F.max(mean).alias("corr"), F.max(F.when(F.col("lag") == 0, mean)).alias("corr0"))
 
 
+def edge_trajectories(spans: DataFrame, frames: DataFrame, by: str, offsets: list[int], value: str = "z") -> DataFrame:
+    """(edge, offset, n1, n0, mean1, mean0, d): a frame value at offsets from the first frame (edge ``start``) and the last
+    (``end``) of ``spans(by, first, last, positive)``, positive spans against the others."""
+    at = F.inline(F.array(F.struct(F.lit("start").alias("edge"), F.col("first").alias("_at")), F.struct(F.lit("end").alias("edge"), F.col("last").alias("_at"))))
+    places = spans.select(by, "positive", at).withColumn("offset", F.explode(F.array(*map(F.lit, offsets)))).withColumn("k", (F.col("_at") + F.col("offset")).cast("long"))
+    rows = places.join(frames.select(by, F.col("k").cast("long").alias("k"), F.col(value).alias("x")), [by, "k"])
+    return contrast(rows, ["edge", "offset"])
+
+
 LAG_SUMS = "array<struct<lag:int,s:double,n:bigint>>"
 
 

@@ -69,9 +69,11 @@ def interpolate_on_grid(frames: DataFrame, by: str, time: str, value: str, step:
     return rows.select(by, "g", F.when(near <= reach, x).alias("x"))
 
 
-def running_median(frames: DataFrame, by: list[str], order: str, value: str, width: int = 9) -> DataFrame:
+def running_median(frames: DataFrame, by: list[str], order: str, value: str, width: int = 9, fallback: str | None = None) -> DataFrame:
     """``median`` of the last ``width`` values that are not null, the current one included; nulls hold it; null before
-    the first value."""
+    the first value. Where ``value`` is null the column ``fallback`` (as a label's box for a frame without a face) counts."""
+    if fallback is not None:
+        frames = frames.withColumn(value, F.coalesce(value, fallback))
     w = Window.partitionBy(*by).orderBy(order)
     counted = frames.withColumn("_n", F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # medians of the values alone, looked up by how many have come so far
@@ -169,6 +171,12 @@ def token_spans(path: DataFrame, by: str, order: str, label: str, logp: str, bla
     return rows.groupBy(by, "token").agg(F.max(label).alias("id"), F.min(order).alias("first"), F.max(order).alias("last"), F.avg(logp).alias("mean_logp"))
 
 
+def last_inside(sentences: DataFrame, by: str, limit: str) -> DataFrame:
+    """(by, sentence_id, end_s): the last sentence that ends by the time ``limit`` and starts at 0 or later."""
+    inside = sentences.filter((F.col("end_s") <= F.col(limit)) & (F.col("start_s") >= 0))
+    return inside.groupBy(by).agg(F.max_by(F.struct("sentence_id", "end_s"), F.struct("end_s", "sentence_id")).alias("_s")).select(by, "_s.*")
+
+
 def nearest_pause(sentences: DataFrame, by: str, middle: str) -> DataFrame:
     """The pause between sentences whose middle is closest to ``middle``, the earlier of equals: (by, pause_at)."""
     w = Window.partitionBy(by).orderBy("start_s")

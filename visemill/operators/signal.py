@@ -242,6 +242,15 @@ def mask_bands(size: Column, count: int, width: int, *key) -> Column:
     return F.array(*[band(i) for i in range(count)])
 
 
+def time_masks(n: Column, count: int, share: float, *key) -> Column:
+    """``count`` masks (start, length) of a clip of ``n`` frames, each of up to ``share`` of it, reproducible from the key."""
+    def mask(i: int) -> Column:
+        length = drawn(0, F.floor(n * share), *key, i, "mask")
+        return F.struct(drawn(0, n - length, *key, i, "place").alias("start"), length.alias("length"))
+
+    return F.array(*[mask(i) for i in range(count)])
+
+
 def window_start(n: Column, width: int, *key) -> Column:
     """First frame of a window of ``width`` in ``n`` frames; null where it does not fit."""
     return drawn(0, n - width, *key, "window")
@@ -341,24 +350,3 @@ def skeleton_column(points: pd.Series) -> pd.Series:
 def lip_column(points: pd.Series) -> pd.Series:
     """Geometry of the lips of flattened landmarks; null without a face."""
     return points.map(lambda p: None if p is None else lip_geometry(np.asarray(p, dtype=np.float64).reshape(-1, 2)))
-
-
-def augmentation_column(seed: int, epoch: int, n_masks: int = 2, share: float = 0.1):
-    """Column function (key, n): start and length of time masks of a clip of n frames, from seed, epoch and key."""
-    kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
-
-    @F.pandas_udf(kind)
-    def draw(key: pd.Series, n: pd.Series) -> pd.Series:
-        import zlib
-
-        def one(k, frames):
-            rng = np.random.default_rng([seed, epoch, zlib.crc32(str(k).encode())])
-            out = []
-            for _ in range(n_masks):
-                size = int(rng.integers(0, int(share * frames) + 1))
-                out.append({"start": int(rng.integers(0, max(frames - size, 0) + 1)), "length": size})
-            return out
-
-        return pd.Series([one(k, int(v)) for k, v in zip(key, n)])
-
-    return draw

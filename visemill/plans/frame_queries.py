@@ -70,6 +70,12 @@ def running_median(spark, sf_dir):
     return I.running_median(rows, ["utt_key"], "k", "x").select("utt_key", "k", R("median"))
 
 
+@query("w2_label_box_fallback", f"""WITH {FRAMES}, v AS (SELECT utt_key, k, CASE WHEN valid THEN x WHEN k % 3 = 0 THEN 50e0 + k END AS x FROM frames), l AS (SELECT utt_key, k, list(x) FILTER (x IS NOT NULL) OVER (PARTITION BY utt_key ORDER BY k) AS l FROM v) SELECT utt_key, k, round(list_median(list_slice(l, greatest(len(l) - 8, 1), len(l))), 6) AS median FROM l""")
+def median_with_fallback(spark, sf_dir):
+    rows = frames(spark, sf_dir).withColumn("x", F.expr("IF(valid, x, NULL)")).withColumn("label", F.when(F.col("k") % 3 == 0, 50.0 + F.col("k")))
+    return I.running_median(rows, ["utt_key"], "k", "x", fallback="label").select("utt_key", "k", R("median"))
+
+
 @query("w3_moving_stats", f"""WITH {FRAMES}, w AS (SELECT utt_key, k, avg(x) OVER w AS m, stddev_pop(x) OVER w AS s, k >= 2 AND k + 2 < count(*) OVER (PARTITION BY utt_key) AS inner_ FROM frames WINDOW w AS (PARTITION BY utt_key ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT utt_key, k, round(m, 5) AS moving_mean, round(s, 5) AS moving_std FROM w WHERE inner_""")
 def moving(spark, sf_dir):
     rows = I.moving_stats(frames(spark, sf_dir), "utt_key", "k", "x", 5)
@@ -132,6 +138,11 @@ def pause(spark, sf_dir):
     return I.nearest_pause(sentences(spark, sf_dir).withColumn("middle", F.lit(25.0)), "video_stem", "middle").select("video_stem", R("pause_at"))
 
 
+@query("t4_last_inside", f"WITH {SENT}, r AS (SELECT *, row_number() OVER (PARTITION BY video_stem ORDER BY end_s DESC, sentence_id DESC) AS k FROM sent WHERE end_s <= 60 AND start_s >= 0) SELECT video_stem, sentence_id, round(end_s, 6) AS end_s FROM r WHERE k = 1")
+def last_inside(spark, sf_dir):
+    return I.last_inside(sentences(spark, sf_dir).withColumn("limit", F.lit(60.0)), "video_stem", "limit").select("video_stem", "sentence_id", R("end_s"))
+
+
 @query("s8_srt_cues", f"""WITH {SENT}, c AS (SELECT video_stem AS video, row_number() OVER (PARTITION BY video_stem ORDER BY start_s, end_s) AS n, CAST(round_even(greatest(start_s, 0) * 1000, 0) AS BIGINT) AS a, CAST(round_even(end_s * 1000, 0) AS BIGINT) AS b, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM sent WHERE sentence_id % 3 <> 0)
  SELECT video, n, concat(n, chr(13), chr(10), printf('%02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000), ' --> ', printf('%02d:%02d:%02d,%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000), chr(13), chr(10), t, chr(13), chr(10)) AS cue FROM c""")
 def cues(spark, sf_dir):
@@ -249,6 +260,15 @@ def trajectory(spark, sf_dir):
     return contrast(rows, ["bin"]).select("bin", "n1", "n0", R("mean1", 5), R("mean0", 5), R("d", 5))
 
 
+@query("a29_edge_trajectories", f"""WITH {FRAMES}, e AS (SELECT user_id AS utt_key, event_id % 40 AS first, event_id % 40 + event_id % 5 AS last, event_type = 'click' AS positive FROM events), p AS (SELECT utt_key, positive, unnest(['start', 'end']) AS edge, unnest([first, last]) AS at FROM e), o AS (SELECT *, unnest(range(-3, 4)) AS o FROM p),
+ g AS (SELECT edge, o, count(*) FILTER (positive) AS n1, count(*) FILTER (NOT positive) AS n0, avg(x) FILTER (positive) AS m1, avg(x) FILTER (NOT positive) AS m0, var_samp(x) FILTER (positive) AS v1, var_samp(x) FILTER (NOT positive) AS v0 FROM o JOIN frames f ON f.utt_key = o.utt_key AND f.k = o.at + o.o GROUP BY 1, 2)
+ SELECT edge, o::INT AS "offset", n1, n0, round(m1, 5) AS mean1, round(m0, 5) AS mean0, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 5) AS d FROM g""")
+def edge_trajectories(spark, sf_dir):
+    spans = table(spark, sf_dir, "events").selectExpr("user_id AS utt_key", "event_id % 40 AS first", "event_id % 40 + event_id % 5 AS last", "event_type = 'click' AS positive")
+    out = A.edge_trajectories(spans, frames(spark, sf_dir), "utt_key", list(range(-3, 4)), "x")
+    return out.select("edge", "offset", "n1", "n0", R("mean1", 5), R("mean0", 5), R("d", 5))
+
+
 @query("a30_class_table", f"WITH {SYL} SELECT onset, has_unk, count(*) AS n, round(avg(lm_valid_ratio), 6) AS lm_valid_ratio, round(avg(logprob), 6) AS logprob FROM syl GROUP BY 1, 2 HAVING count(*) >= 20")
 def classes(spark, sf_dir):
     out = A.class_table(syllables(spark, sf_dir), ["onset", "has_unk"], ["lm_valid_ratio", "logprob"])

@@ -285,11 +285,21 @@ def verification(spark, sf_dir):
     return auc.select(F.round("auc", 4).alias("auc"), "n_pos", "n_neg")
 
 
-@query("j15_distractors")
+def _drawn(key: str, n: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {key})), 1, 15))::BIGINT % {n}"
+
+
+@query("j15_distractors", f"""WITH {EMB}, m AS (SELECT id, speaker, session, row_number() OVER (ORDER BY speaker, id) - 1 AS n FROM emb), sp AS (SELECT *, row_number() OVER (ORDER BY speaker) - 1 AS s FROM (SELECT speaker, min(n) AS first, count(*) AS c FROM m GROUP BY 1) q), tot AS (SELECT count(*) AS t FROM sp),
+ st AS (SELECT id AS query, speaker AS qs, step, ({_drawn("'3', id, 'speaker'", "t")} + step) % t AS s FROM (SELECT *, unnest(range(0, least(12, t - 1) + 1)) AS step FROM emb, tot) q),
+ o AS (SELECT st.query, sp.first + {_drawn("'3', query, sp.speaker", "c")} AS n, row_number() OVER (PARTITION BY query ORDER BY step) AS pos FROM st JOIN sp ON sp.s = st.s WHERE sp.speaker <> qs), ch AS (SELECT query, pos, m.id AS candidate, m.speaker, m.session FROM o JOIN m ON m.n = o.n WHERE pos <= 12),
+ gr AS (SELECT *, row_number() OVER (ORDER BY speaker, session) - 1 AS g FROM (SELECT speaker, session, arg_min(id, md5(concat_ws('|', '3', id))) AS candidate FROM emb GROUP BY 1, 2) q), gt AS (SELECT count(*) AS n FROM gr),
+ ar AS (SELECT id AS query, speaker AS qs, step, ({_drawn("'3', id, 'group'", "n")} + step) % n AS g FROM (SELECT *, unnest(range(0, least(25, n - 1) + 1)) AS step FROM emb, gt) q), us AS (SELECT query, speaker, session FROM ch UNION SELECT id, speaker, session FROM emb),
+ fr AS (SELECT ar.query, step, gr.candidate, gr.speaker, qs FROM ar JOIN gr ON gr.g = ar.g LEFT JOIN us ON us.query = ar.query AND us.speaker = gr.speaker AND us.session = gr.session WHERE us.query IS NULL),
+ mo AS (SELECT fr.query, coalesce(have, 0) + row_number() OVER (PARTITION BY fr.query ORDER BY step) AS pos, candidate, CASE WHEN speaker = qs THEN 'same_speaker_other_session' ELSE 'other_speaker_other_session' END AS kind FROM fr LEFT JOIN (SELECT query, max(pos) AS have FROM ch GROUP BY 1) h ON h.query = fr.query)
+ SELECT query, pos::INT AS pos, candidate, 'other_speaker' AS kind FROM ch UNION ALL SELECT query, pos::INT, candidate, kind FROM mo WHERE pos <= 12""")
 def distractors(spark, sf_dir):
     e = faces(spark, sf_dir).select("id", "speaker", "session")
-    drawn = P.draw_distractors(e, e, 12, 3)
-    return drawn.groupBy("query").agg(F.count("*").alias("n"), F.countDistinct("candidate").alias("n_distinct"), F.count_if(F.col("kind") == "other_speaker").alias("n_other"))
+    return P.draw_distractors(e, e, 12, 3).select("query", F.col("pos").cast("int").alias("pos"), "candidate", "kind")
 
 
 @query("j16_noise_clips", f"""WITH {EMB}, r AS (SELECT id, concat(speaker, '|', session) AS key, CAST(id % 11 AS VARCHAR) AS text, speaker FROM emb), pool AS (SELECT * FROM r ORDER BY md5(concat('9|', id)), id LIMIT 64),

@@ -18,7 +18,7 @@ from ..operators import segments as G
 from ..operators import signal as S
 from ..operators.ordering import cut
 from ..streaming import jobs as J
-from ..sources.readers import read_manifests
+from ..sources.readers import explode_sentences, explode_syllables, explode_tokens, read_alignments, read_console, read_labels, read_manifests, read_process_log
 from ..sources.writers import read_done_manifests, write_manifests
 from .adapters import FRAMES, UTT, frames, table, utterances
 from .registry import query
@@ -160,18 +160,20 @@ def sound(spark, sf_dir):
     return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("end") - F.col("start")), 4).alias("seconds"))
 
 
-@query("v10_augmentation_draws", "SELECT source, 2 * count(*) AS n, 0::BIGINT AS n_outside, 0::BIGINT AS n_too_long FROM documents GROUP BY 1")
-def draws(spark, sf_dir):
-    """Masks drawn for each text's length: none reaches beyond it or is longer than a tenth of it."""
-    rows = table(spark, sf_dir, "documents").select("source", F.explode(S.augmentation_column(3, 1)("doc_id", "n_chars")).alias("m"), "n_chars")
-    outside = (F.col("m.start") < 0) | (F.col("m.start") + F.col("m.length") > F.col("n_chars"))
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(outside).alias("n_outside"), F.count_if(F.col("m.length") > F.floor(F.col("n_chars") * 0.1)).alias("n_too_long"))
-
-
 def _sql_draw(low: str, high: str, key: str) -> str:
     return f"{low} + ('0x' || substr(md5({key}), 1, 15))::BIGINT % ({high} - ({low}) + 1)"
 
 
+_MASKS = ", ".join(f"SELECT doc_id, {i} AS mask, n, {_sql_draw('0', 'floor(n * 0.1e0)::BIGINT', f"concat_ws('|', '3', '1', doc_id, '{i}', 'mask')")} AS length FROM (SELECT doc_id, n_chars AS n FROM documents)" for i in (0, 1)).replace("documents), SELECT", "documents) UNION ALL SELECT")
+
+
+@query("v10_augmentation_draws", f"WITH m AS ({_MASKS}) SELECT doc_id, mask, length, {_sql_draw('0', 'n - length', "concat_ws('|', '3', '1', doc_id, mask, 'place')")} AS start FROM m")
+def draws(spark, sf_dir):
+    """Two masks in epoch 1 of each text's length."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(S.time_masks(F.col("n_chars").cast("long"), 2, 0.1, F.lit(3), F.lit(1), F.col("doc_id"))).alias("mask", "m"))
+    return rows.select("doc_id", "mask", F.col("m.length").alias("length"), F.col("m.start").alias("start"))
+
+
 DRAWS_SQL = f"""w AS (SELECT doc_id, n_chars AS n, CASE WHEN n_chars >= 40 THEN {_sql_draw("0", "n_chars - 40", "concat_ws('|', '5', doc_id, 'window')")} END AS start FROM documents),
  c AS (SELECT *, list_filter([-4, 4, -5, 5, -6, 6], lambda s: start + s >= 0 AND start + s + 40 <= n) AS ways FROM w), l AS (SELECT *, {_sql_draw("0", "least(8, 80)", "concat_ws('|', '5', doc_id, '0', 'length')")} AS band FROM c)"""
 
@@ -294,6 +296,66 @@ def manifest_writer(spark, sf_dir):
         return cut(out.groupBy("split_dir").agg(F.count("*").alias("n"), F.countDistinct("video_stem").alias("videos"), F.round(F.sum("duration"), 4).alias("seconds")))
 
 
+@query("s1_label_reader", """WITH c AS (SELECT conv_id, count(*) AS n, min(turn) AS first, max(turn * 2e0 + 1.5e0) AS last_end, count(*) FILTER (text IS NOT NULL) AS n_texts, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM conversations GROUP BY 1), s AS (SELECT *, concat('lip_J_1_F_02_C', lpad((conv_id % 1000)::VARCHAR, 3, '0'), '_A_', lpad(conv_id::VARCHAR, 3, '0')) AS video_stem FROM c)
+ SELECT video_stem, concat('C', lpad((conv_id % 1000)::VARCHAR, 3, '0')) AS speaker, (60 * (conv_id % 9) + 5)::DOUBLE AS duration_s, n, turns AS sentence_ids, first * 2e0 AS first_s, last_end, n_texts, (SELECT count(*) FROM c WHERE conv_id % 7 = 3) AS n_rejects FROM s WHERE conv_id % 7 <> 3""")
+def label_reader(spark, sf_dir):
+    """A label document for each conversation, sentences in no order, written to files and read back; every seventh has more
+    face than lip boxes and is rejected."""
+    number = F.lpad((F.col("conv_id") % 1000).cast("string"), 3, "0")
+    stem = F.concat(F.lit("lip_J_1_F_02_C"), number, F.lit("_A_"), F.lpad(F.col("conv_id").cast("string"), 3, "0"))
+    said = F.struct(F.col("turn").alias("ID"), F.lit("t").alias("topic"), F.col("text").alias("sentence_text"), (F.col("turn") * 2.0).alias("start_time"), (F.col("turn") * 2.0 + 1.5).alias("end_time"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.reverse(F.array_sort(F.collect_list(said))).alias("Sentence_info"))
+    box = F.array(*[F.lit(v) for v in (10, 20, 30, 40)])
+    boxes = lambda n: F.struct(F.array_repeat(box, n).alias("xtl_ytl_xbr_ybr"))
+    video = F.struct(F.concat(stem, F.lit(".mp4")).alias("video_Name"), F.lit("mp4").alias("video_Format"), F.concat(F.lit("0:0"), (F.col("conv_id") % 9).cast("string"), F.lit(":05")).alias("video_Duration"), F.lit(30.0).alias("FPS"), F.lit("1920*1080").alias("Resolution"))
+    docs = rows.select("conv_id", F.to_json(F.array(F.struct(
+        video.alias("Video_info"), F.struct(F.lit(2).alias("Noise")).alias("Audio_env"), "Sentence_info", F.struct(F.concat(F.lit("C"), number).alias("speaker_ID")).alias("speaker_info"),
+        F.struct(boxes(F.when(F.col("conv_id") % 7 == 3, 2).otherwise(1)).alias("Face_bounding_box"), boxes(F.lit(1)).alias("Lip_bounding_box")).alias("Bounding_box_info"),
+    ))).alias("value"))
+    with shared_folder(spark, "labels") as folder:
+        docs.write.partitionBy("conv_id").text(f"{folder}/in")
+        videos, rejects = read_labels(spark, f"{folder}/in/*")
+        s = explode_sentences(videos).groupBy("video_stem").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("sentence_id")).cast("array<string>"), ",").alias("sentence_ids"), F.min("start_s").alias("first_s"), F.max("end_s").alias("last_end"), F.count("text").alias("n_texts"))
+        head = videos.select("video_stem", F.col("fields.speaker").alias("speaker"), F.col("duration_s").cast("double").alias("duration_s"))
+        return cut(head.join(s, "video_stem").crossJoin(F.broadcast(rejects.agg(F.count("*").alias("n_rejects")))))
+
+
+@query("s5_process_log", "SELECT event_type AS decoder, count(*) AS n, count(*) FILTER (event_type <> 'error') AS n_ok, sum(user_id * 10)::BIGINT AS frames, round(avg(value / 100), 6) AS valid_ratio FROM events WHERE event_id % 7 <> 0 GROUP BY 1")
+def process_log(spark, sf_dir):
+    """The events as lines of a processing log, every seventh broken off, read back."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("user_id").cast("string").alias("stem"), (F.col("event_type") != "error").alias("ok"), (F.col("user_id") * 10).alias("frames"), (F.col("value") / 100).alias("valid_ratio"), F.col("event_type").alias("decoder"))).alias("line"))
+    lines = rows.select(F.when(F.col("event_id") % 7 == 0, F.substring("line", 1, 12)).otherwise(F.col("line")).alias("value"))
+    with shared_folder(spark, "log") as folder:
+        lines.write.text(f"{folder}/in")
+        log = read_process_log(spark, f"{folder}/in")
+        return cut(log.groupBy("decoder").agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), F.sum("frames").alias("frames"), F.round(F.avg("valid_ratio"), 6).alias("valid_ratio")))
+
+
+@query("s5_console", "SELECT count(*) AS n, sum(event_id)::BIGINT AS steps, round(sum(round(value, 3)), 3) AS ctc, round(avg(user_id + 0.5e0), 6) AS frames_per_s FROM events WHERE event_type <> 'error'")
+def console(spark, sf_dir):
+    """The events as progress lines of a training console among other lines."""
+    rows = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "restarting ...").otherwise(F.format_string("step %d | loss 1.0 ctc %.3f | lr 1.00e-04 gnorm 0.5 | %.1f fr/s", "event_id", "value", F.col("user_id") + 0.5)).alias("value"))
+    with shared_folder(spark, "console") as folder:
+        rows.write.text(f"{folder}/in")
+        out = read_console(spark, f"{folder}/in")
+        return cut(out.agg(F.count("*").alias("n"), F.sum("step").alias("steps"), F.round(F.sum("ctc"), 3).alias("ctc"), F.round(F.avg("frames_per_s"), 6).alias("frames_per_s")))
+
+
+@query("s6_alignment_reader", "SELECT user_id::VARCHAR AS utt_id, count(*) AS n_syllables, 2 * count(*) AS n_tokens, round(sum(value), 6) AS start_s, sum(event_id)::BIGINT AS ids FROM events WHERE user_id % 9 <> 4 GROUP BY 1")
+def alignment_reader(spark, sf_dir):
+    """Each user's events as the syllables of an aligned utterance of two tokens each, in JSON arrays, read back; utterances
+    that could not be aligned have no rows."""
+    token = lambda k: F.struct(F.col("event_id").cast("int").alias("id"), F.lit("x").alias("name"), (F.col("value") + k).alias("start_s"))
+    syllable = F.struct(F.lit("가").alias("char"), F.lit(0).alias("word"), F.col("value").alias("start_s"), F.array(token(0), token(1)).alias("tokens"))
+    records = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(syllable).alias("syllables")).select("user_id", F.to_json(F.array(F.struct(F.col("user_id").cast("string").alias("utt_id"), (F.col("user_id") % 9 != 4).alias("ok"), "syllables"))).alias("value"))
+    with shared_folder(spark, "alignments") as folder:
+        records.write.partitionBy("user_id").text(f"{folder}/in")
+        read = read_alignments(spark, f"{folder}/in/*")
+        s = explode_syllables(read).groupBy("utt_id").agg(F.count("*").alias("n_syllables"), F.round(F.sum("start_s"), 6).alias("start_s"))
+        t = explode_tokens(read).groupBy("utt_id").agg(F.count("*").alias("n_tokens"), (F.sum("id") / 2).cast("long").alias("ids"))
+        return cut(s.join(t, "utt_id").select("utt_id", "n_syllables", "n_tokens", "start_s", "ids"))
+
+
 @query("s3_manifest_reader", f"WITH {UTT} SELECT speaker, count(*) AS n, round(sum(duration), 4) AS seconds, (SELECT count(*) FROM utt WHERE has_unk) AS n_bad FROM utt WHERE NOT has_unk GROUP BY 1")
 def manifest_reader(spark, sf_dir):
     """The utterances as JSON lines, those with unknown characters without a required key, read back."""
