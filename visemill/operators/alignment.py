@@ -118,6 +118,19 @@ def profile(events: DataFrame, frames: DataFrame, by: str, reach: int, group: st
     return hit.groupBy(group, "offset").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
+def position_profile(spans: DataFrame, frames: DataFrame, by: str, fps: float, group: str, bins: int = 10, before: float = 0.5, after: float = 0.5, least: float = 0.12, value: str = "z") -> DataFrame:
+    """(group, bin, n, mean) of a frame value by place within ``spans(by, start_s, end_s, group)``: ``bins`` to a span, from
+    ``before`` of its length ahead of it to ``after`` behind it; bin 0 begins there. Spans shorter than ``least`` don't count.
+    Frames are looked up by number."""
+    rows = spans.withColumn("_d", F.col("end_s") - F.col("start_s")).filter(F.col("_d") >= least)
+    first, last = F.ceil((F.col("start_s") - before * F.col("_d")) * fps), F.floor((F.col("end_s") + after * F.col("_d")) * fps)
+    places = rows.select(by, group, "start_s", "_d", F.explode(F.when(first <= last, F.sequence(first, last))).alias("k"))
+    bin_ = F.floor((F.col("k") / fps - F.col("start_s")) / F.col("_d") * bins + before * bins)
+    seen = places.join(frames.select(by, F.col("k").cast("long").alias("k"), F.col(value).alias("_v")), [by, "k"]).filter("_v is not null").withColumn("bin", bin_.cast("int"))
+    inside = F.col("bin").between(0, round((1 + before + after) * bins) - 1)
+    return seen.filter(inside).groupBy(group, "bin").agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
+
+
 def lowest_offset(profiles: DataFrame, group: str) -> DataFrame:
     return profiles.groupBy(group).agg(F.min_by("offset", F.struct("mean", "offset")).alias("offset"))
 

@@ -130,6 +130,19 @@ def error_cube(rows: DataFrame, by: list[str], hyps: list[str], ref: str = "ref"
     return lean.cube(*by).agg(F.count("*").alias("n"), *rates, F.grouping_id().alias("level"))
 
 
+def training_progress(epochs: DataFrame) -> DataFrame:
+    """``epochs(epoch, av, audio)`` with the gain of the lips and whether it is the best epoch, the first of those with the
+    lowest error of av."""
+    best = epochs.agg(F.min_by("epoch", F.struct("av", "epoch")).alias("_b"))
+    return epochs.crossJoin(F.broadcast(best)).withColumn("lips_gain", F.col("audio") - F.col("av")).withColumn("best", F.col("epoch") == F.col("_b")).drop("_b")
+
+
+def last_train_row(log: DataFrame) -> DataFrame:
+    """The newest record of kind ``train`` of a metrics log(time, type, ...); of equal times the one of the highest step."""
+    rest = [c for c in log.columns if c not in ("time", "type")]
+    return log.filter("type = 'train'").agg(F.max_by(F.struct("time", *rest), F.struct("time", "step")).alias("r")).filter("r is not null").select("r.*")
+
+
 def compare_modes(scores: DataFrame) -> DataFrame:
     """``scores(mode, snr, cer)`` by SNR: cer of av, audio and video, the gain of av over audio and whether it is one."""
     wide = scores.groupBy("snr").pivot("mode", ["av", "audio", "video"]).agg(F.first("cer"))

@@ -269,6 +269,22 @@ def energy_column(wave: pd.Series) -> pd.Series:
     return wave.map(lambda w: None if w is None else frame_energy_db(as_wave(w)))
 
 
+def cell_energy(wave: Column, size: int) -> Column:
+    """log10(1 + mean square) of each whole cell of ``size`` samples of a wave of bytes (unsigned, 128 is silence)."""
+
+    @F.pandas_udf(DOUBLES)
+    def energy(samples: pd.Series) -> pd.Series:
+        def one(w):
+            if w is None:
+                return None
+            x = np.frombuffer(w, dtype=np.uint8).astype(np.float64) - 128
+            return np.log10(np.square(x[: len(x) // size * size]).reshape(-1, size).mean(axis=1) + 1)
+
+        return samples.map(one)
+
+    return energy(wave)
+
+
 @F.pandas_udf(T.DoubleType())
 def snr_column(wave: pd.Series) -> pd.Series:
     return wave.map(lambda w: snr_estimate(as_wave(w)))

@@ -205,6 +205,33 @@ def profiles(spark, sf_dir):
     return A.profile(events, frames(spark, sf_dir).withColumnRenamed("x", "z"), "utt_key", 3, "bilabial").select("bilabial", "offset", "n", R("mean"))
 
 
+@query("a22_lowest_offset", f"""WITH {FRAMES}, e AS (SELECT user_id AS utt_key, CAST(event_id % 40 AS BIGINT) AS k0, event_id % 2 = 0 AS bilabial FROM events), s AS (SELECT e.*, o, k0 + o AS k FROM e, (SELECT unnest(range(-3, 4)) AS o)), p AS (SELECT bilabial, o, avg(x) AS mean FROM s JOIN frames f ON f.utt_key = s.utt_key AND f.k = s.k GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY bilabial ORDER BY mean, o) AS n FROM p) SELECT bilabial, o::INT AS "offset" FROM r WHERE n = 1""")
+def lowest(spark, sf_dir):
+    events = table(spark, sf_dir, "events").selectExpr("user_id AS utt_key", "event_id % 40 AS k0", "event_id % 2 = 0 AS bilabial")
+    return A.lowest_offset(A.profile(events, frames(spark, sf_dir).withColumnRenamed("x", "z"), "utt_key", 3, "bilabial"), "bilabial").select("bilabial", F.col("offset").cast("int").alias("offset"))
+
+
+@query("a22_position_bins", f"""WITH {FRAMES}, e AS (SELECT user_id AS utt_key, event_id % 40 + 0.3e0 AS s, event_id % 40 + 0.3e0 + (event_id % 5 + 1) * 1.7e0 AS z, CASE WHEN event_id % 3 = 0 THEN 'onset' ELSE 'other' END AS kind FROM events), w AS (SELECT *, z - s AS d FROM e), p AS (SELECT *, unnest(range(ceil(s - 0.5e0 * d)::BIGINT, floor(z + 0.5e0 * d)::BIGINT + 1)) AS k FROM w), b AS (SELECT kind, floor((p.k - s) / d * 10 + 5)::INT AS bin, x FROM p JOIN frames f ON f.utt_key = p.utt_key AND f.k = p.k)
+ SELECT kind, bin, count(*) AS n, round(avg(x), 5) AS mean FROM b WHERE bin BETWEEN 0 AND 19 GROUP BY 1, 2""")
+def position_bins(spark, sf_dir):
+    spans = table(spark, sf_dir, "events").selectExpr("user_id AS utt_key", "event_id % 40 + 0.3e0 AS start_s", "event_id % 40 + 0.3e0 + (event_id % 5 + 1) * 1.7e0 AS end_s", "IF(event_id % 3 = 0, 'onset', 'other') AS kind")
+    return A.position_profile(spans, frames(spark, sf_dir).withColumnRenamed("x", "z"), "utt_key", 1.0, "kind").select("kind", "bin", "n", R("mean", 5))
+
+
+@query("a22_log_energy", """WITH b AS (SELECT conv_id, turn, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM conversations), g AS (SELECT conv_id, turn, l, len(l) // 20 AS n FROM b), c AS (SELECT conv_id, turn, unnest(range(0, n)) AS k, l FROM g WHERE n > 0),
+ e AS (SELECT conv_id, turn, k, log10(list_avg(list_transform(l[k * 20 + 1:k * 20 + 20], lambda h: (('0x' || h)::INT - 128)::DOUBLE * (('0x' || h)::INT - 128))) + 1) AS le FROM c), z AS (SELECT conv_id, turn, k, (le - avg(le) OVER w) / greatest(stddev_pop(le) OVER w, 0.01e0) AS z FROM e WINDOW w AS (PARTITION BY conv_id, turn))
+ SELECT (k - 3)::INT AS "offset", count(*) AS n, round(avg(z), 5) AS mean FROM z WHERE k < 7 GROUP BY 1""")
+def log_energy(spark, sf_dir):
+    """Mean standardised log energy (cells of 20 samples) around the fourth cell of each turn's sound."""
+    from ..operators.intervals import z_scores
+    from ..operators.signal import cell_energy
+
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("utt"), F.posexplode(cell_energy(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 20)).alias("k", "le"))
+    z = z_scores(rows.withColumn("there", F.lit(True)), "utt", "le", "there").select("utt", "k", "z")
+    starts = rows.select("utt", F.lit(3).alias("k0"), F.lit("all").alias("kind")).distinct()
+    return A.profile(starts, z, "utt", 3, "kind").select(F.col("offset").cast("int").alias("offset"), "n", R("mean", 5))
+
+
 SHIFT = f"{FRAMES}, sh AS (SELECT utt_key % 3 AS split, utt_key AS utt, o * 20 AS shift, k % 2 = 0 AS positive, x + CASE WHEN k % 2 = 0 THEN 20 - abs(o - 1) * 5 ELSE 0 END AS x FROM frames, (SELECT unnest(range(-3, 4)) AS o)), cu AS (SELECT split, shift, avg(x) FILTER (positive) AS m1, avg(x) FILTER (NOT positive) AS m0, count(*) FILTER (positive) AS n1, count(*) FILTER (NOT positive) AS n0, var_samp(x) FILTER (positive) AS v1, var_samp(x) FILTER (NOT positive) AS v0 FROM sh GROUP BY 1, 2), d AS (SELECT split, shift, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS d FROM cu)"
 
 

@@ -213,8 +213,13 @@ def threshold_estimates(spark, sf_dir):
 def progress(spark, sf_dir):
     rows = references(spark, sf_dir).withColumn("epoch", F.floor(F.col("utt_id") / 40).cast("int"))
     v = rows.groupBy("epoch").agg(M.cer(F.col("ref"), F.col("hyp"), LONGEST).alias("av"), M.cer(F.col("ref"), F.expr("replace(ref, 'a', '')"), LONGEST).alias("audio"))
-    best = v.agg(F.min_by("epoch", F.struct("av", "epoch")).alias("b"))
-    return v.crossJoin(F.broadcast(best)).select("epoch", F.round("av", 6).alias("av"), F.round("audio", 6).alias("audio"), F.round(F.col("audio") - F.col("av"), 6).alias("lips_gain"), (F.col("epoch") == F.col("b")).alias("best"))
+    return M.training_progress(v).select("epoch", F.round("av", 6).alias("av"), F.round("audio", 6).alias("audio"), F.round("lips_gain", 6).alias("lips_gain"), "best")
+
+
+@query("a12_last_train", "SELECT epoch(ts) AS time, (event_id // 100)::INT AS epoch, event_id::INT AS step, value AS loss FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 1")
+def last_train(spark, sf_dir):
+    log = table(spark, sf_dir, "events").selectExpr("unix_micros(CAST(ts AS TIMESTAMP)) / 1e6D AS time", "IF(event_type = 'click', 'train', 'val') AS type", "CAST(event_id div 100 AS INT) AS epoch", "CAST(event_id AS INT) AS step", "value AS loss")
+    return M.last_train_row(log)
 
 
 # ---------------------------------------------------------------- ROC
