@@ -212,10 +212,10 @@ def lowest(spark, sf_dir):
 
 
 @query("a22_position_bins", f"""WITH {FRAMES}, e AS (SELECT user_id AS utt_key, event_id % 40 + 0.3e0 AS s, event_id % 40 + 0.3e0 + (event_id % 5 + 1) * 1.7e0 AS z, CASE WHEN event_id % 3 = 0 THEN 'onset' ELSE 'other' END AS kind FROM events), w AS (SELECT *, z - s AS d FROM e), p AS (SELECT *, unnest(range(ceil(s - 0.5e0 * d)::BIGINT, floor(z + 0.5e0 * d)::BIGINT + 1)) AS k FROM w), b AS (SELECT kind, floor((p.k - s) / d * 10 + 5)::INT AS bin, x FROM p JOIN frames f ON f.utt_key = p.utt_key AND f.k = p.k)
- SELECT kind, bin, count(*) AS n, round(avg(x), 5) AS mean FROM b WHERE bin BETWEEN 0 AND 19 GROUP BY 1, 2""")
+ SELECT kind, bin, count(*) AS n, round(avg(x), 8) AS mean FROM b WHERE bin BETWEEN 0 AND 19 GROUP BY 1, 2""")
 def position_bins(spark, sf_dir):
     spans = table(spark, sf_dir, "events").selectExpr("user_id AS utt_key", "event_id % 40 + 0.3e0 AS start_s", "event_id % 40 + 0.3e0 + (event_id % 5 + 1) * 1.7e0 AS end_s", "IF(event_id % 3 = 0, 'onset', 'other') AS kind")
-    return A.position_profile(spans, frames(spark, sf_dir).withColumnRenamed("x", "z"), "utt_key", 1.0, "kind").select("kind", "bin", "n", R("mean", 5))
+    return A.position_profile(spans, frames(spark, sf_dir).withColumnRenamed("x", "z"), "utt_key", 1.0, "kind").select("kind", "bin", "n", R("mean", 8))
 
 
 @query("a22_log_energy", """WITH b AS (SELECT conv_id, turn, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM conversations), g AS (SELECT conv_id, turn, l, len(l) // 20 AS n FROM b), c AS (SELECT conv_id, turn, unnest(range(0, n)) AS k, l FROM g WHERE n > 0),
