@@ -50,10 +50,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-        remove_folder(spark, f"{folder}/{k - 1}")
-    packed = STAGES[-1][1](spark, docs, sf_dir)
-    remove_folder(spark, folder)
-    return packed
+    try:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            remove_folder(spark, f"{folder}/{k - 1}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:  # also where a stage fails
+        remove_folder(spark, folder)

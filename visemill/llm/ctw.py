@@ -206,6 +206,7 @@ def score_documents(docs: DataFrame, depth: int = 6) -> DataFrame:
     words are joined by one space, and a closing edge is predicted after it; ``score`` is the log10 probability of all
     these bytes given ``depth`` bytes of context at most. base_score is the smoothed unigram score of its words and one
     end. A null text is empty and scores its end alone; a null doc_id trains. Repeated rows count as often as they occur.
+    Columns of ``docs`` named like a result give way to it.
     """
     if not 2 < depth <= 7:
         raise ValueError("depth must be 3 to 7")

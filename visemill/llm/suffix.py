@@ -510,7 +510,7 @@ def remove_covered_bytes(docs: DataFrame, depth: int = 50, with_text: bool = Tru
 
     Returns the other columns of ``docs``, n_bytes, n_removed, n_spans (maximal removed runs), kept_text (the
     remaining bytes as text, halves of cut characters left out; null unless ``with_text``) and kept_sha256 (of the
-    remaining bytes). A null text is empty. A null doc_id counts as larger
+    remaining bytes). Columns of ``docs`` named like a result give way to it. A null text is empty. A null doc_id counts as larger
     than any other; rows of equal doc_id, repeated rows among them, take nothing from each other. Every removed byte has
     been compared with an equal one; ``hash_bits`` only sets how often comparisons are in vain.
     """
