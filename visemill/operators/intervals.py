@@ -156,10 +156,12 @@ def even_times(rows: DataFrame, by: str, order: str, start: str, end: str) -> Da
     return rows.withColumn("even_start", a + at * step).withColumn("even_end", a + (at + 1) * step)
 
 
-def ctc_collapse(ids: Column, specials: list[int]) -> Column:
-    """Repeats dropped, then blanks and other specials."""
-    kept = F.filter(ids, lambda x, i: (i == 0) | (x != F.get(ids, i - 1)))
-    return F.filter(kept, lambda x: ~x.isin(specials))
+def ctc_collapse(path: DataFrame, by: str, order: str, label: str, specials: list[int]) -> DataFrame:
+    """(by, order, label) of the frames that remain of a path: repeats dropped, then blanks and other specials. Frames stay
+    rows, so a stream is never gathered."""
+    before = F.lag(label).over(Window.partitionBy(by).orderBy(order))
+    kept = path.select(by, order, label, before.alias("_b")).filter(~F.col("_b").eqNullSafe(F.col(label)) & ~F.col(label).isin(specials))
+    return kept.select(by, order, label)
 
 
 def token_spans(path: DataFrame, by: str, order: str, label: str, logp: str, blank: int = 0) -> DataFrame:

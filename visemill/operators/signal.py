@@ -366,3 +366,9 @@ def skeleton_column(points: pd.Series) -> pd.Series:
 def lip_column(points: pd.Series) -> pd.Series:
     """Geometry of the lips of flattened landmarks; null without a face."""
     return points.map(lambda p: None if p is None else lip_geometry(np.asarray(p, dtype=np.float64).reshape(-1, 2)))
+
+
+@F.pandas_udf(DOUBLES)
+def mouth_column(points: pd.Series) -> pd.Series:
+    """``mouth_box`` of flattened landmarks; null without a face."""
+    return points.map(lambda p: None if p is None else mouth_box(np.asarray(p, dtype=np.float64).reshape(-1, 2)))

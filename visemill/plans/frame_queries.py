@@ -114,11 +114,10 @@ def z_scores(spark, sf_dir):
     return I.z_scores(frames(spark, sf_dir), "utt_key", "x", "valid").select("utt_key", "k", R("z", 5))
 
 
-@query("w12_ctc_collapse", f"""WITH {FRAMES}, f AS (SELECT utt_key, k, CAST(floor(x) AS BIGINT) % 4 AS label FROM frames), c AS (SELECT *, lag(label) OVER (PARTITION BY utt_key ORDER BY k) AS p FROM f) SELECT utt_key, coalesce(string_agg(CAST(label AS VARCHAR), ' ' ORDER BY k) FILTER (p IS DISTINCT FROM label AND label > 0), '') AS ids FROM c GROUP BY 1""")
+@query("w12_ctc_collapse", f"""WITH {FRAMES}, f AS (SELECT utt_key, k, CAST(floor(x) AS BIGINT) % 4 AS label FROM frames), c AS (SELECT *, lag(label) OVER (PARTITION BY utt_key ORDER BY k) AS p FROM f) SELECT utt_key, k, label::INT AS label FROM c WHERE p IS DISTINCT FROM label AND label > 0""")
 def collapse(spark, sf_dir):
-    rows = frames(spark, sf_dir).groupBy("utt_key").agg(F.array_sort(F.collect_list(F.struct("k", (F.floor("x") % 4).cast("int").alias("label")))).alias("p"))
-    ids = I.ctc_collapse(F.transform("p", lambda s: s["label"]), [0])
-    return rows.select("utt_key", F.array_join(ids.cast("array<string>"), " ").alias("ids"))
+    rows = frames(spark, sf_dir).select("utt_key", "k", (F.floor("x") % 4).cast("int").alias("label"))
+    return I.ctc_collapse(rows, "utt_key", "k", "label", [0])
 
 
 @query("w13_token_spans", f"""WITH {FRAMES}, f AS (SELECT utt_key, k, CAST(floor(x) AS BIGINT) % 4 AS label, -x / 100 AS lp FROM frames), c AS (SELECT *, lag(label, 1, 0) OVER (PARTITION BY utt_key ORDER BY k) AS p FROM f), t AS (SELECT *, sum((label <> 0 AND label <> p)::INT) OVER (PARTITION BY utt_key ORDER BY k) AS token FROM c)

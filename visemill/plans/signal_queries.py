@@ -118,6 +118,16 @@ def skeleton(spark, sf_dir):
     return pairs.groupBy("label", "point").agg(F.count("*").alias("n"), (F.round(F.avg("p.x"), 5) + 0.0).alias("x"), (F.round(F.avg("p.y"), 5) + 0.0).alias("y"))
 
 
+@query("v5_mouth_boxes", f"""WITH k AS (SELECT vec_id, embedding[(2 * i) % 64 + 1]::DOUBLE AS x, embedding[(2 * i + 1) % 64 + 1]::DOUBLE AS y FROM embeddings, (SELECT unnest([{", ".join(map(str, S.OUTER))}]) AS i) c), m AS (SELECT vec_id, avg(x) AS x, avg(y) AS y, 1.25e0 * (max(x) - min(x)) AS r FROM k GROUP BY 1)
+ SELECT vec_id, round((x - r - 0.5e0) * 3, 6) AS x0, round((y - r + 0.25e0) * 2, 6) AS y0, round((x + r - 0.5e0) * 3, 6) AS x1, round((y + r + 0.25e0) * 2, 6) AS y1 FROM m""")
+def mouth_boxes(spark, sf_dir):
+    """The square around each mouth, in the coordinates of a scaled region of the picture."""
+    points = F.slice(F.flatten(F.array_repeat("embedding", 15)), 1, 956)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(S.mouth_column(points)).alias("boxes"))
+    box = S.map_boxes(F.col("boxes"), F.lit(0.5), F.lit(-0.25), F.lit(3.0), F.lit(2.0))[0]
+    return rows.select("vec_id", *[F.round(box[k], 6).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])
+
+
 @query("v5_decode_regions", """WITH b AS (SELECT user_id, value * 9 AS x0, (event_id % 200)::DOUBLE AS y0, value * 9 + event_id % 400 - 20 AS x1, event_id % 200 + value * 4 - 10 AS y1 FROM events), g AS (SELECT user_id, bool_or(x1 > x0 AND y1 > y0) AS any_, min(x0) FILTER (x1 > x0 AND y1 > y0) AS a, min(y0) FILTER (x1 > x0 AND y1 > y0) AS b, max(x1) FILTER (x1 > x0 AND y1 > y0) AS c, max(y1) FILTER (x1 > x0 AND y1 > y0) AS d, quantile_cont(greatest(x1 - x0, y1 - y0), 0.5) FILTER (x1 > x0 AND y1 > y0) AS face FROM b GROUP BY 1),
  f AS (SELECT user_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 1280) AS c, coalesce(d, 720) AS d, coalesce(face, 1280) AS face FROM g), r AS (SELECT user_id, face, floor(floor(greatest(a - 0.12e0 * (c - a), 0)) / 2) * 2 AS x0, floor(floor(greatest(b - 0.12e0 * (d - b), 0)) / 2) * 2 AS y0, floor(least(ceil(c + 0.12e0 * (c - a)), 1280) / 2) * 2 AS x1, floor(least(ceil(d + 0.12e0 * (d - b)), 720) / 2) * 2 AS y1 FROM f),
  z AS (SELECT *, least(greatest(360 / greatest(face, 1), 0.25e0), 1) AS s FROM r) SELECT user_id, x0::INT AS x0, y0::INT AS y0, x1::INT AS x1, y1::INT AS y1, greatest(round_even((x1 - x0) * s / 2, 0) * 2, 64)::INT AS w, greatest(round_even((y1 - y0) * s / 2, 0) * 2, 64)::INT AS h FROM z""")
