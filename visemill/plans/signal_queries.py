@@ -18,8 +18,8 @@ from ..operators import segments as G
 from ..operators import signal as S
 from ..operators.ordering import cut
 from ..streaming import jobs as J
-from ..sources.readers import explode_sentences, explode_syllables, explode_tokens, read_alignments, read_console, read_labels, read_manifests, read_process_log
-from ..sources.writers import read_done_manifests, write_manifests
+from ..sources.readers import check_content, explode_sentences, explode_syllables, explode_tokens, read_alignments, read_console, read_features, read_labels, read_manifests, read_process_log
+from ..sources.writers import feature_bytes, read_done_manifests, write_files, write_manifests
 from .adapters import FRAMES, UTT, frames, table, utterances
 from .registry import query
 
@@ -330,6 +330,39 @@ def label_reader(spark, sf_dir):
         return cut(head.join(s, "video_stem").crossJoin(F.broadcast(rejects.agg(F.count("*").alias("n_rejects")))))
 
 
+def feature_files(spark, sf_dir) -> DataFrame:
+    """A feature file (name, content) for each user: a frame for each event; every ninth user's cues are too narrow."""
+    w = F.array_sort(F.collect_list(F.struct("event_id", "value", (F.col("event_type") != "error").alias("valid"))))
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(w.alias("e"))
+    repeat = lambda times: F.flatten(F.transform("e", lambda x: F.array_repeat(x["value"], times)))
+    cue = F.when(F.col("user_id") % 9 == 4, repeat(F.lit(7))).otherwise(repeat(F.lit(8)))
+    content = feature_bytes(repeat(F.lit(80)), cue, F.transform("e", lambda x: x["valid"].cast("int")), F.transform("e", lambda x: (x["event_id"] % 1000).cast("int")))
+    return rows.select(F.concat(F.col("user_id").cast("string"), F.lit(".npz")).alias("name"), content.alias("content"), "user_id")
+
+
+@query("s4_feature_loader", """WITH g AS (SELECT user_id, count(*) AS n, sum(event_id % 1000)::BIGINT AS audio, sum((event_type <> 'error')::INT)::BIGINT AS n_valid, sum(value) * 80 AS lm FROM events GROUP BY 1)
+ SELECT concat(user_id, '.npz') AS name, user_id % 9 = 4 AS bad, CASE WHEN user_id % 9 <> 4 THEN n::INT END AS n_frames, CASE WHEN user_id % 9 <> 4 THEN audio END AS audio, CASE WHEN user_id % 9 <> 4 THEN n_valid END AS n_valid, CASE WHEN user_id % 9 <> 4 THEN round(lm, 0) END AS lm FROM g""")
+def feature_loader(spark, sf_dir):
+    with shared_folder(spark, "features") as folder:
+        write_files(feature_files(spark, sf_dir), folder)
+        total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+        rows = read_features(spark, folder)
+        lm = F.round(F.aggregate("lm", F.lit(0.0), lambda a, x: a + x.cast("double")), 0)
+        return cut(rows.select(F.regexp_extract("path", r"[^/]*$", 0).alias("name"), F.col("reason").isNotNull().alias("bad"), "n_frames", total("audio").alias("audio"), total("valid").alias("n_valid"), lm.alias("lm")))
+
+
+@query("v12_content_check", "SELECT concat(user_id, '.npz') AS name, user_id % 7 <> 3 AS sound FROM (SELECT DISTINCT user_id FROM events) q")
+def content_check(spark, sf_dir):
+    """The same files, a byte in the middle of every seventh user's turned over."""
+    files = feature_files(spark, sf_dir)
+    middle = F.floor(F.length("content") / 2).cast("int")
+    turned = F.unhex(F.lpad(F.hex(255 - F.conv(F.hex(F.substring("content", middle, 1)), 16, 10).cast("int")), 2, "0"))
+    damaged = F.concat(F.substring("content", 1, middle - 1), turned, F.substring("content", middle + 1, F.length("content")))
+    with shared_folder(spark, "content") as folder:
+        write_files(files.withColumn("content", F.when(F.col("user_id") % 7 == 3, damaged).otherwise(F.col("content"))), folder)
+        return cut(check_content(spark, folder).select(F.regexp_extract("path", r"[^/]*$", 0).alias("name"), F.col("problem").isNull().alias("sound")))
+
+
 @query("s5_process_log", "SELECT event_type AS decoder, count(*) AS n, count(*) FILTER (event_type <> 'error') AS n_ok, sum(user_id * 10)::BIGINT AS frames, round(avg(value / 100), 6) AS valid_ratio FROM events WHERE event_id % 7 <> 0 GROUP BY 1")
 def process_log(spark, sf_dir):
     """The events as lines of a processing log, every seventh broken off, read back."""

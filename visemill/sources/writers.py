@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import time
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.labels import srt_time
 from ..operators.ordering import cut
@@ -93,3 +99,33 @@ def write_sidecar(segments: DataFrame, path: str) -> None:
     rounded = segments.select([F.round(n, 3).alias(n) if t == "double" else F.col(n) for n, t in segments.dtypes])
     rest = [c for c in rounded.columns if c != "video"]
     rounded.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("start", *[c for c in rest if c != "start"]))).alias("segments")).write.mode("overwrite").json(path)
+
+
+@F.pandas_udf(T.BinaryType())
+def feature_bytes(lm: pd.Series, cue: pd.Series, valid: pd.Series, audio: pd.Series) -> pd.Series:
+    """The content of a feature file (npz): landmarks (frames x 40 x 2) and cues (frames x 8), flattened, valid flags and
+    16-bit sound."""
+
+    def one(points, cues, flags, samples) -> bytes:
+        n, out = len(flags), io.BytesIO()
+        np.savez(out, lm=np.asarray(points, np.float32).reshape(n, 40, 2), cue=np.asarray(cues, np.float32).reshape(n, -1), valid=np.asarray(flags, np.uint8), audio=np.asarray(samples, np.int16))
+        return out.getvalue()
+
+    return pd.Series([one(*x) for x in zip(lm, cue, valid, audio)])
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Write each of ``rows(name, content)`` as a file of its own into a shared folder; how many there were. A task that is run
+    again writes the same files again."""
+    where = folder if "://" in folder or folder.startswith("/") else folder.replace(":/", ":///", 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, at = pafs.FileSystem.from_uri(where)
+        system.create_dir(at, recursive=True)
+        for b in batches:
+            for name, content in zip(b["name"], b["content"]):
+                with system.open_output_stream(f"{at}/{name}") as f:
+                    f.write(content)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return rows.select("name", "content").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
