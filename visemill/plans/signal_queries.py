@@ -18,8 +18,8 @@ from ..operators import segments as G
 from ..operators import signal as S
 from ..operators.ordering import cut
 from ..streaming import jobs as J
-from ..sources.readers import check_content, explode_sentences, explode_syllables, explode_tokens, read_alignments, read_console, read_features, read_labels, read_manifests, read_process_log
-from ..sources.writers import feature_bytes, read_done_manifests, write_files, write_manifests
+from ..sources.readers import check_content, explode_sentences, explode_syllables, explode_tokens, media_index, read_alignments, read_console, read_features, read_labels, read_manifests, read_process_log
+from ..sources.writers import archive_bytes, feature_bytes, read_done_manifests, write_files, write_manifests
 from .adapters import FRAMES, UTT, frames, table, utterances
 from .registry import query
 
@@ -330,6 +330,19 @@ def label_reader(spark, sf_dir):
         return cut(head.join(s, "video_stem").crossJoin(F.broadcast(rejects.agg(F.count("*").alias("n_rejects")))))
 
 
+@query("s2_media_index", """WITH f AS (SELECT concat(page_id, CASE page_id % 3 WHEN 0 THEN '.mp4' WHEN 1 THEN '.wav' ELSE '.txt' END) AS key, octet_length(encode(coalesce(html, '')))::BIGINT AS size, page_id % 11 = 0 AS plain FROM pages) SELECT key, size, NOT plain AS archived FROM f WHERE NOT ends_with(key, '.txt')""")
+def media(spark, sf_dir):
+    """The pages as media files in seven archives, every eleventh as a file of its own; what the index finds."""
+    ext = F.when(F.col("page_id") % 3 == 0, ".MP4").when(F.col("page_id") % 3 == 1, ".wav").otherwise(".txt")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.col("page_id").cast("string"), ext).alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    plain = F.col("page_id") % 11 == 0
+    packed = rows.filter(~plain).groupBy((F.col("page_id") % 7).alias("a")).agg(archive_bytes(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("d/"), "name").alias("name"), "content")))).alias("content"))
+    with shared_folder(spark, "media") as folder:
+        write_files(rows.filter(plain), folder)
+        write_files(packed.select(F.concat(F.lit("part"), F.col("a").cast("string"), F.lit(".tar")).alias("name"), "content"), folder)
+        return cut(media_index(spark, folder).select("key", "size", F.col("offset").isNotNull().alias("archived")))
+
+
 def feature_files(spark, sf_dir) -> DataFrame:
     """A feature file (name, content) for each user: a frame for each event; every ninth user's cues are too narrow."""
     w = F.array_sort(F.collect_list(F.struct("event_id", "value", (F.col("event_type") != "error").alias("valid"))))

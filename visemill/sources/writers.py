@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tarfile
 import time
 from collections.abc import Iterator
 
@@ -114,6 +115,22 @@ def feature_bytes(lm: pd.Series, cue: pd.Series, valid: pd.Series, audio: pd.Ser
     return pd.Series([one(*x) for x in zip(lm, cue, valid, audio)])
 
 
+@F.pandas_udf(T.BinaryType())
+def archive_bytes(members: pd.Series) -> pd.Series:
+    """The content of a tar archive of members (name, content), in the order given."""
+
+    def one(parts) -> bytes:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for p in parts:
+                info = tarfile.TarInfo(p["name"])
+                info.size = len(p["content"])
+                tar.addfile(info, io.BytesIO(p["content"]))
+        return out.getvalue()
+
+    return members.map(one)
+
+
 def write_files(rows: DataFrame, folder: str) -> int:
     """Write each of ``rows(name, content)`` as a file of its own into a shared folder; how many there were. A task that is run
     again writes the same files again."""
