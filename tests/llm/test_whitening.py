@@ -93,7 +93,7 @@ def test_more_tasks_than_are_added_at_once(spark, small, monkeypatch):
     import visemill.llm.whitening as m
 
     df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(small)], "vec_id long, embedding array<float>").repartition(9)
-    monkeypatch.setattr(m, "TASK_BYTES", 600)
+    monkeypatch.setattr(m, "TASK_BYTES", 60)
     monkeypatch.setattr(m, "DIRECT", 2)
     monkeypatch.setattr(m, "BLOCK_ROWS", 7)
     x = np.floor(64 * small.astype(np.float64)).astype(np.int64) + 1_000_000

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .scratch import cut
 
 BLOCK_ROWS = 4096
-#: Bytes of blocks that one task reads in a pass, and tasks whose sums are added on the driver without a stage between.
+#: Bytes of blocks for each task, below which data are dealt anew, and tasks whose sums are added on the driver without a
+#: stage between.
 TASK_BYTES, DIRECT = 128 << 20, 64
 #: Integers beyond this are set to it: 64 * entry stays exact.
 LARGEST = 1 << 52
@@ -103,9 +104,10 @@ def blocks_of(vectors: DataFrame, scale: int, shift: int) -> tuple[DataFrame, in
                         [pa.array([v.tobytes()], pa.binary()) for v in (ids.fill_null(0).to_numpy(), known)] + [pa.array([len(x)], pa.int32()), pa.array([small.tobytes()], pa.binary())], ["ids", "valid", "rows", "data"]
                     )
 
-    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, math.ceil(n * dims * 4 / TASK_BYTES))
+    parallel, size = vectors.sparkSession.sparkContext.defaultParallelism, n * dims * 4
     packed = raw.mapInArrow(pack, BLOCK)
-    blocks = cut(packed.repartition(tasks) if n * dims * 4 < TASK_BYTES * tasks else packed)
+    # small data, maybe of many small files, are dealt evenly to as many tasks as run at once; large ones stay where they were read
+    blocks = cut(packed.repartition(parallel) if size < TASK_BYTES * parallel else packed)
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [0] * dims
