@@ -198,7 +198,7 @@ def _tally(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, np.bincount(at, weights=trained, minlength=len(keys)).astype(np.int64)
 
 
-def score_documents(docs: DataFrame, depth: int = 5) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = 6) -> DataFrame:
     """Score every row of ``docs``: its other columns, held_out, n_tokens, n_known, train_tokens, base_score, score,
     n_text_bytes and bits_per_byte.
 
@@ -246,28 +246,30 @@ def score_documents(docs: DataFrame, depth: int = 5) -> DataFrame:
     def merge(table: pa.Table) -> pa.Table:
         keys, counts = opened(table)
         keys, count = _distinct(list(zip(keys, counts)))
-        return pa.table({"gram": pa.array(unmix(keys).view(np.int64)), "n": pa.array(count)})
+        gram = unmix(keys)
+        by = np.argsort(gram)
+        return _packed("last", gram[by], (gram[by] >> U64(8 * (depth - 1))).astype(np.int64), count[by].astype("<i8"), "n")
 
-    grams = asked.filter(f"kind = {GRAM}").groupBy("part").applyInArrow(merge, "gram long, n long")
-    grams = grams.withColumn("last", F.shiftrightunsigned("gram", 8 * (depth - 1)))
+    grams = asked.filter(f"kind = {GRAM}").groupBy("part").applyInArrow(merge, "last long, grams binary, n binary")
 
     def grow(table: pa.Table) -> pa.Table:
-        key, n = table.column("gram").to_numpy().view(U64), table.column("n").to_numpy()
+        key = np.concatenate([_unpack_grams(x.as_py()) for x in table.column("grams")])
+        n = np.concatenate([np.frombuffer(unpack_bytes(x.as_py()), "<i8") for x in table.column("n")])
         by = np.argsort(key)
         key, n = key[by], n[by]
         p, root, node = subtree(key, n, depth)
-        c1 = int(key[0] >> U64(8 * depth)) & 255
-        return pa.table({
-            "gram": pa.array(np.concatenate([key.view(np.int64), np.full(len(node), c1)])),
-            "node": pa.array(np.concatenate([np.full(len(key), -1), node]), pa.int32()),
-            "p": pa.array([r.tobytes() for r in p.astype(np.float32)] + [None] * len(node), pa.binary()),
-            "zeros": pa.array(np.concatenate([np.zeros(len(key), np.int64), root.zeros])),
-            "ones": pa.array(np.concatenate([np.zeros(len(key), np.int64), root.ones])),
-            "weighted": pa.array(np.concatenate([np.zeros(len(key)), root.weighted])),
+        told = _packed("part", key, (mix(key) >> U64(64 - bits)).astype(np.int64), p.astype("<f4"), "p")
+        up = pa.table({
+            "c1": pa.array(np.full(len(node), int(key[0] >> U64(8 * depth)) & 255), pa.int32()),
+            "node": pa.array(node, pa.int32()),
+            "zeros": pa.array(root.zeros),
+            "ones": pa.array(root.ones),
+            "weighted": pa.array(root.weighted),
         })
+        return pa.concat_tables([told, up], promote_options="default").select(["part", "grams", "p", "c1", "node", "zeros", "ones", "weighted"])
 
-    grown = cut(grams.groupBy("last").applyInArrow(grow, "gram long, node int, p binary, zeros long, ones long, weighted double"))
-    near = grown.filter("node >= 0").groupBy("gram", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect()
+    grown = cut(grams.groupBy("last").applyInArrow(grow, "part long, grams binary, p binary, c1 int, node int, zeros long, ones long, weighted double"))
+    near = grown.filter("node is not null").groupBy("c1", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect()
     top = docs.sparkSession.sparkContext.broadcast(top_levels(near))
 
     def finish(key: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -286,15 +288,15 @@ def score_documents(docs: DataFrame, depth: int = 5) -> DataFrame:
     def answer_grams(asked: pa.Table, known: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "part": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
-        key = known.column("gram").to_numpy().view(U64)
-        p = np.frombuffer(b"".join(known.column("p").to_pylist()), np.float32).reshape(-1, 8).astype(np.float64)
-        h, value = mix(key), finish(key, p).astype(np.float32)
+        found = [(_unpack_grams(g.as_py()), np.frombuffer(unpack_bytes(p.as_py()), "<f4").reshape(8, -1).T) for g, p in zip(known.column("grams"), known.column("p"))]
+        h = mix(np.concatenate([key for key, _ in found]))
+        value = np.concatenate([finish(key, p.astype(np.float64)).astype(np.float32) for key, p in _few(found)])
         by = np.argsort(h)
         h, value = h[by], value[by]
         keys, _ = opened(asked)
         return _answers(asked, GRAM, [pack_bytes(value[np.searchsorted(h, k)].tobytes()) for k in keys])
 
-    told = grown.filter("node = -1").select("gram", "p").mapInArrow(_part_of(bits), "gram long, p binary, part long")
+    told = grown.filter("node is null").select("part", "grams", "p")
     to_grams = asked.filter(f"kind = {GRAM}").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(answer_grams, ANSWER)
 
     def answer_words(table: pa.Table) -> pa.Table:
@@ -370,13 +372,35 @@ def _answers(asked: pa.Table, kind: int, data: list[bytes]) -> pa.Table:
     return pa.table({"block": asked.column("block"), "kind": pa.array(np.full(len(data), kind), pa.int32()), "part": asked.column("part"), "data": pa.array(data, pa.binary())})
 
 
-def _part_of(bits: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = mix(batch.column("gram").to_numpy().view(U64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((h >> U64(64 - bits)).astype(np.int64))], ["gram", "p", "part"])
-
-    return run
+def _packed(name: str, grams: np.ndarray, group: np.ndarray, values: np.ndarray, value: str) -> pa.Table:
+    """A row for each of the groups (column ``name``) of the sorted grams: their differences and values, compressed."""
+    by = np.argsort(group, kind="stable")
+    grams, group, values = grams[by], group[by], values[by]
+    border = np.flatnonzero(np.diff(group, prepend=-1))
+    pairs = list(zip(border, np.append(border[1:], len(group))))
+    return pa.table({
+        name: pa.array(group[border], pa.int64()),
+        "grams": pa.array([pack_bytes(np.diff(grams[a:b], prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()) for a, b in pairs], pa.binary()),
+        value: pa.array([pack_bytes(np.ascontiguousarray(values[a:b].T).tobytes()) for a, b in pairs], pa.binary()),
+    })
+
+
+def _unpack_grams(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unpack_bytes(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=U64)
+
+
+def _few(found: list[tuple[np.ndarray, np.ndarray]], at_once: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same grams and decisions, in order, small arrays joined until they hold ``at_once`` grams."""
+    held, n = [], 0
+    for one in found:
+        held.append(one)
+        n += len(one[0])
+        if n >= at_once:
+            yield np.concatenate([k for k, _ in held]), np.concatenate([p for _, p in held])
+            held, n = [], 0
+    if held:
+        yield np.concatenate([k for k, _ in held]), np.concatenate([p for _, p in held])
 
 
 def top_levels(rows: list) -> tuple[Level, Level]:
