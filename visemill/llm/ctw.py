@@ -36,16 +36,6 @@ GRAM, WORD = 0, 1
 BLOCK_BITS = 4
 
 
-def unmix(x: np.ndarray) -> np.ndarray:
-    """Inverse of ``mix``."""
-    x = x ^ (x >> U64(33))
-    x = x * U64(pow(0xC4CEB9FE1A85EC53, -1, 1 << 64))
-    x ^= x >> U64(33)
-    x *= U64(pow(0xFF51AFD7ED558CCD, -1, 1 << 64))
-    x ^= x >> U64(33)
-    return x
-
-
 def held_out_rows(s: Slice) -> np.ndarray:
     ids = s.rows.column("doc_id").to_pylist()
     return np.array([i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i in ids], dtype=bool)
@@ -211,7 +201,15 @@ def score_documents(docs: DataFrame, depth: int = 6) -> DataFrame:
     if not 2 < depth <= 7:
         raise ValueError("depth must be 3 to 7")
     chunks = chunk_documents(docs)
-    bits = key_bits(chunks, 0.05)
+    bits = key_bits(chunks, 0.07)
+
+    def part_of(gram: np.ndarray) -> np.ndarray:
+        """Grams after the same four bytes are of one part, so that they compress well beside each other."""
+        return (mix(gram >> U64(8 * max(depth - 3, 0))) >> U64(64 - bits)).astype(np.int64)
+
+    def request_rows(kind: int, block: int, parts: np.ndarray, keys: pa.Array, counts: pa.Array) -> Iterator[pa.RecordBatch]:
+        n = len(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), pa.array(parts, pa.int64()), pa.array(np.full(n, block), pa.int64()), keys, counts, pa.array(np.zeros(n), pa.int64())], ["kind", "part", "block", "keys", "counts", "ends"])
 
     def request(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, slices in _whole_blocks(batches):
@@ -223,17 +221,16 @@ def score_documents(docs: DataFrame, depth: int = 6) -> DataFrame:
                 blocks, at = grams_of(text, off, depth)
                 trained, done = np.repeat(train, np.diff(at)), 0
                 for key in blocks:
-                    grams.append(_tally(mix(key), trained[done : done + len(key)]))
+                    grams.append(_tally(key, trained[done : done + len(key)]))
                     done += len(key)
                 words.append(_tally(word, np.repeat(train, np.diff(bounds))))
-            for kind, found in ((GRAM, grams), (WORD, words)):
-                keys, count = _distinct(found)
-                parts, border = split_by_part(keys, bits)
-                pairs = list(zip(border[:-1], border[1:]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(parts), kind), pa.int32()), pa.array(parts, pa.int64()), pa.array(np.full(len(parts), block), pa.int64()), pa.array([pack_keys(keys[a:b], bits) for a, b in pairs], pa.binary()), pa.array([pack_bytes(count[a:b].astype("<i4").tobytes()) for a, b in pairs], pa.binary()), pa.array(np.zeros(len(parts)), pa.int64())],
-                    ["kind", "part", "block", "keys", "counts", "ends"],
-                )
+            keys, count = _distinct(grams)
+            sent = _packed("part", keys, part_of(keys), count.astype("<i4"), "counts")
+            yield from request_rows(GRAM, block, sent.column("part").to_numpy(), sent.column("grams").combine_chunks(), sent.column("counts").combine_chunks())
+            keys, count = _distinct(words)
+            parts, border = split_by_part(keys, bits)
+            pairs = list(zip(border[:-1], border[1:]))
+            yield from request_rows(WORD, block, parts, pa.array([pack_keys(keys[a:b], bits) for a, b in pairs], pa.binary()), pa.array([pack_bytes(count[a:b].astype("<i4").tobytes()) for a, b in pairs], pa.binary()))
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([block], pa.int64()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([ends], pa.int64())], ["kind", "part", "block", "keys", "counts", "ends"])
 
     requests = cut(chunks.mapInArrow(request, "kind int, part long, block long, keys binary, counts binary, ends long"))
@@ -244,11 +241,8 @@ def score_documents(docs: DataFrame, depth: int = 6) -> DataFrame:
         return [unpack_keys(k.as_py(), part, bits) for k in table.column("keys")], [np.frombuffer(unpack_bytes(c.as_py()), "<i4") for c in table.column("counts")]
 
     def merge(table: pa.Table) -> pa.Table:
-        keys, counts = opened(table)
-        keys, count = _distinct(list(zip(keys, counts)))
-        gram = unmix(keys)
-        by = np.argsort(gram)
-        return _packed("last", gram[by], (gram[by] >> U64(8 * (depth - 1))).astype(np.int64), count[by].astype("<i8"), "n")
+        gram, count = _distinct([(_unpack_grams(k.as_py()), np.frombuffer(unpack_bytes(c.as_py()), "<i4")) for k, c in zip(table.column("keys"), table.column("counts"))])
+        return _packed("last", gram, (gram >> U64(8 * (depth - 1))).astype(np.int64), count.astype("<i8"), "n")
 
     grams = asked.filter(f"kind = {GRAM}").groupBy("part").applyInArrow(merge, "last long, grams binary, n binary")
 
@@ -258,7 +252,7 @@ def score_documents(docs: DataFrame, depth: int = 6) -> DataFrame:
         by = np.argsort(key)
         key, n = key[by], n[by]
         p, root, node = subtree(key, n, depth)
-        told = _packed("part", key, (mix(key) >> U64(64 - bits)).astype(np.int64), p.astype("<f4"), "p")
+        told = _packed("part", key, part_of(key), p.astype("<f4"), "p")
         up = pa.table({
             "c1": pa.array(np.full(len(node), int(key[0] >> U64(8 * depth)) & 255), pa.int32()),
             "node": pa.array(node, pa.int32()),
@@ -289,15 +283,14 @@ def score_documents(docs: DataFrame, depth: int = 6) -> DataFrame:
         if not asked.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "part": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
         found = [(_unpack_grams(g.as_py()), np.frombuffer(unpack_bytes(p.as_py()), "<f4").reshape(8, -1).T) for g, p in zip(known.column("grams"), known.column("p"))]
-        h = mix(np.concatenate([key for key, _ in found]))
-        value = np.concatenate([finish(key, p.astype(np.float64)).astype(np.float32) for key, p in _few(found)])
-        by = np.argsort(h)
-        h, value = h[by], value[by]
-        keys, _ = opened(asked)
-        return _answers(asked, GRAM, [pack_bytes(value[np.searchsorted(h, k)].tobytes()) for k in keys])
+        gram = np.concatenate([key for key, _ in found])
+        value = np.concatenate([finish(key, p.astype(np.float64)).astype("<f4") for key, p in _few(found)])
+        by = np.argsort(gram)
+        gram, value = gram[by], value[by]
+        return _answers(asked, GRAM, [_planes(value[np.searchsorted(gram, _unpack_grams(k.as_py()))]) for k in asked.column("keys")])
 
     told = grown.filter("node is null").select("part", "grams", "p")
-    to_grams = asked.filter(f"kind = {GRAM}").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(answer_grams, ANSWER)
+    to_grams = asked.filter(f"kind = {GRAM}").select("part", "block", "keys").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(answer_grams, ANSWER)
 
     def answer_words(table: pa.Table) -> pa.Table:
         keys, counts = opened(table)
@@ -322,17 +315,18 @@ def score_documents(docs: DataFrame, depth: int = 6) -> DataFrame:
         for s in slices:
             text, off, word, bounds = words_of(s)
             blocks, at = grams_of(text, off, depth)
-            kinds = [np.unique(mix(key), return_inverse=True) for key in blocks]
+            kinds = [np.unique(key, return_inverse=True) for key in blocks]
             kinds = [(key, back.astype(np.int32)) for key, back in kinds]
             word, word_back = np.unique(word, return_inverse=True)
             prepared.append((s, off, kinds, at, word, word_back.astype(np.int32), bounds))
             gram_keys += [key for key, _ in kinds]
             word_keys.append(word)
-        values = {}
-        for kind, keys, dtype in ((GRAM, gram_keys, np.float32), (WORD, word_keys, "<i8")):
-            keys = np.unique(np.concatenate(keys))
-            data = [np.frombuffer(unpack_bytes(d), dtype) for _, d in sorted(replies[kind])]
-            values[kind] = keys, np.concatenate(data) if data else np.zeros(0, dtype)
+        keys = np.unique(np.concatenate(gram_keys))
+        value = np.zeros(len(keys), "<f4")
+        value[np.argsort(part_of(keys), kind="stable")] = np.concatenate([_from_planes(d, "<f4") for _, d in sorted(replies[GRAM])] or [value])
+        values = {GRAM: (keys, value)}
+        data = [np.frombuffer(unpack_bytes(d), "<i8") for _, d in sorted(replies[WORD])]
+        values[WORD] = np.unique(np.concatenate(word_keys)), np.concatenate(data) if data else np.zeros(0, "<i8")
         out = []
         for s, off, kinds, at, word, word_back, bounds in prepared:
             keys, value = values[GRAM]
@@ -380,14 +374,23 @@ def _packed(name: str, grams: np.ndarray, group: np.ndarray, values: np.ndarray,
     pairs = list(zip(border, np.append(border[1:], len(group))))
     return pa.table({
         name: pa.array(group[border], pa.int64()),
-        "grams": pa.array([pack_bytes(np.diff(grams[a:b], prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()) for a, b in pairs], pa.binary()),
+        "grams": pa.array([_planes(np.diff(grams[a:b], prepend=U64(0)).astype("<u8")) for a, b in pairs], pa.binary()),
         value: pa.array([pack_bytes(np.ascontiguousarray(values[a:b].T).tobytes()) for a, b in pairs], pa.binary()),
     })
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Compressed: the first bytes of all values, then the second ones, ..."""
+    return pack_bytes(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()) if len(values) else b""
+
+
+def _from_planes(data: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(unpack_bytes(data) if data else b"", np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
 def _unpack_grams(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(unpack_bytes(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=U64)
+    return np.cumsum(_from_planes(data, "<u8"), dtype=U64)
 
 
 def _few(found: list[tuple[np.ndarray, np.ndarray]], at_once: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
