@@ -17,7 +17,7 @@ s = Slice(data, np.array([0, len(data)]), np.array([False]), pa.RecordBatch.from
 """
 WORK = {
     "op1": "import public_tokenizers; from visemill.llm.packing import WordEncoder; WordEncoder(public_tokenizers.path('word_bpe_49k.json')).encode(s.buf, s.off)",
-    "op2": "from visemill.llm import ctw as m; text, off, word, _ = m.words_of(s); [m._tally(m.mix(k), np.ones(len(k))) for k in m.grams_of(text, off, 5)[0]]",
+    "op2": "from visemill.llm import ctw as m; text, off, word, _ = m.words_of(s); [m._tally(k, np.ones(len(k))) for k in m.grams_of(text, off, 6)[0]]",
     "op5": "from visemill.llm.suffix import anchors; np.unique(anchors(s, 50)[0], return_inverse=True)",
     "op8": "from visemill.llm.postings import words_of; np.unique(words_of(s.buf, s.off).hashes(), return_counts=True)",
     "op9": "from visemill.llm.windows import window_hashes; np.unique(window_hashes(s, 35)[2], return_inverse=True, return_counts=True)",

@@ -4,7 +4,7 @@ A byte is eight binary decisions; each decision node has a context tree over the
 counts of zeros and ones. A node's weighted probability is half its Krichevsky-Trofimov estimate and half the product of
 its children's, so the prediction mixes the estimates of all depths, each with its posterior weight.
 
-Spark counts the distinct grams (context and next byte) of bounded blocks of text, merges them by hashed key, builds the
+Spark counts the distinct grams (context and next byte) of bounded blocks of text, merges them by their contexts, builds the
 subtrees below the last two bytes side by side, and sends every block the log-probabilities of its own grams. What
 passes through the driver are the nodes of depth one, at most 256 * 255.
 """
