@@ -94,3 +94,59 @@ def test_audio_frames(spark):
     got = values(spark, [(399,), (400,), (880,), (16000,)], "n long", labels.audio_frames(F.col("n")))
     assert [g[0] for g in got] == [0, 0, 1, 24]
     assert np.isfinite([g[0] for g in got]).all()
+
+
+def test_a_batch_of_texts_is_handed_back_in_parts():
+    import pyarrow as pa
+
+    rows = ["각 가." * 20_000, None, "", "가나" * 90_000, "a"] * 3
+    for work, size in ((text.text_groups, 8), (text.jamo_ids, 1), (text.nfc, 1)):
+        parts = list(work.func(iter([pa.array(rows)])))
+        assert sum(map(len, parts)) == len(rows) and len(parts) > 5
+    ids = pa.concat_arrays(list(text.jamo_ids.func(iter([pa.array(rows)]))))
+    back = list(text.jamo_text.func(iter([ids.slice(1)])))
+    assert len(back) > 5 and pa.concat_arrays(back).to_pylist() == [r if r != "a" else "X" for r in rows[1:]]
+
+
+def test_jamo_text_of_odd_orders():
+    import random
+
+    import pyarrow as pa
+
+    def decode(ids):
+        out, held = [], []
+
+        def flush():
+            if len(held) == 2:
+                out.append(chr(0xAC00 + (held[0] * 21 + held[1]) * 28))
+            elif held:
+                out.append(text.INITIALS[held[0]])
+            held.clear()
+
+        for i in ids:
+            if 6 <= i < 25:
+                flush()
+                held.append(i - 6)
+            elif 25 <= i < 46 and len(held) == 1:
+                held.append(i - 25)
+            elif 25 <= i < 46:
+                flush()
+                out.append(text.VOWELS[i - 25])
+            elif 46 <= i < 73 and len(held) == 2:
+                out.append(chr(0xAC00 + (held[0] * 21 + held[1]) * 28 + i - 45))
+                held.clear()
+            elif 46 <= i < 73:
+                flush()
+                out.append(text.FINALS[i - 46])
+            elif i == 3:
+                break
+            elif i in (4, 5) or 73 <= i < 77:
+                flush()
+                out.append("X" if i == 4 else " " if i == 5 else text.STOPS[i - 73])
+        flush()
+        return "".join(out)
+
+    r = random.Random(5)
+    rows = [[r.choice([r.randrange(4 if r.random() < 0.1 else 80), r.randrange(6, 25), r.randrange(25, 46), r.randrange(46, 73)]) for _ in range(r.randrange(12))] for _ in range(2000)]
+    got = pa.concat_arrays(list(text.jamo_text.func(iter([pa.array(rows, pa.list_(pa.int32()))]))))
+    assert got.to_pylist() == [decode(x) for x in rows]
