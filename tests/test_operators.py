@@ -592,3 +592,22 @@ def test_leakage_and_leaking_clips(spark):
 def test_negatives_fall_back_to_sessions(spark):
     two = spark.createDataFrame([("a", 1), ("b", 1)], "speaker string, session int")
     assert P.negative_columns(two) == "speaker" and P.negative_columns(two.filter("speaker = 'a'")) == "session"
+
+
+def test_batches_of_pairs_are_compared_and_aligned_together():
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abc가") for _ in range(r.randrange(n)))
+    texts = [(a, word(150) if r.random() < 0.3 else a.replace("ab", "b").replace("c", "cc")) for a in (word(150) for _ in range(150))] + [("", "ab"), ("ab", ""), (None, "a"), ("x" * 2500, "x" * 2400 + "y")]
+    got = X.char_edits.func(*(pa.array(c) for c in zip(*texts))).to_pylist()
+    assert got == [None if a is None or b is None else X.char_distance(a, b) for a, b in texts]
+    pairs = [tuple(np.array([ord(c) for c in t], dtype=np.int64) for t in p) for p in texts[:150]]
+    for (a, b), steps in zip(pairs, X._all_ways([p[0] for p in pairs], [p[1] for p in pairs])):
+        i, j, cost = 0, 0, 0
+        for s in steps:
+            cost += s != X.BOTH or a[i] != b[j]
+            i, j = i + (s != X.HYP), j + (s != X.REF)
+        assert (i, j, cost) == (len(a), len(b), X.char_distance("".join(map(chr, a)), "".join(map(chr, b))))

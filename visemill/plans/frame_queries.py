@@ -9,7 +9,7 @@ from ..operators import alignment as A
 from ..operators import intervals as I
 from ..operators.metrics import edits
 from ..sources.writers import srt_cues
-from .adapters import FRAMES, LONGEST, REFS, SENT, UTT, frames, references, sentences, single_bytes, table, utterances
+from .adapters import FRAMES, REFS, SENT, UTT, frames, references, sentences, single_bytes, table, utterances
 from .registry import query
 
 R = lambda n, k=6: F.round(n, k).alias(n)
@@ -420,7 +420,7 @@ def pixels(spark, sf_dir):
 
 @query("t3_worst_and_typical", f"""WITH {REFS}, e AS (SELECT speaker, utt_id, piece, levenshtein({single_bytes('ref')}, {single_bytes('hyp')}) AS edits FROM refs), m AS (SELECT speaker, quantile_cont(edits, 0.5) AS m FROM e GROUP BY 1), r AS (SELECT e.speaker, utt_id, piece, row_number() OVER (PARTITION BY e.speaker ORDER BY edits DESC, utt_id, piece) AS a, row_number() OVER (PARTITION BY e.speaker ORDER BY abs(edits - m), utt_id, piece) AS b FROM e JOIN m USING (speaker)) SELECT speaker, max(CASE WHEN a = 1 THEN utt_id END) AS worst, max(CASE WHEN a = 1 THEN piece END) AS worst_piece, max(CASE WHEN b = 1 THEN utt_id END) AS typical, max(CASE WHEN b = 1 THEN piece END) AS typical_piece FROM r GROUP BY 1""")
 def worst(spark, sf_dir):
-    e = references(spark, sf_dir).select("speaker", "utt_id", "piece", edits(F.col("ref"), F.col("hyp"), LONGEST).alias("edits"))
+    e = references(spark, sf_dir).select("speaker", "utt_id", "piece", edits(F.col("ref"), F.col("hyp")).alias("edits"))
     m = e.groupBy("speaker").agg(F.median("edits").alias("m"))
     of = F.struct("utt_id", "piece")
     out = e.join(m, "speaker").groupBy("speaker").agg(F.min_by(of, F.struct(-F.col("edits"), "utt_id", "piece")).alias("w"), F.min_by(of, F.struct(F.abs(F.col("edits") - F.col("m")), "utt_id", "piece")).alias("t"))
