@@ -46,7 +46,7 @@ def durations(spark, sf_dir):
    sum((o_orderkey % 1500 > 1920)::INT + (CAST(o_totalprice AS BIGINT) % 2500 > 1080)::INT) AS yx FROM orders GROUP BY 1)
  SELECT o_custkey, n AS n_boxes, CASE WHEN xy < yx THEN 'xy' ELSE 'yx' END AS box_order FROM b""")
 def box_orders(spark, sf_dir):
-    box = F.expr("array(0, 0, CAST(CAST(o_totalprice AS BIGINT) % 2500 AS INT), CAST(o_orderkey % 1500 AS INT))")
+    box = F.expr("array(0, 0, CAST(CAST(rint(o_totalprice) AS BIGINT) % 2500 AS INT), CAST(o_orderkey % 1500 AS INT))")  # the nearest whole number, as in SQL
     rows = table(spark, sf_dir, "orders").withColumn("box", box).groupBy("o_custkey").agg(F.collect_list("box").alias("boxes"))
     return rows.select("o_custkey", F.size("boxes").cast("long").alias("n_boxes"), labels.bbox_order(F.col("boxes"), F.lit(1920), F.lit(1080)).alias("box_order"))
 
