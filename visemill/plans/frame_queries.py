@@ -413,7 +413,7 @@ def lag_agreement(spark, sf_dir):
 @query("w16_pixel_z_scores", """WITH p AS (SELECT vec_id, label, unnest(list_transform(embedding, lambda x: CAST(floor(abs(x) * 1000) AS BIGINT) % 256)) AS p, generate_subscripts(embedding, 1) AS i FROM embeddings), u AS (SELECT vec_id, label, i, p / 255e0 AS p FROM p), s AS (SELECT label, avg(p) AS m, greatest(stddev_pop(p), 1e-3) AS sd FROM u GROUP BY 1)
  SELECT vec_id, round(sum((p - m) / sd), 5) AS total, round(max((p - m) / sd), 5) AS top FROM u JOIN s USING (label) GROUP BY 1""")
 def pixels(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000) % 256).alias("pixels"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(F.abs(x) * F.lit(1000).cast("float")) % 256).alias("pixels"))
     out = I.pixel_z_scores(rows, "label")
     return out.select("vec_id", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(F.array_max("pixels"), 5).alias("top"))
 
