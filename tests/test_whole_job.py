@@ -167,3 +167,25 @@ def test_every_event_counts(spark, tmp_path):
     got = {(x["bilabial"], x["offset"]): (x["n"], x["mean"]) for x in rows_of(spark, "a22_profile", tmp_path)}
     assert got == {k: (len(v), pytest.approx(sum(v) / len(v), abs=1e-5)) for k, v in profile.items()}
     assert {x["split"] for x in rows_of(spark, "a28_subgroups", tmp_path)} == {0, 1, 2}
+
+
+def test_boxes_by_the_nearest_whole_number(spark, tmp_path):
+    spark.createDataFrame([(1, 7, 1920.6), (1, 8, 1920.6), (2, 9, 1080.5)], "o_custkey long, o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r["o_custkey"]: (r["n_boxes"], r["box_order"]) for r in rows_of(spark, "p3_bbox_order", tmp_path)} == {1: (2, "yx"), 2: (1, "yx")}
+
+
+def test_pixels_in_the_precision_of_the_vectors(spark, tmp_path):
+    import numpy as np
+
+    x = next(float(v) for v in (np.float32(k / 1000) for k in range(1, 2000)) if int(v * np.float32(1000)) != int(float(v) * 1000))
+    spark.createDataFrame([(0, "a", [x, 0.0, 0.5])], "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    p = np.array([int(np.float32(x) * np.float32(1000)) % 256, 0, 500 % 256]) / 255
+    got, = rows_of(spark, "w16_pixel_z_scores", tmp_path)
+    assert got["total"] == pytest.approx(0, abs=1e-5) and got["top"] == pytest.approx(((p - p.mean()) / max(p.std(), 1e-3)).max(), abs=1e-5)
+
+
+def test_label_documents_of_equal_names_stay_apart(spark, tmp_path):
+    turns = [(c, t, "user", None if t == 1 else "x") for c in (1000, 10000) for t in range(3)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = rows_of(spark, "s1_label_reader", tmp_path)
+    assert [(r["video_stem"], r["n"], r["sentence_ids"], r["n_texts"]) for r in got] == [("lip_J_1_F_02_C000_A_100", 3, "0,1,2", 2)] * 2
