@@ -611,3 +611,19 @@ def test_batches_of_pairs_are_compared_and_aligned_together():
             cost += s != X.BOTH or a[i] != b[j]
             i, j = i + (s != X.HYP), j + (s != X.REF)
         assert (i, j, cost) == (len(a), len(b), X.char_distance("".join(map(chr, a)), "".join(map(chr, b))))
+
+
+def test_lip_events_and_label_shifts_broadcast_nothing(spark):
+    from visemill.operators import alignment as A
+    from visemill.operators import segments as G
+
+    events = spark.createDataFrame([(1, 7, 62), (1, 8, 0)], "u long, event long, k0 long")
+    frames = spark.createDataFrame([(1, k, float((k * 7) % 11)) for k in range(55, 70)], "u long, k long, z double")
+    out = A.lip_events(events, frames, "u", 4, 2, 3)
+    v = {k - 62: float((k * 7) % 11) for k in range(55, 70)}
+    low = min(range(-4, 3), key=lambda o: (v[o], o))
+    rise = min(range(low + 1, low + 4), key=lambda o: (v[o - 1] - v[o], o)) - 0.5
+    assert [tuple(r) for r in out.collect()] == [(1, 7, low, low in (-4, 2), rise)]
+    sentences = spark.createDataFrame([(1, 1.0, 2.0)], "video_stem long, start_s double, end_s double")
+    shift = G.label_shift(sentences, frames.selectExpr("u AS video_stem", "k", "z AS db"))
+    assert all("Broadcast" not in df._jdf.queryExecution().toString() for df in (out, shift))
