@@ -627,3 +627,10 @@ def test_lip_events_and_label_shifts_broadcast_nothing(spark):
     sentences = spark.createDataFrame([(1, 1.0, 2.0)], "video_stem long, start_s double, end_s double")
     shift = G.label_shift(sentences, frames.selectExpr("u AS video_stem", "k", "z AS db"))
     assert all("Broadcast" not in df._jdf.queryExecution().toString() for df in (out, shift))
+
+
+def test_syllables_of_a_text_are_found_without_a_shuffle(spark):
+    rows = spark.sql("SELECT 'u' AS utt_id, 70 AS n_frames, array(named_struct('char', '가', 'kind', 'syl', 'first', 0, 'last', 2), named_struct('char', ' ', 'kind', 'space', 'first', 2, 'last', 3), named_struct('char', '나', 'kind', 'syl', 'first', 3, 'last', 5)) AS groups, transform(sequence(0, 4), i -> struct(i AS id, i * 10 AS first, i * 10 + 4 AS last, -0.1D AS logprob)) AS tokens")
+    out = G.syllable_records(rows, 50.0)
+    assert [(r.pos, r.char, r.word, r.start_s, r.end_s, r.ext_end_s, r.ext_capped) for r in out.collect()] == [(0, "가", 0, 0.0, 0.3, 0.6, False), (2, "나", 1, 0.6, 0.9, 1.3, True)]
+    assert "Exchange" not in out._jdf.queryExecution().toString()
