@@ -634,3 +634,11 @@ def test_syllables_of_a_text_are_found_without_a_shuffle(spark):
     out = G.syllable_records(rows, 50.0)
     assert [(r.pos, r.char, r.word, r.start_s, r.end_s, r.ext_end_s, r.ext_capped) for r in out.collect()] == [(0, "가", 0, 0.0, 0.3, 0.6, False), (2, "나", 1, 0.6, 0.9, 1.3, True)]
     assert "Exchange" not in out._jdf.queryExecution().toString()
+
+
+def test_label_shift_takes_sums_for_equal_that_differ_in_the_last_digit(spark):
+    levels = spark.createDataFrame([(1, k, 0.1 * (k % 7)) for k in range(2000)], "video_stem long, k long, db double")
+    sentences = spark.createDataFrame([(1, 3.0 + 0.7 * n, 3.35 + 0.7 * n) for n in range(20)], "video_stem long, start_s double, end_s double")
+    # levels come again every 7 frames and a step is two, so shifts that are seven steps apart score alike: the earliest counts
+    row, = G.label_shift(sentences, levels, gain=0.0).collect()
+    assert -0.8 <= row["shift"] < -0.8 + 7 * 0.02 - 1e-9
