@@ -3,10 +3,12 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
+from visemill.operators import segments as G
 from visemill.operators.metrics import char_distance
 from visemill.operators.metrics import edits as edits_of
 from visemill.plans import queries
@@ -189,3 +191,26 @@ def test_label_documents_of_equal_names_stay_apart(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = rows_of(spark, "s1_label_reader", tmp_path)
     assert [(r["video_stem"], r["n"], r["sentence_ids"], r["n_texts"]) for r in got] == [("lip_J_1_F_02_C000_A_100", 3, "0,1,2", 2)] * 2
+
+
+def test_forced_alignment_in_a_window_of_states(monkeypatch):
+    r = np.random.default_rng(5)
+    logp, targets = [], []
+    for k in range(120):
+        t = r.integers(1, 5, int(r.integers(0, 40)))
+        x = r.integers(-12, 0, (max(1, 3 * len(t) + int(r.integers(-3, 8))), 6)) / 3.0
+        for f in range(len(x)):
+            x[f, 0 if f % 3 == 2 or f // 3 >= len(t) else t[f // 3]] += (0, 4, 14)[k % 3]
+        logp.append(x), targets.append(t)
+    want = G.all_state_paths(logp, targets)
+    monkeypatch.setattr(G, "WINDOWS", (6, 16))
+    for a, b in zip(G.best_paths(logp, targets), want):
+        assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1], equal_nan=True) and a[2] == b[2]
+    # thousands of clear frames are found within the window alone
+    monkeypatch.undo()
+    monkeypatch.setattr(G, "all_state_paths", None)
+    t = r.integers(1, 16, 2000)
+    x = np.full((6000, 16), -3.0)
+    x[np.arange(6000), np.where(np.arange(6000) % 3 == 2, 0, np.repeat(t, 3))] = -0.1
+    token, _, total = G.best_paths([x], [t])[0]
+    assert np.array_equal(token, np.where(np.arange(6000) % 3 == 2, -1, np.repeat(np.arange(2000), 3))) and total == pytest.approx(-600)
