@@ -1,5 +1,6 @@
 """Registered queries on small tables that hold what earlier cuts left out, against brute force."""
 
+import itertools
 import random
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from visemill.operators import metrics as M
 from visemill.operators import segments as G
 from visemill.operators.metrics import char_distance
 from visemill.operators.metrics import edits as edits_of
@@ -214,3 +216,17 @@ def test_forced_alignment_in_a_window_of_states(monkeypatch):
     x[np.arange(6000), np.where(np.arange(6000) % 3 == 2, 0, np.repeat(t, 3))] = -0.1
     token, _, total = G.best_paths([x], [t])[0]
     assert np.array_equal(token, np.where(np.arange(6000) % 3 == 2, -1, np.repeat(np.arange(2000), 3))) and total == pytest.approx(-600)
+
+
+def test_scenes_are_assigned_in_batches(spark):
+    r = np.random.default_rng(7)
+    scenes = [r.integers(0, 4, (k, k)) / 4.0 for k in (1, 2, 3, 2, 4, 3, 2)]  # ties too
+    rows = [(n, i, j, float(m[i, j])) for n, m in enumerate(scenes) for i in range(len(m)) for j in range(len(m))]
+    out = M.scene_assignments(spark.createDataFrame(rows, "scene int, face int, stream int, s double"), ["scene"])
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan  # no call of Python for each scene
+    got = {x.scene: (x.scene_right, x.stream_share) for x in out.collect()}
+    for n, m in enumerate(scenes):
+        best = max(itertools.permutations(range(len(m))), key=lambda p: sum(m[i, j] for i, j in enumerate(p)))
+        share = np.mean(np.array(best) == np.arange(len(m)))
+        assert got[n] == (share == 1, pytest.approx(share))
