@@ -230,3 +230,15 @@ def test_scenes_are_assigned_in_batches(spark):
         best = max(itertools.permutations(range(len(m))), key=lambda p: sum(m[i, j] for i, j in enumerate(p)))
         share = np.mean(np.array(best) == np.arange(len(m)))
         assert got[n] == (share == 1, pytest.approx(share))
+
+
+def test_alignments_of_many_utterances_in_a_file(spark, tmp_path):
+    from visemill.sources.readers import read_alignments
+    from visemill.sources.writers import write_alignments
+
+    rows = spark.range(0, 500, 1, 2).select(F.concat(F.lit("u\n\"가"), "id").alias("utt_id"), (F.col("id") % 2 == 0).alias("ok"))
+    write_alignments(rows, str(tmp_path / "a"), most=1500)
+    files = list((tmp_path / "a").glob("part-*"))
+    assert 10 < len(files) < 30
+    got = {r.utt_id: r.ok for r in read_alignments(spark, str(tmp_path / "a")).collect()}
+    assert got == {f"u\n\"가{k}": k % 2 == 0 for k in range(500)}

@@ -146,3 +146,23 @@ def write_files(rows: DataFrame, folder: str) -> int:
             yield pd.DataFrame({"n": [len(b)]})
 
     return rows.select("name", "content").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_alignments(records: DataFrame, path: str, most: int = 1 << 22) -> None:
+    """Alignment records as files of JSON arrays: as many successive records to a file as have ``most`` characters, one at least."""
+
+    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[str] = []
+        n = 0
+        for b in batches:
+            for record in b["value"]:
+                if held and n + len(record) > most:
+                    yield pd.DataFrame({"value": [f"[{','.join(held)}]"]})
+                    held, n = [], 0
+                held.append(record)
+                n += len(record)
+        if held:
+            yield pd.DataFrame({"value": [f"[{','.join(held)}]"]})
+
+    lines = records.select(F.to_json(F.struct(*records.columns)).alias("value"))
+    lines.mapInPandas(arrays, "value string").write.option("maxRecordsPerFile", 1).text(path)
