@@ -9,6 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from visemill.operators import alignment as A
 from visemill.operators import metrics as M
 from visemill.operators import segments as G
 from visemill.operators.metrics import char_distance
@@ -242,3 +243,14 @@ def test_alignments_of_many_utterances_in_a_file(spark, tmp_path):
     assert 10 < len(files) < 30
     got = {r.utt_id: r.ok for r in read_alignments(spark, str(tmp_path / "a")).collect()}
     assert got == {f"u\n\"가{k}": k % 2 == 0 for k in range(500)}
+
+
+def test_labels_end_with_the_frames(spark):
+    token = "array(named_struct('id', 7, 'start_s', start_s), named_struct('id', 30, 'start_s', start_s + 0.04D))"
+    rows = spark.range(3).selectExpr("id AS u", "explode(sequence(0, 4)) AS pos").selectExpr("u", "pos", "pos * 0.3D AS start_s", "pos * 0.3D + 0.2D AS end_s", "pos * 0.3D + 0.35D AS ext_end_s")
+    syllables = rows.selectExpr("*", f"{token} AS tokens")
+    lengths = spark.createDataFrame([(0, 11), (1, 1000)], "u long, last_k long")
+    for proportional in (False, True):
+        every = A.frame_labels(syllables, "u", 25.0, proportional=proportional).collect()
+        got = A.frame_labels(syllables, "u", 25.0, proportional=proportional, lengths=lengths).collect()
+        assert sorted(got) == sorted(r for r in every if r.u == 1 or (r.u == 0 and r.k <= 11)) and len(got) > 12

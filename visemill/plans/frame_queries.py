@@ -318,13 +318,14 @@ SCORED = f"""{SYL}, v AS (SELECT unnest(['ctc', 'ctc', 'proportional', 'proporti
 
 @query("a32_label_scoring", f"WITH {FRAMES}, {SCORED} SELECT mode, round(lead * 1000)::INT AS lead_ms, n1, n0, round(m1, 6) AS mean1, round(m0, 6) AS mean0, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS d, round((rs - n1 * (n1 + 1) / 2e0) / n1 / n0, 6) AS auc FROM gr")
 def label_scoring(spark, sf_dir):
+    values = frames(spark, sf_dir).select((F.col("utt_key") + 0).alias("utt_id"), F.col("k").cast("long").alias("k"), F.col("x").alias("z"))
+    lengths = values.groupBy("utt_id").agg(F.max("k").alias("last_k"))  # labels are listed where there are frames
     s = with_tokens(spark, sf_dir)
     both = None
     for proportional in (False, True):
         for lead in (0.0, 0.05):
-            part = A.frame_labels(s, "utt_id", 25.0, lead_s=lead, proportional=proportional).withColumn("mode", F.lit("proportional" if proportional else "ctc")).withColumn("lead_ms", F.lit(int(lead * 1000)))
+            part = A.frame_labels(s, "utt_id", 25.0, lead_s=lead, proportional=proportional, lengths=lengths).withColumn("mode", F.lit("proportional" if proportional else "ctc")).withColumn("lead_ms", F.lit(int(lead * 1000)))
             both = part if both is None else both.union(part)
-    values = frames(spark, sf_dir).select((F.col("utt_key") + 0).alias("utt_id"), F.col("k").cast("long").alias("k"), F.col("x").alias("z"))
     out = A.score_labels(both, values, "utt_id", ["mode", "lead_ms"], F.coalesce(F.col("token") < 25, F.lit(False)))
     return out.select("mode", "lead_ms", "n1", "n0", R("mean1"), R("mean0"), R("d"), R("auc"))
 
