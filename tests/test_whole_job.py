@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from visemill.operators import alignment as A
 from visemill.operators import metrics as M
+from visemill.operators import pairs as P
 from visemill.operators import segments as G
 from visemill.operators.metrics import char_distance
 from visemill.operators.metrics import edits as edits_of
@@ -254,3 +255,17 @@ def test_labels_end_with_the_frames(spark):
         every = A.frame_labels(syllables, "u", 25.0, proportional=proportional).collect()
         got = A.frame_labels(syllables, "u", 25.0, proportional=proportional, lengths=lengths).collect()
         assert sorted(got) == sorted(r for r in every if r.u == 1 or (r.u == 0 and r.k <= 11)) and len(got) > 12
+
+
+def test_score_histogram_of_several_keys(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, f"S{i * i % 5}", i % 3, r.normal(size=6).tolist(), r.normal(size=6).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, speaker string, session int, face array<double>, stream array<double>")
+    want = defaultdict(int)
+    for a in rows:
+        for b in rows:
+            cos = np.dot(a[3], b[4]) / np.linalg.norm(a[3]) / np.linalg.norm(b[4])
+            for positive, counts in ((1, a[0] == b[0]), (0, a[1:3] != b[1:3])):
+                want[positive, min(int((cos + 1) * 20), 39)] += counts
+    got = P.score_histogram(df, "speaker, session", bins=40, block_rows=40)
+    assert {(x.positive, x.bin): x.n for x in got.collect()} == {k: n for k, n in want.items() if n}

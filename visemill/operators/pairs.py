@@ -30,10 +30,12 @@ def score_histogram(rows: DataFrame, negative: str | None = None, *, bins: int =
     session)``, for verification: positives are a row's own pair, negatives those whose ``negative`` columns (comma
     separated; by default those of ``negative_columns``) differ. Scores lie in [-1, 1]; bin b covers [-1 + 2b / bins, -1 + 2(b + 1) / bins).
 
-    Both sides are dealt to blocks of about ``block_rows``; a task multiplies one block of faces by one of streams and
+    Both sides are dealt to blocks of about ``block_rows``, of a large table up to four times as many; a task multiplies one block of faces by one of streams and
     sends counts only. Every pair is scored, as verification asks, so the work grows with the square of the rows.
     """
-    blocks = max(1, -(-rows.count() // block_rows))
+    n = rows.count()
+    # a row is sent to every block of the other side, so blocks of a large table are larger
+    blocks = max(1, -(-n // min(max(block_rows, n // 16), 4 * block_rows)))
     keys = [c.strip() for c in (negative or negative_columns(rows)).split(",")]
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -47,17 +49,26 @@ def score_histogram(rows: DataFrame, negative: str | None = None, *, bins: int =
     def count(f: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros((2, bins), dtype=np.int64)
         if len(f) and len(s):
-            v, names = unit(s["stream"]), [s[k].to_numpy() for k in keys]
-            for first in range(0, len(f), 512):
-                part = f.iloc[first : first + 512]
-                score = unit(part["face"]) @ v.T
-                at = np.clip(((score + 1) * bins / 2).astype(np.int64), 0, bins - 1)
-                own = part["id"].to_numpy()[:, None] == s["id"].to_numpy()[None, :]
-                differ = np.zeros_like(own)
-                for k, theirs in zip(keys, names):
-                    differ |= part[k].to_numpy()[:, None] != theirs[None, :]
-                out[1] += np.bincount(at[own], minlength=bins)
-                out[0] += np.bincount(at[differ], minlength=bins)
+            # rows whose keys are all the same have the same number, in the order of which streams lie
+            both = pd.concat([f[keys], s[keys]], ignore_index=True)
+            group = both.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            mine, order = group[: len(f)], np.argsort(group[len(f) :], kind="stable")
+            theirs, v = group[len(f) :][order], np.ascontiguousarray(unit(s["stream"])[order].T)
+            first, last = np.searchsorted(theirs, mine), np.searchsorted(theirs, mine, side="right")
+            faces, ids = unit(f["face"]), f["id"].to_numpy()
+            places = pd.Series(np.arange(len(s))).groupby(s["id"].to_numpy()[order]).indices  # of a row's own stream
+            for a in range(0, len(f), 64):  # a part's scores stay in the cache
+                score = faces[a : a + 64] @ v
+                score += 1
+                score *= bins / 2
+                at = score.astype(np.int32)
+                np.clip(at, 0, bins - 1, out=at)
+                # all pairs, less those of equal keys
+                out[0] += np.bincount(at.ravel(), minlength=bins)
+                out[0] -= np.bincount(np.concatenate([x[i:j] for x, i, j in zip(at, first[a : a + 64], last[a : a + 64])]), minlength=bins)
+                own = [x[places[i]] for x, i in zip(at, ids[a : a + 64]) if i in places]
+                if own:
+                    out[1] += np.bincount(np.concatenate(own), minlength=bins)
         p, b = np.nonzero(out)
         return pd.DataFrame({"positive": p.astype("int32"), "bin": b.astype("int32"), "n": out[p, b]})
 
