@@ -13,6 +13,7 @@ from visemill.operators import alignment as A
 from visemill.operators import metrics as M
 from visemill.operators import pairs as P
 from visemill.operators import segments as G
+from visemill.operators import signal as S
 from visemill.operators.metrics import char_distance
 from visemill.operators.metrics import edits as edits_of
 from visemill.plans import queries
@@ -269,3 +270,29 @@ def test_score_histogram_of_several_keys(spark):
                 want[positive, min(int((cos + 1) * 20), 39)] += counts
     got = P.score_histogram(df, "speaker, session", bins=40, block_rows=40)
     assert {(x.positive, x.bin): x.n for x in got.collect()} == {k: n for k, n in want.items() if n}
+
+
+def test_streams_of_a_scene_in_pieces(spark):
+    r = np.random.default_rng(3)
+    scenes = {7: [40, 0, 25], 8: [30], 9: [0, 0], 10: [12, 12]}
+    rows = [(c, k, bytes(r.integers(0, 256, n, dtype=np.uint8))) for c, lengths in scenes.items() for k, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "c long, turn int, wave binary").orderBy(F.desc("turn"))
+    got = defaultdict(list)
+    pieces = S.leaked_streams(df, "c", "turn", "wave", 6.0, part=16).collect()
+    assert max(len(p.y) for p in pieces) == 16
+    for p in sorted(pieces, key=lambda p: p["first"]):
+        assert len(got[p.c, p.stream]) == p["first"] and p.n_streams == len(scenes[p.c])
+        got[p.c, p.stream] += p.y
+    for c, lengths in scenes.items():
+        padded = [np.pad(S.as_wave(w), (0, max(lengths) - len(w))) for k, _, w in rows if k == c]
+        for k, want in enumerate(S.mix_leakage(padded, 6.0)):
+            assert np.allclose(got[c, k], want, atol=1e-12)
+
+
+def test_arrays_come_back_in_parts(spark):
+    rows = spark.range(0, 50, 1, 1).select("id", F.when(F.col("id") % 7 != 3, F.expr("repeat('x', cast(id * 20 as int))").cast("binary")).alias("wave"))
+    out = S.with_arrays(rows, ["wave"], "f", lambda w: np.arange(len(w)), part=1000)
+    got = {x.id: x.f for x in out.collect()}
+    assert got == {k: None if k % 7 == 3 else [float(v) for v in range(20 * k)] for k in range(50)}
+    x = np.random.default_rng(0).normal(size=1024 * 160 * 3)
+    assert np.allclose(S.log_mel(x, normalised=False)[1000:1100], S.log_mel(x[160000:], normalised=False)[:100])
