@@ -296,3 +296,20 @@ def test_arrays_come_back_in_parts(spark):
     assert got == {k: None if k % 7 == 3 else [float(v) for v in range(20 * k)] for k in range(50)}
     x = np.random.default_rng(0).normal(size=1024 * 160 * 3)
     assert np.allclose(S.log_mel(x, normalised=False)[1000:1100], S.log_mel(x[160000:], normalised=False)[:100])
+
+
+def test_feature_files_are_read_in_parts(spark, tmp_path):
+    import pyarrow as pa
+
+    from visemill.sources.readers import parts_by_size, read_features
+    from visemill.sources.writers import feature_bytes, write_files
+
+    content = pa.array([b"x" * n for n in (5, 0, 30, 4, 4, 4)] + [None], pa.binary())
+    assert list(parts_by_size(content, 10)) == [(0, 2), (2, 1), (3, 2), (5, 2)]
+    rows = spark.range(20).withColumn("n", (F.col("id") % 4).cast("int"))  # some without frames
+    times = lambda k: F.array_repeat(F.col("id").cast("double"), F.col("n") * k)
+    files = feature_bytes(rows.select(F.concat("id", F.lit(".npz")).alias("name"), times(80).alias("lm"), times(8).alias("cue"), times(1).cast("array<int>").alias("valid"), times(3).cast("array<int>").alias("audio")), most=3000)
+    assert write_files(files, str(tmp_path / "f")) == 20
+    for x in read_features(spark, str(tmp_path / "f")).collect():
+        k = int(x.path.split("/")[-1][:-4])
+        assert k % 4 == 0 or (x.reason, x.n_frames, x.lm, x.audio, x.fps) == (None, k % 4, [k] * (k % 4 * 80), [k] * (k % 4 * 3), 30.0)

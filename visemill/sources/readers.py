@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,29 +97,50 @@ def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return good, problems
 
 
+def parts_by_size(content: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """(first, n): successive rows of a batch with up to ``most`` bytes of content, one row at least."""
+    size = np.asarray(pc.fill_null(pc.binary_length(content), 0))
+    first, n = 0, 0
+    for k, s in enumerate(size.tolist()):
+        if k > first and n + s > most:
+            yield first, k - first
+            first, n = k, 0
+        n += s
+    if len(size):
+        yield first, len(size) - first
+
+
 FEATURES = "path string, lm array<float>, cue array<float>, valid array<int>, audio array<short>, fps double, sr long, n_frames int, reason string"
 
 
 def read_features(spark: SparkSession, path: str, fps: float = 30.0, sr: int = 16000) -> DataFrame:
     """Arrays of npz feature files, flattened; ``reason`` tells what is wrong with a bad file, whose arrays are null."""
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def arrays(where: str, content: bytes) -> tuple:
+        try:
+            with np.load(io.BytesIO(content)) as z:
+                lm, cue, valid, audio = z["lm"], z["cue"], z["valid"], z["audio"]
+                if lm.ndim != 3 or lm.shape[1:] != (40, 2) or cue.shape != (len(lm), 8) or valid.shape != (len(lm),):
+                    raise ValueError(f"shapes {lm.shape}, {cue.shape}, {valid.shape}")
+                if audio.ndim != 1 or audio.dtype != np.int16:
+                    raise ValueError(f"audio {audio.dtype} of {audio.ndim} dimensions")
+                return where, lm.astype(np.float32).ravel(), cue.astype(np.float32).ravel(), valid.astype(np.int32), audio, float(z["fps"]) if "fps" in z else fps, int(z["sr"]) if "sr" in z else sr, len(lm), None
+        except Exception as e:  # noqa: BLE001 - whatever is wrong with a file is told in its row
+            return where, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200]
+
+    made = pa.schema([
+        ("path", pa.string()), ("lm", pa.list_(pa.float32())), ("cue", pa.list_(pa.float32())), ("valid", pa.list_(pa.int32())), ("audio", pa.list_(pa.int16())),
+        ("fps", pa.float64()), ("sr", pa.int64()), ("n_frames", pa.int32()), ("reason", pa.string()),
+    ])
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for where, content in zip(b["path"], b["content"]):
-                try:
-                    with np.load(io.BytesIO(content)) as z:
-                        lm, cue, valid, audio = z["lm"], z["cue"], z["valid"], z["audio"]
-                        if lm.ndim != 3 or lm.shape[1:] != (40, 2) or cue.shape != (len(lm), 8) or valid.shape != (len(lm),):
-                            raise ValueError(f"shapes {lm.shape}, {cue.shape}, {valid.shape}")
-                        if audio.ndim != 1 or audio.dtype != np.int16:
-                            raise ValueError(f"audio {audio.dtype} of {audio.ndim} dimensions")
-                        out.append((where, lm.astype(np.float32).ravel(), cue.astype(np.float32).ravel(), valid.astype(np.int32), audio, float(z["fps"]) if "fps" in z else fps, int(z["sr"]) if "sr" in z else sr, len(lm), None))
-                except Exception as e:  # noqa: BLE001 - whatever is wrong with a file is told in its row
-                    out.append((where, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(load, FEATURES)
+            for first, n in parts_by_size(b.column("content")):
+                part = b.slice(first, n)
+                out = [arrays(where.as_py(), content.as_py()) for where, content in zip(part.column("path"), part.column("content"))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), made)], schema=made)
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(load, FEATURES)
 
 
 def check_content(spark: SparkSession, path: str) -> DataFrame:

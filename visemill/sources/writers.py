@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,17 +103,27 @@ def write_sidecar(segments: DataFrame, path: str) -> None:
     rounded.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("start", *[c for c in rest if c != "start"]))).alias("segments")).write.mode("overwrite").json(path)
 
 
-@F.pandas_udf(T.BinaryType())
-def feature_bytes(lm: pd.Series, cue: pd.Series, valid: pd.Series, audio: pd.Series) -> pd.Series:
-    """The content of a feature file (npz): landmarks (frames x 40 x 2) and cues (frames x 8), flattened, valid flags and
-    16-bit sound."""
+def feature_bytes(rows: DataFrame, most: int = 1 << 22) -> DataFrame:
+    """``rows`` with ``content``, that of a feature file (npz), in place of lm and cue (landmarks of frames x 40 x 2 and cues of frames x 8,
+    flattened), valid (flags) and audio (16-bit sound); handed back in parts of about ``most`` bytes."""
+    parts = ["lm", "cue", "valid", "audio"]
+    kept = [c for c in rows.columns if c not in parts]
 
     def one(points, cues, flags, samples) -> bytes:
         n, out = len(flags), io.BytesIO()
-        np.savez(out, lm=np.asarray(points, np.float32).reshape(n, 40, 2), cue=np.asarray(cues, np.float32).reshape(n, -1), valid=np.asarray(flags, np.uint8), audio=np.asarray(samples, np.int16))
+        np.savez(out, lm=points.astype(np.float32).reshape(n, 40, 2), cue=cues.astype(np.float32).reshape(n, len(cues) // max(n, 1)), valid=flags.astype(np.uint8), audio=samples.astype(np.int16))
         return out.getvalue()
 
-    return pd.Series([one(*x) for x in zip(lm, cue, valid, audio)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns, made, first = [b.column(c) for c in parts], [], 0
+            for k in range(b.num_rows):
+                made.append(one(*(c[k].values.to_numpy(zero_copy_only=False) for c in columns)))
+                if k == b.num_rows - 1 or sum(map(len, made)) >= most:
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(first, len(made)) for c in kept), pa.array(made, pa.binary())], names=[*kept, "content"])
+                    made, first = [], k + 1
+
+    return rows.select(*kept, *parts).mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), T.StructField("content", T.BinaryType())]))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -136,16 +147,16 @@ def write_files(rows: DataFrame, folder: str) -> int:
     again writes the same files again."""
     where = folder if "://" in folder or folder.startswith("/") else folder.replace(":/", ":///", 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, at = pafs.FileSystem.from_uri(where)
         system.create_dir(at, recursive=True)
         for b in batches:
-            for name, content in zip(b["name"], b["content"]):
-                with system.open_output_stream(f"{at}/{name}") as f:
-                    f.write(content)
-            yield pd.DataFrame({"n": [len(b)]})
+            for name, content in zip(b.column("name"), b.column("content")):  # one content at a time leaves the batch
+                with system.open_output_stream(f"{at}/{name.as_py()}") as f:
+                    f.write(content.as_buffer())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
 
-    return rows.select("name", "content").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return rows.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_alignments(records: DataFrame, path: str, most: int = 1 << 22) -> None:
