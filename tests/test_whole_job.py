@@ -298,6 +298,23 @@ def test_arrays_come_back_in_parts(spark):
     assert np.allclose(S.log_mel(x, normalised=False)[1000:1100], S.log_mel(x[160000:], normalised=False)[:100])
 
 
+def test_window_features_of_whole_sounds(spark, tmp_path):
+    r = random.Random(11)
+    texts = ["".join(r.choice("abcdefg é") for _ in range(n)) for n in (1, 399, 640, 6399, 6400, 6401, 30_000)] + ["", None]
+    spark.createDataFrame([(k, "s", t) for k, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    by = defaultdict(dict)
+    for x in rows_of(spark, "v4_window_features", tmp_path):
+        assert x["n"] == 3200 and x["start"] not in by[x["doc_id"]]
+        by[x["doc_id"]][x["start"]] = x["squares"]
+    for k, t in enumerate(texts):
+        wave = S.as_wave((t or "").encode())
+        starts = sorted(by[k])
+        assert np.all(np.diff(starts) == 10) and (not len(wave) or starts[0] <= 0 and (starts[-1] + 10) * 640 >= len(wave))
+        for s in starts:
+            assert by[k][s] == pytest.approx(float(np.square(S.window_features(wave, s, 10).astype(np.float32), dtype=np.float64).sum()), abs=0.02)
+    assert len(by) == len(texts)
+
+
 def test_feature_files_are_read_in_parts(spark, tmp_path):
     import pyarrow as pa
 
