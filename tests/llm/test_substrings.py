@@ -128,6 +128,31 @@ def test_suffix_sort(seed):
     assert all((kinds[i] == kinds[j]) == (key[i] == key[j]) for i in range(200) for j in range(200))
 
 
+def test_anchors_fill_all_parts_of_the_key_space():
+    import visemill.llm.suffix as m
+
+    buf = np.random.default_rng(5).integers(97, 123, 400_000).astype(np.uint8)
+    key, *_ = m.anchors(b.Slice(buf, np.array([0, len(buf)]), np.array([False]), None), 50)
+    count = np.bincount((np.unique(key) >> np.uint64(60)).astype(np.int64), minlength=16)
+    assert count.max() < 1.2 * count.mean()
+
+
+def test_suffixes_of_a_common_anchor_are_sorted_in_passes():
+    """A hundred thousand surroundings of one anchor; a comparison of any two at a time would take far longer."""
+    import time
+
+    n, depth = 100_000, 50
+    buf = np.random.default_rng(6).integers(97, 99, (n, depth)).astype(np.uint8)
+    buf[:, 20:36] = 120
+    buf[::3] = buf[0]
+    buf, start = buf.ravel(), np.arange(n) * depth
+    began = time.process_time()
+    kinds = Suffixes(buf, depth).classes(start, np.zeros(n, dtype=np.uint64))
+    assert time.process_time() - began < 0.5
+    _, want = np.unique(buf.reshape(n, depth).view(f"S{depth}").ravel(), return_inverse=True)
+    assert np.array_equal(kinds, want)
+
+
 def test_words_of_regular_build_are_told_apart(spark):
     a = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))  # Thue and Morse's word and its complement
     c = a.translate(str.maketrans("ab", "ba"))

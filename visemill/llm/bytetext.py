@@ -26,21 +26,6 @@ LOWER = np.where((_all >= 0x41) & (_all <= 0x5A), _all + 32, _all).astype(np.uin
 #: Letters a-z, digits and every byte of a character beyond ASCII.
 WORDLIKE = ((_all >= 0x30) & (_all <= 0x39)) | ((_all >= 0x61) & (_all <= 0x7A)) | (_all >= 0x80)
 
-#: An odd multiplier and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(of: int, n: int) -> np.ndarray:
-    """``of ** i`` modulo 2**64 for i below n."""
-    have = _powers.get(of)
-    if have is None or len(have) < n:
-        grown = np.full(max(n, 1 << 16) * 5 // 4, of, dtype=U64)
-        grown[0] = 1
-        have = _powers[of] = np.cumprod(grown)
-    return have[:n]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose output bits all depend on all input bits."""
@@ -141,19 +126,6 @@ def give_back() -> None:
         pass
 
 
-class PrefixHash:
-    """Polynomial hash, modulo 2**64, of any substring in constant time from prefix sums."""
-
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        self.sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum((values.astype(U64) + U64(1)) * powers(INVERSE, n), out=self.sums[1:])
-        self.scale = powers(BASE, n + 1)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.scale[start]
-
-
 @dataclass
 class Slice:
     buf: np.ndarray  # uint8, all texts back to back

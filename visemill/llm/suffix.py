@@ -1,4 +1,4 @@
-"""Exact substring dedup by suffix sorting with hashed comparisons.
+"""Exact substring dedup by suffix sorting.
 
 Every substring of ``depth`` bytes contains one anchor: the position whose 16 bytes hash lowest, the first of equals.
 Equal substrings have equal anchors at equal places, so only substrings around anchors that occur twice can repeat. One
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import LONG_STRING, U64, PrefixHash, Slice, give_back, lanes_of, mix, ragged, string_hashes
+from .bytetext import LONG_STRING, U64, Slice, give_back, lanes_of, mix, ragged, string_hashes
 from .chunks import chunk_documents, each_chunk, key_bits, occurring_elsewhere, pack_bytes, pack_keys, rows_with, shared_flags, split_by_part, unpack_bytes, unpack_keys, with_columns
 from .scratch import cut
 
@@ -38,86 +38,44 @@ TEXTS_AT_ONCE = 8192
 
 # ---------------------------------------------------------------- suffix sort
 class Suffixes:
-    """Prefixes of up to ``depth`` bytes of the suffixes of ``buf``, compared in O(log depth) by prefix hashes."""
+    """Prefixes of ``depth`` bytes of the suffixes of ``buf``, sorted by eight bytes at a time."""
 
     def __init__(self, buf: np.ndarray, depth: int):
-        self.buf, self.depth = buf, depth
-        self.hash = PrefixHash(buf)
-
-    def equal(self, i: np.ndarray, j: np.ndarray, n) -> np.ndarray:
-        return self.hash.of(i, i + n) == self.hash.of(j, j + n)
-
-    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Length of the common prefix, at most ``depth``, by binary search over hashes."""
-        low, high = np.zeros(len(i), dtype=np.int64), np.full(len(i), self.depth, dtype=np.int64)
-        while (low < high).any():
-            mid = (low + high + 1) // 2
-            same = self.equal(i, j, mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return low
-
-    def before(self, i: np.ndarray, j: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        """Whether suffix i sorts before suffix j; ``or_equal`` decides where all ``depth`` bytes agree."""
-        out = or_equal.copy()
-        differ = np.flatnonzero(~self.equal(i, j, self.depth))
-        i, j = i[differ], j[differ]
-        at = self.common(i, j)
-        out[differ] = self.buf[i + at] < self.buf[j + at]
-        return out
+        self.lanes, self.depth = lanes_of(buf), depth
 
-    def sort(self, start: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Order of ``start`` by bucket, then suffix: a bottom-up merge sort of all buckets at once.
+    def _sorted(self, start: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of ``start`` by bucket, then suffix, and whether each there differs from the one before it.
 
-        An item's place in the merger of two runs is its place in its own run and its rank in the other, which binary
-        search finds.
+        Suffixes that agree so far are a group, whose next eight bytes part it; those that are alone in theirs are left out.
         """
         order = np.argsort(bucket, kind="stable")
-        group = bucket[order]
-        head = np.flatnonzero(np.diff(group, prepend=~group[:1])) if len(group) else np.zeros(0, np.int64)
-        size = np.diff(np.append(head, len(group)))
-        width = 1
-        while True:
-            big = size > width
-            if not big.any():
-                return order
-            first = np.repeat(head[big], size[big])
-            total = np.repeat(size[big], size[big])
-            item = np.arange(len(first)) - np.repeat(np.cumsum(size[big]) - size[big], size[big])
-            run = item // width
-            odd = run & 1
-            pair = first + (run - odd) * width  # where the two runs begin
-            other = np.minimum((run ^ 1) * width, total)
-            low, high = first + other, first + np.minimum(other + width, total)
-            begin = low
-            mine = start[order[first + item]]
-            active = np.flatnonzero(low < high)
-            low, high = low.copy(), high.copy()
-            while len(active):
-                mid = (low[active] + high[active]) // 2
-                # of equals the left run's come first
-                ahead = self.before(start[order[mid]], mine[active], odd[active] == 1)
-                low[active] = np.where(ahead, mid + 1, low[active])
-                high[active] = np.where(ahead, high[active], mid)
-                active = active[low[active] < high[active]]
-            place = pair + (item - run * width) + (low - begin)
-            merged = order.copy()
-            merged[place] = order[first + item]
-            order = merged
-            width *= 2
+        head = np.ones(len(order), dtype=bool)
+        head[1:] = bucket[order[1:]] != bucket[order[:-1]]
+        at = np.arange(len(order))
+        for done in range(0, self.depth, 8):
+            alone = head[at]
+            alone[:-1] &= head[at[1:]]  # places left out stand before a head
+            at = at[~alone]
+            if not len(at):
+                break
+            word = self.lanes[start[order[at]] + done].byteswap()
+            if self.depth - done < 8:
+                word &= U64((1 << 64) - (1 << 8 * (8 - self.depth + done)))
+            group = np.cumsum(head[at])
+            by = np.lexsort((word, group))
+            order[at] = order[at[by]]
+            head[at[1:]] |= word[by[1:]] != word[by[:-1]]
+        return order, head
+
+    def sort(self, start: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Order of ``start`` by bucket, then suffix."""
+        return self._sorted(start, bucket)[0]
 
     def classes(self, start: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Number of the class of each suffix: those of a bucket that share their first ``depth`` bytes, verified."""
-        order = self.sort(start, bucket)
-        s, b = start[order], bucket[order]
-        same = np.zeros(len(s), dtype=bool)
-        near = np.flatnonzero(b[1:] == b[:-1])
-        near = near[self.common(s[near], s[near + 1]) >= self.depth]
-        for first in range(0, len(near), 200_000):
-            at = near[first : first + 200_000]
-            step = np.arange(self.depth)
-            same[at + 1] = (self.buf[s[at][:, None] + step] == self.buf[s[at + 1][:, None] + step]).all(axis=1)
-        out = np.empty(len(s), dtype=np.int64)
-        out[order] = np.cumsum(~same) - 1
+        """Number of the class of each suffix: those of a bucket that share their first ``depth`` bytes."""
+        order, head = self._sorted(start, bucket)
+        out = np.empty(len(order), dtype=np.int64)
+        out[order] = np.cumsum(head) - 1
         return out
 
 
@@ -164,7 +122,8 @@ def _anchors(buf: np.ndarray, off: np.ndarray, depth: int, base: int) -> tuple[n
     first = np.flatnonzero(head)
     tail = inside.copy()
     tail[:-1] &= ~inside[1:] | (anchor[1:] != anchor[:-1])
-    return key[anchor[first]], base + anchor[first], base + first, base + np.flatnonzero(tail)
+    # the lowest of many hashes crowd at the low end: mixed once more they fill all parts of the key space alike
+    return mix(key[anchor[first]]), base + anchor[first], base + first, base + np.flatnonzero(tail)
 
 
 def union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -552,7 +511,7 @@ def remove_covered_bytes(docs: DataFrame, depth: int = 50, with_text: bool = Tru
         give_back()
 
     chunks = chunk_documents(docs)
-    bits = key_bits(chunks, 1 / 18, 200_000)
+    bits = key_bits(chunks, 1 / 18)
     seed = 0
     while True:
         spans = covered_spans(chunks, depth, bits, seed, min(64, hash_bits << seed))
