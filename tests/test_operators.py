@@ -636,6 +636,27 @@ def test_syllables_of_a_text_are_found_without_a_shuffle(spark):
     assert "Exchange" not in out._jdf.queryExecution().toString()
 
 
+def test_syllables_of_many_texts_at_once(spark):
+    """Texts of a batch together; text functions are worked out once for each text."""
+    from visemill.operators import segments as G
+    from visemill.plans.score_queries import records
+
+    group = lambda kinds: [("c%d" % k, x, 2 * k, 2 * k + 2) for k, x in enumerate(kinds)]
+    token = lambda n, d: [(k, d + 7 * k, d + 7 * k + 2, -0.0125 * k) for k in range(n)]
+    rows = [("a", 90, group(["syl", "syl", "space", "syl"]), token(8, 1)), ("b", 40, group(["punct"]), token(2, 0)), ("c", 60, None, None), ("d", 70, group(["space", "syl", "punct"]), token(6, 3))]
+    schema = "utt_id string, n_frames int, groups array<struct<char:string,kind:string,first:int,last:int>>, tokens array<struct<id:int,first:int,last:int,logprob:double>>"
+    df = spark.createDataFrame(rows, schema).coalesce(1)
+    for any_ in (False, True):
+        got = {r.utt_id: r.syllables for r in G.syllable_arrays(df, 50.0, stop_at_any=any_).collect()}
+        assert got["b"] == [] and got["c"] is None and [(s.pos, s.word) for s in got["a"]] == [(0, 0), (1, 0), (3, 1)] and [(s.pos, s.word) for s in got["d"]] == [(1, 1)]
+        assert [s.start_s for s in got["a"]] == [0.02, 0.3, 0.86] and [s.ext_end_s for s in got["a"]] == [0.3, 0.58 if any_ else 0.86, 1.46] and [s.logprob for s in got["a"]] == [-0.007, -0.032, -0.082]
+        assert [s.ext_end_s for s in got["d"]] == [0.62 if any_ else 0.94] and [t.ext_end_s for t in got["d"][0].tokens] == [0.48, 0.62 if any_ else 0.94]
+    with pytest.raises(Exception, match="without tokens"):
+        G.syllable_arrays(spark.createDataFrame([("u", 9, group(["syl"]), [])], schema), 50.0).collect()
+    plan = records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text_groups(") == plan.count("nfc(") == 1
+
+
 def test_label_shift_takes_sums_for_equal_that_differ_in_the_last_digit(spark):
     levels = spark.createDataFrame([(1, k, 0.1 * (k % 7)) for k in range(2000)], "video_stem long, k long, db double")
     sentences = spark.createDataFrame([(1, 3.0 + 0.7 * n, 3.35 + 0.7 * n) for n in range(20)], "video_stem long, start_s double, end_s double")
