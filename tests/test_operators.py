@@ -657,6 +657,13 @@ def test_syllables_of_many_texts_at_once(spark):
     assert plan.count("text_groups(") == plan.count("nfc(") == 1
 
 
+def test_texts_are_aligned_from_ids_worked_out_once(spark):
+    from visemill.plans.score_queries import edit_alignment
+
+    plan = edit_alignment(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("jamo_ids(") == plan.count("nfc(") == 1
+
+
 def test_label_shift_takes_sums_for_equal_that_differ_in_the_last_digit(spark):
     levels = spark.createDataFrame([(1, k, 0.1 * (k % 7)) for k in range(2000)], "video_stem long, k long, db double")
     sentences = spark.createDataFrame([(1, 3.0 + 0.7 * n, 3.35 + 0.7 * n) for n in range(20)], "video_stem long, start_s double, end_s double")
